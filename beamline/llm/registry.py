@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import contamination, mixing, simhash, urls
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op5_url_filter": urls.op5_url_filter,
+        "op6_decontamination": contamination.op6_decontamination,
         "op7_mixing": mixing.op7_mixing,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op7_mixing": mixing.OP7_SQL}
+    return {"op5_url_filter": urls.OP5_SQL, "op6_decontamination": contamination.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
