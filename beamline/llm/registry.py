@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, mixing, simhash, urls
+from . import contamination, mixing, pii, simhash, tokens, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op5_url_filter": urls.op5_url_filter,
         "op6_decontamination": contamination.op6_decontamination,
         "op7_mixing": mixing.op7_mixing,
+        "op8_tokens": tokens.op8_tokens,
+        "op9_pii": pii.op9_pii,
     }
 
 
