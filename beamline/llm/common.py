@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Words of the contracts: maximal runs of anything but ASCII white space.
@@ -41,6 +42,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``place``, its position from 0 in the given order.
+
+    The sorted rows are written, so that a row's partition and its position there
+    are fixed; only the number of rows of each partition is summed."""
+    ordered = cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = ordered.groupBy(part.alias("_part")).count()
+    before = counts.select("_part", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ordered.withColumn("_part", part).join(before, "_part").withColumn("place", F.col("_before") + F.expr("_at & 8589934591")).drop("_at", "_part", "_before")
+
+
 def forest(n: int, left: np.ndarray, right: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
     """Smallest index of each index's component under the links left-right."""
     label = np.arange(n) if label is None else label

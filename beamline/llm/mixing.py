@@ -48,22 +48,10 @@ def water_fill(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
 
 
 def ranked_sources(sizes: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
-    """Weights by the position of each source in code-point order, null last.
-
-    Positions come from a range-partitioned sort: the rows of a partition are
-    numbered in place and only the number of rows of each partition is summed."""
-    ordered = common.cut(
-        sizes.withColumn("last", F.col("source").isNull())
-        .orderBy("last", "source")
-        .withColumn("at", F.monotonically_increasing_id())
-    )
-    part = F.shiftright("at", 33)
-    counts = ordered.groupBy(part.alias("part")).count()
-    before = counts.select("part", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.col("before") + F.expr("at & 8589934591")
-    return ordered.withColumn("part", part).join(before, "part").select(
-        "source", "source_size", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int")).alias("weight")
-    )
+    """Weights by the position of each source in code-point order, null last."""
+    placed = common.numbered(sizes, F.col("source").isNull(), "source")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    return placed.select("source", "source_size", weight.alias("weight"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from . import contamination, mixing, pii, simhash, tokens, urls
+from . import contamination, embeddings, mixing, pii, quality, simhash, tokens, urls
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_embeddings": embeddings.op2_embeddings,
         "op5_url_filter": urls.op5_url_filter,
         "op6_decontamination": contamination.op6_decontamination,
         "op7_mixing": mixing.op7_mixing,
         "op8_tokens": tokens.op8_tokens,
         "op9_pii": pii.op9_pii,
+        "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_url_filter": urls.OP5_SQL, "op6_decontamination": contamination.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
+    return {"op2_embeddings": embeddings.OP2_SQL, "op5_url_filter": urls.OP5_SQL, "op6_decontamination": contamination.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
