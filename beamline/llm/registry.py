@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import contamination, embeddings, language, mixing, pii, quality, simhash, tokens, urls
+from . import contamination, embeddings, language, mixing, pii, quality, simhash, suffixes, tokens, urls
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_embeddings": embeddings.op2_embeddings,
+        "op3_suffixes": suffixes.op3_suffixes,
         "op4_language_id": language.op4_language_id,
         "op5_url_filter": urls.op5_url_filter,
         "op6_decontamination": contamination.op6_decontamination,
