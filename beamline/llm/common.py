@@ -5,14 +5,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words of the contracts: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
 LOWER_FROM, LOWER_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,6 +46,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def add_columns(df: DataFrame, inputs: tuple[str, ...], added: str, start: Callable[[], Callable]) -> DataFrame:
+    """``df`` with columns ``added`` (DDL) that Python computes, batch by batch.
+
+    ``start()`` is called once a task and returns a function of the lists of
+    ``inputs`` that returns a list for each added column. The other columns pass as
+    they are, nulls and types included."""
+    fields = StructType.fromDDL(added).fields
+    types = [_ARROW[f.dataType.typeName()] for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for b in batches:
+            new = compute(*[b.column(i).to_pylist() for i in inputs])
+            arrays = [pa.array(c, t) for c, t in zip(new, types)]
+            yield pa.RecordBatch.from_arrays(b.columns + arrays, b.schema.names + [f.name for f in fields])
+
+    return df.mapInArrow(run, StructType(df.schema.fields + fields))
+
+
+def keep_rows(df: DataFrame, column: str, start: Callable[[], Callable]) -> DataFrame:
+    """Rows of ``df`` for which a Python function of one column's batch says true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column(column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def numbered(df: DataFrame, *order) -> DataFrame:
     """``df`` with ``place``, its position from 0 in the given order.
 

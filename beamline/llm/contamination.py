@@ -18,6 +18,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,6 +144,19 @@ class Block:
         return out
 
 
+def item_blocks(benchmark: DataFrame, threshold: float, hashes: int, miss: float, block_items: int) -> Iterator[Broadcast]:
+    """The items in blocks of about ``block_items``, each sent to all executors."""
+    items = benchmark.select(F.col("item_id").cast("long"), "text")
+    n = max(1, -(-items.count() // block_items))
+    for b in range(n):
+        mine = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+        yield benchmark.sparkSession.sparkContext.broadcast(Block([(r[0], r[1]) for r in mine.collect()], threshold, hashes, miss))
+
+
+def _hashed(words: list[str], cache: WordHash) -> np.ndarray:
+    return shingle_hashes(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+
+
 def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, hashes: int = HASHES, miss: float = MISS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``(doc_id, item_id, shared, n_shingles, containment)`` of every item of which a
     document contains ``threshold`` or more of the distinct word 5-shingles.
@@ -153,15 +167,9 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     repeated results; repeated item ids are searched as separate items. The
     benchmark is the stated query set: it is read in blocks of ``block_items``
     and each block searches all documents, so what is broadcast is bounded."""
-    spark = docs.sparkSession
     schema = "doc_id long, item_id long, shared long, n_shingles long, containment double"
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    items = benchmark.select(F.col("item_id").cast("long"), "text")
-    n_blocks = max(1, -(-items.count() // block_items))
-    out = None
-    for b in range(n_blocks):
-        mine = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
-        block = spark.sparkContext.broadcast(Block([(r[0], r[1]) for r in mine.collect()], threshold, hashes, miss))
+    rows, out = docs.select(F.col("doc_id").cast("long"), "text"), None
+    for block in item_blocks(benchmark, threshold, hashes, miss, block_items):
 
         def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
             cache = WordHash()
@@ -169,8 +177,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
                 found = []
                 for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                     words = tokens(text)
-                    hashed = shingle_hashes(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
-                    found += [(doc_id, i, s, n, s / n) for i, s, n in block.value.search(words, hashed)]
+                    found += [(doc_id, i, s, n, s / n) for i, s, n in block.value.search(words, _hashed(words, cache))]
                 out = pd.DataFrame(found, columns=["doc_id", "item_id", "shared", "n_shingles", "containment"])
                 yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
 
@@ -179,6 +186,19 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     return out
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, hashes: int = HASHES, miss: float = MISS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """``docs`` without the rows that contain an item of ``benchmark`` (as ``contained``
+    has it), in the same columns."""
+    for block in item_blocks(benchmark, threshold, hashes, miss, block_items):
+
+        def start(block=block):
+            cache = WordHash()
+            return lambda texts: [not block.value.search(w, _hashed(w, cache)) for w in map(tokens, texts)]
+
+        docs = common.keep_rows(docs, "text", start)
+    return docs
+
+
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items that they contain."""
     return contained(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

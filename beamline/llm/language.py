@@ -36,6 +36,8 @@ LEXICON = 300
 ROUNDS = 60
 SEED = 11
 CACHE = 500_000
+#: Least score of a document that the pipeline keeps.
+MIN_SCORE = 0.5
 #: Words handled at once in forward-backward.
 CHUNK_WORDS = 400_000
 
@@ -214,12 +216,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` added, from ``text`` alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         m = shared.value
         place: dict[str, int] = {}
         table = np.empty((0, len(m.languages) if m else 1))
-        for pdf in batches:
-            texts = [WORD.findall(t.lower()) if t else [] for t in pdf["text"]]
+
+        def compute(column: list) -> list:
+            nonlocal place, table
+            texts = [WORD.findall(t.lower()) if t else [] for t in column]
             lang, score = [UND] * len(texts), [0.0] * len(texts)
             usable = [k for k, w in enumerate(texts) if m and any(any(map(str.isalpha, x)) for x in w)]
             usable.sort(key=lambda k: len(texts[k]))
@@ -239,11 +243,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     mean = posterior.mean(axis=0)
                     best = int(mean.argmax())
                     lang[k], score[k] = m.languages[best], float(min(1.0, mean[best]))
-            pdf["lang_pred"], pdf["score"] = lang, score
-            yield pdf
+            return [lang, score]
+
+        return compute
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(run, f"{schema}, lang_pred string, score double")
+    return common.add_columns(docs, ("text",), "lang_pred string, score double", start)
 
 
 def identify(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
@@ -259,6 +263,13 @@ def identify(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Dat
     return predict(docs, model).withColumn("held_out", F.coalesce(crc_fold("doc_id") == 1, F.lit(False)))
 
 
+def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """``docs`` whose language is told with ``min_score`` or more, in the same columns;
+    texts without a letter are rejected, and so are null texts."""
+    out = predict(docs.drop("lang_pred", "score"), train(sample(docs)))
+    return out.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select(*[c for c in docs.columns])
+
+
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

@@ -9,7 +9,7 @@ and a seeded fractional one for the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,34 +54,63 @@ def ranked_sources(sizes: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
     return placed.select("source", "source_size", weight.alias("weight"))
 
 
+def _slot(part: int, seed: str):
+    """The ``part``-th group of hexadecimal digits of a row's seeded digest."""
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.substring(digest, 1 + part * SLOTS_HEX, SLOTS_HEX)
+
+
+def _before(*keys: str) -> Column:
+    """Words of the slots before this one."""
+    return F.coalesce(F.sum("words").over(W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``size, source_size, target, taken``.
-
-    ``size`` is the number of words of the whole text (null: 0), ``taken`` the
-    words that the mix takes of the row, repeats counted. A source's rows are
-    placed in ``16 ** SLOTS_HEX`` slots by a seeded digest of doc_id; slots
-    below the source's cut are repeated once more, and the rows of the cut slot
-    take the same fraction of their words, so a source's sum meets its target
-    but for rounding. A source of size 0 has target 0. Null doc_ids share one
-    slot; repeated rows are treated alike; an empty table gives no rows. Columns
-    of the input that bear a name of a result are replaced."""
-    slot = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, SLOTS_HEX)
-    rows = docs.drop("size", "source_size", "target", "taken", "slot").withColumn("size", F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")).withColumn("slot", slot)
-    slots = common.cut(rows.groupBy("source", "slot").agg(F.sum("size").alias("words")))
+    """``docs`` with ``size, source_size, target, times, taken``.
+
+    ``size`` is the number of words of the whole text (null: 0), ``times`` how often
+    the mix takes the row, ``taken`` the words that makes. All rows of a source are
+    taken the whole number of times that fits its target. For the fractional
+    repetition a seeded digest of doc_id places them in ``16 ** SLOTS_HEX`` slots;
+    the slots below the cut are taken once more, and the slot of the cut is divided
+    again in the same way, to the nearest slot. So the words of a source meet its
+    target to half a slot of a slot. A source of size 0 has target 0 and is taken 0
+    times. Null doc_ids share one slot; repeated rows are treated alike; an empty
+    table gives no rows. Input columns that bear a name of a result are replaced."""
+    rows = docs.drop("size", "source_size", "target", "times", "taken", "_slot", "_part")
+    rows = rows.withColumns({
+        "size": F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long"),
+        "_slot": _slot(0, seed),
+        "_part": _slot(1, seed),
+    })
+    slots = common.cut(rows.groupBy("source", "_slot").agg(F.sum("size").alias("words")))
     sizes = slots.groupBy("source").agg(F.sum("words").alias("source_size"))
     plan = common.cut(water_fill(common.cut(ranked_sources(sizes, weights)), max_epochs))
-    whole = F.floor(F.col("target") / F.col("source_size"))
-    rest = F.round(F.col("target")).cast("long") - whole * F.col("source_size")
-    below = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    same = slots["source"].eqNullSafe(plan["source"])
-    rates = slots.join(plan, same).select(
-        plan["source"], "source_size", "target", whole.alias("whole"), rest.alias("rest"), "slot", "words"
-    ).withColumn("below", below)
-    share = F.when(F.col("words") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("rest") - F.col("below")) / F.col("words")))).otherwise(F.lit(0.0))
-    rates = common.cut(rates.select("source", "slot", "source_size", "target", F.coalesce("whole", F.lit(0)).alias("whole"), F.coalesce(share, F.lit(0.0)).alias("share")))
-    return rows.join(rates.withColumnsRenamed({"source": "_s", "slot": "_k"}), F.col("source").eqNullSafe(F.col("_s")) & (F.col("slot") == F.col("_k"))).withColumn(
-        "taken", F.col("size") * F.col("whole") + F.floor(F.col("size") * F.col("share"))
-    ).drop("_s", "_k", "slot")
+    plan = plan.select(
+        F.col("source").alias("_s"), "source_size", "target",
+        F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).alias("_whole"),
+    ).withColumn("_rest", F.round("target").cast("long") - F.col("_whole") * F.col("source_size"))
+    rates = slots.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_left", F.col("_rest") - _before("source", "_slot"))
+    rates = common.cut(rates.select(
+        "_s", F.col("_slot").alias("_k"), "source_size", "target", "_whole", "_left",
+        (F.col("_left") >= F.col("words")).alias("_full"), ((F.col("_left") > 0) & (F.col("_left") < F.col("words"))).alias("_cut"),
+    ))
+    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slot") == F.col("_k"))
+    parts = rows.join(rates.where("_cut"), same).groupBy("source", "_part").agg(F.sum("size").alias("words"), F.max("_left").alias("_left"))
+    last = common.cut(parts.withColumn("_before", _before("source", "_part")).where("words > 0").groupBy("source").agg(
+        F.max(F.when(2 * F.col("_before") + F.col("words") <= 2 * F.col("_left"), F.col("_part"))).alias("_last")
+    ).select(F.col("source").alias("_s"), "_last"))
+    rates = rates.join(last.withColumnRenamed("_s", "_s2"), F.col("_s").eqNullSafe(F.col("_s2")), "left").drop("_s2")
+    again = F.col("_full") | (F.col("_cut") & F.coalesce(F.col("_part") <= F.col("_last"), F.lit(False)))
+    times = F.col("_whole") + F.when((F.col("source_size") > 0) & again, 1).otherwise(0)
+    return rows.join(rates, same).withColumn("times", times).withColumn("taken", F.col("size") * F.col("times")).drop(
+        "_s", "_k", "_slot", "_part", "_whole", "_left", "_full", "_cut", "_last"
+    )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, in the same columns."""
+    return mix(docs, **options).where("times > 0").withColumn("_k", F.explode(F.expr("sequence(1L, times)"))).select(*docs.columns)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
@@ -93,7 +122,7 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 with recursive d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    substr(md5('mix' || coalesce(doc_id::varchar, '')), 1, 3) as slot
+    substr(md5('mix' || coalesce(doc_id::varchar, '')), 1, 3) as slot, substr(md5('mix' || coalesce(doc_id::varchar, '')), 4, 3) as part
   from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 k as (select *, [1.0, 2.0, 3.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight,
@@ -106,13 +135,17 @@ lv as (select coalesce(max(case when (total - held) / free * weight <= cap then
     min(case when (total - held) / free * weight <= cap then i end) as first_free from o),
 level as (select ((total - held) / free)::double as level from o, lv where i = first_free),
 p as (select source, source_size, least(cap::double, weight::double * (select level from level))::double as target from o),
-b as (select d.source, d.slot, sum(size)::bigint as words from d group by all),
-r as (select b.source, b.slot, b.words, p.source_size, p.target, floor(p.target / p.source_size)::bigint as whole,
+b as (select source, slot, sum(size)::bigint as words from d group by all),
+r as (select b.source, b.slot, b.words, p.source_size, p.target, coalesce(floor(p.target / nullif(p.source_size, 0)), 0)::bigint as whole, round(p.target)::bigint as goal,
     coalesce(sum(b.words) over (partition by b.source order by b.slot rows between unbounded preceding and 1 preceding), 0)::bigint as below
   from b join p on b.source is not distinct from p.source),
-q as (select *, greatest(0.0::double, least(1.0::double,
-    (round(target)::bigint - whole * source_size - below)::double / words::double)) as share from r)
-select d.doc_id, d.size, q.source_size, q.target,
-  (d.size * coalesce(q.whole, 0) + case when q.words > 0 then floor(d.size::double * q.share) else 0 end)::bigint as taken
-from d join q on d.source is not distinct from q.source and d.slot = q.slot
+q as (select *, goal - whole * source_size - below as remaining from r),
+m as (select d.*, q.source_size, q.target, q.whole, q.words, q.remaining
+  from d join q on d.source is not distinct from q.source and d.slot = q.slot),
+c as (select source, part, sum(size)::bigint as words, max(remaining) as remaining from m where remaining > 0 and remaining < words group by all),
+c2 as (select *, coalesce(sum(words) over (partition by source order by part rows between unbounded preceding and 1 preceding), 0)::bigint as below from c),
+c3 as (select source, max(part) as last from c2 where words > 0 and 2 * below + words <= 2 * remaining group by source)
+select m.doc_id, m.size, m.source_size, m.target, (m.size * (m.whole + case
+    when m.source_size > 0 and (m.remaining >= m.words or (m.remaining > 0 and m.part <= c3.last)) then 1 else 0 end))::bigint as taken
+from m left join c3 on m.source is not distinct from c3.source
 """

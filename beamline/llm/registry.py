@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import contamination, embeddings, language, mixing, pii, quality, simhash, suffixes, tokens, urls
 
 
@@ -17,6 +19,7 @@ def queries() -> dict:
         "op8_tokens": tokens.op8_tokens,
         "op9_pii": pii.op9_pii,
         "op10_quality": quality.op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 

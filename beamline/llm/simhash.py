@@ -16,8 +16,6 @@ hash, and its parts meet in pairs whose counts are within the radius.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -53,14 +51,12 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp long)``: the fingerprint as a signed 64-bit integer."""
+    """``docs`` with ``fp long``: the fingerprint as a signed 64-bit integer."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps})
+    def start():
+        return lambda texts: [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return common.add_columns(docs.drop("fp"), ("text",), "fp long", start).drop("text")
 
 
 def near(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +138,17 @@ def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> D
     return dealt.groupBy("view", "bucket", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
+def classes_of(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``(fp, root, component_id)`` of each distinct value of ``prints(doc_id, fp)``:
+    the smallest linked value, and the smallest doc_id that has one of them."""
+    classes = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    found = common.components(links(classes.select("fp"), radius, tile_rows))
+    linked = common.cut(classes.join(found, classes["fp"] == found["node"]).select("fp", "root", "low"))
+    lows = common.cut(linked.groupBy("root").agg(F.min("low").alias("component")))
+    named = linked.join(lows, "root").select("fp", "root", "component")
+    return common.cut(classes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "low").alias("component_id")))
+
+
 def simhash_components(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fingerprint, component_id``.
 
@@ -149,17 +156,24 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, tile_rows: int = T
     ``doc_id`` keeps its row and takes the component's smallest non-null id
     (null if there is none). Repeated rows keep their count. An empty table
     gives an empty result; further columns are ignored."""
-    prints = common.cut(fingerprints(docs))
-    classes = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    found = common.components(links(classes.select("fp"), radius, tile_rows))
-    linked = classes.join(found, classes["fp"] == found["node"]).select("fp", "root", "low")
-    linked = common.cut(linked)
-    lows = common.cut(linked.groupBy("root").agg(F.min("low").alias("component")))
-    named = linked.join(lows, "root").select("fp", "component")
-    ids = common.cut(classes.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id")))
+    prints = common.cut(fingerprints(docs.select(F.col("doc_id").cast("long"), "text")))
+    ids = classes_of(prints, radius, tile_rows)
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_dedup(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``docs`` with one row of each component, in the same columns.
+
+    The row with the smallest doc_id stays; of repeated doc_ids, and where all are
+    null, one row. ``docs`` are numbered in a written copy, so that the choice
+    holds when a task is repeated."""
+    rows = common.cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    prints = common.cut(fingerprints(rows.select(F.col("doc_id").cast("long"), "_row", "text")))
+    ids = classes_of(prints, radius, tile_rows)
+    first = prints.join(ids, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row"))
+    return rows.join(common.cut(first.select("_row")), "_row", "left_semi").select(*docs.columns)
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_components(common.table(spark, sf_dir, "documents"))

@@ -12,10 +12,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -122,11 +120,12 @@ def url_filter(pages: DataFrame, rules: tuple = RULES, blocked_hosts: tuple = BL
     lengths = sorted({len(p) for _, _, p in rules}, reverse=True)
     name = ship(pages.sparkSession, [f"rule:{h}{p}" for _, h, p in rules] + [f"host:{h}" for h in blocked_hosts])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         array = DigestArray(SparkFiles.get(name))
-        for pdf in batches:
+
+        def judge(hosts: list[str], paths: list[str]) -> list:
             probes, owner, rule_of = [], [], []
-            for i, (host, path) in enumerate(zip(pdf["host"], pdf["path"])):
+            for i, (host, path) in enumerate(zip(hosts, paths)):
                 for s in suffixes(host):
                     probes.append(f"host:{s}")
                     owner.append(i)
@@ -136,18 +135,18 @@ def url_filter(pages: DataFrame, rules: tuple = RULES, blocked_hosts: tuple = BL
                             probes.append(f"rule:{s}{path[:n]}")
                             owner.append(i)
                             rule_of.append(s + path[:n])
-            rule, verdict = [None] * len(pdf), ["allow"] * len(pdf)
+            rule, verdict = [None] * len(hosts), ["allow"] * len(hosts)
             for k in np.nonzero(array.find([p.encode() for p in probes]))[0]:
                 i, found = owner[k], rule_of[k]
                 if found is None:
                     verdict[i] = "block" if rule[i] is None else verdict[i]
                 elif rule[i] is None or len(found) > len(rule[i]):
                     rule[i], verdict[i] = found, verdicts[found]
-            pdf["rule"], pdf["verdict"] = rule, verdict
-            yield pdf
+            return [rule, verdict]
+
+        return judge
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    return pages.mapInPandas(run, f"{schema}, rule string, verdict string")
+    return common.add_columns(pages, ("host", "path"), "rule string, verdict string", start)
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
