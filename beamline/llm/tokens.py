@@ -22,6 +22,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ ROUNDS = 4
 ROUND_RULES = 8_000
 MIN_COUNT = 128
 #: Cached pieces of text per worker; a text with a longer piece is encoded whole.
-CACHE = 600_000
+CACHE = 700_000
 LONG_PIECE = 1000
 
 
@@ -64,6 +65,18 @@ def _odd_characters() -> re.Pattern:
     return re.compile("[\x1c-\x1f" + "".join(map(re.escape, odd)) + "\U00010000-\U0010ffff]")
 
 
+class Numbers(dict):
+    """Piece -> number in order of first use; ``new`` has those not encoded yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     """Whole-text encoding by the tokenizers library, through a cache of pieces.
 
@@ -91,7 +104,7 @@ class Encoder:
 
     def reset(self) -> None:
         """An empty cache: piece -> number, and the ids of the numbered pieces."""
-        self.place: dict[str, int] = {}
+        self.place = Numbers()
         self.sizes, self.flat = array("H"), array(self.code)
 
     def library(self, text: str) -> list[int]:
@@ -101,36 +114,41 @@ class Encoder:
         """Pieces of a text; none where it has to be encoded whole."""
         if self.odd.search(text) or any(s in text for s in self.special):
             return []
-        return (self.CHUNK if "'" in text else self.PIECE).findall(text)
+        own = (self.CHUNK if "'" in text else self.PIECE).findall(text)
+        return own if own and max(map(len, own)) <= LONG_PIECE else []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         if len(self.place) > CACHE:
             self.reset()
-        place, split = self.place, [self.pieces(t) for t in texts]
-        new = list(set().union(*split).difference(place))
-        long = {p for p in new if len(p) > LONG_PIECE}
-        split = [[] if long and not long.isdisjoint(own) else own for own in split]
-        new = [p for p in new if p not in long]
-        place.update(zip(new, range(len(place), len(place) + len(new))))
-        for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False):
+        number, split = self.place.__getitem__, []
+        for text in texts:
+            own = self.pieces(text)
+            split.append(np.fromiter(map(number, own), np.int32, len(own)))
+        for e in self.tokenizer.encode_batch_fast(self.place.new, add_special_tokens=False):
             ids = e.ids
             self.sizes.append(len(ids))
             self.flat.extend(ids)
+        self.place.new = []
         sizes, flat = np.array(self.sizes, np.int64), np.array(self.flat, self.dtype)
         starts = np.cumsum(sizes) - sizes
         out = []
-        for text, own in zip(texts, split):
-            if not own:
+        for text, at in zip(texts, split):
+            if not len(at):
                 out.append(np.array(self.library(text) if text else [], self.dtype))
                 continue
-            at = np.fromiter(map(place.__getitem__, own), np.int32, len(own))
             n = sizes[at]
             ends = np.cumsum(n)
             out.append(flat[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1])])
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; its cache outlives a task."""
+    return Encoder(path)
+
+
 # --- grammar ------------------------------------------------------------------
 
 
@@ -270,8 +288,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, shard, first = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
-        base = max(encoder.vocabulary, END_ID + 1)
+        words, part, shard, first = encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        base = max(words.vocabulary, END_ID + 1)
         ids, docs, held = [], [], 0
         end = np.array([END_ID], np.uint32)
 
@@ -281,7 +299,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
         for pdf in batches:
             texts, names = pdf["text"].tolist(), [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
             for at in range(0, len(texts), 2000):
-                for doc_id, own in zip(names[at : at + 2000], encoder.encode(texts[at : at + 2000])):
+                for doc_id, own in zip(names[at : at + 2000], words.encode(texts[at : at + 2000])):
                     ids.append(doc_id)
                     docs.append(np.append(own, end).astype(own.dtype))
                     held += len(own) + 1
