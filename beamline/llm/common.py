@@ -42,6 +42,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written to the scratch folder in buckets of ``key``, one file each, so
+    that grouping by ``key`` reads it without another shuffle."""
+    spark, name = df.sparkSession, f"beamline_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key)
+    writer.option("path", scratch_dir(spark)).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # forgets the name; the files stay
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -185,6 +185,25 @@ def _core(words: np.ndarray, at, k: int) -> np.ndarray:
     return _mix(take(0) * _ODD[k] + take(8) * _ODD[k + 1] + take(16) * _ODD[k + 2] + take(17) * _ODD[k + 3], k + 4)
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    """The 48 bits of a key by which the first exchange tells keys of a bucket apart."""
+    return keys >> np.uint64(16)
+
+
+def _pack_sorted(a: np.ndarray) -> bytes:
+    """Ascending integers as steps of five bytes, or eight where five do not do."""
+    steps = np.diff(a, prepend=np.uint64(0)).astype("<u8")
+    wide = bool(len(steps) and steps.max() >> np.uint64(40))
+    return bytes([8 if wide else 5]) + steps.view(np.uint8).reshape(-1, 8)[:, : 8 if wide else 5].tobytes()
+
+
+def _unpack_sorted(b: bytes) -> np.ndarray:
+    steps = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
+    wide = np.zeros((len(steps), 8), np.uint8)
+    wide[:, : b[0]] = steps
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
 class Block:
     """Whole texts of a block: bytes, ends and order ids of the documents."""
 
@@ -286,7 +305,7 @@ ANSWER = "block long, kind int, keys binary, hashes binary, smallest binary"
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 3)
 
 
 def _unpack(b: bytes, dtype) -> np.ndarray:
@@ -309,7 +328,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             known = np.array([i is not None for i in ids], np.uint8)
             order = np.array([_TOP if i is None else i for i in ids], np.int64)
             at = Block(data, ends, order).anchors()
-            row = [number, len(data), len(ids), zstandard.compress(data, 1), _pack(ends), _pack(order), _pack(known), _pack(np.diff(at, prepend=0).astype(np.uint32))]
+            row = [number, len(data), len(ids), zstandard.compress(data, 3), _pack(ends), _pack(order), _pack(known), _pack(np.diff(at, prepend=0).astype(np.uint32))]
             return pd.DataFrame([row], columns=["block", "n_bytes", "n_docs", "texts", "ends", "ids", "known", "anchors"])
 
         for pdf in batches:
@@ -327,8 +346,8 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return rows.mapInPandas(run, BLOCKS)
 
 
-def _parcels(block: int, buckets: int, keys: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
-    """One row a bucket of what a block sends; ``keys`` ascend within a bucket."""
+def _parcels(block: int, buckets: int, keys: np.ndarray, short: bool = False, **columns: np.ndarray) -> pd.DataFrame:
+    """One row a bucket of what a block sends; ``keys`` ascend."""
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
@@ -336,7 +355,8 @@ def _parcels(block: int, buckets: int, keys: np.ndarray, **columns: np.ndarray)
     rows = []
     for a, b in zip(first, np.append(first[1:], len(bucket))):
         own = order[a:b]
-        rows.append({"bucket": bucket[a], "block": block, "n": b - a, "keys": keys[own].tobytes(), **{k: v[own].tobytes() for k, v in columns.items()}})
+        sent = _pack_sorted(_short(keys[own])) if short else keys[own].tobytes()
+        rows.append({"bucket": bucket[a], "block": block, "n": b - a, "keys": sent, **{k: _pack(v[own]) for k, v in columns.items()}})
     return pd.DataFrame(rows, columns=["bucket", "block", "n", "keys", "counts", "contexts", "lo", "hi", "low"])
 
 
@@ -348,7 +368,7 @@ def send_keys(table: DataFrame, buckets: int) -> DataFrame:
             for row in pdf.itertuples():
                 block, at = _open(row)
                 keys, doc = block.keys(at), block.doc(at)
-                order = np.lexsort((doc, keys))
+                order = np.lexsort((block.ids[doc], keys))
                 keys, ids = keys[order], block.ids[doc[order]]
                 new = np.ones(len(keys), bool)
                 new[1:] = keys[1:] != keys[:-1]
@@ -356,7 +376,7 @@ def send_keys(table: DataFrame, buckets: int) -> DataFrame:
                 other[1:] |= ids[1:] != ids[:-1]
                 first = np.nonzero(new)[0]
                 counts = np.minimum(np.add.reduceat(other, first, dtype=np.int64), 255).astype(np.uint8) if len(first) else np.empty(0, np.uint8)
-                yield _parcels(row.block, buckets, keys[first], counts=counts)
+                yield _parcels(row.block, buckets, keys[first], short=True, counts=counts)
 
     return table.select("block", "texts", "ends", "ids", "anchors").mapInPandas(run, PARCEL)
 
@@ -365,8 +385,8 @@ def shared_keys(parcels: DataFrame, heavy: int) -> DataFrame:
     """For each block those of its keys that another document has, too; kind 1: heavy."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
-        keys, counts = np.concatenate(own), np.frombuffer(b"".join(pdf["counts"]), np.uint8).astype(np.int64)
+        own = [_unpack_sorted(k) for k in pdf["keys"]]
+        keys, counts = np.concatenate(own), np.concatenate([_unpack(c, np.uint8) for c in pdf["counts"]]).astype(np.int64)
         found, place = np.unique(keys, return_inverse=True)
         total = np.bincount(place, counts, len(found))
         rows, at = [], 0
@@ -375,30 +395,29 @@ def shared_keys(parcels: DataFrame, heavy: int) -> DataFrame:
             at += len(k)
             for kind, mine in ((0, (n > 1) & (n < heavy)), (1, (n > 1) & (n >= heavy))):
                 if mine.any():
-                    rows.append((block, kind, k[mine].tobytes(), None, None))
+                    rows.append((block, kind, _pack_sorted(k[mine]), None, None))
         return pd.DataFrame(rows, columns=["block", "kind", "keys", "hashes", "smallest"])
 
     return parcels.groupBy("bucket").applyInPandas(run, ANSWER)
 
 
 def _keys_of(answers: pd.DataFrame, kind: int) -> np.ndarray:
-    return np.sort(np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(k, np.uint64) for k in answers.loc[answers["kind"] == kind, "keys"]]]))
+    return np.sort(np.concatenate([np.empty(0, np.uint64), *[_unpack_sorted(k) for k in answers.loc[answers["kind"] == kind, "keys"]]]))
 
 
 def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(some, keys), max(0, len(some) - 1))
-    return some[at] == keys if len(some) else np.zeros(len(keys), bool)
+    short = _short(keys)
+    at = np.minimum(np.searchsorted(some, short), max(0, len(some) - 1))
+    return some[at] == short if len(some) else np.zeros(len(keys), bool)
 
 
-def _sent(block: Block, at: np.ndarray, heavy: np.ndarray, alone: bool):
-    """Keys, contexts, places and documents that a block asks about. With ``alone``
-    those of heavy keys, string by string; else those of the other keys. ``origin``
-    is where a context begins in the block."""
-    keys = block.keys(at)
-    mine = _among(keys, heavy)
+def _sent(block: Block, at: np.ndarray, alone: bool):
+    """What a block asks about the anchors ``at``: keys, contexts, first and last place,
+    document, and where the context begins in the block. With ``alone`` each 50-byte
+    string of the contexts is asked about by itself."""
     contexts, lo, hi = block.contexts(at)
     if not alone:
-        return keys, contexts, lo, hi, block.doc(at), at - SPAN
+        return block.keys(at), contexts, lo, hi, block.doc(at), at - SPAN
     row, place, strings = strings_of(contexts, lo, hi)
     none = np.zeros(len(row), np.uint8)
     return string_keys(strings), strings, none, none, block.doc(at[row]), at[row] - SPAN + place
@@ -417,7 +436,7 @@ def send_contexts(table: DataFrame, shared: DataFrame, buckets: int) -> DataFram
                 mine = at[_among(keys, some)]
                 if not len(mine):
                     continue
-                k, contexts, lo, hi, doc, _ = _sent(block, mine, some, kind == 1)
+                k, contexts, lo, hi, doc, _ = _sent(block, mine, kind == 1)
                 h, low = context_hash(contexts, lo, hi), block.ids[doc]
                 order = np.lexsort((low, h, k))
                 k, h = k[order], h[order]
@@ -434,8 +453,9 @@ def answer(parcels: DataFrame, slice_rows: int) -> DataFrame:
     """The smallest id of every 50-byte string of the contexts, for each block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        join = lambda name, dtype: np.frombuffer(b"".join(pdf[name]), dtype)
-        keys, lo, hi, low = join("keys", np.uint64), join("lo", np.uint8), join("hi", np.uint8), join("low", np.int64)
+        join = lambda name, dtype: np.concatenate([_unpack(x, dtype) for x in pdf[name]])
+        keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
+        lo, hi, low = join("lo", np.uint8), join("hi", np.uint8), join("low", np.int64)
         contexts = join("contexts", np.uint8).reshape(-1, CONTEXT)
         h = context_hash(contexts, lo, hi)
         order = np.lexsort((low, h, keys))
@@ -489,7 +509,7 @@ def _removed(block: Block, at: np.ndarray, answers: pd.DataFrame) -> np.ndarray:
             mine = at[_among(keys, some)]
             if not len(mine):
                 continue
-            own, contexts, lo, hi, doc, origin = _sent(block, mine, some, kind == 1)
+            own, contexts, lo, hi, doc, origin = _sent(block, mine, kind == 1)
             hashes = context_hash(contexts, lo, hi)
             wanted = own * _ODD[13] + hashes
             place = np.minimum(np.searchsorted(joint, wanted), len(joint) - 1)
@@ -534,7 +554,7 @@ def repeated_bytes(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes
     doc_ids never remove from each other; a null doc_id ranks above all others and
     keeps its row. An empty table gives no rows; further columns are ignored."""
     spark = docs.sparkSession
-    table = common.cut(blocks(docs, block_bytes))
+    table = common.cut_by(blocks(docs, block_bytes), "block")
     total = table.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     shared = common.cut(shared_keys(send_keys(table, buckets), heavy))
