@@ -1,6 +1,679 @@
-"""Queries of the stream-analytics operators and their DuckDB counterparts."""
+"""Queries of the stream-analytics operators and their DuckDB counterparts.
+
+Each query applies operators to a whole derived relation (see ``relations``)."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import scalars as X
+from ..operators import continuity, folds, guide, health, hls, logs, quality, sessions, timing
+from ..sources import transport
+from . import relations as R
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Fixed times of the queries, in epoch seconds.
+NOW, GUIDE_NOW = 1_706_000_000, 852_076_800
+
+
+def query(sql: str | None = None):
+    """Register the function under its name, with its DuckDB form."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- packets ------------------------------------------------------------------------
+
+STATUS = """,
+seen as (select *, lag(cc) over w as b, lag(has_payload) over w as bp from packets where not tei and afc <> 0
+  window w as (partition by stream_id, pid order by seq)),
+st as (select *, case when discontinuity then 'Discontinuity' when b is null then 'InOrder' when has_payload and bp and cc = b then 'Duplicate'
+  when has_payload and cc <> (b + 1) % 16 then 'Gap' when not has_payload and cc <> b then 'Gap' else 'InOrder' end as status from seen)
+"""
+
+
+@query(R.oracle(STATUS + "select stream_id, pid, status, count(*) as n from st group by all", "packets"))
+def w1_continuity_status(spark, sf_dir: str) -> DataFrame:
+    """W1, A1, F1"""
+    return continuity.status_counts(R.packets(spark, sf_dir))
+
+
+@query(R.oracle(STATUS + """, c as (select stream_id, count(*) filter (where status in ('Gap', 'Duplicate')) as continuity from st group by 1),
+b as (select stream_id, count(*) filter (where tei) as transport, count(*) filter (where not tei and afc = 0) as invalid from packets group by 1)
+select stream_id, transport, invalid, continuity, continuity + transport + invalid as errors from b join c using (stream_id)""", "packets"))
+def a1_stream_errors(spark, sf_dir: str) -> DataFrame:
+    """A1"""
+    return continuity.stream_errors(R.packets(spark, sf_dir))
+
+
+STAGE = """,
+e as (select *, sum(case when discontinuity or afc = 0 then 1 else 0 end) over (partition by stream_id, pid order by seq rows unbounded preceding) as epoch from packets where not tei),
+l as (select *, last_value(case when has_payload then {'cc': cc, 'h': payload_hash} end ignore nulls) over (partition by stream_id, pid, epoch order by seq rows between unbounded preceding and 1 preceding) as last from e),
+d as (select *, coalesce(last is not null and afc <> 0 and not discontinuity and has_payload and cc = last.cc and payload_hash = last.h, false) as twin from l),
+g as (select *, coalesce(last is not null and afc <> 0 and not discontinuity and not twin and not (case when has_payload then cc = (last.cc + 1) % 16 else cc = last.cc end), false) as bad from d),
+k as (select stream_id, pid, count(*) as packets, count(*) filter (where bad) as cc_errors, count(*) filter (where twin) as exact_duplicates, count(*) filter (where afc = 2) as adaptation_only,
+  count(*) filter (where discontinuity) as discontinuities, count(*) filter (where afc = 0) as bad_afc from g group by 1, 2),
+t as (select stream_id, pid, count(*) as tei from packets where tei group by 1, 2),
+counters as (select k.*, coalesce(t.tei, 0) as tei from k left join t using (stream_id, pid))
+"""
+
+
+@query(R.oracle(STAGE + "select * from counters", "packets"))
+def w2_stage_counters(spark, sf_dir: str) -> DataFrame:
+    """W2, A2"""
+    return continuity.stage_counters(R.packets(spark, sf_dir))
+
+
+@query(R.oracle(STAGE + """select * from (select *, cast(row_number() over (partition by stream_id order by cc_errors desc, pid) as int) as rank from counters where cc_errors > 0) where rank <= 8""", "packets"))
+def o2_top_pids(spark, sf_dir: str) -> DataFrame:
+    """A5, O2"""
+    return continuity.top_pids(continuity.stage_counters(R.packets(spark, sf_dir)))
+
+
+@query(R.oracle(""",
+e as (select *, afc <> 0 as good, discontinuity and afc <> 0 as reset from packets),
+f as (select *, sum(case when tei or not good or reset then 1 else 0 end) over w as ce, sum(case when reset then 1 else 0 end) over w as pe,
+  last_value(case when good and scrambling >= 2 then scrambling end ignore nulls) over (partition by stream_id, pid order by seq rows between unbounded preceding and 1 preceding) as parity
+  from e window w as (partition by stream_id, pid order by seq rows unbounded preceding)),
+g as (select *, last_value(case when has_payload then cc end ignore nulls) over (partition by stream_id, pid, ce order by seq rows between unbounded preceding and 1 preceding) as lc,
+  last_value(case when good then pcr27 end ignore nulls) over (partition by stream_id, pid, pe order by seq rows between unbounded preceding and 1 preceding) as lp from f),
+h as (select *, ((pcr27 - lp) % 2576980377600 + 2576980377600) % 2576980377600 as fwd from g)
+select stream_id, pid, count(*) as packets, count(*) filter (where tei) as tei, count(*) filter (where not good) as bad_afc, count(*) filter (where reset) as discontinuities,
+  count(*) filter (where has_payload and cc = lc) as cc_repeats, count(*) filter (where has_payload and cc <> lc and cc <> (lc + 1) % 16) as cc_gaps,
+  count(*) filter (where good and fwd >= 1288490188800) as pcr_backwards, count(*) filter (where good and fwd < 1288490188800 and fwd > 27000000) as pcr_jumps,
+  count(*) filter (where good and scrambling >= 2) as scrambled, count(*) filter (where good and scrambling >= 2 and scrambling <> parity) as parity_changes
+from h group by 1, 2""", "packets"))
+def w3_integrity_counters(spark, sf_dir: str) -> DataFrame:
+    """W3, A3, P2, X13"""
+    return continuity.integrity_counters(R.packets(spark, sf_dir))
+
+
+@query(R.oracle(""",
+p as (select *, ((pts - lag(pts) over (partition by stream_id, pid order by seq)) % 8589934592 + 8589934592) % 8589934592 as fwd from packets where not tei and pts is not null),
+pg as (select stream_id, pid, count(*) as timestamps, count(*) filter (where fwd > 4294967296) as pts_backward, count(*) filter (where fwd <= 4294967296 and fwd * 1000 // 90000 > 200) as pts_gaps,
+  max(case when fwd <= 4294967296 then fwd * 1000 // 90000 end) as pts_gap_max_ms from p group by 1, 2),
+a as (select *, arrival_ms - lag(arrival_ms) over (partition by stream_id, pid order by seq) as wall from packets where not tei and afc <> 0),
+s as (select stream_id, pid, count(*) as packets, count(*) filter (where scrambling = 0) as clear, count(*) filter (where scrambling = 2) as even, count(*) filter (where scrambling = 3) as odd,
+  count(*) filter (where pusi and has_payload and scrambling = 0) as pes_starts, count(*) filter (where wall > 200) as wall_gaps, max(wall) as wall_gap_max_ms from a group by 1, 2)
+select s.*, coalesce(timestamps, 0) as timestamps, coalesce(pts_backward, 0) as pts_backward, coalesce(pts_gaps, 0) as pts_gaps, pts_gap_max_ms from s left join pg using (stream_id, pid)""", "packets"))
+def a4_track_counters(spark, sf_dir: str) -> DataFrame:
+    """A4, W4, W5, F5"""
+    return continuity.track_counters(R.packets(spark, sf_dir))
+
+
+@query(R.oracle(STATUS + "select stream_id, arrival_ms // 3600000 * 3600 as slot_s, count(*) as packets, count(*) filter (where status = 'Gap') as gaps from st group by 1, 2", "packets"))
+def t7_fixed_reports(spark, sf_dir: str) -> DataFrame:
+    """T7"""
+    return continuity.fixed_reports(R.packets(spark, sf_dir))
+
+
+@query(R.oracle("""select stream_id, pid, count(*) as n from packets where (stream_id, pid) in (select stream_id, pid from packets where pusi and scrambling = 3) group by 1, 2""", "packets"))
+def f2_admitted(spark, sf_dir: str) -> DataFrame:
+    """F2, J2"""
+    p = R.packets(spark, sf_dir)
+    return continuity.admitted(p, p.where("pusi and scrambling = 3")).groupBy("stream_id", "pid").agg(F.count("*").alias("n"))
+
+
+@query(R.oracle("select stream_id, pid, count(*) as n from packets where pusi and has_payload and not tei and scrambling = 0 group by 1, 2", "packets"))
+def f5_playable_starts(spark, sf_dir: str) -> DataFrame:
+    """F5"""
+    return health.playable_start(R.packets(spark, sf_dir)).groupBy("stream_id", "pid").agg(F.count("*").alias("n"))
+
+
+@query(R.oracle(""", c as (select stream_id, coalesce(pts <> lag(pts) over (partition by stream_id order by seq), true) as c from packets where pts is not null),
+d as (select stream_id, count(*) filter (where c) as pts_changes from c group by 1)
+select stream_id, count(*) filter (where has_payload) as media_packets, count(*) filter (where pusi and has_payload) as pes_starts, any_value(pts_changes) as pts_changes from packets left join d using (stream_id) group by 1""", "packets"))
+def t14_progress(spark, sf_dir: str) -> DataFrame:
+    """T14"""
+    return timing.progress(R.packets(spark, sf_dir))
+
+
+def packet_bytes(packets: DataFrame) -> DataFrame:
+    """The 188 bytes that the header columns describe."""
+    flags = "lpad(hex(case when discontinuity then 128 else 0 end + case when pcr27 is not null then 16 else 0 end), 2, '0')"
+    clock = "lpad(hex(shiftleft(coalesce(pcr27, 0) div 300, 15) + 32256 + coalesce(pcr27, 0) % 300), 12, '0')"
+    field = f"case afc when 2 then concat('B7', {flags}, {clock}, repeat('FF', 176)) when 3 then concat('07', {flags}, {clock}, repeat('AA', 176)) else repeat('AA', 184) end"
+    head = "concat('47', lpad(hex(case when tei then 32768 else 0 end + case when pusi then 16384 else 0 end + pid), 4, '0'), lpad(hex(scrambling * 64 + afc * 16 + cc), 2, '0'))"
+    return packets.select("stream_id", "seq", F.expr(f"unhex(concat({head}, {field}))").alias("pkt"))
+
+
+@query(R.oracle("""select stream_id, seq, afc <> 0 as valid, tei, pusi, pid, scrambling, afc, cc, has_payload, discontinuity and afc >= 2 as discontinuity,
+  case when afc >= 2 then pcr27 end as pcr27, case when afc >= 2 then pcr27 // 300 end as pcr_base from packets""", "packets"))
+def p1_packet_headers(spark, sf_dir: str) -> DataFrame:
+    """Headers decoded from bytes."""
+    parsed = transport.parse_headers(packet_bytes(R.packets(spark, sf_dir)))
+    return parsed.select("stream_id", "seq", "valid", "tei", "pusi", "pid", "scrambling", "afc", "cc", "has_payload", "discontinuity", "pcr27", "pcr_base")
+
+
+@query(R.oracle("""select stream_id, seq, pid + 1000 as pid, cc from packets where pid % 4 = 1""", "packets"))
+def p15_remapped(spark, sf_dir: str) -> DataFrame:
+    """Packets under new pids, decoded again."""
+    p = R.packets(spark, sf_dir)
+    rows = packet_bytes(p).join(p.select("stream_id", "seq", "pid"), ["stream_id", "seq"])
+    pids = spark.range(256, 288).select(F.col("id").cast("int").alias("pid")).where("pid % 4 = 1").select(F.expr("cast(pid % 4 as bigint)").alias("stream_id"), "pid", (F.col("pid") + 1000).alias("new_pid"))
+    return transport.parse_headers(transport.remap(rows, pids).drop("pid")).select("stream_id", "seq", "pid", "cc")
+
+
+# --- counters and clocks ----------------------------------------------------------------
+
+DELTA = """,
+q as (select *, lag(cc_total) over (partition by stream_id order by ts, sample_id) as b from quality),
+classified as (select * exclude (b), case when b is null then cc_total when cc_total >= b then cc_total - b else cc_total end as cc from q)
+"""
+LEVEL = DELTA + """,
+levels as (select *, case when not active then 'offline' when regexp_matches(lower(status), 'error|failed|ended') then 'error' when in_kbps = 0 then 'warn' when cc > 0 then 'error'
+  when target_kbps > 0 and abs(out_kbps - target_kbps) / target_kbps > 0.2 then 'warn' else 'ok' end as level from classified)
+"""
+
+
+@query(R.oracle(LEVEL + "select stream_id, level, count(*) as n, sum(cc)::bigint as cc from levels group by 1, 2", "quality"))
+def a6_quality_summary(spark, sf_dir: str) -> DataFrame:
+    """W6, X14, A6"""
+    return quality.summary(quality.classified(R.quality(spark, sf_dir)))
+
+
+@query(R.oracle(LEVEL + f""", p as (select stream_id, max(ts) as ts, arg_max(in_kbps, (ts, sample_id)) as in_kbps, arg_max(out_kbps, (ts, sample_id)) as out_kbps, arg_max(level, (ts, sample_id)) as level,
+  coalesce(sum(case when ts >= {NOW} - 300 then cc end), 0)::bigint as cc from levels where ts <= {NOW} group by 1)
+select stream_id, ts, in_kbps, out_kbps, case when cc > 0 then 'error' else level end as level, cc from p""", "quality"))
+def a7_persisted_points(spark, sf_dir: str) -> DataFrame:
+    """A7"""
+    return quality.persisted_point(quality.classified(R.quality(spark, sf_dir)), NOW)
+
+
+@query(R.oracle("select stream_id, sample_id, ts from (select *, row_number() over (partition by stream_id order by ts desc, sample_id desc) as r from quality) where r <= 240", "quality"))
+def t2_ring(spark, sf_dir: str) -> DataFrame:
+    """T2"""
+    return quality.ring(R.quality(spark, sf_dir)).select("stream_id", "sample_id", "ts")
+
+
+@query(R.oracle(f"select stream_id, count(*) as n, min(ts) as first, max(ts) as last from quality where ts between {NOW} - 86400 and {NOW} + 300 group by 1", "quality"))
+def t5_period(spark, sf_dir: str) -> DataFrame:
+    """T3, T5"""
+    return quality.period(R.quality(spark, sf_dir), NOW, 86_400).groupBy("stream_id").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@query(R.oracle(""", disk as (select * from quality where sample_id % 3 <> 0), memory as (select stream_id, ts - ts % 60 as ts, sample_id, active from quality where sample_id % 2 = 0),
+u as (select stream_id, ts - ts % 60 as ts, sample_id, active, 1 as k from disk union all select *, 0 from memory)
+select stream_id, ts, sample_id, active from (select *, row_number() over (partition by stream_id, ts order by k, sample_id desc) as r from u) where r = 1""", "quality"))
+def u2_merged_samples(spark, sf_dir: str) -> DataFrame:
+    """U2"""
+    q = R.quality(spark, sf_dir).select("stream_id", F.expr("ts - ts % 60").alias("ts"), "sample_id", "active")
+    return quality.merged(q.where("sample_id % 3 <> 0"), q.where("sample_id % 2 = 0"))
+
+
+@query(R.oracle(DELTA + "select stream_id, sample_id, cast(sum(cc) over w * 8 // count(*) over w as bigint) as rate from classified window w as (partition by stream_id order by ts, sample_id rows between 4 preceding and current row)", "quality"))
+def w7_moving_rate(spark, sf_dir: str) -> DataFrame:
+    """W7"""
+    return timing.moving_rate(timing.with_deltas(R.quality(spark, sf_dir)), "delta").select("stream_id", "sample_id", "rate")
+
+
+@query(R.oracle(""", b as (select *, sum(out_kbps) over (partition by stream_id order by ts, sample_id rows unbounded preceding) * 125 as total from quality),
+d as (select stream_id, sample_id, greatest(0, total - lag(total) over w) as grown, ts - lag(ts) over w as s from b window w as (partition by stream_id order by ts, sample_id))
+select stream_id, sample_id, case when s > 0 then round(grown * 8::double / s / 1e6, 9) end as mbps from d""", "quality"))
+def w8_interface_rate(spark, sf_dir: str) -> DataFrame:
+    """W8"""
+    own = W.partitionBy("stream_id").orderBy("ts", "sample_id").rowsBetween(W.unboundedPreceding, 0)
+    q = R.quality(spark, sf_dir).withColumn("bytes_total", F.sum("out_kbps").over(own) * 125)
+    return timing.interface_rate(q).select("stream_id", "sample_id", F.round("mbps", 9).alias("mbps"))
+
+
+@query(R.oracle(""", g as (select *, coalesce(cc_total > lag(cc_total) over (partition by stream_id order by ts, sample_id), true) as grew from quality)
+select stream_id, sample_id, ts - last_value(case when grew then ts end ignore nulls) over (partition by stream_id order by ts, sample_id rows unbounded preceding) as silence_s from g""", "quality"))
+def w9_silence(spark, sf_dir: str) -> DataFrame:
+    """W9"""
+    return timing.silence(R.quality(spark, sf_dir), "cc_total").select("stream_id", "sample_id", "silence_s")
+
+
+@query(R.oracle(""", i as (select stream_id, seq as idx, pcr27 from packets),
+a as (select *, row_number() over (partition by stream_id order by idx) as k, count(*) over (partition by stream_id) as m from i where pcr27 is not null),
+w as (select i.*, coalesce((select max(k) from a where a.stream_id = i.stream_id and a.idx <= i.idx), 1) as k0 from i),
+x as (select w.stream_id, w.idx, w.pcr27, least(k0, (select max(m) from a where a.stream_id = w.stream_id) - 1) as kl from w)
+select x.stream_id, x.idx, coalesce(x.pcr27, p.pcr27 + cast(trunc(((q.pcr27 - p.pcr27)::hugeint * (x.idx - p.idx))::hugeint // (q.idx - p.idx)) as bigint)) as clock27
+from x join a p on p.stream_id = x.stream_id and p.k = x.kl join a q on q.stream_id = x.stream_id and q.k = x.kl + 1""", "packets"))
+def j12_interpolated_clock(spark, sf_dir: str) -> DataFrame:
+    """J12"""
+    p = R.packets(spark, sf_dir).select("stream_id", F.col("seq").alias("idx"), "pcr27")
+    return timing.interpolate(p).select("stream_id", "idx", "clock27")
+
+
+@query(R.oracle(""", s as (select stream_id, sequence % 3 as loop, sequence as idx, wall_ts * 90 as pts from segments),
+f as (select stream_id, loop, min(pts) as a, max(pts) - min(pts) as span from s group by 1, 2),
+o as (select *, coalesce(sum(span + 3600) over (partition by stream_id order by loop rows between unbounded preceding and 1 preceding), 0)::bigint as off from f)
+select stream_id, loop, idx, pts - a + off as out_pts from s join o using (stream_id, loop)""", "segments"))
+def t28_loop_clock(spark, sf_dir: str) -> DataFrame:
+    """T28, S3"""
+    s = R.segments(spark, sf_dir).select("stream_id", (F.col("sequence") % 3).alias("loop"), F.col("sequence").alias("idx"), (F.col("wall_ts") * 90).alias("pts"))
+    return timing.loop_clock(s).select("stream_id", "loop", "idx", "out_pts")
+
+
+# --- sessions and routing ---------------------------------------------------------------
+
+TTL = 7200
+SESSIONS = f""",
+n as (select *, case when coalesce(ts - lag(ts) over w > {TTL}, true) then 1 else 0 end as f from viewers window w as (partition by ip, stream_id, protocol order by ts, request_id)),
+m as (select *, sum(f) over (partition by ip, stream_id, protocol order by ts, request_id rows unbounded preceding) as session from n),
+found as (select ip, stream_id, protocol, session::bigint as session, min(ts) as start, max(ts) as last, count(*) as requests from m group by 1, 2, 3, 4)
+"""
+SUBS = ", subs as (select 'c' || c_custkey as name, '10.0.' || (c_custkey % 7) || '.' || (c_custkey % 20) as primary_ip, case when c_custkey % 3 = 0 then '10.0.1.' || (c_custkey % 20) else '' end as backup_ip, c_custkey % 4 <> 0 as enabled, ['s' || (c_custkey % 12), 's' || (c_custkey % 5)] as stream_ids from customer), pairs as (select distinct name, ip, unnest(stream_ids) as stream_id from (select name, unnest([primary_ip, backup_ip]) as ip, stream_ids from subs where enabled) where ip <> '')"
+
+
+def subscribers(spark, sf_dir: str) -> DataFrame:
+    return R.table(spark, sf_dir, "customer").select(
+        F.expr("concat('c', c_custkey)").alias("name"), F.expr("concat('10.0.', c_custkey % 7, '.', c_custkey % 20)").alias("primary_ip"),
+        F.expr("case when c_custkey % 3 = 0 then concat('10.0.1.', c_custkey % 20) else '' end").alias("backup_ip"), F.expr("c_custkey % 4 <> 0").alias("enabled"),
+        F.expr("array(concat('s', c_custkey % 12), concat('s', c_custkey % 5))").alias("stream_ids"),
+    )
+
+
+def blocked(spark, sf_dir: str) -> DataFrame:
+    return R.table(spark, sf_dir, "supplier").select(F.expr("concat('10.0.', s_suppkey % 7, '.', s_suppkey % 10)").alias("ip"))
+
+
+BLOCKED = ", blocked as (select distinct '10.0.' || (s_suppkey % 7) || '.' || (s_suppkey % 10) as ip from supplier)"
+
+
+@query(R.oracle(SESSIONS + "select * from found", "viewers"))
+def t8_sessions(spark, sf_dir: str) -> DataFrame:
+    """T8"""
+    return sessions.sessions(R.viewers(spark, sf_dir), TTL)
+
+
+@query(R.oracle(SESSIONS + f", act as (select * from found where start <= {NOW} and last >= {NOW} - 86400) select ip, stream_id, protocol, sum(requests)::bigint as connections, max({NOW} - start) as max_age_s from act group by 1, 2, 3", "viewers"))
+def a8_session_groups(spark, sf_dir: str) -> DataFrame:
+    """A8, T17"""
+    return sessions.grouped(sessions.active(sessions.sessions(R.viewers(spark, sf_dir), TTL), NOW, 86_400), NOW)
+
+
+@query(R.oracle(SESSIONS + "select stream_id, count(distinct ip) as viewers from found group by 1", "viewers"))
+def a9_viewers(spark, sf_dir: str) -> DataFrame:
+    """A9"""
+    return sessions.viewers(sessions.sessions(R.viewers(spark, sf_dir), TTL))
+
+
+@query(R.oracle(SUBS + BLOCKED + "select request_id, ip, stream_id from viewers v where ip not in (select ip from blocked) and exists (select 1 from pairs p where p.ip = v.ip and p.stream_id = v.stream_id)", "viewers"))
+def j3_allowed_requests(spark, sf_dir: str) -> DataFrame:
+    """J3, J4"""
+    return sessions.allowed(R.viewers(spark, sf_dir), subscribers(spark, sf_dir), blocked(spark, sf_dir)).select("request_id", "ip", "stream_id")
+
+
+@query(R.oracle(SUBS + BLOCKED + "select request_id, ip, stream_id from viewers v where not authorised and not (ip not in (select ip from blocked) and exists (select 1 from pairs p where p.ip = v.ip and p.stream_id = v.stream_id))", "viewers"))
+def j5_requests_to_close(spark, sf_dir: str) -> DataFrame:
+    """J5"""
+    return sessions.to_close(R.viewers(spark, sf_dir), subscribers(spark, sf_dir), blocked(spark, sf_dir)).select("request_id", "ip", "stream_id")
+
+
+PAIRS_ALL = SUBS.replace("select distinct name, ip", "select name, ip")
+
+
+@query(R.oracle(SESSIONS + PAIRS_ALL + ", k as (select name, count(*) as sessions from pairs join found using (ip, stream_id) group by 1) select name, coalesce(sessions, 0) as sessions from (select distinct name from subs) left join k using (name)", "viewers"))
+def j6_subscriber_sessions(spark, sf_dir: str) -> DataFrame:
+    """J6"""
+    return sessions.subscriber_sessions(subscribers(spark, sf_dir), sessions.sessions(R.viewers(spark, sf_dir), TTL))
+
+
+@query("""select stream_id, name from (select s_nationkey % 5 as stream_id, s_name as name,
+  row_number() over (partition by s_nationkey % 5 order by s_suppkey % 9 = 0 desc, s_suppkey % 6, s_suppkey) as r from supplier where s_suppkey % 7 <> 3) where r = 1""")
+def o5_local_origin(spark, sf_dir: str) -> DataFrame:
+    """O5 without ties: local first, then fewest viewers, then the given order."""
+    o = R.table(spark, sf_dir, "supplier").select(F.expr("s_nationkey % 5").alias("stream_id"), F.col("s_name").alias("name"), F.lit("http://x").alias("redirect"), F.expr("s_suppkey % 6").alias("viewers"), F.expr("s_suppkey % 9 = 0").alias("local"), F.expr("s_suppkey % 7 <> 3").alias("live"), F.col("s_suppkey").alias("ord"))
+    one = W.partitionBy("stream_id", "local", "viewers").orderBy("ord")
+    o = o.where("live").withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
+    return sessions.choose_origin(o, F.lit("10.0.0.1")).select("stream_id", "name")
+
+
+@query("""with a as (select c_custkey::varchar as id, 'n' || (c_custkey % 40) as name, case when c_custkey % 3 = 0 then '' else 't' || (c_custkey % 90) end as tvg_id from customer),
+b as (select s_suppkey::varchar as id, 'n' || (s_suppkey % 40) as name, case when s_suppkey % 2 = 0 then '' else 't' || (s_suppkey % 90) end as tvg_id from supplier)
+select a.id, b.id as r_id from a, b where case when a.tvg_id <> '' and b.tvg_id <> '' then a.tvg_id = b.tvg_id else a.id = b.id or a.name = b.name end""")
+def j9_same_channels(spark, sf_dir: str) -> DataFrame:
+    """J9"""
+    a = R.table(spark, sf_dir, "customer").select(F.expr("cast(c_custkey as string)").alias("id"), F.expr("concat('n', c_custkey % 40)").alias("name"), F.expr("case when c_custkey % 3 = 0 then '' else concat('t', c_custkey % 90) end").alias("tvg_id"))
+    b = R.table(spark, sf_dir, "supplier").select(F.expr("cast(s_suppkey as string)").alias("id"), F.expr("concat('n', s_suppkey % 40)").alias("name"), F.expr("case when s_suppkey % 2 = 0 then '' else concat('t', s_suppkey % 90) end").alias("tvg_id"))
+    return sessions.same_channel(a, b).select("id", "r_id")
+
+
+# --- guide ----------------------------------------------------------------------------
+
+UPSERT = ", up as (select * exclude (r) from (select *, row_number() over (partition by channel_id, event_id, start order by arrival desc) as r from guide) where r = 1)"
+
+
+def events(spark, sf_dir: str) -> DataFrame:
+    return guide.upsert(R.guide(spark, sf_dir))
+
+
+@query(R.oracle(UPSERT + "select channel_id, event_id, start, arrival from up", "guide"))
+def u3_upserted_events(spark, sf_dir: str) -> DataFrame:
+    """U3"""
+    return events(spark, sf_dir).select("channel_id", "event_id", "start", "arrival")
+
+
+@query(R.oracle(UPSERT + f"select channel_id, event_id, start, stop from up where stop >= {GUIDE_NOW} - 21600 and start <= {GUIDE_NOW} + 7 * 86400", "guide"))
+def f3_guide_window(spark, sf_dir: str) -> DataFrame:
+    """F3"""
+    return guide.window(events(spark, sf_dir), GUIDE_NOW).select("channel_id", "event_id", "start", "stop")
+
+
+@query(R.oracle("select channel_id, event_id, arrival from (select *, row_number() over (partition by channel_id order by start desc, event_id desc, arrival desc) as r from guide) where r <= 64", "guide"))
+def o1_latest_events(spark, sf_dir: str) -> DataFrame:
+    """O1"""
+    return guide.latest(R.guide(spark, sf_dir), 64).select("channel_id", "event_id", "arrival")
+
+
+@query(R.oracle(", a as (select *, row_number() over (partition by source_id, channel_id order by arrival) as r from guide), b as (select *, row_number() over (partition by source_id order by arrival) as t from a where r <= 50) select source_id, channel_id, arrival from b where t <= 1000", "guide"))
+def o3_first_events(spark, sf_dir: str) -> DataFrame:
+    """O3"""
+    return guide.first_arrived(R.guide(spark, sf_dir), 50, 1000).select("source_id", "channel_id", "arrival")
+
+
+NOWNEXT = """, nn as (select channel_id, min(case when start <= {n} and stop > {n} then start end) as now_start, arg_min(title, (start, arrival)) filter (where start <= {n} and stop > {n}) as now_title,
+  min(case when start > {n} then start end) as next_start, arg_min(title, (start, arrival)) filter (where start > {n}) as next_title from {t} group by 1)""".replace("{n}", str(GUIDE_NOW))
+
+
+@query(R.oracle(NOWNEXT.replace("{t}", "guide") + "select * from nn", "guide"))
+def j13_now_next(spark, sf_dir: str) -> DataFrame:
+    """J13"""
+    return guide.now_next(R.guide(spark, sf_dir), GUIDE_NOW)
+
+
+@query(R.oracle(NOWNEXT.replace("{t}", "(select * from guide where source_id = 0)").replace("nn as", "b as") + NOWNEXT.replace("{t}", "(select * from guide where source_id = 1)").replace("nn as", "x as") + """,
+s as (select distinct channel_id, case channel_id % 3 when 0 then 'auto' when 1 then 'xml' else 'broadcast' end as mode from guide),
+c as (select s.*, case when mode = 'broadcast' then true when mode = 'xml' then false else b.now_start is not null or b.next_start is not null end as own, b.now_start as bs, b.now_title as bt, b.next_start as bn, b.next_title as bx, x.now_start as xs, x.now_title as xt, x.next_start as xn, x.next_title as xx from s left join b using (channel_id) left join x using (channel_id))
+select channel_id, mode, case when own then 'broadcast' else 'xml' end as origin, case when own then bs else xs end as now_start, case when own then bt else xt end as now_title, case when own then bn else xn end as next_start, case when own then bx else xx end as next_title from c""", "guide"))
+def j7_guide_precedence(spark, sf_dir: str) -> DataFrame:
+    """J7"""
+    g = R.guide(spark, sf_dir)
+    s = g.select("channel_id").distinct().withColumn("mode", F.expr("case channel_id % 3 when 0 then 'auto' when 1 then 'xml' else 'broadcast' end"))
+    return guide.precedence(s, guide.now_next(g.where("source_id = 0"), GUIDE_NOW), guide.now_next(g.where("source_id = 1"), GUIDE_NOW))
+
+
+@query(R.oracle(f", w as (select * from guide where stop >= {GUIDE_NOW} - 21600 and start <= {GUIDE_NOW} + 7 * 86400 and source_id <> 1), m as (select channel_id, min(source_id) as source_id from w group by 1) select channel_id, source_id, event_id, start from w join m using (channel_id, source_id)", "guide"))
+def j8_first_source(spark, sf_dir: str) -> DataFrame:
+    """J8"""
+    g = R.guide(spark, sf_dir)
+    sources = g.select("source_id").distinct().withColumn("enabled", F.col("source_id") != 1)
+    return guide.first_source(g, sources, GUIDE_NOW).select("channel_id", "source_id", "event_id", "start")
+
+
+@query(R.oracle(", s as (select distinct source_id from guide), a as (select distinct channel_id, case when channel_id % 4 = 0 then null else channel_id % 3 end as source_id from guide) select source_id, channel_id from a where source_id is not null union select s.source_id, a.channel_id from a, s where a.source_id is null and s.source_id <> 2", "guide"))
+def j10_guide_mapping(spark, sf_dir: str) -> DataFrame:
+    """J10, U4"""
+    g = R.guide(spark, sf_dir)
+    a = g.select("channel_id", F.expr("case when channel_id % 4 = 0 then null else channel_id % 3 end").alias("source_id")).distinct()
+    return guide.mapping(a, g.select("source_id").distinct().withColumn("enabled", F.col("source_id") != 2))
+
+
+@query(R.oracle(", a as (select source_id, channel_id from guide where channel_id % 5 = source_id) select channel_id, count(*) as n from guide g where (source_id, channel_id) in (select source_id, channel_id from a) group by 1", "guide"))
+def f4_wanted_programmes(spark, sf_dir: str) -> DataFrame:
+    """F4, U5"""
+    g = R.guide(spark, sf_dir)
+    return guide.wanted(g, g.where("channel_id % 5 = source_id")).groupBy("channel_id").agg(F.count("*").alias("n"))
+
+
+@query(R.oracle(", i as (select channel_id, arrival, row_number() over w - 1 as i, count(*) over (partition by channel_id) as n from guide window w as (partition by channel_id order by start, event_id, arrival)), s as (select channel_id, arrival, cast(80 + i // 256 as int) as table_id, cast(i % 256 as int) as section, cast(case when i // 256 = (n - 1) // 256 then (n - 1) % 256 else 255 end as int) as last_section from i) select *, least(last_section, section | 7) as segment_last from s", "guide"))
+def w11_section_numbers(spark, sf_dir: str) -> DataFrame:
+    """W11"""
+    return guide.section_numbers(R.guide(spark, sf_dir)).select("channel_id", "arrival", "table_id", "section", "last_section", "segment_last")
+
+
+@query(R.oracle("select source_id, count(distinct channel_id) as channels, count(*) as events, count(*) > 300000 as truncated from guide group by 1", "guide"))
+def a15_source_status(spark, sf_dir: str) -> DataFrame:
+    """A15"""
+    return guide.source_status(R.guide(spark, sf_dir))
+
+
+@query(R.oracle(UPSERT + """, c as (select distinct channel_id from up)
+select 0 as part, '<channel id="' || channel_id || '"><display-name>Channel ' || channel_id || ' &amp; more</display-name></channel>' as line from c
+union all select 1, '<programme start="' || strftime(to_timestamp(start) at time zone 'UTC', '%Y%m%d%H%M%S') || ' +0000" stop="' || strftime(to_timestamp(stop) at time zone 'UTC', '%Y%m%d%H%M%S') || ' +0000" channel="' || channel_id || '"><title>' || title || '</title></programme>' from up""", "guide"))
+def k1_xmltv_lines(spark, sf_dir: str) -> DataFrame:
+    """K1, X5, X9"""
+    g = events(spark, sf_dir)
+    channels = g.select("channel_id").distinct().withColumn("name", F.expr("concat('Channel ', channel_id, ' & more')"))
+    return guide.xmltv(channels, g)
+
+
+@query("""select n_nationkey as ord, cast(i as int) as output, '#EXTINF:-1 tvg-id="t' || n_nationkey || '",' || n_name || case when n_nationkey % 2 = 0 then ' [' || t || ']' else '' end || chr(10) || t || '://x/' || n_nationkey as entry
+from nation, (values (0, 'hls'), (1, 'http')) o(i, t) where n_nationkey % 2 = 0 or i = 0""")
+def k2_playlist_entries(spark, sf_dir: str) -> DataFrame:
+    """K2, X9"""
+    out = F.expr("filter(array(named_struct('type', 'hls', 'url', concat('hls://x/', n_nationkey)), case when n_nationkey % 2 = 0 then named_struct('type', 'http', 'url', concat('http://x/', n_nationkey)) end, named_struct('type', 'udp', 'url', 'udp://y')), x -> x is not null)")
+    s = R.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name"), F.expr("concat('t', n_nationkey)").alias("tvg_id"), out.alias("outputs"))
+    return guide.m3u(s)
+
+
+# --- segments -----------------------------------------------------------------------------
+
+WINDOW = ", n as (select *, row_number() over (partition by stream_id order by sequence desc) as n from segments), live as (select *, case when n <= 6 then 'listed' when n <= 12 then 'grace' else 'gone' end as place from n), d as (select stream_id, count(*) filter (where discontinuity and place <> 'listed') as discontinuity_sequence from live group by 1)"
+
+
+@query(R.oracle(WINDOW + "select stream_id, sequence, place, discontinuity_sequence from live join d using (stream_id)", "segments"))
+def t11_live_window(spark, sf_dir: str) -> DataFrame:
+    """T11"""
+    return hls.live_window(R.segments(spark, sf_dir)).select("stream_id", "sequence", "place", "discontinuity_sequence")
+
+
+@query(R.oracle(WINDOW + """, l as (select * from live join d using (stream_id) where place = 'listed')
+select stream_id, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:3' || chr(10) || '#EXT-X-TARGETDURATION:' || greatest(4, cast(ceil(max(duration_ms) / 1000) as int)) || chr(10) || '#EXT-X-MEDIA-SEQUENCE:' || min(sequence) || chr(10) || '#EXT-X-DISCONTINUITY-SEQUENCE:' || max(discontinuity_sequence) || chr(10)
+ || string_agg(case when discontinuity then '#EXT-X-DISCONTINUITY' || chr(10) else '' end || '#EXT-X-PROGRAM-DATE-TIME:' || strftime(to_timestamp(wall_ts) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') || chr(10) || '#EXTINF:' || (duration_ms // 1000) || '.' || lpad((duration_ms % 1000)::varchar, 3, '0') || ',' || chr(10) || file || chr(10), '' order by sequence) as playlist
+from l group by 1""", "segments"))
+def k8_media_playlist(spark, sf_dir: str) -> DataFrame:
+    """K8"""
+    return hls.media_playlist(R.segments(spark, sf_dir))
+
+
+@query(R.oracle(f""", r as (select * from segments where wall_ts >= {NOW} - 24 * 3600 and wall_ts between {NOW} - 50002 and {NOW} + 12),
+s as (select *, coalesce(lead(wall_ts) over w - wall_ts, wall_ts - lag(wall_ts) over w) as step from r window w as (partition by stream_id order by wall_ts, file))
+select stream_id, file, wall_ts, case when step is null then 2.0::double else least(6.0, greatest(1.0, step))::double end as seconds from s""", "segments"))
+def t9_archive_range(spark, sf_dir: str) -> DataFrame:
+    """T9, W10, O6"""
+    return hls.archive(R.segments(spark, sf_dir), "rewind-50000.m3u8", NOW, 24).select("stream_id", "file", "wall_ts", "seconds")
+
+
+@query(R.oracle(""", v as (select stream_id as playlist, sequence as line_no, duration_ms * 1000 as bandwidth, file as uri from segments),
+r as (select *, row_number() over (partition by playlist order by case when bandwidth <= 5000000 then 0 else 1 end, case when bandwidth <= 5000000 then -bandwidth else bandwidth end, line_no) as r from v)
+select playlist, line_no, bandwidth, uri from r where r = 1""", "segments"))
+def o4_chosen_rendition(spark, sf_dir: str) -> DataFrame:
+    """O4"""
+    v = R.segments(spark, sf_dir).select(F.col("stream_id").alias("playlist"), F.col("sequence").alias("line_no"), (F.col("duration_ms") * 1000).alias("bandwidth"), F.col("file").alias("uri"))
+    return hls.chosen(v, 5_000_000)
+
+
+LINES = ", x as (select stream_id as playlist, sequence * 3 + k as line_no, case k when 0 then '#EXTINF:' || (duration_ms // 1000) || '.500,' when 1 then case when discontinuity then '#EXT-X-DISCONTINUITY' else '#EXT-X-KEY:METHOD=NONE,N=' || (sequence // 10) end else file end as line from segments, range(3) r(k))"
+
+
+def playlist_lines(spark, sf_dir: str) -> DataFrame:
+    s = R.segments(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    line = F.expr("case k when 0 then concat('#EXTINF:', duration_ms div 1000, '.500,') when 1 then case when discontinuity then '#EXT-X-DISCONTINUITY' else concat('#EXT-X-KEY:METHOD=NONE,N=', sequence div 10) end else file end")
+    return s.select(F.col("stream_id").alias("playlist"), (F.col("sequence") * 3 + F.col("k")).alias("line_no"), line.alias("line"))
+
+
+PARSED = """, p as (select stream_id as playlist, sequence, file as uri, (duration_ms // 1000) + 0.5::double as duration, discontinuity,
+  last_value(case when not discontinuity then 'METHOD=NONE,N=' || (sequence // 10) end ignore nulls) over (partition by stream_id order by sequence rows unbounded preceding) as key from segments)"""
+
+
+@query(R.oracle(PARSED + "select playlist, sequence, uri, duration::double as duration, discontinuity, key from p", "segments"))
+def s6_parsed_playlists(spark, sf_dir: str) -> DataFrame:
+    """S6, W14"""
+    return hls.parsed(playlist_lines(spark, sf_dir)).select("playlist", "sequence", "uri", "duration", "discontinuity", "key")
+
+
+@query(R.oracle(PARSED + ", s as (select *, sum(duration) over w as t, row_number() over w as n from p window w as (partition by playlist order by sequence desc rows unbounded preceding)) select playlist, coalesce(max(case when t >= 6 or n >= 3 then sequence end), min(sequence)) as start from s group by 1", "segments"))
+def o8_start_sequence(spark, sf_dir: str) -> DataFrame:
+    """O8"""
+    return hls.start_sequence(hls.parsed(playlist_lines(spark, sf_dir)))
+
+
+# --- logs -----------------------------------------------------------------------------------
+
+RECORDS = """, rec as (select line_no, cast(epoch(strptime(line[1:19], '%Y-%m-%dT%H:%M:%S')) as bigint) as at_s, regexp_extract(line, 'stream=([^ ]+)', 1) as stream, regexp_extract(line, 'sid=([^ ]+)', 1) as sid,
+  regexp_extract(line, 'gaps=([0-9]+)', 1)::bigint as gaps, regexp_extract(line, 'peak=([0-9]+)', 1)::bigint as peak from log_lines)"""
+
+
+@query(R.oracle(RECORDS + "select sid, stream, 'gaps' as key, sum(gaps)::bigint as value from rec group by 1, 2 union all select sid, stream, 'peak', max(peak) from rec group by 1, 2", "log_lines"))
+def a10_service_report(spark, sf_dir: str) -> DataFrame:
+    """S14, P18, A10"""
+    return logs.service_report(logs.records(R.log_lines(spark, sf_dir)))
+
+
+@query(R.oracle(RECORDS + "select at_s // 600 * 600 as slot_s, count(distinct (sid, stream)) as services, sum(gaps)::bigint as anomalies from rec where gaps > 0 group by 1 having count(distinct (sid, stream)) > 1", "log_lines"))
+def t6_coincidences(spark, sf_dir: str) -> DataFrame:
+    """A11, T6"""
+    return logs.coincidences(logs.records(R.log_lines(spark, sf_dir)), seconds=600)
+
+
+LATENCY = "case event_id % 4 when 0 then 'ingress' when 1 then 'upstream_sent' when 2 then 'upstream_reply' else 'client_timeout' end"
+
+
+@query(f"""with r as (select upper('0b' || lpad((user_id % 8)::varchar, 2, '5')) as sid, {LATENCY} as stage, event_id % 20 <> 1 as ok, event_id % 9 = 0 as late, event_id % 300 as ms from events)
+select sid, count(*) filter (where stage = 'ingress') as ingress, count(*) filter (where stage = 'upstream_sent') as sent, count(*) filter (where stage = 'upstream_reply') as replies,
+  count(*) filter (where stage = 'client_timeout') as timeouts, count(*) filter (where stage = 'upstream_reply' and late) as late, count(*) filter (where stage = 'upstream_sent' and not ok) as failed,
+  quantile_disc(ms, 0.95) filter (where stage = 'upstream_sent' and ok) as prequeue_p95, quantile_disc(ms + 1, 0.95) filter (where stage = 'upstream_sent' and ok) as queue_p95,
+  quantile_disc(ms * 2, 0.5) filter (where stage = 'upstream_reply') as upstream_p50, quantile_disc(ms * 2, 0.95) filter (where stage = 'upstream_reply') as upstream_p95 from r group by 1""")
+def a12_latency_report(spark, sf_dir: str) -> DataFrame:
+    """A12"""
+    line = f"concat('x LATENCY sid=0b', lpad(user_id % 8, 2, '5'), ' stage=', {LATENCY}, ' send=', case when event_id % 20 <> 1 then 'ok' else 'error' end, ' late=', case when event_id % 9 = 0 then '1' else '0' end, ' prequeue_ms=', event_id % 300, ' queue_ms=', event_id % 300 + 1, ' upstream_ms=', event_id % 300 * 2)"
+    return logs.latency_report(R.table(spark, sf_dir, "events").select(F.expr(line).alias("line")))
+
+
+# --- health ---------------------------------------------------------------------------------
+
+LIVE = """, lv as (select stream_id, ts * 1000 + sample_id % 1000 as now_ms, cc_total as media_bytes, out_kbps as source_bytes, stream_id % 2 = 0 as network from quality),
+g as (select *, case when coalesce(media_bytes > lag(media_bytes) over w, true) then now_ms end as m, case when coalesce(source_bytes > lag(source_bytes) over w, true) then now_ms end as s from lv window w as (partition by stream_id order by now_ms)),
+h as (select *, now_ms - last_value(m ignore nulls) over w as media, now_ms - last_value(s ignore nulls) over w as source from g window w as (partition by stream_id order by now_ms rows unbounded preceding)),
+k as (select *, case when network then media >= 10000 and (source >= 10000 or media >= 18000) else media >= 5000 end as stalled from h)"""
+
+
+@query(R.oracle(LIVE + """, r as (select stream_id, case when stalled and not network then 'selected_media_silent' when stalled and source >= 10000 then 'network_and_media_silent' when stalled then 'network_alive_media_stalled' when network and media >= 5000 then 'network_jitter_grace' else 'healthy' end as cause,
+coalesce(lag(stalled) over (partition by stream_id order by now_ms), false) and media = 0 as recovered from k) select stream_id, cause, recovered, count(*) as n from r group by 1, 2, 3""", "quality"))
+def t12_liveness(spark, sf_dir: str) -> DataFrame:
+    """T12, W9"""
+    s = R.quality(spark, sf_dir).select("stream_id", F.expr("ts * 1000 + sample_id % 1000").alias("now_ms"), F.col("cc_total").alias("media_bytes"), F.col("out_kbps").alias("source_bytes"), F.expr("stream_id % 2 = 0").alias("network"))
+    return health.liveness(s).groupBy("stream_id", "cause", "recovered").agg(F.count("*").alias("n"))
+
+
+@query("""with e as (select event_id % 5 <> 0 as eligible, event_id % 7 <> 0 as recent, event_id % 3 <> 0 as advancing, event_id % 11 <> 0 as media, event_id % 4 <> 0 as pts, event_id % 6 as starts, event_id * 37 % 60000 as startup, event_id * 91 % 30000 as mgap, event_id * 53 % 30000 as pgap from events)
+select case when not eligible or not recent or startup < 20000 then null when not media then 'no_media_started' when mgap >= 18000 then 'media_stalled' when advancing and pts and pgap >= 18000 then 'video_pts_stalled' when advancing and not pts and starts >= 3 then 'video_pts_never_advanced' end as fault, count(*) as n from e group by 1""")
+def t13_delivery_faults(spark, sf_dir: str) -> DataFrame:
+    """T13"""
+    names = {"eligible": "event_id % 5 <> 0", "input_media_recent": "event_id % 7 <> 0", "input_pts_advancing": "event_id % 3 <> 0", "output_media_established": "event_id % 11 <> 0", "output_pts_established": "event_id % 4 <> 0", "pes_starts": "event_id % 6", "startup_ms": "event_id * 37 % 60000", "media_gap_ms": "event_id * 91 % 30000", "pts_gap_ms": "event_id * 53 % 30000"}
+    e = R.table(spark, sf_dir, "events").select(*[F.expr(v).alias(k) for k, v in names.items()])
+    return health.delivery_fault(e).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+@query(R.oracle(""", b as (select *, case when sample_id % 5 < 2 then 'clear' when sample_id % 5 = 2 then 'waiting' when sample_id % 5 = 3 then 'scrambled' else 'stopped' end as state from quality),
+e as (select *, sum(case when active then 0 else 1 end) over (partition by stream_id order by ts, sample_id rows unbounded preceding) as ep from b),
+c as (select *, last_value(case when active and state = 'clear' then ts end ignore nulls) over (partition by stream_id, ep order by ts, sample_id rows unbounded preceding) as cleared from e)
+select stream_id, sample_id, case when active and state in ('waiting', 'invalid', 'scrambled') and ts - cleared <= 3600 then 'clear' else state end as shown from c""", "quality"))
+def t32_held_state(spark, sf_dir: str) -> DataFrame:
+    """T32"""
+    s = R.quality(spark, sf_dir).withColumn("state", F.expr("case when sample_id % 5 < 2 then 'clear' when sample_id % 5 = 2 then 'waiting' when sample_id % 5 = 3 then 'scrambled' else 'stopped' end"))
+    return health.held_state(s, 3600).select("stream_id", "sample_id", "shown")
+
+
+@query(R.oracle(""", a as (select *, lag(active) over (partition by stream_id order by ts, sample_id) as b from quality) select stream_id, sample_id, case when active then 'up' else 'down' end as event from a where b <> active""", "quality"))
+def k13_alerts(spark, sf_dir: str) -> DataFrame:
+    """K13"""
+    return quality.alerts(R.quality(spark, sf_dir)).select("stream_id", "sample_id", "event")
+
+
+# --- folds ----------------------------------------------------------------------------------
+
+@query()
+def t1_throttled_samples(spark, sf_dir: str) -> DataFrame:
+    """T1"""
+    return folds.throttle(R.quality(spark, sf_dir), 7200)
+
+
+@query()
+def t4_downsampled(spark, sf_dir: str) -> DataFrame:
+    """T4"""
+    return folds.downsample(R.quality(spark, sf_dir), NOW, keep_s=10 * 86_400, recent_s=86_400, step_s=7200)
+
+
+def readings(spark, sf_dir: str) -> DataFrame:
+    return R.packets(spark, sf_dir).where("pcr27 is not null").select("stream_id", F.col("seq").alias("idx"), "pcr27", F.expr("discontinuity").alias("discontinuity"), F.col("arrival_ms").alias("observed_ms"))
+
+
+@query()
+def t18_clock_timeline(spark, sf_dir: str) -> DataFrame:
+    """T18, T30"""
+    return folds.clock_timeline(readings(spark, sf_dir))
+
+
+@query()
+def t19_packet_schedule(spark, sf_dir: str) -> DataFrame:
+    """T19"""
+    return folds.packet_schedule(readings(spark, sf_dir))
+
+
+@query()
+def t20_source_rate(spark, sf_dir: str) -> DataFrame:
+    """T20"""
+    return folds.source_rate(readings(spark, sf_dir))
+
+
+@query()
+def t21_arrival_rate(spark, sf_dir: str) -> DataFrame:
+    """T21"""
+    return folds.arrival_rate(R.packets(spark, sf_dir).select("stream_id", "seq", "arrival_ms"), 60_000)
+
+
+@query()
+def t15_failover(spark, sf_dir: str) -> DataFrame:
+    """T15"""
+    any_of = lambda c: F.max(c.cast("int")).cast("boolean")
+    q = R.quality(spark, sf_dir).groupBy("stream_id", "ts").agg(any_of(~F.col("active")).alias("stalled"), any_of(F.col("in_kbps") > 100).alias("primary_healthy"))
+    return folds.failover(q)
+
+
+@query()
+def t10_segment_cuts(spark, sf_dir: str) -> DataFrame:
+    """T10"""
+    p = R.packets(spark, sf_dir).select("stream_id", "seq", F.col("arrival_ms").alias("clock_ms"), F.expr("pusi and not tei").alias("random_access"))
+    return folds.segment_cuts(p, 3_600_000)
+
+
+@query()
+def t34_input_rate(spark, sf_dir: str) -> DataFrame:
+    """T34"""
+    return folds.input_rate(R.segments(spark, sf_dir).select("stream_id", "sequence", (F.col("duration_ms") * 500).alias("bytes"), "duration_ms"))
+
+
+@query()
+def a17_picture_rate(spark, sf_dir: str) -> DataFrame:
+    """A17"""
+    p = R.packets(spark, sf_dir).where("pts is not null").select("stream_id", F.col("seq").alias("idx"), "pts")
+    return timing.picture_rate(p)
+
+
+# --- scalars --------------------------------------------------------------------------------
+
+
+@query("""select o_orderkey as id, cast(40587 + o_orderkey % 40000 as int) as mjd, (o_orderkey % 40000) * 86400 + (o_orderkey % 24) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 60 as epoch,
+  strftime(to_timestamp((o_orderkey % 40000) * 86400 + (o_orderkey % 24) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 60 ) at time zone 'UTC', '%Y%m%d%H%M%S') || ' +0000' as text from orders where o_orderkey % 40000 > 0""")
+def x1_guide_times(spark, sf_dir: str) -> DataFrame:
+    """Times through their broadcast and their text form and back."""
+    e = F.expr("(o_orderkey % 40000) * 86400 + (o_orderkey % 24) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 60")
+    rows = R.table(spark, sf_dir, "orders").where("o_orderkey % 40000 > 0").select(F.col("o_orderkey").alias("id"), e.alias("e")).withColumn("p", X.dvb_time_parts("e"))
+    back = X.dvb_time(F.col("p.mjd"), F.col("p.hour"), F.col("p.minute"), F.col("p.second"))
+    rows = rows.withColumn("back", back).withColumn("text", X.epg_xml_time("back"))
+    return rows.select("id", F.col("p.mjd").alias("mjd"), X.xmltv_time("text").cast("long").alias("epoch"), "text")
+
+
+@query("""select p_partkey as id, cast(case least(6, greatest(1, p_size)) when 1 then 10 when 2 then 10 when 3 then 20 when 4 then 40 when 5 then 60 else 120 end as int) as retry_s,
+  least(30000, 1000 * cast(pow(2, least(5, p_size % 8)) as int)) as back_off_ms, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') as slug,
+  replace(replace(replace(p_name || ' <&> "x"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;').replace('"', '&quot;') as escaped,
+  cast(least(100, greatest(0, round(p_size * 1300 * 100 / 65535))) as int) as signal from part""")
+def x_scalars(spark, sf_dir: str) -> DataFrame:
+    """X9, X16, X20, X28, P24"""
+    return R.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), X.retry_delay("p_size").alias("retry_s"), X.back_off_ms(F.col("p_size") % 8).alias("back_off_ms"), X.slug("p_name").alias("slug"),
+        X.xml_escape(F.concat("p_name", F.lit(' <&> "x"'))).alias("escaped"), X.signal_percent(F.col("p_size") * 1300).alias("signal"),
+    )
