@@ -35,11 +35,11 @@ BUCKETS = 1 << 16
 LEXICON = 300
 ROUNDS = 60
 SEED = 11
-CACHE = 500_000
+CACHE = 200_000
 #: Least score of a document that the pipeline keeps.
 MIN_SCORE = 0.5
 #: Words handled at once in forward-backward.
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 200_000
 
 
 def crc_fold(doc_id) -> F.Column:
@@ -221,29 +221,35 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         place: dict[str, int] = {}
         table = np.empty((0, len(m.languages) if m else 1))
 
-        def compute(column: list) -> list:
+        def label(texts: list[list[str]]) -> list[tuple[str, float]]:
             nonlocal place, table
-            texts = [WORD.findall(t.lower()) if t else [] for t in column]
-            lang, score = [UND] * len(texts), [0.0] * len(texts)
+            out = [(UND, 0.0)] * len(texts)
             usable = [k for k, w in enumerate(texts) if m and any(any(map(str.isalpha, x)) for x in w)]
-            usable.sort(key=lambda k: len(texts[k]))
-            while usable:
-                part, held = [], 0
-                while usable and (not part or held + len(texts[usable[-1]]) <= CHUNK_WORDS):
-                    part.append(usable.pop())
-                    held += len(texts[part[-1]])
-                if len(place) > CACHE:
-                    place, table = {}, table[:0]
-                new = list(set().union(*[texts[k] for k in part]).difference(place))
-                if new:
-                    place.update(zip(new, range(len(place), len(place) + len(new))))
-                    table = np.concatenate([table, m.emissions(new)])
-                found = label_words(m, table, [np.fromiter(map(place.__getitem__, texts[k]), np.int64, len(texts[k])) for k in part])
-                for k, posterior in zip(part, found):
-                    mean = posterior.mean(axis=0)
-                    best = int(mean.argmax())
-                    lang[k], score[k] = m.languages[best], float(min(1.0, mean[best]))
-            return [lang, score]
+            if not usable:
+                return out
+            if len(place) > CACHE:
+                place, table = {}, table[:0]
+            new = list(set().union(*[texts[k] for k in usable]).difference(place))
+            if new:
+                place.update(zip(new, range(len(place), len(place) + len(new))))
+                table = np.concatenate([table, m.emissions(new)])
+            found = label_words(m, table, [np.fromiter(map(place.__getitem__, texts[k]), np.int64, len(texts[k])) for k in usable])
+            for k, posterior in zip(usable, found):
+                mean = posterior.mean(axis=0)
+                best = int(mean.argmax())
+                out[k] = m.languages[best], float(min(1.0, mean[best]))
+            return out
+
+        def compute(column: list) -> list:
+            out, part, held = [], [], 0
+            for text in column:  # texts are taken together up to a bounded number of words
+                part.append(WORD.findall(text.lower()) if text else [])
+                held += len(part[-1])
+                if held >= CHUNK_WORDS:
+                    out += label(part)
+                    part, held = [], 0
+            out += label(part)
+            return [list(x) for x in zip(*out)] if out else [[], []]
 
         return compute
 

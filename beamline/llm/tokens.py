@@ -44,7 +44,7 @@ ROUNDS = 4
 ROUND_RULES = 8_000
 MIN_COUNT = 128
 #: Cached pieces of text per worker; a text with a longer piece is encoded whole.
-CACHE = 700_000
+CACHE = 500_000
 LONG_PIECE = 1000
 
 
