@@ -45,7 +45,7 @@ BLOCK_BYTES = 4 << 20
 #: Text bytes for which one more bucket of keys is opened.
 BUCKET_BYTES = 16 << 20
 #: Contexts that are sorted together (but never less than those of one key).
-SLICE = 1 << 16
+SLICE = 1 << 14
 #: Documents from which a key counts as heavy: its strings are then dealt out by
 #: their own hash instead of the key's, so no task gets them all.
 HEAVY = 50_000
