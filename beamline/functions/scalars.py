@@ -213,7 +213,7 @@ def signal_percent_db(level_db, cnr_db) -> Column:
     """Strength and quality from decibels; quality falls back to strength."""
     clamp = lambda v: F.least(F.lit(100), F.greatest(F.lit(0), F.round(v).cast("int")))
     strength = clamp(_c(level_db) + 100)
-    return F.struct(strength.alias("strength"), F.coalesce(clamp(_c(cnr_db) * 100 / 18), strength).alias("quality"), _c(cnr_db).isNull().alias("estimated"))
+    return F.struct(strength.alias("strength"), F.when(_c(cnr_db).isNull(), strength).otherwise(clamp(_c(cnr_db) * 100 / 18)).alias("quality"), _c(cnr_db).isNull().alias("estimated"))
 
 
 def without_credentials(uri) -> Column:

@@ -30,8 +30,8 @@ def error_windows(events: DataFrame, width: str = "1 hour") -> DataFrame:
 
 def failover_live(probes: DataFrame, healthy_needed: int = 2) -> DataFrame:
     """Switches between primary and backup; the state of a stream is its source and
-    the healthy probes in a row, and it goes after an hour of silence.
-    ``probes(stream_id, at, stalled, primary_healthy)``."""
+    the healthy probes in a row, and it goes after an hour of event time without a probe.
+    ``probes(stream_id, at, stalled, primary_healthy)`` with a watermark on ``at``."""
     out, state_ddl = "stream_id long, at timestamp, source string", "source string, healthy int"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -39,8 +39,9 @@ def failover_live(probes: DataFrame, healthy_needed: int = 2) -> DataFrame:
             state.remove()
             return
         source, healthy = state.get if state.exists else ("primary", 0)
-        rows = []
-        for row in pd.concat(list(batches)).sort_values("at").itertuples():
+        rows, probed = [], pd.concat(list(batches)).sort_values("at")
+        newest = probed["at"].iloc[-1]
+        for row in probed.itertuples():
             if source == "primary":
                 if row.stalled:
                     source, healthy = "backup", 0
@@ -51,10 +52,11 @@ def failover_live(probes: DataFrame, healthy_needed: int = 2) -> DataFrame:
                 source = "primary"
                 rows.append((key[0], row.at, source))
         state.update((source, healthy))
-        state.setTimeoutDuration(3_600_000)
+        last = int(pd.Timestamp(newest).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 3_600_000)
         yield pd.DataFrame(rows, columns=["stream_id", "at", "source"])
 
-    return probes.groupBy("stream_id").applyInPandasWithState(run, out, state_ddl, "append", "ProcessingTimeTimeout")
+    return probes.groupBy("stream_id").applyInPandasWithState(run, out, state_ddl, "append", "EventTimeTimeout")
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
