@@ -35,7 +35,7 @@ BUCKETS = 1 << 16
 LEXICON = 300
 ROUNDS = 60
 SEED = 11
-CACHE = 200_000
+CACHE = 400_000
 #: Least score of a document that the pipeline keeps.
 MIN_SCORE = 0.5
 #: Words handled at once in forward-backward.
@@ -55,6 +55,8 @@ class Model:
         self.languages, self.lexicon = languages, lexicon
         self.weights = np.zeros((BUCKETS, n))
         self.transitions, self.start = np.zeros((n, n)), np.zeros(n)
+        self.place: dict[str, int] = {}
+        self.table = np.empty((0, n))
 
     def features(self, word: str) -> list[int]:
         w = word[:40]
@@ -72,6 +74,20 @@ class Model:
         return np.add.reduceat(self.weights[flat], np.concatenate([[0], ends[:-1]]), axis=0)
 
 
+    def numbered(self, texts: list[list[str]]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The table of emissions and the words of each text as rows of it. The table
+        stays with the model, so a worker's tasks share it; it starts afresh when it
+        has more than ``CACHE`` words."""
+        if len(self.place) > CACHE:
+            self.place, self.table = {}, self.table[:0]
+        place = self.place
+        new = list(set().union(*texts).difference(place))
+        if new:
+            place.update(zip(new, range(len(place), len(place) + len(new))))
+            self.table = np.concatenate([self.table, *(self.emissions(new[k : k + 20_000]) for k in range(0, len(new), 20_000))])
+        return self.table, [np.fromiter(map(place.__getitem__, t), np.int64, len(t)) for t in texts]
+
+
 def build_lexicon(rows: list[tuple[int, list[str]]], n: int, size: int = LEXICON) -> dict[str, list[int]]:
     """Words most typical of each language: frequent there and rarer elsewhere."""
     counts = [Counter() for _ in range(n)]
@@ -218,22 +234,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def start():
         m = shared.value
-        place: dict[str, int] = {}
-        table = np.empty((0, len(m.languages) if m else 1))
 
         def label(texts: list[list[str]]) -> list[tuple[str, float]]:
-            nonlocal place, table
             out = [(UND, 0.0)] * len(texts)
             usable = [k for k, w in enumerate(texts) if m and any(any(map(str.isalpha, x)) for x in w)]
             if not usable:
                 return out
-            if len(place) > CACHE:
-                place, table = {}, table[:0]
-            new = list(set().union(*[texts[k] for k in usable]).difference(place))
-            if new:
-                place.update(zip(new, range(len(place), len(place) + len(new))))
-                table = np.concatenate([table, m.emissions(new)])
-            found = label_words(m, table, [np.fromiter(map(place.__getitem__, texts[k]), np.int64, len(texts[k])) for k in usable])
+            found = label_words(m, *m.numbered([texts[k] for k in usable]))
             for k, posterior in zip(usable, found):
                 mean = posterior.mean(axis=0)
                 best = int(mean.argmax())

@@ -36,15 +36,17 @@ from . import common
 END_ID = 2
 MAGIC = b"BLREPAIR"
 #: Ids in a shard before it is closed.
-SHARD_IDS = 4_000_000
+SHARD_IDS = 2_000_000
 #: Re-Pair: rules of a shard at most, rounds (a rule spans at most 2 ** ROUNDS ids),
 #: pairs replaced in a round, least count of a pair.
 MAX_RULES = 15_000
 ROUNDS = 4
 ROUND_RULES = 8_000
-MIN_COUNT = 128
+MIN_COUNT = 64
 #: Cached pieces of text per worker; a text with a longer piece is encoded whole.
-CACHE = 500_000
+CACHE = 700_000
+#: Pieces given to the library at once.
+ENCODE = 4096
 LONG_PIECE = 1000
 
 
@@ -72,6 +74,8 @@ class Numbers(dict):
         self.new: list[str] = []
 
     def __missing__(self, piece: str) -> int:
+        if len(piece) > LONG_PIECE:
+            raise OverflowError
         self[piece] = n = len(self)
         self.new.append(piece)
         return n
@@ -114,8 +118,7 @@ class Encoder:
         """Pieces of a text; none where it has to be encoded whole."""
         if self.odd.search(text) or any(s in text for s in self.special):
             return []
-        own = (self.CHUNK if "'" in text else self.PIECE).findall(text)
-        return own if own and max(map(len, own)) <= LONG_PIECE else []
+        return (self.CHUNK if "'" in text else self.PIECE).findall(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -124,22 +127,30 @@ class Encoder:
         number, split = self.place.__getitem__, []
         for text in texts:
             own = self.pieces(text)
-            split.append(np.fromiter(map(number, own), np.int32, len(own)))
-        for e in self.tokenizer.encode_batch_fast(self.place.new, add_special_tokens=False):
-            ids = e.ids
-            self.sizes.append(len(ids))
-            self.flat.extend(ids)
-        self.place.new = []
-        sizes, flat = np.array(self.sizes, np.int64), np.array(self.flat, self.dtype)
-        starts = np.cumsum(sizes) - sizes
-        out = []
-        for text, at in zip(texts, split):
-            if not len(at):
-                out.append(np.array(self.library(text) if text else [], self.dtype))
-                continue
-            n = sizes[at]
-            ends = np.cumsum(n)
-            out.append(flat[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1])])
+            try:
+                split.append(np.fromiter(map(number, own), np.int32, len(own)))
+            except OverflowError:  # a long piece
+                split.append(np.empty(0, np.int32))
+        new, self.place.new = self.place.new, []
+        for k in range(0, len(new), ENCODE):
+            for e in self.tokenizer.encode_batch_fast(new[k : k + ENCODE], add_special_tokens=False):
+                ids = e.ids
+                self.sizes.append(len(ids))
+                self.flat.extend(ids)
+        if not len(self.flat):
+            return [np.array(self.library(t) if t else [], self.dtype) for t in texts]
+        sizes, flat = np.frombuffer(self.sizes, np.uint16).astype(np.int32), np.frombuffer(self.flat, self.dtype)
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        at = np.concatenate([np.empty(0, np.int32), *split])
+        n = sizes[at]
+        ends = np.cumsum(n, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(total)]
+        last = np.append(0, ends)[np.cumsum([len(x) for x in split], dtype=np.int64)].tolist()
+        out, first = [], 0
+        for text, own, end in zip(texts, split, last):
+            out.append(ids[first:end] if len(own) else np.array(self.library(text) if text else [], self.dtype))
+            first = end
         return out
 
 
