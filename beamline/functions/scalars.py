@@ -180,6 +180,18 @@ def output_pcr(slot, bitrate) -> Column:
     return F.pmod(ticks.cast("decimal(20,0)"), F.lit(PCR_WRAP).cast("decimal(20,0)")).cast("long")
 
 
+def target_bitrate(coded) -> Column:
+    """The bit rate in a coded one, and the start buffer in milliseconds: the last
+    three digits 699 and 799 mean none, 700 to 729 and 800 to 829 steps of 500 ms."""
+    v = _c(coded)
+    rest = v % 1000
+    none = (v >= 100_699) & rest.isin(699, 799)
+    steps = (v >= 100_700) & (rest.between(700, 729) | rest.between(800, 829))
+    marked = none | steps | (v >= 100_777) & (rest == 777)
+    wait = F.when(none, 0).when(steps, (rest % 100 + 1) * 500).otherwise(3000).cast("int")
+    return F.struct(F.when(marked, v - rest).otherwise(v).alias("bitrate"), wait.alias("buffer_ms"))
+
+
 def network_source(uri) -> Column:
     """Addresses of live network inputs."""
     return F.lower(_c(uri)).rlike("^(udp|rtp|srt|rtsp|rtmp|https?)://")

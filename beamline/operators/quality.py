@@ -81,3 +81,11 @@ def alerts(samples: DataFrame) -> DataFrame:
     """A row for each change of a stream between up and down."""
     own = W.partitionBy("stream_id").orderBy("ts", "sample_id")
     return samples.withColumn("_before", F.lag("active").over(own)).where("_before <> active").withColumn("event", F.when(F.col("active"), "up").otherwise("down")).drop("_before")
+
+
+def channel_rows(config: DataFrame, state: DataFrame, viewers: DataFrame, most: int = 512) -> DataFrame:
+    """A node's first ``most`` channels (by ``ord``) with what runs and
+    who watches; rates are zero where nothing runs."""
+    rows = with_state(config.orderBy("ord").limit(most), state).join(viewers, "stream_id", "left")
+    rate = lambda c: F.when(F.col("active"), F.expr(f"{c} div 1000")).otherwise(0).alias(f"{c}_kbps")
+    return rows.select("ord", "stream_id", "name", "active", F.coalesce("viewers", F.lit(0)).alias("viewers"), rate("bitrate_in"), rate("bitrate_out"))
