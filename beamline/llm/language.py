@@ -1,8 +1,9 @@
 """Language identification with a linear-chain conditional random field.
 
-Every word of a text is a position of the chain. Its emission scores sum the
-weights of its affixes, its character n-grams and its membership in the lexicons
-of the languages; transitions between the languages of adjacent words are learned
+Every word of a text is a position of the chain; a run of more than ``PIECE``
+letters, as scripts without spaces have, is several. A position's emission scores
+sum the weights of its affixes, its character n-grams and its membership in the
+lexicons of the languages; transitions between the languages of adjacent words are learned
 too, so that code-switched text is labelled word by word. Forward-backward gives
 the posterior of each word; a text's language is the one with the largest mean
 posterior.
@@ -25,10 +26,14 @@ from . import common
 
 WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
+#: Most letters of one position of the chain.
+PIECE = 40
 #: Labelled documents a language that the model is fitted on (the expected number),
-#: languages at most, and words of the window drawn from each of these documents.
+#: documents of all languages, which many languages share, a language's least share of
+#: them, and words of the window drawn from each of these documents.
 DOCS_PER_LANGUAGE = 800
-MAX_LANGUAGES = 64
+SAMPLE_DOCS = 64 * DOCS_PER_LANGUAGE
+LEAST_SHARE = 20
 WINDOW = 32
 #: Hashed weight vectors; lexicon words a language; rounds of training.
 BUCKETS = 1 << 16
@@ -36,6 +41,8 @@ LEXICON = 300
 ROUNDS = 60
 SEED = 11
 CACHE = 400_000
+#: Scores (positions by languages) of the cache and of one step of training at most.
+CELLS = 6_400_000
 #: Least score of a document that the pipeline keeps.
 MIN_SCORE = 0.5
 #: Words handled at once in forward-backward.
@@ -47,6 +54,24 @@ def crc_fold(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3
 
 
+def positions(text: str | None) -> list[str]:
+    """Positions of the chain: the runs of letters of a text, in lower case.
+
+    A run of more than ``PIECE`` letters is cut into pieces of about the same length.
+    A piece has ``_`` in front if the run goes on before it, and ``_`` with the next two
+    characters of the run and its end mark if it goes on after it, so that the n-grams
+    of the pieces are those of the run."""
+    words = WORD.findall(text.lower()) if text else []
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    out = []
+    for w in words:
+        parts = -(-len(w) // PIECE)
+        cuts, ended = [len(w) * k // parts for k in range(parts + 1)], f"{w}$"
+        out += [("_" if a else "") + w[a:b] + (f"_{ended[b : b + 2]}" if b < len(w) else "") for a, b in zip(cuts, cuts[1:])]
+    return out
+
+
 class Model:
     """Languages, hashed emission weights, transition and start scores, lexicons."""
 
@@ -59,10 +84,13 @@ class Model:
         self.table = np.empty((0, n))
 
     def features(self, word: str) -> list[int]:
-        w = word[:40]
-        p = f"^{w}$"
-        names = [f"a{p[: k + 1]}" for k in (1, 2, 3)] + [f"z{p[-k - 1 :]}" for k in (1, 2, 3)]
-        names += [p[i : i + 2] for i in range(len(p) - 1)] + [p[i : i + 3] for i in range(len(p) - 2)]
+        inner = word.startswith("_")
+        body, open_end, ahead = word[inner:].partition("_")
+        p = ("" if inner else "^") + body + (ahead or "$")
+        own = len(p) - len(ahead)  # n-grams that start in the piece are its own
+        names = [] if inner else [f"a{p[: k + 1]}" for k in (1, 2, 3)]
+        names += [] if open_end else [f"z{p[-k - 1 :]}" for k in (1, 2, 3)]
+        names += [p[i : i + 2] for i in range(min(own, len(p) - 1))] + [p[i : i + 3] for i in range(min(own, len(p) - 2))]
         names += [f"lexicon {k}" for k in self.lexicon.get(word, ())] + ["any"]
         return [zlib.crc32(f.encode()) & (BUCKETS - 1) for f in names]
 
@@ -77,8 +105,8 @@ class Model:
     def numbered(self, texts: list[list[str]]) -> tuple[np.ndarray, list[np.ndarray]]:
         """The table of emissions and the words of each text as rows of it. The table
         stays with the model, so a worker's tasks share it; it starts afresh when it
-        has more than ``CACHE`` words."""
-        if len(self.place) > CACHE:
+        has more than ``CACHE`` words or ``CELLS`` scores."""
+        if len(self.place) > min(CACHE, CELLS // len(self.languages)):
             self.place, self.table = {}, self.table[:0]
         place = self.place
         new = list(set().union(*texts).difference(place))
@@ -137,29 +165,36 @@ def train(rows: list[tuple[str, list[str]]], rounds: int = ROUNDS, seed: int = S
     owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
     starts = np.concatenate([[0], ends[:-1]])
     mask = word >= 0
-    onehot = np.eye(n)[np.where(mask, gold, 0)] * mask[:, :, None]
-    observed = np.einsum("bti,btj->ij", onehot[:, :-1] * mask[:, 1:, None], onehot[:, 1:])
+    both = mask[:, 1:]
+    observed = np.bincount(gold[:, :-1][both] * n + gold[:, 1:][both], minlength=n * n).reshape(n, n).astype(float)
+    step = max(1, CELLS // (length * n))  # sequences at once
+    parts = [(word[at : at + step], gold[at : at + step], mask[at : at + step]) for at in range(0, len(sequences), step)]
     parameters = [model.weights, model.transitions, model.start]
     sums = [np.zeros_like(p) + 1e-8 for p in parameters]
     for _ in range(rounds):
         table = np.add.reduceat(model.weights[flat], starts, axis=0)
-        score = table[np.where(mask, word, 0)]
-        score -= score.max(axis=2, keepdims=True)
-        e, t = np.exp(score), np.exp(model.transitions)
-        alpha, beta, scale = np.zeros_like(e), np.ones_like(e), np.ones(e.shape[:2])
-        for i in range(length):
-            a = e[:, i] * (np.exp(model.start) if i == 0 else alpha[:, i - 1] @ t)
-            scale[:, i] = np.where(mask[:, i], a.sum(axis=1), 1.0)
-            alpha[:, i] = np.where(mask[:, i : i + 1], a / scale[:, i : i + 1], alpha[:, i - 1] if i else 0)
-        for i in range(length - 2, -1, -1):
-            b = ((beta[:, i + 1] * e[:, i + 1]) @ t.T) / scale[:, i + 1 : i + 2]
-            beta[:, i] = np.where(mask[:, i + 1 : i + 2], b, 1.0)
-        gamma = alpha * beta * mask[:, :, None]
-        right = beta[:, 1:] * e[:, 1:] / scale[:, 1:, None] * mask[:, 1:, None]
-        expected = np.einsum("bti,btj->ij", alpha[:, :-1], right) * t
-        by_word = np.stack([np.bincount(word[mask], (onehot - gamma)[mask][:, k], len(place)) for k in range(n)], axis=1)
+        by_word, expected, first = np.zeros((len(place), n)), np.zeros((n, n)), np.zeros(n)
+        t = np.exp(model.transitions)
+        for w, g, m in parts:
+            score = table[np.where(m, w, 0)]
+            score -= score.max(axis=2, keepdims=True)
+            e = np.exp(score)
+            alpha, beta, scale = np.zeros_like(e), np.ones_like(e), np.ones(e.shape[:2])
+            for i in range(length):
+                a = e[:, i] * (np.exp(model.start) if i == 0 else alpha[:, i - 1] @ t)
+                scale[:, i] = np.where(m[:, i], a.sum(axis=1), 1.0)
+                alpha[:, i] = np.where(m[:, i : i + 1], a / scale[:, i : i + 1], alpha[:, i - 1] if i else 0)
+            for i in range(length - 2, -1, -1):
+                b = ((beta[:, i + 1] * e[:, i + 1]) @ t.T) / scale[:, i + 1 : i + 2]
+                beta[:, i] = np.where(m[:, i + 1 : i + 2], b, 1.0)
+            onehot = np.eye(n)[np.where(m, g, 0)] * m[:, :, None]
+            missed = onehot - alpha * beta * m[:, :, None]
+            right = beta[:, 1:] * e[:, 1:] / scale[:, 1:, None] * m[:, 1:, None]
+            expected += np.einsum("bti,btj->ij", alpha[:, :-1], right) * t
+            by_word += np.stack([np.bincount(w[m], missed[m][:, k], len(place)) for k in range(n)], axis=1)
+            first += missed[:, 0].sum(axis=0)
         by_feature = np.stack([np.bincount(flat, by_word[owner, k], BUCKETS) for k in range(n)], axis=1)
-        gradients = [by_feature - 0.1 * model.weights, observed - expected - 0.1 * model.transitions, (onehot - gamma)[:, 0].sum(axis=0) - 0.1 * model.start]
+        gradients = [by_feature - 0.1 * model.weights, observed - expected - 0.1 * model.transitions, first - 0.1 * model.start]
         for p, s, g in zip(parameters, sums, gradients):
             s += g * g
             p += 0.5 * g / np.sqrt(s)
@@ -207,19 +242,21 @@ def sample(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, window:
 
     Each language is sampled at its own rate, by a seeded hash of doc_id, so that
     about ``docs_per_language`` documents come; the window lies anywhere in the
-    whole text. The most frequent ``MAX_LANGUAGES`` languages are learned."""
+    whole text. Every language is learned: more than 64 of them share the
+    ``SAMPLE_DOCS`` documents evenly, with ``LEAST_SHARE`` each at least."""
     pool = docs.select(F.col("doc_id").cast("long"), "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold("doc_id") != 1))
-    counts = pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = pool.groupBy("lang").count().collect()
     if not counts:
         return []
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, docs_per_language / r["count"]))])
+    share = min(docs_per_language, max(LEAST_SHARE, SAMPLE_DOCS // len(counts)))
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, share / r["count"]))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def cut_window(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc_id, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"]):
-                words = WORD.findall(text.lower()) if text else []
+                words = positions(text)
                 at = random.Random(int(doc_id)).randrange(max(1, len(words) - window + 1))
                 rows.append((doc_id, lang, words[at : at + window]))
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "words"])
@@ -249,10 +286,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
         def compute(column: list) -> list:
             out, part, held = [], [], 0
+            room = min(CHUNK_WORDS, CELLS // len(m.languages)) if m else CHUNK_WORDS
             for text in column:  # texts are taken together up to a bounded number of words
-                part.append(WORD.findall(text.lower()) if text else [])
+                part.append(positions(text))
                 held += len(part[-1])
-                if held >= CHUNK_WORDS:
+                if held >= room:
                     out += label(part)
                     part, held = [], 0
             out += label(part)

@@ -64,6 +64,39 @@ def test_code_switched_words():
     assert best[:5] == ["en"] * 5 and best[-4:] == ["de"] * 4
 
 
+def test_long_runs_are_read_whole():
+    run = "".join(chr(0x4E00 + k) for k in range(101))
+    words = language.positions(f"ab {run} cd")
+    assert words[0] == "ab" and words[-1] == "cd" and len(words) == 5
+    assert "".join(w.strip("_").partition("_")[0] for w in words[1:-1]) == run
+    model = language.Model(["x"], {})
+    grams = [model.features(w) for w in words[1:-1]]
+    whole = model.features(run)  # a word that was not cut has every n-gram of the run
+    assert sorted(f for g in grams for f in g) == sorted(whole + [whole[-1]] * 2)
+    other = run[:40] + run[40:][::-1]
+    assert sorted(model.features(other)) != sorted(whole)
+
+
+def test_texts_that_differ_after_forty_letters():
+    rng = np.random.default_rng(3)
+    letters = {"p": [chr(0x4E00 + k) for k in range(30)], "q": [chr(0x5E00 + k) for k in range(30)]}
+    write = lambda lang, n: "".join(rng.choice(letters[lang], n))
+    model = language.train([(lang, language.positions(write(lang, 60))) for lang in "pq" * 30])
+    head = write("p", 40)
+    for tail in "pq":
+        table, numbered = model.numbered([language.positions(head + write(tail, 300))])
+        mean = language.label_words(model, table, numbered)[0].mean(axis=0)
+        assert model.languages[int(mean.argmax())] == tail
+
+
+def test_every_language_is_learned(spark):
+    langs = [f"l{k:03d}" for k in range(70)]
+    rows = [(i * 1000 + k, f"w{chr(97 + k // 26)}{chr(97 + k % 26)}q " * 5, lang) for k, lang in enumerate(langs) for i in range(2 if k == 69 else 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").where("crc32(cast(doc_id as string)) % 3 <> 1")
+    assert {lang for lang, _ in language.sample(df)} == {r.lang for r in df.select("lang").distinct().collect()}
+    assert len({lang for lang, _ in language.sample(df)}) > 64
+
+
 def test_digest_array(tmp_path):
     path, names = str(tmp_path / "d"), ["a.com", "b.net", "ü"]
     urls.DigestArray.write(path, names)
