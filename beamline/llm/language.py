@@ -43,7 +43,7 @@ SEED = 11
 CACHE = 400_000
 #: Scores (positions by languages) of the cache and of one step of training at most.
 CELLS = 6_400_000
-#: Least score of a document that the pipeline keeps.
+#: Least mean certainty of the words of a document that the pipeline keeps.
 MIN_SCORE = 0.5
 #: Words handled at once in forward-backward.
 CHUNK_WORDS = 200_000
@@ -265,6 +265,33 @@ def sample(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, window:
     return [(r[1], list(r[2])) for r in sorted(chosen.collect())]
 
 
+def has_letter(words: list[str]) -> bool:
+    return any(any(map(str.isalpha, w)) for w in words)
+
+
+def posteriors(model: Model, column: list) -> Iterator[np.ndarray | None]:
+    """Posterior of the languages at each position of each text; None for texts
+    without a letter. Texts are taken together up to a bounded number of words."""
+
+    def label(texts: list[list[str]]) -> list:
+        out: list = [None] * len(texts)
+        usable = [k for k, w in enumerate(texts) if has_letter(w)]
+        if usable:
+            for k, posterior in zip(usable, label_words(model, *model.numbered([texts[k] for k in usable]))):
+                out[k] = posterior
+        return out
+
+    room = min(CHUNK_WORDS, CELLS // len(model.languages))
+    part, held = [], 0
+    for text in column:
+        part.append(positions(text))
+        held += len(part[-1])
+        if held >= room:
+            yield from label(part)
+            part, held = [], 0
+    yield from label(part)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` added, from ``text`` alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -272,29 +299,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def start():
         m = shared.value
 
-        def label(texts: list[list[str]]) -> list[tuple[str, float]]:
-            out = [(UND, 0.0)] * len(texts)
-            usable = [k for k, w in enumerate(texts) if m and any(any(map(str.isalpha, x)) for x in w)]
-            if not usable:
-                return out
-            found = label_words(m, *m.numbered([texts[k] for k in usable]))
-            for k, posterior in zip(usable, found):
-                mean = posterior.mean(axis=0)
-                best = int(mean.argmax())
-                out[k] = m.languages[best], float(min(1.0, mean[best]))
-            return out
-
         def compute(column: list) -> list:
-            out, part, held = [], [], 0
-            room = min(CHUNK_WORDS, CELLS // len(m.languages)) if m else CHUNK_WORDS
-            for text in column:  # texts are taken together up to a bounded number of words
-                part.append(positions(text))
-                held += len(part[-1])
-                if held >= room:
-                    out += label(part)
-                    part, held = [], 0
-            out += label(part)
-            return [list(x) for x in zip(*out)] if out else [[], []]
+            if m is None:
+                return [[UND] * len(column), [0.0] * len(column)]
+            languages, scores = [], []
+            for posterior in posteriors(m, column):
+                mean = np.zeros(1) if posterior is None else posterior.mean(axis=0)
+                best = int(mean.argmax())
+                languages.append(UND if posterior is None else m.languages[best])
+                scores.append(float(min(1.0, mean[best])))
+            return [languages, scores]
 
         return compute
 
@@ -315,10 +329,25 @@ def identify(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Dat
 
 
 def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` whose language is told with ``min_score`` or more, in the same columns;
-    texts without a letter are rejected, and so are null texts."""
-    out = predict(docs.drop("lang_pred", "score"), train(sample(docs)))
-    return out.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select(*[c for c in docs.columns])
+    """``docs`` whose words are told with ``min_score`` or more, in the same columns.
+
+    A document's certainty is the mean, over its words, of each word's largest
+    posterior, so that text in several languages is as certain as text in one. Texts
+    without a letter are rejected, and so are null texts; if no labelled document
+    exists, every text with a letter stays."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(sample(docs)))
+
+    def start():
+        m = shared.value
+
+        def keep(column: list) -> list[bool]:
+            if m is None:
+                return [has_letter(positions(text)) for text in column]
+            return [p is not None and bool(p.max(axis=1).mean() >= min_score) for p in posteriors(m, column)]
+
+        return keep
+
+    return common.keep_rows(docs, "text", start)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

@@ -97,6 +97,21 @@ def test_every_language_is_learned(spark):
     assert len({lang for lang, _ in language.sample(df)}) > 64
 
 
+def test_mixed_language_documents_are_kept(spark):
+    words = {"en": "the house and garden of my friend".split(), "de": "das haus und der garten von freund".split(), "es": "la casa el jardín de mi amigo".split(), "fr": "une maison avec le jardin pour nous".split()}
+    learn = [(k * 4 + j, " ".join(words[lang] * 4), lang, 5) for k in range(60) for j, lang in enumerate(words)]
+    share = lambda lang, n: (words[lang] * 9)[:n]
+    mixed = [(1001, " ".join(share("en", 40) + share("de", 30) + share("es", 30)), None, 5), (1002, " ".join(share("en", 25) + share("de", 25) + share("es", 25) + share("fr", 25)), None, 5)]
+    other = [(1003, "12 34 !?", None, 5), (1004, None, None, 5), (1005, "", None, 5)]
+    df = spark.createDataFrame(learn + mixed + other, "doc_id long, text string, lang string, score int")
+    kept = language.accepted(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in learn + mixed}
+    flat = language.accepted(df, min_score=1.01)
+    assert flat.count() == 0
+    unlabelled = df.selectExpr("doc_id", "text", "cast(null as string) as lang", "score")
+    assert {r.doc_id for r in language.accepted(unlabelled).collect()} == {r[0] for r in learn + mixed}
+
+
 def test_digest_array(tmp_path):
     path, names = str(tmp_path / "d"), ["a.com", "b.net", "ü"]
     urls.DigestArray.write(path, names)
