@@ -6,7 +6,9 @@ shingles; each minimum is a uniformly drawn shingle, so the part of an item's
 minima that occurs in a document estimates how much of the item the document
 contains, whatever the document's length. A document needs enough hits for its
 partition to become a candidate, and each candidate is verified by exact
-containment of the shingles themselves.
+containment of the shingles themselves. Items of fewer than five words are
+partitions of their own, one for each number of words: such an item is one
+shingle, searched in the document's runs of as many words.
 """
 
 from __future__ import annotations
@@ -92,6 +94,8 @@ class Block:
 
     def __init__(self, items: list[tuple[int, str]], threshold: float, hashes: int, miss: float):
         self.items, self.threshold = [], threshold
+        #: Items of fewer words than a shingle: number of words -> hash -> (item_id, text).
+        self.short: dict[int, dict[int, list[tuple[int, str]]]] = {}
         cache, values, owners = WordHash(), [], []
         salts = mixed(np.arange(1, hashes + 1, dtype=np.uint64))
         for item_id, text in items:
@@ -99,7 +103,12 @@ class Block:
             exact = shingle_set(words)
             if not exact:
                 continue
-            own = np.unique(shingle_hashes(np.array([cache[w] for w in words], np.uint64)))
+            hashed = np.array([cache[w] for w in words], np.uint64)
+            if len(words) < SHINGLE:
+                own = int(shingle_hashes(hashed, len(words))[0])
+                self.short.setdefault(len(words), {}).setdefault(own, []).append((item_id, " ".join(words)))
+                continue
+            own = np.unique(shingle_hashes(hashed))
             minima = np.array([own[np.argmin(mixed(own ^ s))] for s in salts], np.uint64)
             found, times = np.unique(minima, return_counts=True)
             values.append(found)
@@ -117,11 +126,32 @@ class Block:
         self.required = np.full(len(self.items), needed(hashes, threshold, miss))
         self.mask = np.zeros(1 << 16, bool)
         self.mask[(self.values >> np.uint64(48)).astype(np.int64)] = True
+        self.short_values = {m: np.array(sorted(found), np.uint64) for m, found in self.short.items()}
 
     def search(self, words: list[str], hashed: np.ndarray) -> list[tuple[int, int, int]]:
-        """``(item_id, shared, size)`` of the items that the text contains."""
-        if not len(self.values) or not words:
+        """``(item_id, shared, size)`` of the items that the text contains; ``hashed``
+        has the hashes of its words."""
+        return self.search_short(words, hashed) + self.search_shingles(words, hashed)
+
+    def search_short(self, words: list[str], hashed: np.ndarray) -> list[tuple[int, int, int]]:
+        """The items of fewer words than a shingle that the text contains."""
+        out = []
+        for m, values in self.short_values.items():
+            if len(words) < m:
+                continue
+            runs = shingle_hashes(hashed, m)
+            at = np.nonzero(values[np.minimum(np.searchsorted(values, runs), len(values) - 1)] == runs)[0]
+            there: dict[int, set[str]] = {}
+            for k in at.tolist():
+                there.setdefault(int(runs[k]), set()).add(" ".join(words[k : k + m]))
+            out += [(item_id, 1, 1) for h, texts in there.items() for item_id, text in self.short[m][h] if text in texts]
+        return out
+
+    def search_shingles(self, words: list[str], hashed: np.ndarray) -> list[tuple[int, int, int]]:
+        """The items of five words or more that the text contains."""
+        if not len(self.values) or len(words) < SHINGLE:
             return []
+        hashed = shingle_hashes(hashed)
         hits = hashed[self.mask[(hashed >> np.uint64(48)).astype(np.int64)]]
         at = np.searchsorted(self.values, hits)
         at[at == len(self.values)] = 0
@@ -154,7 +184,7 @@ def item_blocks(benchmark: DataFrame, threshold: float, hashes: int, miss: float
 
 
 def _hashed(words: list[str], cache: WordHash) -> np.ndarray:
-    return shingle_hashes(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, hashes: int = HASHES, miss: float = MISS, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -163,7 +193,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 
     Words are lower-cased runs of letters and digits of the whole text. Null and
     empty texts, and items without words, contain and are contained in nothing;
-    a text of fewer than five words is one shingle. Repeated document rows give
+    an item of fewer than five words is one shingle, which every text with these
+    words in a row contains. Repeated document rows give
     repeated results; repeated item ids are searched as separate items. The
     benchmark is the stated query set: it is read in blocks of ``block_items``
     and each block searches all documents, so what is broadcast is bounded."""

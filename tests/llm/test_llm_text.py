@@ -143,6 +143,19 @@ def test_containment(spark):
     assert contamination.contained(df.limit(0), bench).count() == 0 and contamination.contained(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_inside_long_documents(spark):
+    items = [(1, "tiny item"), (2, "Tiny"), (3, "a tiny item here"), (4, "item tiny"), (4, "item tiny"), (5, "one two three four five"), (6, None)]
+    docs = [(1, "many words before a TINY item, here and many words after"), (2, "item"), (3, "tiny items are not it"), (4, "so an item tiny"), (5, "x one two three four five y"), (6, "one two three four"), (None, "tiny item"), (8, None)]
+    df = spark.createDataFrame([(i, t, "c") for i, t in docs], "doc_id long, text string, containment string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expected = [(1, 1), (1, 2), (1, 3), (3, 2), (4, 2), (4, 4), (4, 4), (5, 5), (None, 1), (None, 2)]
+    for size in (50_000, 2):
+        got = contamination.contained(df, bench, block_items=size).collect()
+        assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == sorted(expected, key=str)
+        assert all(r.shared == r.n_shingles == 1 and r.containment == 1 for r in got)
+        assert {r.doc_id for r in contamination.decontaminate(df, bench, block_items=size).collect()} == {2, 6, 8}
+
+
 def test_mixture(spark):
     rows = [(k, "w " * (1 + k % 9), ("a", "b", "c", None)[min(3, k % 10)]) for k in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
