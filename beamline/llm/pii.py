@@ -1,25 +1,27 @@
 """Personal data: patterns, and terms that disclose the protected values.
 
 Patterns find e-mail addresses, IPv4 addresses, card and phone numbers. Each
-distinct value found is a protected entity. The words around its mentions are
-weighed by what the corpus says of them: with N documents, n(e) of them holding
-the entity, n(t) the term and n(e, t) the term near the entity,
+distinct value found is a protected entity. Every other word of a document that
+mentions it is weighed by what the corpus says of it: with N documents, n(e) of them
+holding the entity, n(t) the term and n(e, t) both,
 
     PMI(e; t) = log2(N * n(e, t) / (n(e) * n(t)))    and    IC(e) = log2(N / n(e)),
 
-so PMI / IC is the part of the entity's information that the term gives away. A
-term at or above the disclosure threshold is generalised to a placeholder (or
-removed) where it stands near the entity, as the entity is.
+so PMI / IC is the part of the entity's information that the term gives away. For
+n(e, t) / n(t), the part of the term's documents that hold the entity, the lower end
+of its confidence interval stands, so a term in few documents needs more to be
+flagged. A term at or above the disclosure threshold is generalised to a placeholder
+(or removed) at every occurrence in every document, as the entity is.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,10 +33,11 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Part of an entity's information from which a term counts as disclosing it.
 DISCLOSURE = 0.8
-#: Documents in which a term must stand near the entity.
-SUPPORT = 2
-#: Words on either side of a mention that are weighed.
-WINDOW = 5
+#: Standard errors of the lower bound of a term's estimate (95 % on one side).
+CONFIDENCE = 1.645
+#: Slots that the flagged terms are told by before they are joined.
+SLOTS = 1 << 22
+CACHE = 400_000
 PLACEHOLDER = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", TERM: "<TERM>"}
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -106,91 +109,128 @@ def entity(kind: str, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}:{plain}") - (1 << 63)
 
 
-def near_terms(text: str, spans: dict[str, list[tuple[int, int]]], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """``(entity, term, start, end)`` of the words beside each mention."""
-    taken = sorted(s for v in spans.values() for s in v)
-    words, k = [], 0
+class Terms(dict):
+    """Word -> digest of its lower case, computed on the first use."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word.lower()) - (1 << 63)
+        return value
+
+
+def other_words(text: str, spans: dict[str, list[tuple[int, int]]]) -> Iterator[re.Match]:
+    """The words of a text that no span touches."""
+    taken: list[list[int]] = []
+    for s, e in sorted(x for v in spans.values() for x in v):
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    k = 0
     for m in _WORD.finditer(text):
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        if not any(s < m.end() and m.start() < e for s, e in taken[max(0, k - 1) : k + 4]):
-            words.append(m)
-    starts = [m.start() for m in words]
-    out = []
-    for kind, found in spans.items():
-        for s, e in found:
-            who = entity(kind, text[s:e])
-            i = bisect_left(starts, s)
-            for m in words[max(0, i - window) : i + window]:
-                out.append((who, xxhash.xxh64_intdigest(m[0].lower()) - (1 << 63), m.start(), m.end()))
-    return out
+        if k == len(taken) or m.end() <= taken[k][0]:
+            yield m
+
+
+def distinct_words(text: str, spans: dict[str, list[tuple[int, int]]]) -> set[str]:
+    return {m[0] for m in other_words(text, spans)} if any(spans.values()) else set(_WORD.findall(text))
 
 
-SCAN = "doc_id long, row long, spans string, n array<long>, base_sha256 string, near array<struct<e:long,t:long,s:int,z:int>>, term long, docs long"
+COUNTED = "entities array<long>, terms array<long>, term long, docs long"
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: a row for each document (its base spans and the terms
-    near them), and for each batch its terms with their document counts."""
+def count_terms(docs: DataFrame) -> DataFrame:
+    """A row for each document with entities (these and its terms, each once), and for
+    each batch its terms with their document counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = Terms()
         for pdf in batches:
             counts, rows = Counter(), []
+            for text in pdf["text"]:
+                spans = base_spans(text or "")
+                terms = {digest[w] for w in distinct_words(text or "", spans)}
+                counts.update(terms)
+                if any(spans.values()):
+                    rows.append((list({entity(k, text[s:e]) for k, found in spans.items() for s, e in found}), list(terms), None, None))
+            types = {"entities": object, "terms": object, "term": "Int64", "docs": "Int64"}
+            for part in (rows, [(None, None, t, c) for t, c in counts.items()]):  # apart: beside nulls pandas makes floats of long
+                yield pd.DataFrame(part, columns=list(types)).astype(types)
+
+    return docs.select("text").mapInPandas(run, COUNTED)
+
+
+def disclosing_terms(seen: DataFrame, n_docs: int, disclosure: float = DISCLOSURE, confidence: float = CONFIDENCE) -> DataFrame:
+    """Terms ``t`` of which some entity's PMI is ``disclosure`` of its information or more.
+
+    ``seen`` is what ``count_terms`` gives. With p for the part of a term's documents
+    that hold the entity, PMI >= disclosure * IC says p >= (n_e / N) ** (1 - disclosure).
+    Since p is n_e / n_t at most, a term in more documents than n_e ** disclosure *
+    N ** (1 - disclosure) cannot be flagged, and its pairs are not formed. An entity
+    that every document holds has no information to give away."""
+    n = F.lit(float(n_docs))
+    held = common.cut(seen.where("term is null").select(F.monotonically_increasing_id().alias("row"), "entities", "terms"))
+    mentions = held.select("row", F.explode("entities").alias("e"))
+    n_e = mentions.groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n)
+    most = F.pow(F.col("n_e").cast("double"), F.lit(disclosure)) * F.pow(n, F.lit(1 - disclosure)) * F.lit(1 + 1e-9)
+    n_e = common.cut(n_e.withColumn("most", most))
+    bound = n_e.agg(F.max("most")).first()[0] or 0.0
+    n_t = seen.where("term is not null").groupBy(F.col("term").alias("t")).agg(F.sum("docs").alias("n_t")).where(F.col("n_t") <= F.lit(bound))
+    terms = held.select("row", F.explode("terms").alias("t")).join(n_t, "t")
+    mentions = mentions.join(n_e, "e")
+    pairs = terms.join(mentions, "row").where(F.col("n_t") <= F.col("most")).groupBy("e", "t", "n_e", "n_t").agg(F.count("*").alias("n_et"))
+    p, z2 = F.col("n_et") / F.col("n_t"), F.lit(confidence**2)
+    spread = F.lit(confidence) * F.sqrt(p * (1 - p) / F.col("n_t") + z2 / (4 * F.col("n_t") * F.col("n_t")))
+    low = (p + z2 / (2 * F.col("n_t")) - spread) / (1 + z2 / F.col("n_t"))
+    return pairs.where(low >= F.pow(F.col("n_e") / n, F.lit(1 - disclosure))).select("t").distinct()
+
+
+MARKED = "doc_id long, row long, spans string, n array<long>, base_sha256 string, near array<struct<t:long,s:int,z:int>>"
+
+
+def mark(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+    """A row for each document: its base spans, and the places of the words whose slot
+    has a flagged term."""
+    slots = np.zeros(SLOTS, bool)
+    found = flagged.select(F.col("t").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).distinct().toPandas()
+    slots[found["slot"].to_numpy(np.int64)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(slots))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest, is_set = Terms(), np.unpackbits(shared.value).tobytes()
+        any_set = any(is_set)
+        for pdf in batches:
+            rows = []
             for doc_id, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"]):
                 text = text or ""
-                counts.update(set(_WORD.findall(text.lower())))
-                spans = base_spans(text)
+                spans, near = base_spans(text), []
                 base = ",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in spans[k])
-                near = near_terms(text, spans) if base else []
-                rows.append((doc_id, row, base, [len(spans[k]) for k in KINDS], hashlib.sha256(base.encode()).hexdigest(), near, None, None))
-            columns = ["doc_id", "row", "spans", "n", "base_sha256", "near", "term", "docs"]
-            types = {"doc_id": "Int64", "row": "Int64", "term": "Int64", "docs": "Int64"}
-            yield pd.DataFrame(rows, columns=columns).astype(types)
-            merged = Counter()
-            for word, c in counts.items():
-                merged[xxhash.xxh64_intdigest(word) - (1 << 63)] += c
-            rows = [(None, None, None, None, None, None, t, c) for t, c in merged.items()]
-            yield pd.DataFrame(rows, columns=columns).astype({**types, "spans": object, "n": object, "base_sha256": object, "near": object})
-
-    return docs.select(F.col("doc_id").cast("long"), "row", "text").mapInPandas(run, SCAN)
-
-
-def disclosing_terms(found: DataFrame, terms: DataFrame, n_docs: int, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """``(e, t)`` pairs whose PMI is ``disclosure`` of the entity's information or more.
-
-    ``found(row, e, t)`` has the terms near each entity, ``terms(term, docs)`` the
-    document counts by part. Counts are over all documents; an entity that every
-    document holds has no information to give away."""
-    pairs = found.groupBy("e", "t").agg(F.countDistinct("row").alias("n_et")).where(F.col("n_et") >= support)
-    pairs = common.cut(pairs)
-    n_e = found.groupBy("e").agg(F.countDistinct("row").alias("n_e"))
-    n_t = terms.groupBy("term").agg(F.sum("docs").alias("n_t"))
-    wanted = pairs.select(F.col("t").alias("term")).distinct()
-    scored = pairs.join(n_e, "e").join(n_t.join(wanted, "term", "left_semi").withColumnRenamed("term", "t"), "t")
-    n = F.lit(float(n_docs))
-    pmi = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    ic = F.log2(n / F.col("n_e"))
-    return scored.where((ic > 0) & (pmi >= F.lit(disclosure) * ic)).select("e", "t")
+                if any_set:
+                    wanted = {w for w in set(_WORD.findall(text)) if is_set[digest[w] & (SLOTS - 1)]}
+                    if wanted:
+                        near = [(digest[m[0]], m.start(), m.end()) for m in other_words(text, spans) if m[0] in wanted]
+                rows.append((doc_id, row, base, [len(spans[k]) for k in KINDS], hashlib.sha256(base.encode()).hexdigest(), near))
+            types = {"doc_id": "Int64", "row": "Int64", "spans": object, "n": object, "base_sha256": object, "near": object}
+            yield pd.DataFrame(rows, columns=list(types)).astype(types)
+
+    return docs.select(F.col("doc_id").cast("long"), "row", "text").mapInPandas(run, MARKED)
 
 
-def detect(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def detect(docs: DataFrame, disclosure: float = DISCLOSURE, confidence: float = CONFIDENCE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_email, n_ip, n_card, n_phone,
     base_sha256, spans``.
 
-    ``spans`` lists base spans as ``kind:start:end`` by kind and start, then the
-    disclosing terms. A null text counts as empty; an empty list is the empty
-    string; repeated rows and null doc_ids each keep their row; an empty table
-    gives no rows."""
-    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    seen = common.cut(scan(rows))
-    per_doc = seen.where("row is not null")
-    n_docs = per_doc.count()
+    ``spans`` lists base spans as ``kind:start:end`` by kind and start, then every
+    occurrence of a disclosing term, whether the document holds the entity or not. A
+    null text counts as empty; an empty list is the empty string; repeated rows and
+    null doc_ids each keep their row; an empty table gives no rows."""
+    flagged = common.cut(disclosing_terms(common.cut(count_terms(docs)), docs.count(), disclosure, confidence))
+    per_doc = common.cut(mark(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), flagged))
     near = per_doc.where("size(near) > 0").select("row", F.explode("near").alias("x")).select("row", "x.*")
-    flagged = disclosing_terms(near, seen.where("term is not null").select("term", "docs"), n_docs, disclosure, support)
-    more = (
-        near.join(flagged, ["e", "t"]).select("row", "s", "z").distinct().groupBy("row")
-        .agg(F.array_sort(F.collect_list(F.struct("s", "z"))).alias("extra"))
-    )
+    more = near.join(flagged, "t").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "z"))).alias("extra"))
     extra = F.expr(f"array_join(transform(extra, x -> concat('{TERM}:', x.s, ':', x.z)), ',')")
     return per_doc.join(more, "row", "left").select(
         "doc_id",

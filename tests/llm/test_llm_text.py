@@ -251,6 +251,28 @@ def test_disclosing_terms_are_generalised(spark):
     assert text[0].endswith("today about things") and text[10] == rows[10][1]
 
 
+def test_terms_are_weighed_in_whole_documents(spark):
+    gap = " today about things from other people" * 3
+    rows = [(k, f"Zorblax Industries{gap} writes from secret@x.org{gap} signed zorblax", "k") for k in range(9)]
+    rows += [(10 + k, f"again zorblax{gap}", "k") for k in range(1)] + [(100 + k, f"{gap} number", "k") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    found = pii.detect(df)
+    text = {r.doc_id: r.text for r in pii.sanitise(df, found.select("doc_id", "spans")).collect()}
+    assert all("orblax" not in text[k] and "Industries" not in text[k] for k in range(9))  # far from the mention
+    assert text[10] == f"again <TERM>{gap}"  # without the entity
+    assert all(text[i] == t for i, t, _ in rows if i >= 100)
+
+
+def test_confidence_decides_about_rare_terms(spark):
+    gap = " today about things from other people"
+    row = [(1, f"zorblax{gap} a@b.org", "k")]
+    for filler, flagged in ((50, False), (1500, True)):
+        df = spark.createDataFrame(row + [(10 + k, gap, "k") for k in range(filler)], "doc_id long, text string, spans string")
+        spans = {r.doc_id: r.spans for r in pii.detect(df).collect()}
+        assert spans[1] == f"email:{8 + len(gap)}:{15 + len(gap)}" + (",term:0:7" if flagged else "")
+        assert not any(v for k, v in spans.items() if k > 1)
+
+
 def test_quality(spark):
     docs = spark.createDataFrame([(k, "good clean prose about rivers" if k % 2 else "buy cheap pills now", 1) for k in range(80)] + [(None, None, 1), (200, "", 1)], "doc_id long, text string, kept int")
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(3, 1, 1)], "doc_id long, quality int, toxic int")
