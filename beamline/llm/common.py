@@ -23,31 +23,53 @@ LOWER_FROM, LOWER_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder in the shared place that ``spark.checkpoint.dir`` names.
 
-    Where the setting is absent (tests, local runs) a temporary folder is used
-    and set for the session."""
+    Where the setting is absent and Spark runs in one process, a temporary folder is
+    used and set for the session; on a cluster the setting is needed."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="beamline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/beamline-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     This ends the lineage: what follows reads files that every executor reaches
     and that outlive the executor that wrote them."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    path = path or scratch_dir(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it if ``df`` has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def small(df: DataFrame, rows: int, bound: int) -> DataFrame:
+    """``df`` to be broadcast if its known number of rows is within ``bound``; beyond
+    it Spark shuffles both sides."""
+    return F.broadcast(df) if rows <= bound else df
+
+
 def cut_by(df: DataFrame, key: str) -> DataFrame:
     """``df`` written to the scratch folder in buckets of ``key``, one file each, so
     that grouping by ``key`` reads it without another shuffle."""
     spark, name = df.sparkSession, f"beamline_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key)
+    writer = df.repartition(n, key).write.format("parquet").option("compression", "zstd").bucketBy(n, key).sortBy(key)
     writer.option("path", scratch_dir(spark)).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # forgets the name; the files stay

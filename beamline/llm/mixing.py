@@ -20,6 +20,8 @@ WEIGHTS = (1, 2, 3)
 SEED = "mix"
 #: Slots of the seeded order within a source: three hexadecimal digits of an MD5.
 SLOTS_HEX = 3
+#: Sources whose plan is broadcast at most; beyond it rows are shuffled to their source.
+BROADCAST_SOURCES = 100_000
 
 
 def water_fill(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -54,7 +56,12 @@ def ranked_sources(sizes: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
     return placed.select("source", "source_size", weight.alias("weight"))
 
 
-def _slot(part: int, seed: str):
+def word_count(text: str) -> Column:
+    """Words of a whole text; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
+
+
+def _slot(part: int, seed: str) -> Column:
     """The ``part``-th group of hexadecimal digits of a row's seeded digest."""
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return F.substring(digest, 1 + part * SLOTS_HEX, SLOTS_HEX)
@@ -65,58 +72,89 @@ def _before(*keys: str) -> Column:
     return F.coalesce(F.sum("words").over(W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``size, source_size, target, times, taken``.
-
-    ``size`` is the number of words of the whole text (null: 0), ``times`` how often
-    the mix takes the row, ``taken`` the words that makes. All rows of a source are
-    taken the whole number of times that fits its target. For the fractional
-    repetition a seeded digest of doc_id places them in ``16 ** SLOTS_HEX`` slots;
-    the slots below the cut are taken once more, and the slot of the cut is divided
-    again in the same way, to the nearest slot. So the words of a source meet its
-    target to half a slot of a slot. A source of size 0 has target 0 and is taken 0
-    times. Null doc_ids share one slot; repeated rows are treated alike; an empty
-    table gives no rows. Input columns that bear a name of a result are replaced."""
-    rows = docs.drop("size", "source_size", "target", "times", "taken", "_slot", "_part")
-    rows = rows.withColumns({
-        "size": F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long"),
-        "_slot": _slot(0, seed),
-        "_part": _slot(1, seed),
-    })
-    slots = common.cut(rows.groupBy("source", "_slot").agg(F.sum("size").alias("words")))
+def mix_plan(sized: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> tuple[DataFrame, int]:
+    """What the mix takes of each source of ``sized(doc_id, source, size)``, and the
+    number of sources.
+
+    One row a source: ``mix_source, source_size, target, whole, full_slot, cut_slot,
+    cut_part``. Its rows are taken ``whole`` times; those in slots up to ``full_slot``,
+    and in ``cut_slot`` up to ``cut_part``, once more."""
+    placed = sized.select("source", "size", _slot(0, seed).alias("slot"), _slot(1, seed).alias("part"))
+    slots = common.cut(placed.groupBy("source", "slot").agg(F.sum("size").alias("words")))
     sizes = slots.groupBy("source").agg(F.sum("words").alias("source_size"))
-    plan = common.cut(water_fill(common.cut(ranked_sources(sizes, weights)), max_epochs))
-    plan = plan.select(
-        F.col("source").alias("_s"), "source_size", "target",
-        F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).alias("_whole"),
-    ).withColumn("_rest", F.round("target").cast("long") - F.col("_whole") * F.col("source_size"))
-    rates = slots.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_left", F.col("_rest") - _before("source", "_slot"))
-    rates = common.cut(rates.select(
-        "_s", F.col("_slot").alias("_k"), "source_size", "target", "_whole", "_left",
-        (F.col("_left") >= F.col("words")).alias("_full"), ((F.col("_left") > 0) & (F.col("_left") < F.col("words"))).alias("_cut"),
+    plan = water_fill(common.cut(ranked_sources(sizes, weights)), max_epochs).select(
+        F.col("source").alias("mix_source"), "source_size", "target",
+        F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).alias("whole"),
+    )
+    plan = common.cut(plan.withColumn("rest", F.round("target").cast("long") - F.col("whole") * F.col("source_size")))
+    n = plan.count()
+    of = F.col("source").eqNullSafe(F.col("mix_source"))
+    below = slots.join(common.small(plan.select("mix_source", "rest"), n, BROADCAST_SOURCES), of).where("words > 0")
+    below = below.withColumn("open", F.col("rest") - _before("mix_source", "slot")).where("open > 0")
+    ends = common.cut(below.groupBy("mix_source").agg(
+        F.max(F.when(F.col("open") >= F.col("words"), F.col("slot"))).alias("full_slot"),
+        F.max(F.when(F.col("open") < F.col("words"), F.col("slot"))).alias("cut_slot"),
+        F.max(F.when(F.col("open") < F.col("words"), F.col("open"))).alias("open"),
     ))
-    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slot") == F.col("_k"))
-    parts = rows.join(rates.where("_cut"), same).groupBy("source", "_part").agg(F.sum("size").alias("words"), F.max("_left").alias("_left"))
-    last = common.cut(parts.withColumn("_before", _before("source", "_part")).where("words > 0").groupBy("source").agg(
-        F.max(F.when(2 * F.col("_before") + F.col("words") <= 2 * F.col("_left"), F.col("_part"))).alias("_last")
-    ).select(F.col("source").alias("_s"), "_last"))
-    rates = rates.join(last.withColumnRenamed("_s", "_s2"), F.col("_s").eqNullSafe(F.col("_s2")), "left").drop("_s2")
-    again = F.col("_full") | (F.col("_cut") & F.coalesce(F.col("_part") <= F.col("_last"), F.lit(False)))
-    times = F.col("_whole") + F.when((F.col("source_size") > 0) & again, 1).otherwise(0)
-    return rows.join(rates, same).withColumn("times", times).withColumn("taken", F.col("size") * F.col("times")).drop(
-        "_s", "_k", "_slot", "_part", "_whole", "_left", "_full", "_cut", "_last"
+    last = placed.join(common.small(ends.where("cut_slot is not null").select("mix_source", "cut_slot", "open"), n, BROADCAST_SOURCES), of & (F.col("slot") == F.col("cut_slot")))
+    last = last.groupBy("mix_source", "part").agg(F.sum("size").alias("words"), F.max("open").alias("open")).where("words > 0")
+    last = last.withColumn("before", _before("mix_source", "part")).groupBy("mix_source").agg(
+        F.max(F.when(2 * F.col("before") + F.col("words") <= 2 * F.col("open"), F.col("part"))).alias("cut_part")
     )
+    for more in (ends.drop("open"), common.cut(last)):
+        name = F.col("mix_source").eqNullSafe(F.col("other"))
+        plan = plan.join(more.withColumnRenamed("mix_source", "other"), name, "left").drop("other")
+    return common.cut(plan.drop("rest")), n
+
 
+def _taken(docs: DataFrame, plan: tuple[DataFrame, int], seed: str, some: Column, prefix: str) -> DataFrame:
+    """``docs`` with ``times``, ``source_size`` and ``target``, under names with ``prefix``.
+    ``some`` says that a row has words; one without is taken whole times only."""
+    named = plan[0].toDF(*[prefix + c for c in plan[0].columns])
+    at, slot = (lambda c: F.col(prefix + c)), _slot(0, seed)
+    again = F.coalesce(slot <= at("full_slot"), F.lit(False)) | F.coalesce((slot == at("cut_slot")) & (_slot(1, seed) <= at("cut_part")), F.lit(False))
+    joined = docs.join(common.small(named, plan[1], BROADCAST_SOURCES), F.col("source").eqNullSafe(at("mix_source")))
+    joined = joined.withColumn(prefix + "times", at("whole") + F.when(again & some, 1).otherwise(0))
+    return joined.drop(*[prefix + c for c in ("mix_source", "whole", "full_slot", "cut_slot", "cut_part")])
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, in the same columns."""
-    return mix(docs, **options).where("times > 0").withColumn("_k", F.explode(F.expr("sequence(1L, times)"))).select(*docs.columns)
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """``doc_id, source, size, source_size, target, times, taken`` of each row of ``docs``.
+
+    ``size`` is the number of words of the whole text (null: 0; texts are read once),
+    ``times`` how often the mix takes the row, ``taken`` the words that makes. All rows
+    of a source are taken the whole number of times that fits its target. For the
+    fractional repetition a seeded digest of doc_id places them in ``16 ** SLOTS_HEX``
+    slots; the slots below the cut are taken once more, and the slot of the cut is
+    divided again in the same way, to the nearest slot. So the words of a source meet
+    its target to half a slot of a slot. A source of size 0 has target 0 and is taken
+    0 times; a row of size 0 is never taken once more. Null doc_ids share one slot;
+    repeated rows are treated alike; an empty table gives no rows; further columns
+    are ignored."""
+    sized = common.cut(docs.select("doc_id", "source", word_count("text").alias("size")))
+    out = _taken(sized, mix_plan(sized, weights, max_epochs, seed), seed, F.col("size") > 0, "")
+    return out.withColumn("taken", F.col("size") * F.col("times"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, in the same columns.
+
+    Texts are read twice, once to count words and once to be handed on; they are
+    shuffled only if there are more than ``BROADCAST_SOURCES`` sources. Nulls, ties
+    and empty tables are treated as in ``mix``; whatever columns ``docs`` has keep
+    their values."""
+    sized = common.cut(docs.select("doc_id", "source", word_count("text").alias("size")))
+    prefix = "mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    some = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False))
+    taken = _taken(docs, mix_plan(sized, weights, max_epochs, seed), seed, some, prefix).where(F.col(prefix + "times") > 0)
+    return taken.withColumn(prefix + "copy", F.explode(F.expr(f"sequence(1L, {prefix}times)"))).select(*docs.columns)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     """Target and taken words of every document."""
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP7_SQL = r"""

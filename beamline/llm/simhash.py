@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,6 +27,8 @@ from . import common
 RADIUS = 3
 TILE_ROWS = 2048
 BLOCK = 256
+#: Ids that are broadcast at most (16 to 32 bytes each); beyond it both sides are shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -165,13 +167,40 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS
     """``docs`` with one row of each component, in the same columns.
 
     The row with the smallest doc_id stays; of repeated doc_ids, and where all are
-    null, one row. ``docs`` are numbered in a written copy, so that the choice
-    holds when a task is repeated."""
-    rows = common.cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    prints = common.cut(fingerprints(rows.select(F.col("doc_id").cast("long"), "_row", "text")))
+    null, the one with the smallest fingerprint (by sign), then with the smallest
+    hash of its columns. Which rows stay is decided on doc_ids and fingerprints alone;
+    texts are read twice and moved only where doc_ids repeat, or where more than
+    ``BROADCAST_IDS`` documents go and as many stay. Very long texts take one pass of
+    constant memory beside their words; an empty table gives an empty result."""
+    key, own = F.col("doc_id").cast("long"), common.free_name(docs, "own_fingerprint")
+    prints = common.cut(fingerprints(docs.select(key.alias("doc_id"), "text")))
     ids = classes_of(prints, radius, tile_rows)
-    first = prints.join(ids, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row"))
-    return rows.join(common.cut(first.select("_row")), "_row", "left_semi").select(*docs.columns)
+    first = prints.join(ids, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = common.cut(first.groupBy("root").agg(F.min("fp").alias("wanted"), F.min("doc_id").alias("first_id")))
+    seen = prints.groupBy("doc_id").agg(F.count("*").alias("n"))
+    chosen = first.select("first_id").distinct().withColumn("first", F.lit(True))
+    told = seen.join(chosen, F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
+    one, first_of = F.col("doc_id").isNotNull() & (F.col("n") == 1), F.coalesce("first", F.lit(False))
+    told = common.cut(told.select("doc_id", (one & first_of).alias("stays"), (~one & first_of).alias("several")))
+    goes = F.col("doc_id").isNotNull() & ~F.col("stays")
+    n = told.agg(F.count_if("stays").alias("stay"), F.count_if(goes).alias("go"), F.count_if("several").alias("several")).first()
+
+    def listed(rule: Column, rows: int) -> DataFrame:
+        return common.small(told.where(rule).select(F.col("doc_id").alias(own)), rows, BROADCAST_IDS)
+
+    if n["go"] <= n["stay"]:
+        out = docs.where(key.isNotNull()).join(listed(goes, n["go"]), key == F.col(own), "left_anti")
+    else:
+        out = docs.join(listed(F.col("stays"), n["stay"]), key == F.col(own), "left_semi")
+    if not n["several"]:
+        return out
+    # rows that share a doc_id, or have none: one row of each chosen fingerprint
+    shared = docs.join(listed(F.col("several"), n["several"]), key.eqNullSafe(F.col(own)), "left_semi")
+    whole = fingerprints(shared.select(key.alias("doc_id"), "text", F.struct(*docs.columns).alias("whole")))
+    hashed = F.xxhash64(*[F.col("whole")[c] for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("fp") == F.col("wanted"))
+    picked = whole.join(first, same, "left_semi").groupBy("doc_id", "fp").agg(F.min_by("whole", hashed).alias("whole"))
+    return out.unionByName(picked.select("whole.*"))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
