@@ -80,6 +80,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch that Python holds as objects at once.
+ROWS = 1000
+_HELD: dict = {}
+
+
+def held(name, make: Callable):
+    """What ``make()`` gives, kept by this worker for its next tasks until something of
+    another name is asked for; so a worker holds one operator's caches at most."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def add_columns(df: DataFrame, inputs: tuple[str, ...], added: str, start: Callable[[], Callable]) -> DataFrame:
     """``df`` with columns ``added`` (DDL) that Python computes, batch by batch.
 
@@ -91,7 +111,7 @@ def add_columns(df: DataFrame, inputs: tuple[str, ...], added: str, start: Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = start()
-        for b in batches:
+        for b in slices(batches):
             new = compute(*[b.column(i).to_pylist() for i in inputs])
             arrays = [pa.array(c, t) for c, t in zip(new, types)]
             yield pa.RecordBatch.from_arrays(b.columns + arrays, b.schema.names + [f.name for f in fields])
@@ -104,7 +124,7 @@ def keep_rows(df: DataFrame, column: str, start: Callable[[], Callable]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = start()
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(keep(b.column(column).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

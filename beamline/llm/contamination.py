@@ -203,7 +203,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     for block in item_blocks(benchmark, threshold, hashes, miss, block_items):
 
         def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            cache = WordHash()
+            cache = common.held("words", WordHash)
             for pdf in batches:
                 found = []
                 for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
@@ -223,7 +223,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     for block in item_blocks(benchmark, threshold, hashes, miss, block_items):
 
         def start(block=block):
-            cache = WordHash()
+            cache = common.held("words", WordHash)
             return lambda texts: [not block.value.search(w, _hashed(w, cache)) for w in map(tokens, texts)]
 
         docs = common.keep_rows(docs, "text", start)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -80,8 +81,7 @@ class Model:
         self.languages, self.lexicon = languages, lexicon
         self.weights = np.zeros((BUCKETS, n))
         self.transitions, self.start = np.zeros((n, n)), np.zeros(n)
-        self.place: dict[str, int] = {}
-        self.table = np.empty((0, n))
+        self.key = uuid.uuid4().hex
 
     def features(self, word: str) -> list[int]:
         inner = word.startswith("_")
@@ -102,18 +102,34 @@ class Model:
         return np.add.reduceat(self.weights[flat], np.concatenate([[0], ends[:-1]]), axis=0)
 
 
+class Words:
+    """A worker's table of the emissions of the words that it has met."""
+
+    def __init__(self, model: Model):
+        self.model, self.most = model, min(CACHE, CELLS // len(model.languages))
+        self.reset()
+
+    def reset(self) -> None:
+        self.place: dict[str, int] = {}
+        self.table = np.empty((1 << 12, len(self.model.languages)))
+
     def numbered(self, texts: list[list[str]]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The table of emissions and the words of each text as rows of it. The table
-        stays with the model, so a worker's tasks share it; it starts afresh when it
-        has more than ``CACHE`` words or ``CELLS`` scores."""
-        if len(self.place) > min(CACHE, CELLS // len(self.languages)):
-            self.place, self.table = {}, self.table[:0]
-        place = self.place
-        new = list(set().union(*texts).difference(place))
-        if new:
-            place.update(zip(new, range(len(place), len(place) + len(new))))
-            self.table = np.concatenate([self.table, *(self.emissions(new[k : k + 20_000]) for k in range(0, len(new), 20_000))])
-        return self.table, [np.fromiter(map(place.__getitem__, t), np.int64, len(t)) for t in texts]
+        """The table of emissions and the words of each text as rows of it. It grows by
+        half at least, and starts afresh when it has more than ``CACHE`` words or
+        ``CELLS`` scores."""
+        if len(self.place) > self.most:
+            self.reset()
+        known = len(self.place)
+        new = list(set().union(*texts).difference(self.place))
+        self.place.update(zip(new, range(known, known + len(new))))
+        if len(self.place) > len(self.table):
+            grown = np.empty((max(len(self.place), len(self.table) * 3 // 2), self.table.shape[1]))
+            grown[:known] = self.table[:known]
+            self.table = grown
+        for k in range(0, len(new), 5000):
+            part = self.model.emissions(new[k : k + 5000])
+            self.table[known + k : known + k + len(part)] = part
+        return self.table, [np.fromiter(map(self.place.__getitem__, t), np.int64, len(t)) for t in texts]
 
 
 def build_lexicon(rows: list[tuple[int, list[str]]], n: int, size: int = LEXICON) -> dict[str, list[int]]:
@@ -273,11 +289,13 @@ def posteriors(model: Model, column: list) -> Iterator[np.ndarray | None]:
     """Posterior of the languages at each position of each text; None for texts
     without a letter. Texts are taken together up to a bounded number of words."""
 
+    table = common.held(("language", model.key), lambda: Words(model))
+
     def label(texts: list[list[str]]) -> list:
         out: list = [None] * len(texts)
         usable = [k for k, w in enumerate(texts) if has_letter(w)]
         if usable:
-            for k, posterior in zip(usable, label_words(model, *model.numbered([texts[k] for k in usable]))):
+            for k, posterior in zip(usable, label_words(model, *table.numbered([texts[k] for k in usable]))):
                 out[k] = posterior
         return out
 

@@ -22,7 +22,6 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -47,10 +46,10 @@ LENGTH_BITS = 32
 #: Rules of at most this length are expanded ahead, longer ones when they are met.
 SHORT_RULE = 64
 #: Cached pieces of text per worker; a text with a longer piece is encoded whole.
-CACHE = 1_500_000
+CACHE = 1_000_000
 #: Pieces given to the library at once, and characters split at once.
 ENCODE = 4096
-CHARS = 1 << 22
+CHARS = 1 << 21
 LONG_PIECE = 1000
 
 
@@ -199,10 +198,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """The worker's encoder; its cache outlives a task."""
-    return Encoder(path)
+    return common.held(("tokens", path), lambda: Encoder(path))
 
 
 # --- grammar ------------------------------------------------------------------
@@ -429,6 +427,7 @@ class Shard:
 
 # --- Spark ------------------------------------------------------------------------
 
+_ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("blob", pa.binary())])
 SHARDS = "part int, shard int, first long, n_ids long, doc_ids array<long>, blob binary"
 
 
@@ -444,29 +443,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, shard, first = encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
         base = max(words.vocabulary, END_ID + 1)
         ids, docs, held = [], [], 0
-        end = np.array([END_ID], np.uint32)
-
-        def close() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "shard": [shard], "first": [first], "n_ids": [held], "doc_ids": [ids], "blob": [write_shard(docs, base)]})
-
-        for pdf in batches:
-            texts, names = pdf["text"].tolist(), [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-            for at in range(0, len(texts), 2000):
-                for doc_id, own in zip(names[at : at + 2000], words.encode(texts[at : at + 2000])):
-                    ids.append(doc_id)
-                    docs.append(np.append(own, end).astype(own.dtype))
-                    held += len(own) + 1
-                    if held >= shard_ids:
-                        yield close()
-                        first, shard, ids, docs, held = first + held, shard + 1, [], [], 0
+        end = np.array([END_ID], words.dtype)
+
+        def close() -> pa.RecordBatch:
+            row = {"part": part, "shard": shard, "first": first, "n_ids": held, "doc_ids": ids, "blob": write_shard(docs, base)}
+            return pa.RecordBatch.from_pylist([row], schema=_ARROW)
+
+        for batch in common.slices(batches):
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist())):
+                ids.append(doc_id)
+                docs.append(np.append(own, end))
+                held += len(own) + 1
+                if held >= shard_ids:
+                    yield close()
+                    first, shard, ids, docs, held = first + held, shard + 1, [], [], 0
         if ids:
             yield close()
 
-    rows.mapInPandas(run, SHARDS).write.parquet(path)
+    rows.mapInArrow(run, SHARDS).write.parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
