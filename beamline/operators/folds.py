@@ -1,67 +1,139 @@
 """Ordered folds: operators whose next state depends on an earlier decision.
 
-``lag`` cannot express these. Rows are dealt out by key and sorted within the
-partition; each task then streams through its rows in Arrow batches and keeps one
-state for the key at hand, so memory does not grow with a key's history.
+``lag`` cannot express these. Rows are dealt out by stream and sorted within the
+partition; each task then goes through its rows in Arrow batches and keeps one state
+for the stream at hand, so memory does not grow with a stream's history. A null stream
+is a stream of its own; integers keep all their digits.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-PCR_WRAP, HZ = (1 << 33) * 300, 27_000_000
+PCR_WRAP, PTS_WRAP, HZ = (1 << 33) * 300, 1 << 33, 27_000_000
 PACKET_BITS = 1504
+#: Labels of what starts a clock's timeline afresh.
+FLAGGED, BACKWARD, FORWARD = "discontinuity_flag", "backward_jump", "forward_jump"
+#: Seconds between two probes, after a failed switch, and of the first start.
+PROBE_S, RETRY_S, START_S = 5, 10, 5
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], dict], step: Callable[[dict, object], list[tuple]], out: str) -> DataFrame:
-    """Rows that ``step(state, row)`` returns, with the keys before them.
+def by_stream(df: DataFrame, key: str, order: list[str], start: Callable[[], dict], take: Callable[[dict, pa.RecordBatch], list], out: str) -> DataFrame:
+    """Columns that ``take(state, rows)`` returns, with the key before them.
 
-    ``start()`` makes the state of a new key; ``out`` is the DDL of the rows."""
-    key_ddl = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    names = [*keys, *(x.split()[0] for x in out.split(","))]
+    ``start()`` makes the state of a new key; ``take`` gets the rows of one key that lie
+    together in a batch; ``out`` is the DDL of the columns."""
+    schema = StructType([StructField(key, df.schema[key].dataType), *StructType.fromDDL(out).fields])
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, {}
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                own = tuple(getattr(row, k) for k in keys)
-                if own != last:
-                    last, state = own, start()
-                rows += [own + r for r in step(state, row)]
-            yield pd.DataFrame(rows, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = [], {}
+        for batch in batches:
+            ends, at, parts = pc.run_end_encode(batch.column(key)), 0, []
+            for own, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist()):
+                if last != [own]:
+                    last, state = [own], start()
+                columns = take(state, batch.slice(at, end - at))
+                names = pa.array([own] * len(columns[0]), arrow.types[0])
+                parts.append(pa.RecordBatch.from_arrays([names, *(pa.array(c, t) for c, t in zip(columns, arrow.types[1:]))], schema=arrow))
+                at = end
+            yield from pa.Table.from_batches(parts, arrow).combine_chunks().to_batches()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{key_ddl}, {out}")
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def fold(df: DataFrame, key: str, order: list[str], step: Callable[[dict, object], list[tuple]], out: str) -> DataFrame:
+    """Rows that ``step(state, row)`` returns, with the key before them."""
+    row_of, width = namedtuple("Row", df.columns), len(StructType.fromDDL(out).fields)
+
+    def take(state: dict, rows: pa.RecordBatch) -> list:
+        found = [r for row in map(row_of._make, zip(*(c.to_pylist() for c in rows.columns))) for r in step(state, row)]
+        return list(zip(*found)) or [[] for _ in range(width)]
+
+    return by_stream(df, key, order, dict, take, out)
+
+
+def spaced(ts: list[int], last: int | None, gap: int) -> list[int]:
+    """Places of ascending times that are ``gap`` after the last one taken."""
+    out, at = [], 0 if last is None else bisect_left(ts, last + gap)
+    while at < len(ts):
+        out.append(at)
+        at = bisect_left(ts, ts[at] + gap, at + 1)
+    return out
 
 
 def throttle(samples: DataFrame, seconds: int = 30) -> DataFrame:
     """A sample counts if ``seconds`` have passed since the last that counted."""
 
-    def step(state, row):
-        if "at" in state and row.ts - state["at"] < seconds:
-            return []
-        state["at"] = row.ts
-        return [(row.sample_id, row.ts)]
+    def take(state, rows):
+        ts = rows.column("ts").to_pylist()
+        kept = spaced(ts, state.get("at"), seconds)
+        if kept:
+            state["at"] = ts[kept[-1]]
+        return [rows.column("sample_id").take(pa.array(kept, pa.int64())), [ts[k] for k in kept]]
 
-    return fold(samples.select("stream_id", "ts", "sample_id"), ["stream_id"], ["ts", "sample_id"], dict, step, "sample_id long, ts long")
+    rows = samples.select("stream_id", "ts", "sample_id").where("ts is not null")
+    return by_stream(rows, "stream_id", ["ts", "sample_id"], dict, take, "sample_id long, ts long")
 
 
 def downsample(samples: DataFrame, now: int, keep_s: int = 86_400, recent_s: int = 3600, step_s: int = 120) -> DataFrame:
     """T4: the last hour whole; of older samples those ``step_s`` after the last kept."""
 
-    def step(state, row):
-        if row.ts < now - keep_s:
-            return []
-        if row.ts < now - recent_s:
-            if "at" in state and row.ts - state["at"] < step_s:
-                return []
-            state["at"] = row.ts
-        return [(row.sample_id, row.ts)]
+    def take(state, rows):
+        ts = rows.column("ts").to_pylist()
+        recent = bisect_left(ts, now - recent_s)
+        kept = spaced(ts[:recent], state.get("at"), step_s)
+        if kept:
+            state["at"] = ts[kept[-1]]
+        kept += range(recent, len(ts))
+        return [rows.column("sample_id").take(pa.array(kept, pa.int64())), [ts[k] for k in kept]]
+
+    rows = samples.select("stream_id", "ts", "sample_id").where(f"ts >= {now - keep_s}")
+    return by_stream(rows, "stream_id", ["ts", "sample_id"], dict, take, "sample_id long, ts long")
+
+
+def input_rate(segments: DataFrame, reset_s: float = 12.0) -> DataFrame:
+    """Bit rate of fetched segments; what is gathered starts afresh once it holds
+    ``reset_s`` of media. ``segments(stream_id, sequence, bytes, duration_ms)``."""
+
+    def take(state, rows):
+        size, ms = (np.cumsum(rows.column(c).to_numpy(zero_copy_only=False)) for c in ("bytes", "duration_ms"))
+        rate, at = np.zeros(len(ms), np.int64), 0
+        held_bytes, held_ms = state.get("held", (0, 0))
+        while at < len(ms):
+            end = min(int(np.searchsorted(ms, reset_s * 1000 - held_ms, "left")) + 1, len(ms))
+            own_bytes, own_ms = size[at:end] + held_bytes, ms[at:end] + held_ms
+            rate[at:end] = np.where(own_ms > 0, own_bytes * 8000 // np.maximum(own_ms, 1), 0)
+            if own_ms[-1] >= reset_s * 1000:
+                held_bytes, held_ms = -int(size[end - 1]), -int(ms[end - 1])
+            at = end
+        state["held"] = (held_bytes + int(size[-1]), held_ms + int(ms[-1]))
+        return [rows.column("sequence"), rate]
+
+    rows = segments.select("stream_id", "sequence", "bytes", "duration_ms").fillna(0, ["bytes", "duration_ms"])
+    return by_stream(rows, "stream_id", ["sequence"], dict, take, "sequence long, bps long")
 
-    return fold(samples.select("stream_id", "ts", "sample_id"), ["stream_id"], ["ts", "sample_id"], dict, step, "sample_id long, ts long")
+
+# --- clocks ---------------------------------------------------------------------------
+
+
+def reset_cause(row, back: int, ticks: int) -> str | None:
+    """Why a reading of the source clock starts the timeline afresh; None if it does not."""
+    if row.discontinuity:
+        return FLAGGED
+    if 0 < back < HZ // 1000 or ticks <= 2 * HZ:
+        return None
+    return BACKWARD if back > 0 else FORWARD
 
 
 def clock_timeline(readings: DataFrame) -> DataFrame:
@@ -71,28 +143,30 @@ def clock_timeline(readings: DataFrame) -> DataFrame:
     millisecond, forward or back, are no anchor; a flag, or more than two seconds,
     starts the timeline afresh."""
 
+    def move(state, row, ns: int, epoch: int) -> None:
+        state.update(idx=row.idx, pcr=row.pcr27, seen=row.observed_ms, ns=ns, epoch=epoch)
+
     def step(state, row):
-        if "idx" not in state:
-            state |= {"idx": row.idx, "pcr": row.pcr27, "ns": 0, "seen": row.observed_ms, "epoch": 0}
+        if not state:
+            move(state, row, 0, 0)
             return [("anchor", row.idx, 0, 0, None, 0, 0, 0)]
         if row.idx <= state["idx"]:
             return []
-        ticks, back = (row.pcr27 - state["pcr"]) % PCR_WRAP, state["pcr"] - row.pcr27
-        if not row.discontinuity and 0 < back < HZ // 1000:
-            return []
-        if row.discontinuity or ticks > 2 * HZ:
-            cause = "discontinuity_flag" if row.discontinuity else "backward_jump" if back > 0 else "forward_jump"
-            jump = -(back * 1000 // HZ) if back > 0 else ticks * 1000 // HZ
-            gap, wall = row.idx - state["idx"], max(0, row.observed_ms - state["seen"])
-            state |= {"idx": row.idx, "pcr": row.pcr27, "ns": 0, "seen": row.observed_ms, "epoch": state["epoch"] + 1}
-            return [("reset", row.idx, 0, state["epoch"], cause, jump, wall, gap)]
-        if ticks < HZ // 1000:
-            return []
-        state |= {"idx": row.idx, "pcr": row.pcr27, "ns": state["ns"] + ticks * 1_000_000_000 // HZ, "seen": row.observed_ms}
-        return [("anchor", row.idx, state["ns"], state["epoch"], None, 0, 0, 0)]
+        back, ticks = state["pcr"] - row.pcr27, (row.pcr27 - state["pcr"]) % PCR_WRAP
+        cause = reset_cause(row, back, ticks)
+        if cause:
+            span = (-back if back > 0 else ticks) * 1000
+            jump = -(-span // HZ) if span < 0 else span // HZ
+            told = (cause, jump, max(0, row.observed_ms - state["seen"]), row.idx - state["idx"])
+            move(state, row, 0, state["epoch"] + 1)
+            return [("reset", row.idx, 0, state["epoch"], *told)]
+        if HZ // 1000 <= ticks <= 2 * HZ:
+            move(state, row, state["ns"] + ticks * 1_000_000_000 // HZ, state["epoch"])
+            return [("anchor", row.idx, state["ns"], state["epoch"], None, 0, 0, 0)]
+        return []
 
     out = "kind string, idx long, ns long, epoch long, cause string, jump_ms long, wall_gap_ms long, packet_gap long"
-    return fold(readings, ["stream_id"], ["idx"], dict, step, out)
+    return fold(readings.select("stream_id", "idx", "pcr27", "discontinuity", "observed_ms"), "stream_id", ["idx"], step, out)
 
 
 def packet_schedule(readings: DataFrame) -> DataFrame:
@@ -117,7 +191,7 @@ def packet_schedule(readings: DataFrame) -> DataFrame:
         state |= {"idx": row.idx, "pcr": row.pcr27, "ticks": state["ticks"] + (packets * ticks // per if bridged else delta)}
         return [(row.idx, state["ticks"], bridged)]
 
-    return fold(readings, ["stream_id"], ["idx"], dict, step, "idx long, ticks long, bridged boolean")
+    return fold(readings.select("stream_id", "idx", "pcr27", "discontinuity"), "stream_id", ["idx"], step, "idx long, ticks long, bridged boolean")
 
 
 def source_rate(readings: DataFrame, window_ticks: int = HZ, weight: int = 7, maximum: int = 1_000_000_000) -> DataFrame:
@@ -146,161 +220,225 @@ def source_rate(readings: DataFrame, window_ticks: int = HZ, weight: int = 7, ma
         state["rate"] = measured if old is None else (old * weight + measured) // (weight + 1)
         return [(row.idx, measured, state["rate"])]
 
-    return fold(readings, ["stream_id"], ["idx"], dict, step, "idx long, measured_bps long, rate_bps long")
+    return fold(readings.select("stream_id", "idx", "pcr27", "discontinuity"), "stream_id", ["idx"], step, "idx long, measured_bps long, rate_bps long")
 
 
 def arrival_rate(arrivals: DataFrame, window_ms: int = 1000) -> DataFrame:
     """Bit rate by arrival in windows of at least ``window_ms``, averaged 7 to 1.
-    ``arrivals(stream_id, seq, arrival_ms)``."""
+    ``arrivals(stream_id, seq, arrival_ms)``. A window is found by its first arrival
+    beyond the last one's end, so the work is in proportion to the windows."""
 
-    def step(state, row):
+    def take(state, rows):
+        at_ms, out, at = rows.column("arrival_ms").to_pylist(), [], 0
         if "start" not in state:
-            state |= {"start": row.arrival_ms, "n": 1}
-            return []
-        state["n"] += 1
-        elapsed = row.arrival_ms - state["start"]
-        if elapsed < window_ms:
-            return []
-        measured = state["n"] * PACKET_BITS * 1000 // elapsed
-        old = state.get("rate")
-        state |= {"start": row.arrival_ms, "n": 0, "rate": measured if not old else (old * 7 + measured) // 8}
-        return [(row.seq, measured, state["rate"])]
-
-    return fold(arrivals, ["stream_id"], ["arrival_ms", "seq"], dict, step, "seq long, measured_bps long, rate_bps long")
-
-
-def failover(probes: DataFrame, guard_s: int = 5, healthy_needed: int = 2) -> DataFrame:
-    """Switches between primary and backup. ``probes(stream_id, ts, stalled,
-    primary_healthy)``: a stall moves to the backup, but not within ``guard_s`` of the
-    last switch; consecutive healthy probes of the primary move back."""
+            state |= {"start": at_ms[0], "n": 1}
+            at = 1
+        while at < len(at_ms):
+            end = bisect_left(at_ms, state["start"] + window_ms, at)
+            if end == len(at_ms):
+                state["n"] += end - at
+                break
+            n, elapsed = state["n"] + end + 1 - at, at_ms[end] - state["start"]
+            measured, old = n * PACKET_BITS * 1000 // elapsed, state.get("rate")
+            state |= {"start": at_ms[end], "n": 0, "rate": (old * 7 + measured) // 8 if old else measured}
+            out.append((end, measured, state["rate"]))
+            at = end + 1
+        ends, measured, rate = zip(*out) if out else ((), (), ())
+        return [rows.column("seq").take(pa.array(ends, pa.int64())), measured, rate]
+
+    rows = arrivals.select("stream_id", "seq", "arrival_ms").where("arrival_ms is not null")
+    return by_stream(rows, "stream_id", ["arrival_ms", "seq"], dict, take, "seq long, measured_bps long, rate_bps long")
+
+
+def clock_lock(pictures: DataFrame, needed: int = 25, tolerance: int = 10_800, jump: int = 90_000, period: int = 3600, again: int = 100) -> DataFrame:
+    """Lock to 25 pictures a second. ``pictures(stream_id, idx, pts)``.
+
+    From its anchor on, picture ``needed`` or a later one that is within ``tolerance`` of
+    its due time locks the clock to its own time, and due times follow from there; after
+    ``again`` pictures without a lock the anchor moves on. A locked clock that is more
+    than ``jump`` off starts afresh."""
 
     def step(state, row):
-        state.setdefault("source", "primary")
-        state.setdefault("since", row.ts)
-        if state["source"] == "primary":
-            if not row.stalled or row.ts - state["since"] < guard_s:
-                return []
-            state |= {"source": "backup", "since": row.ts, "healthy": 0}
-            return [(row.ts, "backup", "stalled")]
-        state["healthy"] = state["healthy"] + 1 if row.primary_healthy else 0
-        if state["healthy"] < healthy_needed:
-            return []
-        state |= {"source": "primary", "since": row.ts}
-        return [(row.ts, "primary", "recovered")]
-
-    return fold(probes, ["stream_id"], ["ts"], dict, step, "ts long, source string, reason string")
-
-
-def clock_lock(pictures: DataFrame, needed: int = 25, tolerance: int = 10_800, jump: int = 90_000, period: int = 3600) -> DataFrame:
-    """Lock to 25 pictures a second. ``pictures(stream_id, idx, pts)``: the lock
-    holds after ``needed`` pictures in a row within ``tolerance`` of their due time; a
-    jump anchors the due time again."""
-
-    def step(state, row):
-        due = state.get("due")
-        if due is None or abs(row.pts - due) > jump:
-            state |= {"due": row.pts + period, "run": 1, "locked": False}
-            return [(row.idx, False, row.pts)]
-        ok = abs(row.pts - due) <= tolerance
-        state["run"] = state["run"] + 1 if ok else 0
-        state["locked"] = ok and (state["locked"] or state["run"] >= needed)
-        clock = due if state["locked"] else row.pts
-        state["due"] = clock + period
-        return [(row.idx, state["locked"], clock)]
+        pts = row.pts % PTS_WRAP
+        due = (state["anchor"] + state["n"] * period) % PTS_WRAP if state else pts
+        off = (pts - due + PTS_WRAP // 2) % PTS_WRAP - PTS_WRAP // 2
+        if not state or state["locked"] and abs(off) > jump:
+            state.update(anchor=pts, n=1, locked=False)
+            return [(row.idx, False, pts)]
+        state["n"] += 1
+        if not state["locked"] and state["n"] >= needed:
+            if abs(off) <= tolerance:
+                state.update(locked=True, anchor=(pts - (state["n"] - 1) * period) % PTS_WRAP)
+                due = pts
+            elif state["n"] >= again:
+                state.update(anchor=pts, n=1)
+        return [(row.idx, state["locked"], due if state["locked"] else pts)]
 
-    return fold(pictures, ["stream_id"], ["idx"], dict, step, "idx long, locked boolean, clock long")
+    return fold(pictures.select("stream_id", "idx", "pts").where("pts is not null"), "stream_id", ["idx"], step, "idx long, locked boolean, clock long")
 
 
 def switch_clock(packets: DataFrame, lead: int = 9000) -> DataFrame:
-    """One clock across source switches. ``packets(stream_id, seq, source, pts)``: at
-    a switch the new source's first timestamp is put ``lead`` after the last one."""
-
-    def step(state, row):
-        if state.get("source") != row.source:
-            state["offset"] = (state["last"] + lead - row.pts) if "last" in state else 0
-            state["source"] = row.source
-        state["last"] = (row.pts + state["offset"]) % (1 << 33)
-        return [(row.seq, row.source, state["last"])]
-
-    return fold(packets, ["stream_id"], ["seq"], dict, step, "seq long, source string, out_pts long")
+    """One clock and one continuity across source switches.
 
-
-def input_rate(segments: DataFrame, reset_s: float = 12.0) -> DataFrame:
-    """Bit rate of fetched segments; what is gathered starts afresh once it holds
-    ``reset_s`` of media. ``segments(stream_id, sequence, bytes, duration_ms)``."""
+    ``packets(stream_id, seq, source, pid, cc, has_payload, pcr, pts)`` with 90 kHz
+    clocks, null where a packet has none. The first clock of a new source is put ``lead``
+    after the last one; from the first switch on a pid's count goes on from its last
+    packet; the first PCR after a switch is flagged. Gives ``seq, out_cc, out_pcr,
+    out_pts, flagged``."""
 
     def step(state, row):
-        state["bytes"] = state.get("bytes", 0) + row.bytes
-        state["ms"] = state.get("ms", 0) + row.duration_ms
-        rate = state["bytes"] * 8000 // state["ms"] if state["ms"] else 0
-        if state["ms"] >= reset_s * 1000:
-            state |= {"bytes": 0, "ms": 0}
-        return [(row.sequence, rate)]
+        if not state:
+            state.update(source=row.source, offset=0, last=None, waits=False, flag=False, moved=False, next={})
+        elif state["source"] != row.source:
+            state.update(source=row.source, waits=True, flag=True, moved=True)
+        count = state["next"].get(row.pid, row.cc) if state["moved"] else row.cc
+        state["next"][row.pid] = (count + bool(row.has_payload)) % 16
+        first = row.pts if row.pcr is None else row.pcr
+        if state["waits"] and first is not None:
+            state.update(waits=False, offset=0 if state["last"] is None else (state["last"] + lead - first) % PTS_WRAP)
+        flagged = state["flag"] and row.pcr is not None
+        state["flag"] &= not flagged
+        moved = [None if v is None else (v + state["offset"]) % PTS_WRAP for v in (row.pcr, row.pts)]
+        state["last"] = max((v for v in (state["last"], *moved) if v is not None), default=None)
+        return [(row.seq, count, *moved, flagged)]
+
+    rows = packets.select("stream_id", "seq", "source", "pid", "cc", "has_payload", "pcr", "pts")
+    return fold(rows, "stream_id", ["seq"], step, "seq long, out_cc int, out_pcr long, out_pts long, flagged boolean")
 
-    return fold(segments, ["stream_id"], ["sequence"], dict, step, "sequence long, bps long")
 
-
-def bounded_queue(chunks: DataFrame, limit: int = 32 << 20) -> DataFrame:
-    """A queue that drops its oldest chunks. ``chunks(stream_id, seq, bytes,
-    drained)``: bytes come in, ``drained`` bytes leave before them; gives what is held
-    and what was dropped so far."""
+def pts_recovery(units: DataFrame, drift: int = 45_000) -> DataFrame:
+    """A timestamp for each access unit. ``units(stream_id, idx, pts, step)``: an
+    absent one continues by ``step``. Once a source timestamp is more than ``drift`` off,
+    or is the first one, every source timestamp is taken as it is."""
 
     def step(state, row):
-        held = max(0, state.get("held", 0) - row.drained) + row.bytes
-        over = max(0, held - limit)
-        state |= {"held": held - over, "dropped": state.get("dropped", 0) + over}
-        return [(row.seq, state["held"], state["dropped"])]
-
-    return fold(chunks, ["stream_id"], ["seq"], dict, step, "seq long, held long, dropped long")
+        guess = (state["clock"] + row.step) % PTS_WRAP if "clock" in state else None
+        known = row.pts is not None
+        off = (row.pts - guess + PTS_WRAP // 2) % PTS_WRAP - PTS_WRAP // 2 if known and guess is not None else 0
+        if known and (guess is None or abs(off) > drift):
+            state["locked"] = True
+        taken = known and state.get("locked", False)
+        if taken:
+            state["clock"] = row.pts % PTS_WRAP
+        elif guess is not None:
+            state["clock"] = guess
+        return [(row.idx, state.get("clock"), bool(taken and (guess is None or off != 0)))]
+
+    return fold(units.select("stream_id", "idx", "pts", "step"), "stream_id", ["idx"], step, "idx long, clock long, corrected boolean")
+
+
+# --- decisions --------------------------------------------------------------------------
+
+
+def failover_step(state: dict, row) -> list[tuple]:
+    """One probe of T15; ``state`` holds what the next one needs."""
+    if not state:
+        state.update(first=row.ts, backup=False, healthy=0, next=None)
+    if state["next"] is not None and row.ts < state["next"]:
+        return []
+    if not state["backup"]:
+        if not row.active and row.ts - state["first"] < START_S or row.active and not row.stalled:
+            return []
+        to, cause = "backup", "input_silent"
+    else:
+        state["healthy"] = state["healthy"] + 1 if row.primary_healthy else 0
+        state["next"] = row.ts + PROBE_S
+        if state["healthy"] >= 2:
+            to, cause = "primary", "primary_healthy_twice"
+        elif not row.active:
+            to, cause = "backup", "backup_stopped"
+        else:
+            return []
+    # a switch that fails goes back to where it came from
+    state.update(backup=(to == "backup") == bool(row.starts), healthy=0, next=row.ts + (PROBE_S if row.starts else RETRY_S))
+    return [(row.ts, to, cause, bool(row.starts))]
 
 
-def pes_pacing(units: DataFrame, low: int = 900, high: int = 9000, wait_ms: int = 200) -> DataFrame:
-    """When each access unit is due. ``units(stream_id, idx, dts)`` in 90 kHz ticks:
-    steps of 10 to 100 ms are kept, others start the plan afresh; no wait is above
-    ``wait_ms``."""
+def failover(probes: DataFrame) -> DataFrame:
+    """Switches between primary and backup.
 
-    def step(state, row):
-        delta = row.dts - state["dts"] if "dts" in state else None
-        resync = delta is None or not low <= delta <= high
-        wait = 0 if resync else min(wait_ms, delta // 90)
-        state |= {"dts": row.dts, "due": state.get("due", 0) + wait}
-        return [(row.idx, state["due"], resync)]
+    ``probes(stream_id, ts, active, stalled, primary_healthy, starts)``, about one a
+    second; ``starts`` says that a source started at that time would run. A stream that
+    stalls or is not active moves to its backup, but one that is not active only
+    ``START_S`` after its first start. On the backup the primary is probed every
+    ``PROBE_S``; two healthy probes in a row move back, and a backup that stopped is
+    started again. A switch that fails is rolled back and tried again after
+    ``RETRY_S``."""
+    rows = probes.select("stream_id", "ts", "active", "stalled", "primary_healthy", "starts")
+    return fold(rows, "stream_id", ["ts"], failover_step, "ts long, source string, cause string, done boolean")
 
-    return fold(units, ["stream_id"], ["idx"], dict, step, "idx long, due_ms long, resync boolean")
 
+#: Seconds that a session may be idle.
+IDLE_S = 120
 
-def pts_recovery(units: DataFrame, drift: int = 45_000) -> DataFrame:
-    """A timestamp for each access unit. ``units(stream_id, idx, pts, step)``: an
-    absent one continues by ``step``; one that drifts more than ``drift`` locks again."""
-
-    def step(state, row):
-        guess = state["clock"] + row.step if "clock" in state else None
-        known = row.pts is not None and row.pts == row.pts
-        locked = known and (guess is None or abs(row.pts - guess) > drift)
-        state["clock"] = int(row.pts) if locked or guess is None and known else guess if guess is not None else 0
-        return [(row.idx, state["clock"], bool(locked))]
 
-    return fold(units, ["stream_id"], ["idx"], dict, step, "idx long, clock long, locked boolean")
+def authorised(events: DataFrame, recheck_minutes: int = 10) -> DataFrame:
+    """Verdicts of the session registry.
 
+    ``events(session_id, ts, request_id, kind, granted)``: a ``request`` with what the
+    back-end would say, or a ``revoke``. A first request is checked; a granted session is
+    cached until its recheck is due (1 to 60 minutes) and checked again by the first
+    request after it. A refusal closes the session; a revoked one refuses without a
+    check. A session that is idle for more than ``IDLE_S`` is forgotten, revoked or not.
+    Gives ``ts, request_id, checked, allowed`` of each request."""
+    recheck = min(60, max(1, recheck_minutes)) * 60
 
-def segment_cuts(starts: DataFrame, target_ms: int = 4000) -> DataFrame:
-    """Segments of a stream. ``starts(stream_id, seq, clock_ms, random_access)``: a
-    cut comes at the first random access once ``target_ms`` have passed, or at three
-    times that anywhere; a segment starts only at a random access."""
+    def step(state, row):
+        if "seen" in state and row.ts - state["seen"] > IDLE_S:
+            state.clear()
+        if row.kind == "revoke":
+            if state:
+                state["revoked"] = True
+            return []
+        if "revoked" in state:
+            return [(row.ts, row.request_id, False, False)]
+        checked = row.ts >= state.get("due", row.ts)
+        if checked and not row.granted:
+            state.clear()
+            return [(row.ts, row.request_id, True, False)]
+        if checked:
+            state["due"] = row.ts + recheck
+        state["seen"] = row.ts
+        return [(row.ts, row.request_id, checked, True)]
+
+    rows = events.select("session_id", "ts", "request_id", "kind", "granted")
+    return fold(rows, "session_id", ["ts", "request_id"], step, "ts long, request_id long, checked boolean, allowed boolean")
+
+
+def segment_cuts(packets: DataFrame, target_ms: int = 4000, mode: str = "other") -> DataFrame:
+    """Segments of a stream.
+
+    ``packets(stream_id, seq, clock_ms, psi, pes_start, random_access, key_picture)``;
+    ``clock_ms`` is null where a packet has no PCR. The first segment starts once the
+    program tables were seen, at a PES start (``abr``: random access) with a PCR. Once
+    ``target_ms`` have passed it is cut by ``mode``: ``abr`` at random access with a PCR;
+    ``coded`` at a PES start whose picture is a key picture; ``other`` at a PES start, or
+    anywhere after three times the target."""
 
     def step(state, row):
+        state["psi"] = state.get("psi", False) or bool(row.psi)
+        if row.clock_ms is not None:
+            state["now"] = row.clock_ms
+        clocked = row.clock_ms is not None
         if "from" not in state:
-            if row.random_access:
+            if state["psi"] and clocked and (row.random_access if mode == "abr" else row.pes_start):
                 state |= {"from": row.clock_ms, "n": 0, "first": row.seq}
             return []
-        span = row.clock_ms - state["from"]
-        if not (span >= target_ms and row.random_access or span >= 3 * target_ms):
+        span = state["now"] - state["from"]
+        if mode == "abr":
+            cut = clocked and row.random_access and span >= target_ms
+        elif mode == "coded":
+            cut = row.pes_start and row.key_picture and span >= target_ms
+        else:
+            cut = row.pes_start and span >= target_ms or span >= 3 * target_ms
+        if not cut:
             return []
         done = (state["n"], state["first"], row.seq - 1, min(max(span, 50), max(60_000, 3 * target_ms)))
-        state |= {"from": row.clock_ms, "n": state["n"] + 1, "first": row.seq}
+        state |= {"from": state["now"], "n": state["n"] + 1, "first": row.seq}
         return [done]
 
-    return fold(starts, ["stream_id"], ["seq"], dict, step, "segment long, first_seq long, last_seq long, duration_ms long")
+    rows = packets.select("stream_id", "seq", "clock_ms", "psi", "pes_start", "random_access", "key_picture")
+    return fold(rows, "stream_id", ["seq"], step, "segment long, first_seq long, last_seq long, duration_ms long")
 
 
 def service_ids(services: DataFrame, base: int = 1) -> DataFrame:
@@ -309,10 +447,27 @@ def service_ids(services: DataFrame, base: int = 1) -> DataFrame:
 
     def step(state, row):
         used = state.setdefault("used", set())
-        wanted = int(row.wanted) if row.wanted == row.wanted and row.wanted else base + int(row.ord)
+        wanted = row.wanted or base + row.ord
         while wanted in used:
             wanted += 1
         used.add(wanted)
         return [(row.ord, wanted)]
 
-    return fold(services, ["mux_id"], ["ord"], dict, step, "ord long, service_id long")
+    return fold(services.select("mux_id", "ord", "wanted"), "mux_id", ["ord"], step, "ord long, service_id long")
+
+
+def unique_ids(rows: DataFrame) -> DataFrame:
+    """An id for each new row of ``rows(id, ord, known)``: its own, or with the first
+    number from 2 on behind it that makes one that is neither known nor given before.
+    Gives ``ord, new_id``. Ids that can meet, equal but for such numbers, are one group."""
+
+    def step(state, row):
+        used = state.setdefault("used", set())
+        own, n = row.id, 2
+        while own in used and not row.known:
+            own, n = f"{row.id}_{n}", n + 1
+        used.add(own)
+        return [] if row.known else [(row.ord, own)]
+
+    named = rows.select(F.regexp_replace("id", "(_[0-9]+)+$", "").alias("stem"), (~F.col("known")).alias("later"), "ord", "id", "known")
+    return fold(named, "stem", ["later", "ord"], step, "ord long, new_id string").drop("stem")

@@ -94,13 +94,14 @@ def once_a_day(slots: DataFrame) -> DataFrame:
 
 
 def imported(new: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows whose name (in lower case) and address are not known yet; an id that is
-    taken gets the next number."""
-    fresh = new.join(known.select(F.lower("name").alias("_n"), F.col("uri").alias("_u")).distinct(), (F.lower("name") == F.col("_n")) & (F.col("uri") == F.col("_u")), "left_anti")
-    taken = known.groupBy("id").agg(F.count("*").alias("_taken"))
-    place = F.row_number().over(W.partitionBy("id").orderBy("ord"))
-    rows = fresh.join(taken, "id", "left").withColumn("_k", place + F.coalesce("_taken", F.lit(0)))
-    return rows.withColumn("id", F.when(F.col("_k") > 1, F.concat_ws("-", "id", "_k")).otherwise(F.col("id"))).drop("_taken", "_k")
+    """Rows of ``new(id, ord, name, uri)`` whose name (in lower case) and address are
+    neither known nor in a row before, each under an id that is free."""
+    same = [F.lower("name").alias("_n"), F.col("uri").alias("_u")]
+    first = W.partitionBy(F.lower("name"), "uri").orderBy("ord")
+    fresh = new.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+    fresh = fresh.join(known.select(*same).distinct(), (F.lower("name") == F.col("_n")) & (F.col("uri") == F.col("_u")), "left_anti")
+    ids = known.select("id", F.lit(-1).cast("long").alias("ord"), F.lit(True).alias("known")).unionByName(fresh.select("id", F.col("ord").cast("long").alias("ord"), F.lit(False).alias("known")))
+    return fresh.drop("id").join(unique_ids(ids).withColumnRenamed("new_id", "id"), "ord").select(*new.columns)
 
 
 def search(streams: DataFrame, text: str) -> DataFrame:

@@ -9,28 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import continuity, folds, guide, health, hls, logs, quality, sessions, timing
+from ..operators import continuity, guide, health, hls, logs, quality, sessions, timing
 from ..sources import transport
+from . import fold_queries  # noqa: F401
 from . import relations as R
+from .catalog import ORACLES, QUERIES, query
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 #: Fixed times of the queries, in epoch seconds.
 NOW, GUIDE_NOW = 1_706_000_000, 852_076_800
 
 
-def query(sql: str | None = None):
-    """Register the function under its name, with its DuckDB form."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- packets ------------------------------------------------------------------------
 
 STATUS = """,
@@ -583,76 +571,6 @@ def k13_alerts(spark, sf_dir: str) -> DataFrame:
     return quality.alerts(R.quality(spark, sf_dir)).select("stream_id", "sample_id", "event")
 
 
-# --- folds ----------------------------------------------------------------------------------
-
-@query()
-def t1_throttled_samples(spark, sf_dir: str) -> DataFrame:
-    """T1"""
-    return folds.throttle(R.quality(spark, sf_dir), 7200)
-
-
-@query()
-def t4_downsampled(spark, sf_dir: str) -> DataFrame:
-    """T4"""
-    return folds.downsample(R.quality(spark, sf_dir), NOW, keep_s=10 * 86_400, recent_s=86_400, step_s=7200)
-
-
-def readings(spark, sf_dir: str) -> DataFrame:
-    return R.packets(spark, sf_dir).where("pcr27 is not null").select("stream_id", F.col("seq").alias("idx"), "pcr27", F.expr("discontinuity").alias("discontinuity"), F.col("arrival_ms").alias("observed_ms"))
-
-
-@query()
-def t18_clock_timeline(spark, sf_dir: str) -> DataFrame:
-    """T18, T30"""
-    return folds.clock_timeline(readings(spark, sf_dir))
-
-
-@query()
-def t19_packet_schedule(spark, sf_dir: str) -> DataFrame:
-    """T19"""
-    return folds.packet_schedule(readings(spark, sf_dir))
-
-
-@query()
-def t20_source_rate(spark, sf_dir: str) -> DataFrame:
-    """T20"""
-    return folds.source_rate(readings(spark, sf_dir))
-
-
-@query()
-def t21_arrival_rate(spark, sf_dir: str) -> DataFrame:
-    """T21"""
-    return folds.arrival_rate(R.packets(spark, sf_dir).select("stream_id", "seq", "arrival_ms"), 60_000)
-
-
-@query()
-def t15_failover(spark, sf_dir: str) -> DataFrame:
-    """T15"""
-    any_of = lambda c: F.max(c.cast("int")).cast("boolean")
-    q = R.quality(spark, sf_dir).groupBy("stream_id", "ts").agg(any_of(~F.col("active")).alias("stalled"), any_of(F.col("in_kbps") > 100).alias("primary_healthy"))
-    return folds.failover(q)
-
-
-@query()
-def t10_segment_cuts(spark, sf_dir: str) -> DataFrame:
-    """T10"""
-    p = R.packets(spark, sf_dir).select("stream_id", "seq", F.col("arrival_ms").alias("clock_ms"), F.expr("pusi and not tei").alias("random_access"))
-    return folds.segment_cuts(p, 3_600_000)
-
-
-@query()
-def t34_input_rate(spark, sf_dir: str) -> DataFrame:
-    """T34"""
-    return folds.input_rate(R.segments(spark, sf_dir).select("stream_id", "sequence", (F.col("duration_ms") * 500).alias("bytes"), "duration_ms"))
-
-
-@query()
-def a17_picture_rate(spark, sf_dir: str) -> DataFrame:
-    """A17"""
-    p = R.packets(spark, sf_dir).where("pts is not null").select("stream_id", F.col("seq").alias("idx"), "pts")
-    return timing.picture_rate(p)
-
-
 # --- scalars --------------------------------------------------------------------------------
 
 

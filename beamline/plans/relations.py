@@ -147,4 +147,4 @@ SQL = {
 def oracle(body: str, *names: str, recursive: bool = False) -> str:
     """``body`` with the named relations before it. A body that starts with ``,`` goes
     on with further CTEs."""
-    return "with " + ("recursive " if recursive else "") + ",\n".join(SQL[n] for n in names) + body
+    return "with " + ("recursive " if recursive else "") + (",\n".join(SQL[n] for n in names) + body).lstrip(", ")

@@ -1,8 +1,10 @@
 """Transport stream captures: framing, packet headers, RTP datagrams.
 
-A capture is a file of 188-byte packets. Files are read whole, one task each, by
-Spark's ``binaryFile`` reader; the framing finds packets after damage, and headers
-are decoded by numpy over all packets of a file at once.
+A capture is a file of 188-byte packets, of any size: it is read in ranges, one task
+each. Where packets begin in a range depends on where the last one before it ended, so
+each range first tells where it would end for every place it may begin at; a fold over
+the ranges of a file picks the real ones. Headers are decoded by numpy over many
+packets at once.
 """
 
 from __future__ import annotations
@@ -14,7 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.folds import fold
+
 SIZE, SYNC = 188, 0x47
+#: Bytes of a capture that one task reads.
+RANGE_BYTES = 32 << 20
 #: Table of the MPEG CRC-32 polynomial.
 POLYNOMIAL = 0x04C11DB7
 
@@ -61,54 +67,125 @@ def parse_headers(packets: DataFrame, column: str = "pkt") -> DataFrame:
     return packets.mapInPandas(run, schema)
 
 
+def packet_starts(buffer: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places below ``limit`` where a packet may begin: a sync byte with sync bytes one and
+    two packets on, as far as whole packets are there; and which of them have a valid
+    header."""
+    at = np.flatnonzero(buffer[:limit] == SYNC)
+    at = at[at + SIZE <= len(buffer)]
+    for ahead in (SIZE, 2 * SIZE):
+        there = at + ahead + SIZE <= len(buffer)
+        at = at[~there | (buffer[np.where(there, at + ahead, 0)] == SYNC)]
+    valid = np.concatenate([np.empty(0, bool), *(headers(buffer[part[:, None] + np.arange(12)])["valid"] for part in np.array_split(at, len(at) // 100_000 + 1))])
+    return at, valid
+
+
+def successors(at: np.ndarray, valid: np.ndarray, trusted: bool) -> list[int]:
+    """For each place the number of the next packet's place (their number if there is
+    none): the place right behind it, which ``trusted`` takes unseen, else the first one
+    from there on with a valid header."""
+    sound = np.flatnonzero(valid)
+    behind = np.searchsorted(at, at + SIZE)
+    after = np.append(sound, len(at))[np.searchsorted(at[sound], at + SIZE)]
+    if trusted:
+        direct = behind < len(at)
+        direct[direct] = at[behind[direct]] == at[direct] + SIZE
+        after[direct] = behind[direct]
+    return after.tolist()
+
+
+def first_start(at: np.ndarray, valid: np.ndarray, begin: int, follows: bool) -> int:
+    """Number of the first packet from ``begin`` on; one that ``follows`` may be unseen."""
+    k = int(np.searchsorted(at, begin))
+    if follows and k < len(at) and at[k] == begin:
+        return k
+    rest = np.flatnonzero(valid[k:])
+    return k + int(rest[0]) if len(rest) else len(at)
+
+
 def frame(data: bytes, trusted: bool = False) -> np.ndarray:
     """Packets of a byte stream, shape (n, 188).
 
-    Whole grids of sync bytes are taken at once. Where the grid breaks, the next start
-    is the first byte with sync bytes there and at the next two places (as far as the
-    data go) and, unless ``trusted``, a valid header."""
+    A packet begins at a sync byte with sync bytes at the next two places, as far as the
+    data go, and has a valid header; from there the next one is looked for byte by byte.
+    ``trusted`` takes a packet right behind another without a look at its header."""
     buffer = np.frombuffer(data, np.uint8)
-    out, at = [], 0
-    while at + SIZE <= len(buffer):
-        grid = buffer[at : at + (len(buffer) - at) // SIZE * SIZE].reshape(-1, SIZE)
-        ok = grid[:, 0] == SYNC
-        if not trusted:
-            ok &= headers(grid)["valid"] | (((grid[:, 3] >> 4) & 3) == 0)
-        n = len(ok) if ok.all() else int(np.argmin(ok))
-        out.append(grid[:n])
-        at += n * SIZE
-        if at + SIZE > len(buffer):
-            break
-        sync = np.nonzero(buffer[at + 1 : len(buffer) - SIZE + 1] == SYNC)[0] + at + 1
-        for d in (SIZE, 2 * SIZE):
-            sync = sync[(sync + d >= len(buffer)) | (buffer[np.minimum(sync + d, len(buffer) - 1)] == SYNC)]
-        if not trusted and len(sync):
-            sync = sync[headers(buffer[sync[:, None] + np.arange(SIZE)])["valid"]] if len(sync) < 4096 else sync
-        if not len(sync):
-            break
-        at = int(sync[0])
-    return np.concatenate(out) if out else np.empty((0, SIZE), np.uint8)
-
-
-def read_captures(spark: SparkSession, path: str, pids: list[int] | None = None, trusted: bool = False) -> DataFrame:
-    """``(stream_id, seq, pkt)`` of the captures under ``path``, one stream a
-    file; ``pids`` lets only these through before the packets leave the reader (F2)."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at, valid = packet_starts(buffer, len(buffer))
+    after, k, found = successors(at, valid, trusted), first_start(at, valid, 0, trusted), []
+    while k < len(at):
+        found.append(k)
+        k = after[k]
+    return buffer[at[found][:, None] + np.arange(SIZE)] if found else np.empty((0, SIZE), np.uint8)
+
+
+def read_range(path: str, begin: int, size: int) -> bytes:
+    """``size`` bytes of a file from ``begin`` on, fewer at its end."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        path = path.removeprefix("file:")
+    where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with where.open_input_file(name) as f:
+        f.seek(begin)
+        return f.read(size)
+
+
+def read_captures(spark: SparkSession, path: str, pids: list[int] | None = None, trusted: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``(stream_id, seq, at, pkt)`` of the captures under ``path``, one stream a
+    file, ``at`` being a packet's place in it; ``pids`` lets only these through before
+    the packets leave the reader (F2). The result is that of ``frame`` over the whole
+    file, whatever the ranges are."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("begin"))
+    ranges = ranges.repartition("path", "begin")
+    keys = [(d, follows) for d in range(SIZE) for follows in (False, True)]
+
+    def load(name: str, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        buffer = np.frombuffer(read_range(name, begin, range_bytes + 3 * SIZE), np.uint8)
+        at, valid = packet_starts(buffer, range_bytes)
+        return buffer, at, valid, successors(at, valid, trusted)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, begin in zip(pdf["path"], pdf["begin"]):
+                _, at, valid, after = load(name, begin)
+                # from each place: how many packets, and where the last one ends
+                counts, ends = [0] * (len(at) + 1), [0] * (len(at) + 1)
+                for k in range(len(at) - 1, -1, -1):
+                    counts[k] = counts[after[k]] + 1
+                    ends[k] = ends[after[k]] if after[k] < len(at) else int(at[k]) + SIZE
+                firsts = [first_start(at, valid, d, follows and trusted) for d, follows in keys]
+                # beyond the range a packet may go on; else the search does, from the range's end
+                leaves = [(ends[k] - range_bytes, True) if ends[k] >= range_bytes else (0, False) for k in firsts]
+                rows.append((name, begin, [counts[k] for k in firsts], [d for d, _ in leaves], [f for _, f in leaves]))
+            yield pd.DataFrame(rows, columns=["path", "begin", "counts", "leaves", "follows"])
+
+    def enter(state: dict, row) -> list[tuple]:
+        k = keys.index((state.get("at", 0), state.get("follows", True)))
+        out = (row.begin, state.get("at", 0), state.get("follows", True), state.get("seq", 0))
+        state.update(at=row.leaves[k], follows=row.follows[k], seq=state.get("seq", 0) + row.counts[k])
+        return [out]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                packets = frame(content, trusted)
-                seq = np.arange(len(packets))
-                if pids is not None:
-                    own = ((packets[:, 1].astype(int) & 0x1F) << 8) | packets[:, 2]
-                    keep = np.isin(own, pids)
-                    packets, seq = packets[keep], seq[keep]
-                for a in range(0, len(packets), 50_000):
-                    part = packets[a : a + 50_000]
-                    yield pd.DataFrame({"stream_id": name, "seq": seq[a : a + 50_000], "pkt": [r.tobytes() for r in part]})
-
-    return files.mapInPandas(run, "stream_id string, seq long, pkt binary")
+            for name, begin, first, follows, seq in zip(pdf["path"], pdf["begin"], pdf["first"], pdf["follows"], pdf["seq"]):
+                buffer, at, valid, after = load(name, begin)
+                k, found = first_start(at, valid, first, follows and trusted), []
+                while k < len(at):
+                    found.append(k)
+                    k = after[k]
+                for a in range(0, len(found), 50_000):
+                    own = at[found[a : a + 50_000]]
+                    numbers = seq + a + np.arange(len(own))
+                    if pids is not None:
+                        keep = np.isin((buffer[own + 1].astype(int) & 0x1F) << 8 | buffer[own + 2], pids)
+                        own, numbers = own[keep], numbers[keep]
+                    yield pd.DataFrame({"stream_id": name, "seq": numbers, "at": begin + own, "pkt": [r.tobytes() for r in buffer[own[:, None] + np.arange(SIZE)]]})
+
+    found = ranges.mapInPandas(scan, "path string, begin long, counts array<long>, leaves array<int>, follows array<boolean>")
+    entered = fold(found, "path", ["begin"], enter, "begin long, first int, follows boolean, seq long")
+    return entered.repartition("path", "begin").mapInPandas(read, "stream_id string, seq long, at long, pkt binary")
 
 
 def _octet(column: Column, at: int) -> Column:
