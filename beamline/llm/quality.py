@@ -12,21 +12,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .contamination import WordHash, mixed, tokens
 
-BUCKETS = 10_000
+#: Buckets of the n-grams: one a document, a power of two within these bounds (the
+#: upper one is a table of 16 MB in every worker).
+MIN_BUCKETS, MAX_BUCKETS = 1 << 14, 1 << 22
 #: Target documents that the target model is fitted on, at most.
 MAX_TARGET_DOCS = 20_000
 KEEP = 0.75
 SEED = 7
 
 
-def ngrams(text: str | None, cache: WordHash, buckets: int = BUCKETS) -> np.ndarray:
+def bucket_count(n_docs: int) -> int:
+    """Buckets of the models of a corpus."""
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << max(0, n_docs - 1).bit_length()))
+
+
+def ngrams(text: str | None, cache: WordHash, buckets: int) -> np.ndarray:
     """Bucket of each unigram and bigram of the whole text."""
     words = tokens(text)
     h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
@@ -34,61 +41,71 @@ def ngrams(text: str | None, cache: WordHash, buckets: int = BUCKETS) -> np.ndar
     return (np.concatenate([h, pairs]) % np.uint64(buckets)).astype(np.int64)
 
 
-def log_ratio(docs: DataFrame, target_ids: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """Log ratio of the two models by bucket, counted over all of ``docs``.
-
-    Each task returns one count a bucket; the ``buckets`` sums come to the driver."""
+def counted(docs: DataFrame, target_ids: np.ndarray, buckets: int) -> DataFrame:
+    """``(bucket, raw, target)``: n-grams of all of ``docs`` and of the target texts, summed
+    within the tasks and then over them."""
     chosen = docs.sparkSession.sparkContext.broadcast(np.sort(target_ids))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, ids = WordHash(), chosen.value
-        counts = np.zeros((2, buckets), np.int64)
-        for pdf in batches:
-            good = np.isin(pdf["doc_id"].fillna(-1).to_numpy(np.int64), ids) & pdf["doc_id"].notna().to_numpy()
-            for text, target in zip(pdf["text"], good):
-                grams = np.bincount(ngrams(text, cache, buckets), minlength=buckets)
-                counts[0] += grams
-                if target:
-                    counts[1] += grams
-        yield pd.DataFrame({"bucket": np.arange(buckets), "raw": counts[0], "target": counts[1]})
-
-    seen = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "bucket long, raw long, target long")
-    sums = seen.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).orderBy("bucket").toPandas()
-    if sums.empty or not sums["target"].sum():
-        return np.zeros(buckets)
-    raw, target = sums["raw"].to_numpy(float), sums["target"].to_numpy(float)
-    return np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
-
-
-def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, buckets: int = BUCKETS, max_target_docs: int = MAX_TARGET_DOCS, seed: int = SEED) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, ids = common.held("words", WordHash), chosen.value
+        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        for b in common.slices(batches):
+            good = np.isin(b.column("doc_id").fill_null(-1).to_numpy(), ids) & b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            for text, is_target in zip(b.column("text").to_pylist(), good):
+                seen, times = np.unique(ngrams(text, cache, buckets), return_counts=True)
+                raw[seen] += times
+                if is_target:
+                    target[seen] += times
+        there = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(raw[there]), pa.array(target[there])], ["bucket", "raw", "target"])
+
+    seen = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "bucket long, raw long, target long")
+    return seen.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+
+
+def log_ratio(counts: DataFrame, buckets: int) -> np.ndarray:
+    """Log ratio of the two models by bucket; one number a bucket comes to the driver."""
+    counts = common.cut(counts)
+    n = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
+    out = np.zeros(buckets, np.float32)
+    if n["target"]:
+        shares = [(F.col(c) + 1) / F.lit(float(n[c] + buckets)) for c in ("target", "raw")]
+        found = counts.select("bucket", F.log(shares[0] / shares[1]).alias("ratio")).toArrow()
+        out[found.column("bucket").to_numpy()] = found.column("ratio").to_numpy()
+    return out
+
+
+def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, buckets: int | None = None, max_target_docs: int = MAX_TARGET_DOCS, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_grams, log_weight, mean_log_ratio,
     gumbel_key, kept``.
 
     The target texts are those of ``labels(doc_id, quality, toxic)`` with quality 1
     and toxic not 1, at most ``max_target_docs`` of them by a seeded order; the raw
-    model and the weights cover all documents. ``kept`` marks the ``keep`` share of
-    rows with the highest keys, ties by doc_id. Null and empty texts have weight 0;
-    without target texts all weights are 0; repeated doc_ids draw the same noise;
-    an empty table gives no rows."""
+    model and the weights cover all documents, and whole texts, also very long ones.
+    ``kept`` marks the ``keep`` share of rows with the highest keys, ties by doc_id.
+    Null and empty texts have weight 0; without target texts all weights are 0;
+    repeated doc_ids draw the same noise; an empty table gives no rows; further
+    columns are ignored. The texts are read twice, to count and to weigh."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1) & F.col("doc_id").isNotNull())
     ids = good.select(F.col("doc_id").cast("long")).distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_target_docs)
-    ratio = log_ratio(docs, np.array([r[0] for r in ids.collect()], np.int64), buckets)
+    n_docs = docs.count()
+    buckets = buckets or bucket_count(n_docs)
+    ratio = log_ratio(counted(docs, np.array([r[0] for r in ids.collect()], np.int64), buckets), buckets)
     weights = docs.sparkSession.sparkContext.broadcast(ratio)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHash()
-        for pdf in batches:
-            grams = [ngrams(t, cache, buckets) for t in pdf["text"]]
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, weight = common.held("words", WordHash), weights.value
+        for b in common.slices(batches):
+            grams = [ngrams(t, cache, buckets) for t in b.column("text").to_pylist()]
             n = np.array([len(g) for g in grams], np.int64)
-            total = np.array([weights.value[g].sum() for g in grams])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_grams": n, "log_weight": total, "mean_log_ratio": total / np.maximum(n, 1)})
+            total = np.array([weight[g].sum(dtype=np.float64) for g in grams])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], ["doc_id", "n_grams", "log_weight", "mean_log_ratio"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(score, "doc_id long, n_grams long, log_weight double, mean_log_ratio double")
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, n_grams long, log_weight double, mean_log_ratio double")
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(f"gumbel {seed}")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    keyed = scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
+    keyed = common.cut(scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))))  # weighed once; the order below reads it twice
     placed = common.numbered(keyed, F.desc("gumbel_key"), F.asc("doc_id"))
-    k = F.lit(keep) * F.lit(float(placed.count()))
-    return placed.withColumn("kept", F.col("place") < F.round(k)).drop("place")
+    return placed.withColumn("kept", F.col("place") < round(keep * n_docs)).drop("place")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
