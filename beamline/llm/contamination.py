@@ -4,9 +4,10 @@ Items are partitioned by their number of distinct word 5-shingles, in powers of
 two. An item is represented by the minima of ``hashes`` hash functions over its
 shingles; each minimum is a uniformly drawn shingle, so the part of an item's
 minima that occurs in a document estimates how much of the item the document
-contains, whatever the document's length. A document needs enough hits for its
-partition to become a candidate, and each candidate is verified by exact
-containment of the shingles themselves. Items of fewer than five words are
+contains, whatever the document's length. Each partition has the number of hits
+that its sizes ask for and is searched on its own; partitions whose items do not fit
+into a document are left out. Each candidate is verified by exact containment of the
+shingles themselves. Items of fewer than five words are
 partitions of their own, one for each number of words: such an item is one
 shingle, searched in the document's runs of as many words.
 """
@@ -32,6 +33,8 @@ HASHES = 32
 MISS = 1e-9
 #: Most items in one broadcast block; a larger benchmark is searched block by block.
 BLOCK_ITEMS = 50_000
+#: Bytes of text in one block.
+BLOCK_BYTES = 32 << 20
 TOKEN = re.compile(r"[^\W_]+")
 _MASK = (1 << 64) - 1
 _FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ** 3 | 1) & _MASK for k in range(SHINGLE)], np.uint64)
@@ -89,14 +92,52 @@ def needed(hashes: int, threshold: float, miss: float) -> int:
     return max(1, r)
 
 
+class Partition:
+    """Items of like size: the minima of their hashes, and how many of them a document
+    that contains an item has, but for the chance of a miss."""
+
+    def __init__(self, own: list[int], sizes: list[int], signatures: list[np.ndarray], threshold: float, miss: float):
+        self.items = np.array(own)
+        #: Least number of an item's shingles that reach the threshold, as a part of them.
+        least = min(int(np.ceil(threshold * n - 1e-9)) / n for n in sizes)
+        self.required = needed(len(signatures[0]), least, miss)
+        self.fewest = int(np.ceil(threshold * min(sizes) - 1e-9))
+        values, owners, times = [], [], []
+        for k, minima in enumerate(signatures):
+            found, n = np.unique(minima, return_counts=True)
+            values.append(found)
+            owners.append(np.full(len(found), k))
+            times.append(n)
+        values, owners, times = np.concatenate(values), np.concatenate(owners), np.concatenate(times)
+        order = np.argsort(values, kind="stable")
+        self.owner, self.times = owners[order], times[order]
+        self.values, starts = np.unique(values[order], return_index=True)
+        self.starts = np.append(starts, len(values))
+        self.mask = np.zeros(1 << 16, bool)
+        self.mask[(self.values >> np.uint64(48)).astype(np.int64)] = True
+
+    def candidates(self, hashed: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Items that a text with these shingle hashes (and their upper 16 bits) may contain."""
+        hits = hashed[self.mask[high]]
+        at = np.searchsorted(self.values, hits)
+        at[at == len(self.values)] = 0
+        at = np.unique(at[self.values[at] == hits])
+        if not len(at):
+            return at
+        n = self.starts[at + 1] - self.starts[at]
+        rows = np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        score = np.bincount(self.owner[rows], self.times[rows], len(self.items))
+        return self.items[score >= self.required]
+
+
 class Block:
-    """The items of one block: signatures by partition, and the exact shingles."""
+    """The items of one block: partitions by size, and the exact shingles."""
 
     def __init__(self, items: list[tuple[int, str]], threshold: float, hashes: int, miss: float):
         self.items, self.threshold = [], threshold
         #: Items of fewer words than a shingle: number of words -> hash -> (item_id, text).
         self.short: dict[int, dict[int, list[tuple[int, str]]]] = {}
-        cache, values, owners = WordHash(), [], []
+        cache, dealt = WordHash(), {}
         salts = mixed(np.arange(1, hashes + 1, dtype=np.uint64))
         for item_id, text in items:
             words = tokens(text)
@@ -110,22 +151,10 @@ class Block:
                 continue
             own = np.unique(shingle_hashes(hashed))
             minima = np.array([own[np.argmin(mixed(own ^ s))] for s in salts], np.uint64)
-            found, times = np.unique(minima, return_counts=True)
-            values.append(found)
-            owners.append(np.stack([np.full(len(found), len(self.items)), times]))
+            dealt.setdefault(len(exact).bit_length(), []).append((len(self.items), len(exact), minima))
             self.items.append((item_id, exact))
-        values = np.concatenate(values) if values else np.empty(0, np.uint64)
-        order = np.argsort(values, kind="stable")
-        owners = np.concatenate(owners, axis=1) if owners else np.empty((2, 0), np.int64)
-        self.owner, self.times = owners[0][order], owners[1][order]
-        self.values, self.starts = np.unique(values[order], return_index=True)
-        self.starts = np.append(self.starts, len(values))
-        self.sizes = np.array([len(s) for _, s in self.items], np.int64)
-        #: Partition of an item: the power of two at or below its size.
-        self.partition = np.floor(np.log2(np.maximum(self.sizes, 1))).astype(int)
-        self.required = np.full(len(self.items), needed(hashes, threshold, miss))
-        self.mask = np.zeros(1 << 16, bool)
-        self.mask[(self.values >> np.uint64(48)).astype(np.int64)] = True
+        #: By size in powers of two, ascending.
+        self.partitions = [Partition(*map(list, zip(*own)), threshold, miss) for _, own in sorted(dealt.items())]
         self.short_values = {m: np.array(sorted(found), np.uint64) for m, found in self.short.items()}
 
     def search(self, words: list[str], hashed: np.ndarray) -> list[tuple[int, int, int]]:
@@ -149,35 +178,29 @@ class Block:
 
     def search_shingles(self, words: list[str], hashed: np.ndarray) -> list[tuple[int, int, int]]:
         """The items of five words or more that the text contains."""
-        if not len(self.values) or len(words) < SHINGLE:
+        if not self.partitions or len(words) < SHINGLE:
             return []
         hashed = shingle_hashes(hashed)
-        hits = hashed[self.mask[(hashed >> np.uint64(48)).astype(np.int64)]]
-        at = np.searchsorted(self.values, hits)
-        at[at == len(self.values)] = 0
-        at = np.unique(at[self.values[at] == hits])
-        if not len(at):
-            return []
-        score = np.zeros(len(self.items), np.int64)
-        for k in at:
-            own = slice(self.starts[k], self.starts[k + 1])
-            np.add.at(score, self.owner[own], self.times[own])
-        # a document smaller than the threshold's part of a partition's least size contains none of it
-        fits = len(hashed) >= self.threshold * np.power(2.0, self.partition)
+        high = (hashed >> np.uint64(48)).astype(np.int64)
         out, mine = [], None
-        for i in np.nonzero((score >= self.required) & fits)[0]:
-            mine = shingle_set(words) if mine is None else mine
-            item_id, exact = self.items[i]
-            shared = len(exact & mine)
-            if shared >= self.threshold * len(exact):
-                out.append((item_id, shared, len(exact)))
+        for part in self.partitions:
+            if part.fewest > len(hashed):
+                break  # this and the larger ones do not fit into the text
+            for i in part.candidates(hashed, high):
+                mine = shingle_set(words) if mine is None else mine
+                item_id, exact = self.items[i]
+                shared = len(exact & mine)
+                if shared >= self.threshold * len(exact):
+                    out.append((item_id, shared, len(exact)))
         return out
 
 
 def item_blocks(benchmark: DataFrame, threshold: float, hashes: int, miss: float, block_items: int) -> Iterator[Broadcast]:
-    """The items in blocks of about ``block_items``, each sent to all executors."""
+    """The items in blocks of about ``block_items`` and ``BLOCK_BYTES`` at most, each sent
+    to all executors."""
     items = benchmark.select(F.col("item_id").cast("long"), "text")
-    n = max(1, -(-items.count() // block_items))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n = max(1, -(-size["n"] // block_items), -(-size["bytes"] // BLOCK_BYTES))
     for b in range(n):
         mine = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
         yield benchmark.sparkSession.sparkContext.broadcast(Block([(r[0], r[1]) for r in mine.collect()], threshold, hashes, miss))
@@ -192,7 +215,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     document contains ``threshold`` or more of the distinct word 5-shingles.
 
     Words are lower-cased runs of letters and digits of the whole text. Null and
-    empty texts, and items without words, contain and are contained in nothing;
+    empty texts, and items without words, contain and are contained in nothing; a very
+    long text is one search like any other;
     an item of fewer than five words is one shingle, which every text with these
     words in a row contains. Repeated document rows give
     repeated results; repeated item ids are searched as separate items. The
@@ -239,12 +263,13 @@ OP6_SQL = r"""
 with w as (
   select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as t from documents),
 i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as t from benchmark),
-di as (select distinct item_id, array_to_string(t[k:k+4], ' ') as s
+m as (select distinct least(len(t), 5) as m from i where len(t) > 0),
+di as (select distinct item_id, least(len(t), 5) as m, array_to_string(t[k:k+4], ' ') as s
   from i, unnest(range(1, greatest(2, len(t) - 3))) r(k) where len(t) > 0),
-ds as (select distinct doc_id, array_to_string(t[k:k+4], ' ') as s
-  from w, unnest(range(1, greatest(2, len(t) - 3))) r(k) where len(t) > 0),
+ds as (select distinct doc_id, m, array_to_string(t[k:k+m-1], ' ') as s
+  from w, m, unnest(range(1, len(t) - m + 2)) r(k) where len(t) >= m),
 n as (select item_id, count(*) as n_shingles from di group by 1)
 select ds.doc_id, di.item_id, count(*)::bigint as shared, any_value(n_shingles)::bigint as n_shingles, count(*)::double / any_value(n_shingles) as containment
-from ds join di using (s) join n on n.item_id = di.item_id
+from ds join di using (m, s) join n on n.item_id = di.item_id
 group by ds.doc_id, di.item_id having count(*) >= 0.8 * any_value(n_shingles)
 """
