@@ -147,7 +147,7 @@ def count_terms(docs: DataFrame) -> DataFrame:
     each batch its terms with their document counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = Terms()
+        digest = common.held("terms", Terms)
         for pdf in batches:
             counts, rows = Counter(), []
             for text in pdf["text"]:
@@ -200,7 +200,7 @@ def mark(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(slots))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest, is_set = Terms(), np.unpackbits(shared.value).tobytes()
+        digest, is_set = common.held("terms", Terms), np.unpackbits(shared.value).tobytes()
         any_set = any(is_set)
         for pdf in batches:
             rows = []
@@ -219,27 +219,34 @@ def mark(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "row", "text").mapInPandas(run, MARKED)
 
 
-def detect(docs: DataFrame, disclosure: float = DISCLOSURE, confidence: float = CONFIDENCE) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_email, n_ip, n_card, n_phone,
-    base_sha256, spans``.
-
-    ``spans`` lists base spans as ``kind:start:end`` by kind and start, then every
-    occurrence of a disclosing term, whether the document holds the entity or not. A
-    null text counts as empty; an empty list is the empty string; repeated rows and
-    null doc_ids each keep their row; an empty table gives no rows."""
-    flagged = common.cut(disclosing_terms(common.cut(count_terms(docs)), docs.count(), disclosure, confidence))
-    per_doc = common.cut(mark(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), flagged))
+def _found(rows: DataFrame, disclosure: float, confidence: float) -> DataFrame:
+    """``detect`` for ``rows(doc_id, row, text)``, with the ``row``."""
+    flagged = common.cut(disclosing_terms(common.cut(count_terms(rows)), rows.count(), disclosure, confidence))
+    per_doc = common.cut(mark(rows, flagged))
     near = per_doc.where("size(near) > 0").select("row", F.explode("near").alias("x")).select("row", "x.*")
     more = near.join(flagged, "t").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "z"))).alias("extra"))
     extra = F.expr(f"array_join(transform(extra, x -> concat('{TERM}:', x.s, ':', x.z)), ',')")
     return per_doc.join(more, "row", "left").select(
-        "doc_id",
+        "row", "doc_id",
         *[F.col("n")[i].alias(f"n_{k}") for i, k in enumerate(KINDS)],
         "base_sha256",
         F.when(F.col("extra").isNull(), F.col("spans")).otherwise(F.concat_ws(",", F.when(F.col("spans") != "", F.col("spans")), extra)).alias("spans"),
     )
 
 
+def detect(docs: DataFrame, disclosure: float = DISCLOSURE, confidence: float = CONFIDENCE) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_email, n_ip, n_card, n_phone,
+    base_sha256, spans``.
+
+    ``spans`` lists base spans as ``kind:start:end`` by kind and start, then every
+    occurrence of a disclosing term, whether the document holds the entity or not. A
+    null text counts as empty; a very long one is searched whole; an empty list is the
+    empty string; repeated rows and null doc_ids each keep their row; an empty table
+    gives no rows; further columns are ignored."""
+    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    return _found(rows, disclosure, confidence).drop("row")
+
+
 def sanitise_text(text: str | None, spans: str | None, remove_terms: bool = False) -> str | None:
     """The text with every span generalised to its placeholder; overlapping spans
     merge under the kind that starts first. With ``remove_terms``, disclosing terms
@@ -255,16 +262,23 @@ def sanitise_text(text: str | None, spans: str | None, remove_terms: bool = Fals
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, spans: DataFrame, remove_terms: bool = False) -> DataFrame:
-    """``docs`` with their texts sanitised by ``spans(doc_id, spans)``; one row of
-    ``spans`` for each doc_id. Documents without spans keep their text."""
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, confidence: float = CONFIDENCE, remove_terms: bool = False) -> DataFrame:
+    """``docs`` with every span that ``detect`` finds generalised in their texts.
+
+    Spans belong to a row, not to a doc_id: the rows are numbered in a written copy, so
+    null and repeated doc_ids are safe. All other columns keep their values."""
+    number = common.free_name(docs, "row_number")
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([sanitise_text(t, s, remove_terms) for t, s in zip(text, found)])
 
-    marks = spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).where("_spans <> ''")
-    return docs.join(marks, F.col("doc_id") == F.col("_id"), "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean("text", "_spans"))).drop("_id", "_spans")
+    rows = common.cut(docs.withColumn(number, F.monotonically_increasing_id()))
+    found = _found(rows.select("doc_id", F.col(number).alias("row"), "text"), disclosure, confidence).where("spans <> ''")
+    found = found.select(F.col("row").alias(f"{number}_found"), F.col("spans").alias(f"{number}_spans"))
+    joined = rows.join(found, F.col(number) == F.col(f"{number}_found"), "left")
+    text = F.when(F.col(f"{number}_spans").isNull(), F.col("text")).otherwise(clean("text", f"{number}_spans"))
+    return joined.withColumn("text", text).select(*docs.columns)
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
