@@ -6,16 +6,21 @@ tiles: exclusive-or and bit counts over whole numpy blocks, with the rows of a
 tile in order of their population count, so that blocks whose counts differ by
 more than the radius are skipped.
 
-Which fingerprints share a tile is decided by four views, one for each quarter
-of the bits: two values that differ in at most three bits agree in at least one
-whole quarter, so every link is met in some tile, and the work grows with the
-number of rows times the tile size, not with its square. A tile that is too
-large (many near copies agree in a quarter) is split by population count and
-hash, and its parts meet in pairs whose counts are within the radius.
+Which fingerprints share a tile is decided by views: the bits are cut into parts,
+and a view is a choice of all parts but three. Two values that differ in at most
+three bits agree in all parts of some view, so every link is met in some tile. Four
+parts give 4 views of 16 bits, five 10 of 25, six 20 of 32, seven 35 of 36 and so on;
+the number of parts follows the number of values, so that a view has more different
+keys than there are tiles and the work grows with the number of rows times the tile
+size. A tile that is too large (many near copies agree in a view) is split by
+population count and hash, and its parts meet in pairs whose counts are within the
+radius.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -92,21 +97,32 @@ def near(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
     return signed[keep], root[keep]
 
 
+def views(radius: int, tiles: int) -> list[int]:
+    """Masks of the views (as signed integers): the bits in ``radius + k`` parts of about
+    the same size, and every choice of ``k`` parts, for the least ``k`` that gives four
+    keys or more for each tile."""
+    for k in range(1, 64 - radius):
+        cuts = [64 * i // (radius + k) for i in range(radius + k + 1)]
+        parts = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+        masks = [sum(own) for own in combinations(parts, k)]
+        if min(m.bit_count() for m in masks) >= (4 * tiles).bit_length() - 1 or radius + k >= 8:
+            break
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Links ``(a, b)`` among the distinct values of ``fps(fp long)``.
 
-    Every pair within ``radius`` (at most 3) is connected through the returned
-    links; the links are a spanning forest of each tile, so a large group of near
+    Every pair within ``radius`` is connected through the returned links; the links are a spanning forest of each tile, so a large group of near
     copies gives rows in proportion to its size."""
-    if not 0 <= radius <= 3:
-        raise ValueError("four views find at most 3 differing bits")
     n = fps.count()
     buckets = max(1, -(-n // tile_rows))
-    quarter = F.expr("cast(shiftrightunsigned(fp, 16 * view) & 65535 as int)")
+    masks = F.array(*[F.lit(m) for m in views(radius, buckets)])
     rows = (
-        fps.select("fp", F.explode(F.array(*[F.lit(v) for v in range(4)])).alias("view"))
-        .withColumn("bucket", F.pmod(F.xxhash64(quarter), F.lit(buckets)))
+        fps.select("fp", F.posexplode(masks).alias("view", "mask"))
+        .withColumn("bucket", F.pmod(F.xxhash64(F.col("fp").bitwiseAND(F.col("mask"))), F.lit(buckets)))
         .withColumn("ones", F.expr("cast(bit_count(fp) as int)"))
+        .drop("mask")
     )
     heavy = (
         rows.groupBy("view", "bucket", "ones")
