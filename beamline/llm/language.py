@@ -146,6 +146,15 @@ def build_lexicon(rows: list[tuple[int, list[str]]], n: int, size: int = LEXICON
     return out
 
 
+def training_sequences(coded: list[tuple[int, list[str]]], seed: int) -> list[list[tuple[int, list[str]]]]:
+    """Half of the windows alone and the rest in pairs."""
+    shuffled = coded[:]
+    random.Random(seed).shuffle(shuffled)
+    half = len(shuffled) // 2
+    sequences = [[own] for own in shuffled[:half]] + [list(x) for x in zip(shuffled[half::2], shuffled[half + 1 :: 2])]
+    return sequences or [[own] for own in shuffled]
+
+
 def train(rows: list[tuple[str, list[str]]], rounds: int = ROUNDS, seed: int = SEED) -> Model | None:
     """Fit the field on labelled windows of words by maximum likelihood.
 
@@ -158,14 +167,7 @@ def train(rows: list[tuple[str, list[str]]], rounds: int = ROUNDS, seed: int = S
     n, label = len(languages), {lang: k for k, lang in enumerate(languages)}
     coded = [(label[lang], words) for lang, words in rows]
     model = Model(languages, build_lexicon(coded, n))
-    rng = random.Random(seed)
-    shuffled = coded[:]
-    rng.shuffle(shuffled)
-    sequences = [[own] for own in shuffled[: len(shuffled) // 2]]
-    rest = shuffled[len(shuffled) // 2 :]
-    sequences += [list(x) for x in zip(rest[::2], rest[1::2])]
-    if not sequences:
-        sequences = [[own] for own in shuffled]
+    sequences = training_sequences(coded, seed)
     place: dict[str, int] = {}
     length = max(sum(len(w) for _, w in s) for s in sequences)
     word, gold = np.full((len(sequences), length), -1), np.full((len(sequences), length), -1)

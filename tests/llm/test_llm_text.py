@@ -59,7 +59,7 @@ def test_code_switched_words():
     rows = [("en", "the house and the garden of my friend".split()), ("de", "das haus und der garten von meinem freund".split())] * 40
     model = language.train(rows)
     words = "the garden and the house und der garten von freund".split()
-    table, numbered = model.numbered([words])
+    table, numbered = language.Words(model).numbered([words])
     best = [model.languages[k] for k in language.label_words(model, table, numbered)[0].argmax(axis=1)]
     assert best[:5] == ["en"] * 5 and best[-4:] == ["de"] * 4
 
@@ -84,7 +84,7 @@ def test_texts_that_differ_after_forty_letters():
     model = language.train([(lang, language.positions(write(lang, 60))) for lang in "pq" * 30])
     head = write("p", 40)
     for tail in "pq":
-        table, numbered = model.numbered([language.positions(head + write(tail, 300))])
+        table, numbered = language.Words(model).numbered([language.positions(head + write(tail, 300))])
         mean = language.label_words(model, table, numbered)[0].mean(axis=0)
         assert model.languages[int(mean.argmax())] == tail
 
@@ -245,8 +245,7 @@ def test_personal_data(spark):
 def test_disclosing_terms_are_generalised(spark):
     rows = [(k, f"filler {k} zorblax writes from secret@x.org today about things") for k in range(4)] + [(k, f"today about things from other people {k}") for k in range(4, 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = pii.detect(df)
-    text = {r.doc_id: r.text for r in pii.sanitise(df, found.select("doc_id", "spans")).collect()}
+    text = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert "zorblax" not in text[0] and "secret@x.org" not in text[0] and "<TERM>" in text[0] and "<EMAIL>" in text[0]
     assert text[0].endswith("today about things") and text[10] == rows[10][1]
 
@@ -256,8 +255,7 @@ def test_terms_are_weighed_in_whole_documents(spark):
     rows = [(k, f"Zorblax Industries{gap} writes from secret@x.org{gap} signed zorblax", "k") for k in range(9)]
     rows += [(10 + k, f"again zorblax{gap}", "k") for k in range(1)] + [(100 + k, f"{gap} number", "k") for k in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
-    found = pii.detect(df)
-    text = {r.doc_id: r.text for r in pii.sanitise(df, found.select("doc_id", "spans")).collect()}
+    text = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert all("orblax" not in text[k] and "Industries" not in text[k] for k in range(9))  # far from the mention
     assert text[10] == f"again <TERM>{gap}"  # without the entity
     assert all(text[i] == t for i, t, _ in rows if i >= 100)
