@@ -93,15 +93,6 @@ def section_numbers(events: DataFrame, table_base: int = 0x50) -> DataFrame:
     return rows.withColumn("segment_last", F.least(F.col("last_section"), F.col("section").bitwiseOR(F.lit(7)))).drop("_i", "_n")
 
 
-def section_due(sections: DataFrame, seconds: int, present_s: int = 3, burst: int = 8, tick_ms: int = 200) -> DataFrame:
-    """K5: the times in milliseconds at which sections go out: present and following
-    every ``present_s``, schedule sections in bursts of ``burst`` a tick."""
-    present = sections.where("kind = 'present'").withColumn("due_ms", F.explode(F.sequence(F.lit(0), F.lit(seconds * 1000), F.lit(present_s * 1000))))
-    place = F.row_number().over(W.partitionBy("channel_id").orderBy("section")) - 1
-    later = sections.where("kind = 'schedule'").withColumn("_i", place).withColumn("due_ms", F.expr(f"cast(_i div {burst} * {tick_ms} as int)")).drop("_i")
-    return present.unionByName(later.where(F.col("due_ms") <= seconds * 1000))
-
-
 def version(contents: DataFrame) -> DataFrame:
     """A version from 0 to 31 that goes up when the content changes."""
     own = W.partitionBy("stream_id").orderBy("seq")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fnv1a64
+from .folds import unique_ids
 
 TTL_S = 120
 

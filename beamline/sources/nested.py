@@ -1,7 +1,7 @@
 """Streams within streams: PES units of a pid, and packets carried by T2-MI.
 
-Both put a pid's packets in order and stream through a task with what is unfinished at
-hand, as the section assembler does.
+PES units are windows and one aggregation; access units and T2-MI put a pid's rows in
+order and stream through a task with what is unfinished at hand.
 """
 
 from __future__ import annotations
@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .sections import crc32_mpeg
+from .sections import crc32_mpeg, octet, payloads
 
-#: NAL unit types that begin a picture without references.
-RANDOM_ACCESS = {"h264": (0x1F, 0, (5,)), "hevc": (0x3F, 1, (16, 17, 18, 19, 20, 21))}
+#: First bytes of NAL units that begin a picture without references: type 5 in the low
+#: five bits (H.264), types 16 to 21 in the bits 1 to 6 (HEVC).
+RANDOM_ACCESS = {"h264": [b for b in range(256) if b & 0x1F == 5], "hevc": [b for b in range(256) if 16 <= b >> 1 & 0x3F <= 21]}
 LARGEST_UNIT = 8202
 SILENCE_MS = 15_000
 
@@ -53,58 +55,36 @@ def payload(packet: bytes) -> tuple[bytes, bool, bool]:
     return (packet[5 + packet[4] :] if afc == 3 else b""), bool(flags & 0x80), bool(flags & 0x40)
 
 
-def clock33(b: bytes) -> int:
-    return (b[0] >> 1 & 7) << 30 | b[1] << 22 | b[2] >> 1 << 15 | b[3] << 7 | b[4] >> 1
-
-
-def begins_picture(data: bytes, codec: str | None) -> bool:
-    """Whether a NAL unit of the data can be decoded without earlier pictures."""
-    if codec not in RANDOM_ACCESS:
-        return False
-    mask, shift, types = RANDOM_ACCESS[codec]
-    at = data.find(b"\0\0\1")
-    while 0 <= at < len(data) - 3:
-        if data[at + 3] >> shift & mask in types:
-            return True
-        at = data.find(b"\0\0\1", at + 3)
-    return False
-
-
-class Units:
-    """PES units of one pid."""
-
-    def __init__(self):
-        self.data, self.first, self.hint, self.codec = b"", None, False, None
-
-    def feed(self, row) -> list[tuple]:
-        data, _, hint = payload(row.pkt)
-        out = []
-        if row.pkt[1] & 0x40:
-            out = self.close()
-            self.data, self.first, self.hint, self.codec = data, row.seq, hint, row.codec
-        elif self.first is not None:
-            self.data += data
-        return out
-
-    def close(self) -> list[tuple]:
-        b, first, self.first = self.data, self.first, None
-        if first is None or len(b) < 9 or b[:3] != b"\0\0\1":
-            return []
-        begin, size = 9 + b[8], b[4] << 8 | b[5]
-        end = 6 + size if size else len(b)
-        if begin > len(b) or end < begin or end > len(b) or begin == end:
-            return []
-        pts = clock33(b[9:]) if b[7] & 0x80 and b[8] >= 5 else None
-        dts = clock33(b[14:]) if b[7] & 0x40 and b[8] >= 10 else pts
-        return [(first, b[3], pts, dts, end - begin, self.hint or begins_picture(b[begin:end], self.codec), b[begin:end])]
+def clock33(at: Column) -> Column:
+    """The 33 bits of a timestamp from place ``at`` (from 1) of ``head``."""
+    b = lambda k: F.conv(F.hex(F.substring("head", at + k, F.lit(1))), 16, 10).cast("long")
+    parts = [(F.shiftright(b(0), 1).bitwiseAND(F.lit(7)), 30), (b(1), 22), (F.shiftright(b(2), 1), 15), (b(3), 7), (F.shiftright(b(4), 1), 0)]
+    return sum((F.shiftleft(v, n) for v, n in parts[1:]), F.shiftleft(*parts[0]))
 
 
 def pes_units(packets: DataFrame) -> DataFrame:
     """PES units of ``packets(stream_id, pid, seq, pkt, codec)``. A declared length
     trims what is stuffed behind it, a shorter unit is dropped, and the decoding time is
-    the presentation time where it is absent."""
-    out = "seq long, pes_stream_id int, pts long, dts long, size long, random_access boolean, data binary"
-    return ordered(packets.select("stream_id", "pid", "seq", "pkt", "codec"), Units, out)
+    the presentation time where it is absent.
+
+    A unit is what lies between two starts; its payloads are joined by one aggregation
+    over the window's partitions, and its fields are column expressions."""
+    own = W.partitionBy("stream_id", "pid").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    rows = payloads(packets.select("stream_id", "pid", "seq", "pkt", "codec"))
+    hint = (F.col("afc") >= 2) & (octet("pkt", 4) > 0) & (octet("pkt", 5).bitwiseAND(F.lit(0x40)) > 0)
+    rows = rows.select("stream_id", "pid", "seq", "codec", "start", hint.alias("hint"), F.coalesce("data", F.lit(b"")).alias("data")).withColumn("unit", F.sum(F.col("start").cast("long")).over(own))
+    units = rows.where("unit > 0").groupBy("stream_id", "pid", "unit").agg(
+        F.min("seq").alias("seq"), F.min_by("hint", "seq").alias("hint"), F.min_by("codec", "seq").alias("codec"), F.expr("listagg(data) within group (order by seq)").alias("unit_data"))
+    units = units.withColumns({"head": F.substring("unit_data", 1, 19), "whole": F.octet_length("unit_data")}).where((F.col("whole") >= 9) & (F.hex(F.substring("head", 1, 3)) == "000001"))
+    length = F.conv(F.hex(F.substring("head", 5, 2)), 16, 10).cast("int")
+    units = units.withColumns({"flags": octet("head", 7), "more": octet("head", 8), "end": F.when(length > 0, length + 6).otherwise(F.col("whole"))}).withColumn("begin", F.col("more") + 9)
+    units = units.where("begin < end and end <= whole").withColumn("data", F.substring("unit_data", F.col("begin") + 1, F.col("end") - F.col("begin")))
+    pts = F.when((F.col("flags") >= 0x80) & (F.col("more") >= 5), clock33(F.lit(10)))
+    dts = F.when((F.col("flags").bitwiseAND(F.lit(0x40)) > 0) & (F.col("more") >= 10), clock33(F.lit(15))).otherwise(pts)
+    begins = F.lit(False)
+    for name, kinds in RANDOM_ACCESS.items():
+        begins |= (F.col("codec") == name) & F.decode("data", "ISO-8859-1").rlike("\\x00\\x00\\x01[" + "".join(f"\\x{b:02x}" for b in kinds) + "]")
+    return units.select("stream_id", F.col("pid").cast("int").alias("pid"), "seq", octet("head", 3).alias("pes_stream_id"), pts.alias("pts"), dts.alias("dts"), F.octet_length("data").cast("long").alias("size"), (F.col("hint") | F.coalesce(begins, F.lit(False))).alias("random_access"), "data")
 
 
 class Pictures:

@@ -1,39 +1,34 @@
 """Tables carried in sections: assembly from packets, CRC, PAT, PMT, SDT, NIT and EIT.
 
-Packets of a pid are put in order and stream through a task with one unfinished
-section at hand; what comes out are small rows.
+Where a section begins and what belongs to it is told by windows over the packets of a
+pid; only the bytes between two starts, a unit, come together in one row, and Python
+reads one unit or one section at a time.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.scalars import codec, kind
-from .transport import POLYNOMIAL
 
-
-def _table() -> np.ndarray:
-    out = np.arange(256, dtype=np.uint64) << np.uint64(24)
-    for _ in range(8):
-        out = np.where(out & np.uint64(1 << 31), (out << np.uint64(1)) ^ np.uint64(POLYNOMIAL), out << np.uint64(1)) & np.uint64(0xFFFFFFFF)
-    return out
-
-
-_CRC = _table().tolist()
+_MIRRORED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
 
 def crc32_mpeg(data: bytes) -> int:
-    """CRC-32 of MPEG sections; 0 over a section with its own CRC."""
-    value = 0xFFFFFFFF
-    for b in data:
-        value = (value << 8 & 0xFFFFFFFF) ^ _CRC[value >> 24 ^ b]
-    return value
+    """CRC-32 of MPEG sections; 0 over a section with its own CRC. It is the usual
+    CRC-32 of the mirrored bytes, mirrored, without the last complement."""
+    value = zlib.crc32(data.translate(_MIRRORED)) ^ 0xFFFFFFFF
+    return int.from_bytes(value.to_bytes(4, "little").translate(_MIRRORED), "big")
 
 
 @dataclass(frozen=True)
@@ -50,75 +45,82 @@ class Policy:
 DEMUX, GUIDE, NETWORK, MULTIPLEX = Policy(), Policy(check_count=True), Policy(16, 1024, True, True), Policy(7, 1024)
 
 
-class Assembler:
-    """Sections of one pid, packet by packet."""
-
-    def __init__(self, policy: Policy):
-        self.policy, self.held, self.count = policy, b"", None
-
-    def feed(self, packet: bytes) -> list[bytes]:
-        p, policy = packet, self.policy
-        afc, cc = p[3] >> 4 & 3, p[3] & 15
-        if policy.check_count:
-            if p[1] & 0x80:
-                self.held, self.count = b"", None
-                return []
-            if self.count is not None and afc & 1:
-                if cc == self.count:
-                    return []
-                if cc != (self.count + 1) % 16:
-                    self.held = b""
-            self.count = cc if afc & 1 else self.count
-        start = 4 if afc == 1 else 5 + p[4] if afc == 3 else 188
-        if start >= 188 or policy.clear_only and p[3] >> 6:
-            return []
-        data, out = p[start:], []
-        if p[1] & 0x40:
-            pointer, data = data[0], data[1:]
-            if self.held:
-                out += self._take(data[:pointer], False)
-            self.held = b""
-            out += self._take(data[pointer:], True)
-        elif self.held:
-            out += self._take(data, False)
-        return out
-
-    def _take(self, data: bytes, fresh: bool) -> list[bytes]:
-        self.held += data
-        out = []
-        while len(self.held) >= 3:
-            if self.held[0] == 0xFF:
-                self.held = b""
+def octet(column: str, at: int) -> Column:
+    """A byte of a binary column as a number."""
+    return F.conv(F.hex(F.substring(column, at + 1, 1)), 16, 10).cast("int")
+
+
+def payloads(packets: DataFrame) -> DataFrame:
+    """``packets(stream_id, pid, seq, pkt, ...)`` with ``tei, start, afc, cc, scrambling``
+    and the payload ``data``, null where there is none."""
+    rows = packets.withColumns({"_1": octet("pkt", 1), "_3": octet("pkt", 3), "_4": octet("pkt", 4)})
+    afc = F.shiftright("_3", 4).bitwiseAND(F.lit(3))
+    begin = F.when(afc == 1, 4).when(afc == 3, F.col("_4") + 5).otherwise(188)
+    return rows.withColumns({
+        "tei": F.col("_1") >= 128, "start": F.col("_1").bitwiseAND(F.lit(64)) > 0, "afc": afc, "cc": F.col("_3").bitwiseAND(F.lit(15)), "scrambling": F.shiftright("_3", 6),
+        "data": F.when(begin < 188, F.substring("pkt", begin + 1, F.lit(188))),
+    }).drop("_1", "_3", "_4")
+
+
+def split_unit(pieces: list[tuple[int, bytes]], policy: Policy) -> list[tuple[int, bytes]]:
+    """Sections of a unit with the packet that completes each. What follows stuffing, or
+    a length that is not allowed, or a section that ends with its packet, is lost until
+    the next start."""
+    held, out = b"", []
+    for k, (seq, data) in enumerate(pieces):
+        if k and not held:
+            break
+        held += data
+        while len(held) >= 3:
+            size = 3 + ((held[1] & 15) << 8 | held[2])
+            if held[0] == 0xFF or not policy.least <= size <= policy.most:
+                return out
+            if len(held) < size:
                 break
-            size = 3 + ((self.held[1] & 15) << 8 | self.held[2])
-            if not self.policy.least <= size <= self.policy.most:
-                self.held = b""
-                break
-            if len(self.held) < size:
-                break
-            out.append(self.held[:size])
-            self.held = self.held[size:]
-        if self.held[:1] == b"\xff":
-            self.held = b""
-        return out
+            out.append((seq, held[:size]))
+            held = held[size:]
+        if held[:1] == b"\xff":
+            break
+    return out
 
 
 def assemble(packets: DataFrame, policy: Policy = DEMUX) -> DataFrame:
     """P5: ``(stream_id, pid, seq, table_id, bytes, crc_ok)`` of the sections in
-    ``packets(stream_id, pid, seq, pkt)``; ``seq`` is the packet that completes one."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, own = None, None
-        for pdf in batches:
+    ``packets(stream_id, pid, seq, pkt)``; ``seq`` is the packet that completes one.
+
+    A start's pointer parts its packet between the unit before it and its own. With
+    ``check_count`` a repeated packet is left out, and a gap or an error cuts the unit."""
+    own = W.partitionBy("stream_id", "pid").orderBy("seq")
+    rows = payloads(packets.select("stream_id", "pid", "seq", "pkt")).drop("pkt")
+    if policy.check_count:
+        rows = rows.where(F.col("tei") | F.col("afc").isin(1, 3)).withColumn("_b", F.lag(F.struct("tei", "cc")).over(own))
+        counts = ~F.col("tei") & F.col("_b").isNotNull() & ~F.col("_b.tei")
+        rows = rows.where(~(counts & (F.col("cc") == F.col("_b.cc")))).withColumn("cut", F.col("tei") | counts & (F.col("cc") != (F.col("_b.cc") + 1) % 16))
+    else:
+        rows = rows.where(F.col("data").isNotNull()).withColumn("cut", F.lit(False))
+    usable = ~F.col("tei") if policy.check_count else F.lit(True)
+    if policy.clear_only:
+        usable &= F.col("scrambling") == 0
+    rows = rows.withColumn("data", F.when(usable, F.col("data"))).withColumn("start", F.col("start") & F.col("data").isNotNull())
+    rows = rows.withColumn("unit", F.sum(F.col("start").cast("long")).over(own.rowsBetween(W.unboundedPreceding, 0)))
+    pointer = octet("data", 0)
+    before = F.struct((F.col("unit") - F.col("start").cast("long")).alias("unit"), F.col("cut"), F.when(F.col("start"), F.substring("data", F.lit(2), pointer)).otherwise(F.col("data")).alias("data"), F.lit(0).alias("k"))
+    mine = F.struct(F.col("unit"), F.lit(False).alias("cut"), F.substring("data", pointer + 2, F.lit(188)).alias("data"), F.lit(1).alias("k"))
+    pieces = rows.select("stream_id", "pid", "seq", F.explode(F.when(F.col("start"), F.array(before, mine)).otherwise(F.array(before))).alias("p")).select("stream_id", "pid", "seq", "p.*").where("unit > 0")
+    within = W.partitionBy("stream_id", "pid", "unit").orderBy(F.desc("k"), "seq").rowsBetween(W.unboundedPreceding, 0)
+    pieces = pieces.withColumn("cuts", F.sum(F.col("cut").cast("int")).over(within)).where("cuts = 0 and data is not null")
+    units = pieces.groupBy("stream_id", "pid", "unit").agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "seq", "data"))).alias("pieces")).drop("unit")
+    schema = StructType([packets.schema["stream_id"], *StructType.fromDDL("pid int, seq long, table_id int, bytes binary, crc_ok boolean").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for stream, pid, seq, pkt in zip(pdf["stream_id"], pdf["pid"], pdf["seq"], pdf["pkt"]):
-                if (stream, pid) != last:
-                    last, own = (stream, pid), Assembler(policy)
-                rows += [(stream, pid, seq, s[0], s, crc32_mpeg(s) == 0) for s in own.feed(pkt)]
-            yield pd.DataFrame(rows, columns=["stream_id", "pid", "seq", "table_id", "bytes", "crc_ok"])
+            for stream, pid, unit in zip(*(b.column(c).to_pylist() for c in ("stream_id", "pid", "pieces"))):
+                rows += [(stream, pid, seq, s[0], s, crc32_mpeg(s) == 0) for seq, s in split_unit([(p["seq"], p["data"]) for p in unit], policy)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, arrow.types)], schema=arrow)
 
-    dealt = packets.select("stream_id", "pid", "seq", "pkt").repartition("stream_id", "pid").sortWithinPartitions("stream_id", "pid", "seq")
-    return dealt.mapInPandas(run, f"stream_id {packets.schema['stream_id'].dataType.simpleString()}, pid int, seq long, table_id int, bytes binary, crc_ok boolean")
+    return units.withColumn("pid", F.col("pid").cast("int")).mapInArrow(run, schema)
 
 
 def descriptors(data: bytes) -> list[tuple[int, bytes]]:
@@ -225,11 +227,11 @@ def sdt(sections: DataFrame) -> DataFrame:
             for t, d in descriptors(s[at + 5 : at + 5 + size]):
                 if t == 0x48 and len(d) >= 3:
                     n = d[1]
-                    rows.append((u16(s, at), d[0], dvb_text(d[2 : 2 + n]), dvb_text(d[3 + n : 3 + n + d[2 + n]]), bool(s[at + 3] & 0x10)))
+                    rows.append((u16(s, at), d[0], dvb_text(d[2 : 2 + n]), dvb_text(d[3 + n : 3 + n + d[2 + n]]), bool(s[at + 3] & 0x10), s[at + 2] & 3))
             at += 5 + size
         return rows
 
-    return _rows(sections, (0x42, 0x46), parse, "sid int, service_type int, provider string, name string, free_ca boolean")
+    return _rows(sections, (0x42, 0x46), parse, "sid int, service_type int, provider string, name string, free_ca boolean, eit_flags int")
 
 
 def _bcd(b: bytes) -> int:
@@ -297,11 +299,27 @@ def census(sections: DataFrame) -> DataFrame:
     return sections.where("crc_ok").groupBy("stream_id", "pid", "table_id").agg(F.count("*").alias("n"))
 
 
-def inconsistent(events: DataFrame, programs: DataFrame, services: DataFrame) -> DataFrame:
-    """Services with guide events that the program table or the service table lacks."""
-    ids = events.select("stream_id", "sid").distinct()
-    a = ids.join(programs.select("stream_id", "sid"), ["stream_id", "sid"], "left_anti").withColumn("missing_in", F.lit("pat"))
-    return a.unionByName(ids.join(services.select("stream_id", "sid"), ["stream_id", "sid"], "left_anti").withColumn("missing_in", F.lit("sdt")))
+def triples(sections: DataFrame) -> DataFrame:
+    """The distinct stamps of a stream's program, service and event sections:
+    table, its first id, version and section number."""
+    stamp = {"extension": F.conv(F.hex(F.substring("bytes", 4, 2)), 16, 10).cast("int"), "version": F.shiftright(octet("bytes", 5), 1).bitwiseAND(F.lit(31)), "section": octet("bytes", 6)}
+    rows = sections.where(F.col("crc_ok") & (F.col("table_id").isin(0, 0x42) | F.col("table_id").between(0x4E, 0x5F)))
+    return rows.select("stream_id", "table_id", *[v.alias(k) for k, v in stamp.items()]).distinct()
+
+
+def inconsistent(events: DataFrame, programs: DataFrame, services: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """Services with guide events that the program table or the service table lacks,
+    or whose service entry does not announce present and schedule events; with
+    ``sections`` also streams with damaged ones (``sid`` null)."""
+    ids, keys = events.select("stream_id", "sid").distinct(), ["stream_id", "sid"]
+    found = ids.join(programs.select(*keys), keys, "left_anti").withColumn("fault", F.lit("not in pat"))
+    found = found.unionByName(ids.join(services.select(*keys), keys, "left_anti").withColumn("fault", F.lit("not in sdt")))
+    silent = ids.join(services.where("eit_flags <> 3").select(*keys).distinct(), keys, "left_semi")
+    found = found.unionByName(silent.withColumn("fault", F.lit("flags")))
+    if sections is not None:
+        damaged = sections.where("not crc_ok").select("stream_id", F.lit(None).cast("int").alias("sid")).distinct()
+        found = found.unionByName(damaged.withColumn("fault", F.lit("crc")))
+    return found
 
 
 def eit_section(sid: int, table_id: int, section: int, last: int, segment_last: int, version: int, event: tuple | None, ts_id: int = 1, network: int = 1, last_table: int | None = None) -> bytes:
@@ -321,6 +339,30 @@ def eit_section(sid: int, table_id: int, section: int, last: int, segment_last:
     return out + crc32_mpeg(out).to_bytes(4, "big")
 
 
+def sealed(rows: DataFrame) -> DataFrame:
+    """K4: ``rows(stream_id, pid, ord, table_id, extension, version, number, last_number,
+    body)`` as ``(stream_id, pid, ord, section)``, with length and CRC."""
+
+    @F.pandas_udf("binary")
+    def seal(head: pd.Series) -> pd.Series:
+        return head.map(lambda b: bytes(b) + crc32_mpeg(bytes(b)).to_bytes(4, "big"))
+
+    head = F.format_string("%02X%04X%04X%02X%02X%02X", "table_id", F.octet_length("body") + 9 + 0xB000, "extension", F.col("version") * 2 + 0xC1, "number", "last_number")
+    return rows.select("stream_id", "pid", "ord", seal(F.concat(F.unhex(head), F.col("body"))).alias("section"))
+
+
+def packetised(sections: DataFrame) -> DataFrame:
+    """K4: ``(stream_id, pid, seq, pkt)`` that carry ``sections(stream_id, pid, ord,
+    section)`` one after the other, each from a packet of its own, the last one stuffed."""
+    own = W.partitionBy("stream_id", "pid").orderBy("ord")
+    rows = sections.withColumn("_d", F.concat(F.unhex(F.lit("00")), F.col("section"))).withColumn("_n", F.ceil(F.octet_length("_d") / 184).cast("long"))
+    rows = rows.withColumn("_s", F.sum("_n").over(own) - F.col("_n")).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    seq, first = F.col("_s") + F.col("_k"), F.when(F.col("_k") == 0, 64).otherwise(0)
+    head = F.format_string("47%02X%02X%02X", first + F.shiftright("pid", 8), F.col("pid").bitwiseAND(F.lit(255)), seq % 16 + 16)
+    data = F.expr("rpad(substring(_d, cast(_k * 184 + 1 as int), 184), 184, x'FF')")
+    return rows.select("stream_id", "pid", seq.alias("seq"), F.concat(F.unhex(head), data).alias("pkt"))
+
+
 def packetise(section: bytes, pid: int, cc: int = 0) -> list[bytes]:
     """K4: the packets that carry a section, the last one stuffed."""
     data, out = b"\0" + section, []

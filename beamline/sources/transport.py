@@ -21,8 +21,6 @@ from ..operators.folds import fold
 SIZE, SYNC = 188, 0x47
 #: Bytes of a capture that one task reads.
 RANGE_BYTES = 32 << 20
-#: Table of the MPEG CRC-32 polynomial.
-POLYNOMIAL = 0x04C11DB7
 
 HEADER = (
     "valid boolean, tei boolean, pusi boolean, pid int, scrambling int, afc int, cc int, has_payload boolean, payload_offset int, "

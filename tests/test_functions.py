@@ -104,25 +104,78 @@ def test_rates(spark):
 
 
 def test_failover(spark):
-    rows = [(0, True, True), (6, True, False), (12, False, True), (18, False, False), (24, False, True), (30, False, True), (32, True, True), (40, True, True)]
-    df = spark.createDataFrame([("s", *r) for r in rows], "stream_id string, ts long, stalled boolean, primary_healthy boolean")
-    assert [(r.ts, r.source) for r in folds.failover(df).orderBy("ts").collect()] == [(6, "backup"), (30, "primary"), (40, "backup")]
+    def run(rows):
+        df = spark.createDataFrame([("s", *r) for r in rows], "stream_id string, ts long, active boolean, stalled boolean, primary_healthy boolean, starts boolean")
+        return [(r.ts, r.source, r.cause, r.done) for r in folds.failover(df).orderBy("ts").collect()]
+
+    up, down, well = (True, False, False, True), (False, False, False, True), (True, False, True, True)
+    silent = (True, True, False, True)
+    # not active within five seconds of the start waits, a stall does not
+    assert run([(0, *up), (3, *down), (4, *down), (5, *down)]) == [(5, "backup", "input_silent", True)]
+    assert run([(0, *up), (1, *silent)]) == [(1, "backup", "input_silent", True)]
+    # probes of the primary are five seconds apart, and two in a row have to be healthy
+    probes = [(0, *up), (10, *silent)] + [(t, *well) for t in range(11, 30)]
+    assert run(probes) == [(10, "backup", "input_silent", True), (20, "primary", "primary_healthy_twice", True)]
+    broken = [(0, *up), (10, *silent), (15, *well), (20, *up), (25, *well), (30, *well)]
+    assert run(broken)[-1] == (30, "primary", "primary_healthy_twice", True)
+    # a backup that stops is started again, at most once a probe
+    assert run([(0, *up), (10, *silent), (15, *down), (16, *down), (20, *down)])[1:] == [(15, "backup", "backup_stopped", True), (20, "backup", "backup_stopped", True)]
+    # a switch that fails is rolled back and tried again ten seconds later
+    failed = [(0, *up), (10, True, True, False, False)] + [(t, *silent) for t in range(11, 22)]
+    assert run(failed) == [(10, "backup", "input_silent", False), (20, "backup", "input_silent", True)]
+    back = [(0, *up), (10, *silent), (15, *well), (20, True, False, True, False), (29, *well), (30, *well), (35, *well)]
+    assert run(back)[1:] == [(20, "primary", "primary_healthy_twice", False), (35, "primary", "primary_healthy_twice", True)]
+
+
+def test_authorised_sessions(spark):
+    rows = [("a", 0, 1, "request", True), ("a", 60, 2, "request", False), ("a", 599 - 480, 3, "request", False), ("a", 700, 4, "request", False), ("a", 701, 5, "request", True), ("a", 702, 6, "revoke", True), ("a", 703, 7, "request", True), ("a", 830, 8, "request", True)]
+    rows += [("b", t, 100 + t, "request", t < 600) for t in range(0, 700, 100)] + [(None, 0, 900, "request", False), (None, 1, 901, "request", True)]
+    df = spark.createDataFrame(rows, "session_id string, ts long, request_id long, kind string, granted boolean")
+    got = {r.request_id: (r.checked, r.allowed) for r in folds.authorised(df).collect()}
+    # cached, idle and refused, checked anew, revoked without a check, forgotten after two minutes
+    assert [got[k] for k in (1, 2, 3, 4, 5, 7, 8)] == [(True, True), (False, True), (False, True), (True, False), (True, True), (False, False), (True, True)]
+    # the recheck comes after ten minutes and closes the session
+    assert [got[100 + t] for t in (0, 500, 600)] == [(True, True), (False, True), (True, False)]
+    assert got[900] == (True, False) and got[901] == (True, True)
+
+
+def test_a_null_stream_is_one_stream(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(None, k, big + k) for k in range(60)] + [("s", 0, 7)], "stream_id string, ts long, sample_id long")
+    assert sorted((r.stream_id or "", r.sample_id) for r in folds.throttle(df).collect()) == [("", big), ("", big + 30), ("s", 7)]
+    numbers = spark.createDataFrame([(None, 1, 5, 9), (big, 1, 5, 9), (big + 1, 1, 5, 9), (big + 1, 2, 5, 9)], "stream_id long, seq long, arrival_ms long, x long")
+    assert folds.arrival_rate(numbers).count() == 0
+    rates = folds.input_rate(spark.createDataFrame([(None, k, 1000, 5000) for k in range(6)], "stream_id string, sequence long, bytes long, duration_ms long"))
+    assert [r.bps for r in rates.orderBy("sequence").collect()] == [1600] * 6
+
+
+def test_rates_do_not_depend_on_the_batches(spark):
+    rng = random.Random(8)
+    rows, at = [], 0
+    for k in range(500):
+        at += rng.choice([0, 1, 3, 40])
+        rows.append(("s", k, at, 100 * k, rng.randrange(0, 6000)))
+    df = spark.createDataFrame(rows, "stream_id string, seq long, arrival_ms long, bytes long, duration_ms long").withColumn("sequence", F.col("seq")).withColumn("ts", F.col("arrival_ms")).withColumn("sample_id", F.col("seq"))
+    whole = [sorted(map(tuple, f(df).collect())) for f in (lambda d: folds.arrival_rate(d, 50), folds.input_rate, lambda d: folds.throttle(d, 40))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert [sorted(map(tuple, f(df).collect())) for f in (lambda d: folds.arrival_rate(d, 50), folds.input_rate, lambda d: folds.throttle(d, 40))] == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_other_folds(spark):
     mk = lambda rows, ddl: spark.createDataFrame([("s", *r) for r in rows], f"stream_id string, {ddl}")
-    got = folds.switch_clock(mk([(0, "a", 100), (1, "a", 3700), (2, "b", 50), (3, "b", 3650)], "seq long, source string, pts long")).orderBy("seq").collect()
-    assert [r.out_pts for r in got] == [100, 3700, 12_700, 16_300]
-    got = folds.segment_cuts(mk([(0, 0, False), (1, 100, True), (2, 3000, True), (3, 4200, True), (4, 9000, False), (5, 16_300, False)], "seq long, clock_ms long, random_access boolean")).collect()
+    rows = [(0, "a", 5, 3, True, 100, None), (1, "a", 5, 4, True, None, 3700), (2, "b", 5, 9, True, None, None), (3, "b", 6, 1, True, 50, None), (4, "b", 5, 9, False, None, 3650), (5, "b", 5, 10, True, 3700, None)]
+    got = folds.switch_clock(mk(rows, "seq long, source string, pid int, cc int, has_payload boolean, pcr long, pts long")).orderBy("seq").collect()
+    assert [(r.out_cc, r.out_pcr, r.out_pts, r.flagged) for r in got] == [(3, 100, None, False), (4, None, 3700, False), (5, None, None, False), (1, 12_700, None, True), (6, None, 16_300, False), (6, 16_350, None, False)]
+    cuts = [(0, 0, False), (1, 100, True), (2, 3000, True), (3, 4200, True), (4, 9000, False), (5, 16_300, False)]
+    got = folds.segment_cuts(mk([(*r, True, True, False) for r in cuts], "seq long, clock_ms long, pes_start boolean, psi boolean, random_access boolean, key_picture boolean")).collect()
     assert [(r.first_seq, r.last_seq, r.duration_ms) for r in got] == [(1, 2, 4100), (3, 4, 12_100)]
-    got = folds.bounded_queue(mk([(0, 70, 0), (1, 50, 10), (2, 5, 60)], "seq long, bytes long, drained long"), 100).orderBy("seq").collect()
-    assert [(r.held, r.dropped) for r in got] == [(70, 0), (100, 10), (45, 10)]
     got = folds.clock_lock(mk([(k, 1000 + 3600 * k) for k in range(40)], "idx long, pts long")).orderBy("idx").collect()
     assert [r.locked for r in got] == [k >= 24 for k in range(40)]
     got = folds.pts_recovery(mk([(0, 1000, 3600), (1, None, 3600), (2, 8200, 3600), (3, 99_000, 3600)], "idx long, pts long, step long")).orderBy("idx").collect()
-    assert [(r.clock, r.locked) for r in got] == [(1000, True), (4600, False), (8200, False), (99_000, True)]
-    got = folds.pes_pacing(mk([(0, 0), (1, 3600), (2, 7200), (3, 900_000)], "idx long, dts long")).orderBy("idx").collect()
-    assert [(r.due_ms, r.resync) for r in got] == [(0, True), (40, False), (80, False), (80, True)]
+    assert [(r.clock, r.corrected) for r in got] == [(1000, True), (4600, False), (8200, False), (99_000, True)]
     ids = spark.createDataFrame([("m", 0, 2), ("m", 1, None), ("m", 2, 2)], "mux_id string, ord long, wanted int")
     assert [r.service_id for r in folds.service_ids(ids).orderBy("ord").collect()] == [2, 3, 4]
 
@@ -158,7 +211,11 @@ def test_schedules(spark):
 def test_import_and_search(spark):
     new = spark.createDataFrame([("n1", "One", "u1", 0), ("n1", "Two", "u2", 1), ("k", "Three", "u3", 2), ("n1", "KNOWN", "u9", 3)], "id string, name string, uri string, ord int")
     known = spark.createDataFrame([("k", "known", "u9")], "id string, name string, uri string")
-    assert {r.name: r.id for r in sessions.imported(new, known).collect()} == {"One": "n1", "Two": "n1-2", "Three": "k-2"}
+    assert {r.name: r.id for r in sessions.imported(new, known).collect()} == {"One": "n1", "Two": "n1_2", "Three": "k_2"}
+    # an id with a number may be taken already, or be given to a row before
+    new = spark.createDataFrame([("a", "One", "u1", 0), ("a_3", "Two", "u2", 1), ("a", "Three", "u3", 2), ("a", "ONE", "u1", 3)], "id string, name string, uri string, ord int")
+    known = spark.createDataFrame([("a", "x", "u"), ("a_2", "y", "v")], "id string, name string, uri string")
+    assert {r.name: r.id for r in sessions.imported(new, known).collect()} == {"One": "a_3", "Two": "a_3_2", "Three": "a_4"}
     streams = spark.createDataFrame([("Alpha", "udp://1", ["http://out"]), ("Beta", "srt://2", [])], "name string, uri string, outputs array<string>")
     assert [r.name for r in sessions.search(streams, " OUT ").collect()] == ["Alpha"]
 
@@ -166,9 +223,6 @@ def test_import_and_search(spark):
 def test_versions_and_section_times(spark):
     df = spark.createDataFrame([("s", k, d) for k, d in enumerate("aabbac")], "stream_id string, seq long, digest string")
     assert [r.version for r in guide.version(df).orderBy("seq").collect()] == [0, 0, 1, 1, 2, 3]
-    secs = spark.createDataFrame([("c", "present", 0)] + [("c", "schedule", k) for k in range(10)], "channel_id string, kind string, section int")
-    due = sorted((r.kind, r.due_ms) for r in guide.section_due(secs, 6).collect())
-    assert due == [("present", 0), ("present", 3000), ("present", 6000)] + [("schedule", 0)] * 8 + [("schedule", 200)] * 2
 
 
 def test_health(spark):
