@@ -14,7 +14,6 @@ from __future__ import annotations
 import random
 import re
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .contamination import mixed
 
 WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
@@ -41,11 +41,15 @@ BUCKETS = 1 << 16
 LEXICON = 300
 ROUNDS = 60
 SEED = 11
-CACHE = 400_000
+#: Odd 64-bit factors of the characters of a feature, and of its kind.
+_FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 3) | 1) & ((1 << 64) - 1) for k in range(5)], np.uint64)
+CACHE = 200_000
 #: Scores (positions by languages) of the cache and of one step of training at most.
 CELLS = 6_400_000
 #: Least mean certainty of the words of a document that the pipeline keeps.
 MIN_SCORE = 0.5
+#: Words of a segment of the chain.
+SEGMENT = 256
 #: Words handled at once in forward-backward.
 CHUNK_WORDS = 200_000
 
@@ -84,22 +88,69 @@ class Model:
         self.key = uuid.uuid4().hex
 
     def features(self, word: str) -> list[int]:
-        inner = word.startswith("_")
-        body, open_end, ahead = word[inner:].partition("_")
-        p = ("" if inner else "^") + body + (ahead or "$")
-        own = len(p) - len(ahead)  # n-grams that start in the piece are its own
-        names = [] if inner else [f"a{p[: k + 1]}" for k in (1, 2, 3)]
-        names += [] if open_end else [f"z{p[-k - 1 :]}" for k in (1, 2, 3)]
-        names += [p[i : i + 2] for i in range(min(own, len(p) - 1))] + [p[i : i + 3] for i in range(min(own, len(p) - 2))]
-        names += [f"lexicon {k}" for k in self.lexicon.get(word, ())] + ["any"]
-        return [zlib.crc32(f.encode()) & (BUCKETS - 1) for f in names]
+        """Weight vectors of one position."""
+        return self.features_of([word])[0].tolist()
+
+    def features_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Weight vectors of all words, one word after the other, and where each begins.
+
+        A word stands between ``^`` and ``$``; an inner piece of a long run has what
+        comes before and after it instead. Its features are the affixes of one to three
+        letters, the bigrams and trigrams that begin in it, its lexicons and one that all
+        have. Hashes are computed from the characters of all words at once."""
+        marked, own, first, last = [], [], [], []
+        for w in words:
+            if "_" not in w:
+                marked.append(f"^{w}$")
+                own.append(len(w) + 2)
+                first.append(True)
+                last.append(True)
+                continue
+            inner = w.startswith("_")
+            body, open_end, ahead = w[inner:].partition("_")
+            marked.append(("" if inner else "^") + body + (ahead or "$"))
+            own.append(len(marked[-1]) - len(ahead))  # n-grams that start in the piece are its own
+            first.append(not inner)
+            last.append(not open_end)
+        codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        length = np.fromiter(map(len, marked), np.int64, len(marked))
+        start = np.cumsum(length) - length
+        word = np.repeat(np.arange(len(marked)), length)
+        left = np.minimum(np.array(own, np.int64), length)[word] - (np.arange(len(codes)) - start[word])
+        rest = length[word] - (np.arange(len(codes)) - start[word])
+        owners, hashes = [], []
+        for ends, step in ((first, 1), (last, -1)):
+            mine = np.flatnonzero(ends)
+            edge = start[mine] if step > 0 else start[mine] + length[mine] - 1
+            for most in (2, 3, 4):
+                size = np.minimum(most, length[mine])
+                h = (size.astype(np.uint64) + np.uint64(16 if step > 0 else 32)) * _FACTORS[4]
+                for k in range(most):
+                    there = k < size
+                    h[there] += codes[edge[there] + step * k] * _FACTORS[k]
+                owners.append(mine)
+                hashes.append(h)
+        for size in (2, 3):
+            at = np.flatnonzero((left > 0) & (rest >= size))
+            h = np.full(len(at), size, np.uint64) * _FACTORS[4]
+            for k in range(size):
+                h += codes[at + k] * _FACTORS[k]
+            owners.append(word[at])
+            hashes.append(h)
+        known = [(j, k) for j, w in enumerate(words) if w in self.lexicon for k in self.lexicon[w]]
+        owners.append(np.array([j for j, _ in known], np.int64))
+        hashes.append((np.array([k for _, k in known], np.uint64) + np.uint64(64)) * _FACTORS[4])
+        owners.append(np.arange(len(words)))
+        hashes.append(np.full(len(words), 48, np.uint64) * _FACTORS[4])
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        flat = (mixed(np.concatenate(hashes)) & np.uint64(BUCKETS - 1)).astype(np.int64)[order]
+        return flat, np.searchsorted(owner[order], np.arange(len(words)))
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Emission scores of each word."""
-        found = [self.features(w) for w in words]
-        ends = np.cumsum([len(f) for f in found])
-        flat = np.fromiter((i for f in found for i in f), np.int64, int(ends[-1]))
-        return np.add.reduceat(self.weights[flat], np.concatenate([[0], ends[:-1]]), axis=0)
+        flat, starts = self.features_of(words)
+        return np.add.reduceat(self.weights[flat], starts, axis=0)
 
 
 class Words:
@@ -177,11 +228,8 @@ def train(rows: list[tuple[str, list[str]]], rounds: int = ROUNDS, seed: int = S
             for w in words:
                 word[r, at], gold[r, at] = place.setdefault(w, len(place)), k
                 at += 1
-    found = [model.features(w) for w in place]
-    ends = np.cumsum([len(f) for f in found])
-    flat = np.fromiter((i for f in found for i in f), np.int64, int(ends[-1]))
-    owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    starts = np.concatenate([[0], ends[:-1]])
+    flat, starts = model.features_of(list(place))
+    owner = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(flat)))
     mask = word >= 0
     both = mask[:, 1:]
     observed = np.bincount(gold[:, :-1][both] * n + gold[:, 1:][both], minlength=n * n).reshape(n, n).astype(float)
@@ -219,40 +267,74 @@ def train(rows: list[tuple[str, list[str]]], rounds: int = ROUNDS, seed: int = S
     return model
 
 
-def label_words(model: Model, table: np.ndarray, words: list[np.ndarray]) -> list[np.ndarray]:
+def _normalised(v: np.ndarray) -> np.ndarray:
+    return v / v.sum(axis=-1, keepdims=True)
+
+
+def _carried(e: np.ndarray, t: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What each segment (longest first) makes of a vector in front of it, but for a
+    factor: the product of its emissions and the transitions within it."""
+    out = np.eye(e.shape[1]) * e[starts][:, None, :]
+    alive = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
+    for i in range(1, sizes[0]):
+        n = alive[i]
+        own = (out[:n] @ t) * e[starts[:n] + i][:, None, :]
+        out[:n] = own / own.max(axis=(1, 2), keepdims=True)
+    return out
+
+
+def label_words(model: Model, table: np.ndarray, words: list[np.ndarray], segment: int = SEGMENT) -> list[np.ndarray]:
     """Posterior of the languages at each word of each (non-empty) text.
 
-    ``table`` has the emission scores by word number. Texts are taken in order of
-    length, so that one step of the recursion serves all texts that are as long."""
-    order = sorted(range(len(words)), key=lambda k: -len(words[k]))
-    sizes = np.array([len(words[k]) for k in order])
+    ``table`` has the emission scores by word number. A long text is cut into segments;
+    what comes into a segment from either side is carried over whole segments first, and
+    then all segments go through forward-backward side by side, longest first, so the
+    number of steps is that of a segment. The result is that of the whole chain."""
+    pieces = [(k, at) for k, w in enumerate(words) for at in range(0, len(w), segment)]
+    sizes = np.array([min(segment, len(words[k]) - at) for k, at in pieces])
+    order = np.argsort(-sizes, kind="stable")
+    sizes = sizes[order]
     starts = np.cumsum(sizes) - sizes
-    score = table[np.concatenate([words[k] for k in order])]
+    rank = np.empty(len(pieces), np.int64)
+    rank[order] = np.arange(len(pieces))
+    score = table[np.concatenate([words[k][at : at + segment] for k, at in (pieces[j] for j in order)])]
     e = np.exp(score - score.max(axis=1, keepdims=True))
     t = np.exp(model.transitions - model.transitions.max())
-    alive = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # texts longer than i words
+    ahead = np.tile(np.exp(model.start - model.start.max()), (len(pieces), 1))
+    behind = np.ones((len(pieces), e.shape[1]))
+    first = np.flatnonzero(np.array([at == 0 for _, at in pieces]))
+    several = [np.arange(a, b) for a, b in zip(first, np.append(first[1:], len(pieces))) if b - a > 1]
+    if several:
+        own = np.sort(rank[np.concatenate(several)])
+        carry = np.zeros((len(pieces), e.shape[1], e.shape[1]))
+        carry[own] = _carried(e, t, starts[own], sizes[own])
+        for text in several:
+            r = rank[text]
+            for before, now in zip(r[:-1], r[1:]):
+                ahead[now] = _normalised(ahead[before] @ carry[before] @ t)
+            for now, after in zip(r[-2::-1], r[:0:-1]):
+                behind[now] = _normalised(t @ (carry[after] @ behind[after]))
+    alive = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # segments longer than i words
     alpha = np.empty_like(e)
-    last = np.exp(model.start - model.start.max()) * e[starts]
+    last = ahead * e[starts]
     for i in range(sizes[0]):
         at = starts[: alive[i]] + i
         if i:
             last = (last[: alive[i]] @ t) * e[at]
-        last = last / last.sum(axis=1, keepdims=True)
+        last = _normalised(last)
         alpha[at] = last
     beta = np.ones((0, e.shape[1]))
     for i in range(sizes[0] - 1, -1, -1):
         at = starts[: alive[i]] + i
-        own = np.ones((len(at), e.shape[1]))
-        if len(beta):
-            own[: len(beta)] = beta
-        posterior = alpha[at] * own
-        alpha[at] = posterior / posterior.sum(axis=1, keepdims=True)
-        beta = (own * e[at]) @ t.T
-        beta /= beta.sum(axis=1, keepdims=True)
-    out: list = [None] * len(words)
-    for k, s, n in zip(order, starts, sizes):
-        out[k] = alpha[s : s + n]
-    return out
+        own = behind[: alive[i]].copy()  # of those that end here
+        own[: len(beta)] = beta
+        alpha[at] = _normalised(alpha[at] * own)
+        beta = _normalised((own * e[at]) @ t.T)
+    out: list = [[] for _ in words]
+    for j, (k, _) in enumerate(pieces):
+        a = starts[rank[j]]
+        out[k].append(alpha[a : a + sizes[rank[j]]])
+    return [own[0] if len(own) == 1 else np.concatenate(own) for own in out]
 
 
 def sample(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, window: int = WINDOW, seed: int = SEED) -> list[tuple[str, list[str]]]:
