@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from . import common
 from .contamination import WordHash, mixed, tokens
 
-#: Buckets of the n-grams: one a document, a power of two within these bounds (the
-#: upper one is a table of 16 MB in every worker).
-MIN_BUCKETS, MAX_BUCKETS = 1 << 14, 1 << 22
+#: Buckets of the n-grams for one document; they grow with the fourth root of the
+#: number of documents (15,000 for 50,000 documents, 180,000 for a thousand million).
+BUCKETS = 1024
 #: Target documents that the target model is fitted on, at most.
 MAX_TARGET_DOCS = 20_000
 KEEP = 0.75
@@ -29,8 +29,9 @@ SEED = 7
 
 
 def bucket_count(n_docs: int) -> int:
-    """Buckets of the models of a corpus."""
-    return min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << max(0, n_docs - 1).bit_length()))
+    """Buckets of the models of a corpus. A task's counts have one row a bucket, so their
+    number has to grow more slowly than the corpus."""
+    return int(BUCKETS * max(1, n_docs) ** 0.25)
 
 
 def ngrams(text: str | None, cache: WordHash, buckets: int) -> np.ndarray:
