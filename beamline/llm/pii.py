@@ -35,8 +35,9 @@ TERM = "term"
 DISCLOSURE = 0.8
 #: Standard errors of the lower bound of a term's estimate (95 % on one side).
 CONFIDENCE = 1.645
-#: Slots that the flagged terms are told by before they are joined.
-SLOTS = 1 << 22
+#: Filter that the flagged terms are told by before they are joined: bits for each, bits
+#: that are set for each, and the most bits (16 MB; more terms then pass it in vain).
+BITS_A_TERM, PROBES, MAX_BITS = 24, 4, 1 << 27
 CACHE = 400_000
 PLACEHOLDER = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", TERM: "<TERM>"}
 
@@ -191,30 +192,60 @@ def disclosing_terms(seen: DataFrame, n_docs: int, disclosure: float = DISCLOSUR
 MARKED = "doc_id long, row long, spans string, n array<long>, base_sha256 string, near array<struct<t:long,s:int,z:int>>"
 
 
+def filter_bits(n_terms: int) -> int:
+    """Bits of the filter that tells flagged terms: a power of two, up to ``MAX_BITS``."""
+    return min(MAX_BITS, 1 << max(16, (BITS_A_TERM * n_terms - 1).bit_length()))
+
+
+def places(digests: np.ndarray, bits: int) -> np.ndarray:
+    """The ``PROBES`` bits of each term, as rows."""
+    low, high = digests & 0x7FFFFFFF, (digests.view(np.uint64) >> np.uint64(33)).astype(np.int64) | 1
+    return (low + np.arange(PROBES)[:, None] * high) & (bits - 1)
+
+
+def term_filter(flagged: DataFrame) -> np.ndarray:
+    """Bloom filter of the flagged terms, as 64-bit words. The bits are gathered in Spark;
+    only the words of the filter come to the driver."""
+    bits = filter_bits(flagged.count())
+    low, high = F.col("t").bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned("t", 33).bitwiseOR(F.lit(1).cast("long"))
+    at = F.explode(F.array(*[(low + high * k).bitwiseAND(F.lit(bits - 1)) for k in range(PROBES)]))
+    words = flagged.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def may_be_flagged(words: list[str], digest: Terms, found: np.ndarray) -> set[str]:
+    """The words whose bits are all in the filter."""
+    own = np.fromiter(map(digest.__getitem__, words), np.int64, len(words))
+    at = places(own, 64 * len(found))
+    hit = ((found[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
+    return {words[k] for k in np.flatnonzero(hit).tolist()}
+
+
 def mark(docs: DataFrame, flagged: DataFrame) -> DataFrame:
-    """A row for each document: its base spans, and the places of the words whose slot
-    has a flagged term."""
-    slots = np.zeros(SLOTS, bool)
-    found = flagged.select(F.col("t").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).distinct().toPandas()
-    slots[found["slot"].to_numpy(np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(slots))
+    """A row for each document: its base spans, and the places of the words that pass the
+    filter of the flagged terms."""
+    shared = docs.sparkSession.sparkContext.broadcast(term_filter(flagged))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest, is_set = common.held("terms", Terms), np.unpackbits(shared.value).tobytes()
-        any_set = any(is_set)
+        digest, found = common.held("terms", Terms), shared.value
+        any_set = bool(found.any())
         for pdf in batches:
-            rows = []
-            for doc_id, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"]):
-                text = text or ""
-                spans, near = base_spans(text), []
-                base = ",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in spans[k])
-                if any_set:
-                    wanted = {w for w in set(_WORD.findall(text)) if is_set[digest[w] & (SLOTS - 1)]}
-                    if wanted:
-                        near = [(digest[m[0]], m.start(), m.end()) for m in other_words(text, spans) if m[0] in wanted]
-                rows.append((doc_id, row, base, [len(spans[k]) for k in KINDS], hashlib.sha256(base.encode()).hexdigest(), near))
-            types = {"doc_id": "Int64", "row": "Int64", "spans": object, "n": object, "base_sha256": object, "near": object}
-            yield pd.DataFrame(rows, columns=list(types)).astype(types)
+            for at in range(0, len(pdf), common.ROWS):
+                part = pdf.iloc[at : at + common.ROWS]
+                texts = [t or "" for t in part["text"]]
+                own = [set(_WORD.findall(t)) for t in texts] if any_set else [set()] * len(texts)
+                wanted, rows = may_be_flagged(list(set().union(*own)), digest, found), []
+                for doc_id, row, text, words in zip(part["doc_id"], part["row"], texts, own):
+                    spans, near = base_spans(text), []
+                    base = ",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in spans[k])
+                    words &= wanted
+                    if words:
+                        near = [(digest[m[0]], m.start(), m.end()) for m in other_words(text, spans) if m[0] in words]
+                    rows.append((doc_id, row, base, [len(spans[k]) for k in KINDS], hashlib.sha256(base.encode()).hexdigest(), near))
+                types = {"doc_id": "Int64", "row": "Int64", "spans": object, "n": object, "base_sha256": object, "near": object}
+                yield pd.DataFrame(rows, columns=list(types)).astype(types)
 
     return docs.select(F.col("doc_id").cast("long"), "row", "text").mapInPandas(run, MARKED)
 
