@@ -22,13 +22,14 @@ def paths(model, words):
         yield labels, total + sum(model.transitions[a, b] for a, b in zip(labels, labels[1:]))
 
 
-def test_posteriors_are_those_of_all_paths():
+@pytest.mark.parametrize("segment", [1, 2, 3, 256])
+def test_posteriors_are_those_of_all_paths(segment):
     rng = np.random.default_rng(5)
     model = language.Model(["a", "b", "c"], {"two": [1]})
     model.weights = rng.normal(size=model.weights.shape)
     model.transitions, model.start = rng.normal(size=(3, 3)) * 2, rng.normal(size=3)
     texts = [["one"], ["one", "two"], ["three", "two", "two", "four", "one"], ["five"] * 6]
-    for words, found in zip(texts, language.label_words(model, *language.Words(model).numbered(texts))):
+    for words, found in zip(texts, language.label_words(model, *language.Words(model).numbered(texts), segment)):
         expected, whole = np.zeros((len(words), 3)), 0.0
         for labels, score in paths(model, words):
             whole += math.exp(score)
@@ -37,6 +38,17 @@ def test_posteriors_are_those_of_all_paths():
         assert np.allclose(found, expected / whole)
 
 
+def test_long_texts_do_not_depend_on_the_segments():
+    rng = np.random.default_rng(6)
+    model = language.Model(["a", "b", "c", "d"], {})
+    model.transitions, model.start = rng.normal(size=(4, 4)) * 3, rng.normal(size=4)
+    table = rng.normal(size=(50, 4)) * 20
+    words = [rng.integers(0, 50, n) for n in (1, 5000, 300, 256, 257, 2, 1024)]
+    whole = language.label_words(model, table, words, 1 << 20)
+    for segment in (7, 256):
+        assert all(np.allclose(a, b) for a, b in zip(language.label_words(model, table, words, segment), whole))
+
+
 def test_training_ends_where_the_gradient_is_nought():
     rows = [("a", ["xa", "ya"]), ("b", ["xb", "yb", "xa"]), ("a", ["ya", "xa"]), ("b", ["yb", "xb"])]
     model = language.train(rows, rounds=4000)
@@ -223,7 +235,7 @@ def test_quality_is_a_recount(spark):
 
 
 def test_buckets_grow_with_the_corpus():
-    assert [quality.bucket_count(n) for n in (0, 10_000, 20_000, 1_000_000, 1 << 40)] == [1 << 14, 1 << 14, 1 << 15, 1 << 20, 1 << 22]
+    assert [quality.bucket_count(n) for n in (0, 10_000, 160_000, 100_000_000)] == [1024, 10_240, 20_480, 102_400]
 
 
 def test_disclosing_terms_are_those_of_the_formula(spark):
@@ -247,3 +259,14 @@ def test_disclosing_terms_are_those_of_the_formula(spark):
                 flagged.add(t)
     got = {texts[r.doc_id][int(s) : int(e)].lower() for r in pii.detect(df).collect() for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"}
     assert got == flagged and flagged
+
+
+def test_the_filter_passes_every_flagged_term_and_few_others(spark):
+    digest = pii.Terms()
+    flagged, others = [f"term{k}" for k in range(5000)], [f"other{k}" for k in range(20_000)]
+    found = pii.term_filter(spark.createDataFrame([(digest[w],) for w in flagged], "t long"))
+    assert 64 * len(found) == pii.filter_bits(5000) == 1 << 17
+    assert pii.may_be_flagged(flagged, digest, found) == set(flagged)
+    assert len(pii.may_be_flagged(others, digest, found)) < 100
+    none = pii.term_filter(spark.createDataFrame([], "t long"))
+    assert not none.any() and pii.may_be_flagged([], digest, none) == set()
