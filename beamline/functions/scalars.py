@@ -14,6 +14,10 @@ CODECS = {
 RETRY_S = (10, 10, 20, 40, 60, 120)
 #: FNV-1a, 64 bits.
 FNV_BASIS, FNV_PRIME = 14695981039346656037, 1099511628211
+#: FNV-1a, 32 bits.
+FNV32_BASIS, FNV32_PRIME = 2166136261, 16777619
+#: Jitter of a retry, steps and milliseconds of a step.
+JITTER_STEPS, JITTER_MS = 13, 150
 
 
 def _c(x) -> Column:
@@ -125,6 +129,14 @@ def fnv1a64(text) -> Column:
     return F.aggregate(octets, start, step, lambda acc: F.shiftleft(acc["hi"], 32).bitwiseOR(acc["lo"]))
 
 
+def fnv1a32(text) -> Column:
+    """FNV-1a of the UTF-8 bytes in 32 bits."""
+    digits = F.hex(_c(text))
+    octets = F.transform(F.sequence(F.lit(1), F.octet_length(_c(text))), lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+    octets = F.when(F.octet_length(_c(text)) > 0, octets).otherwise(F.array().cast("array<long>"))
+    return F.aggregate(octets, F.lit(FNV32_BASIS).cast("long"), lambda h, b: (h.bitwiseXOR(b) * FNV32_PRIME).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def clock_delta(now, before, wrap: int = PTS_WRAP) -> Column:
     """Signed difference of two clock readings by the half-range rule."""
     d = F.pmod(_c(now) - _c(before), F.lit(wrap))
@@ -180,15 +192,20 @@ def output_pcr(slot, bitrate) -> Column:
     return F.pmod(ticks.cast("decimal(20,0)"), F.lit(PCR_WRAP).cast("decimal(20,0)")).cast("long")
 
 
+#: Last three digits of a coded bit rate: no start buffer; the usual one;
+#: the first and last of the two runs that count its steps.
+NO_BUFFER, USUAL_BUFFER, BUFFER_RUNS, BUFFER_STEP_MS = (699, 799), 777, ((700, 729), (800, 829)), 500
+
+
 def target_bitrate(coded) -> Column:
     """The bit rate in a coded one, and the start buffer in milliseconds: the last
     three digits 699 and 799 mean none, 700 to 729 and 800 to 829 steps of 500 ms."""
     v = _c(coded)
     rest = v % 1000
-    none = (v >= 100_699) & rest.isin(699, 799)
-    steps = (v >= 100_700) & (rest.between(700, 729) | rest.between(800, 829))
-    marked = none | steps | (v >= 100_777) & (rest == 777)
-    wait = F.when(none, 0).when(steps, (rest % 100 + 1) * 500).otherwise(3000).cast("int")
+    none = (v >= 100_000 + NO_BUFFER[0]) & rest.isin(*NO_BUFFER)
+    steps = (v >= 100_000 + BUFFER_RUNS[0][0]) & (rest.between(*BUFFER_RUNS[0]) | rest.between(*BUFFER_RUNS[1]))
+    marked = none | steps | (v >= 100_000 + USUAL_BUFFER) & (rest == USUAL_BUFFER)
+    wait = F.when(none, 0).when(steps, (rest % 100 + 1) * BUFFER_STEP_MS).otherwise(3000).cast("int")
     return F.struct(F.when(marked, v - rest).otherwise(v).alias("bitrate"), wait.alias("buffer_ms"))
 
 
@@ -212,10 +229,15 @@ def segment_settings(seconds, count, cmaf) -> Column:
 
 
 def back_off_ms(failures) -> Column:
-    """One second doubled with each failure, 30 s at most (the jitter is left out)."""
+    """One second doubled with each failure, 30 s at most."""
     return F.least(F.lit(30_000), F.lit(1000) * F.pow(F.lit(2), F.least(F.lit(5), _c(failures))).cast("int"))
 
 
+def jitter_ms(name) -> Column:
+    """What a retry waits beside, the same for a name each time."""
+    return (fnv1a32(name) % JITTER_STEPS * JITTER_MS).cast("int")
+
+
 def signal_percent(raw) -> Column:
     """Share of a 16-bit reading, in whole percent."""
     return F.least(F.lit(100), F.greatest(F.lit(0), F.round(_c(raw) * 100 / 65535).cast("int")))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.packets import payloads
+
 NULL_PID = 8191
 #: Ticks of the 33-bit 90 kHz clock and of the 27 MHz clock built on it.
 PTS_WRAP, PCR_WRAP = 1 << 33, (1 << 33) * 300
@@ -66,10 +68,31 @@ def status_counts(packets: DataFrame) -> DataFrame:
 
 
 def stream_errors(packets: DataFrame) -> DataFrame:
-    """A1: a stream's errors are its gaps and duplicates, and its transport and header errors."""
-    seen = status(packets).groupBy("stream_id").agg(count(F.col("status").isin("Gap", "Duplicate")).alias("continuity"))
-    bad = packets.where(F.col("pid") != NULL_PID).groupBy("stream_id").agg(count(F.col("tei")).alias("transport"), count(~F.col("tei") & (F.col("afc") == 0)).alias("invalid"))
-    return bad.join(seen, "stream_id", "left").select("stream_id", "transport", "invalid", F.coalesce("continuity", F.lit(0)).alias("continuity"), (F.coalesce("continuity", F.lit(0)) + F.col("transport") + F.col("invalid")).alias("errors"))
+    """A1: a stream's errors are its gaps and duplicates, and its transport and header
+    errors. One window over all packets; those in error are no one's predecessor."""
+    rows = packets.where(F.col("pid") != NULL_PID)
+    counted = ~F.col("tei") & (F.col("afc") != 0)
+    last = lambda c: F.last(F.when(counted, F.col(c)), ignorenulls=True).over(key().rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumns({"_b": last("cc"), "_p": last("has_payload")})
+    paid, known = F.col("has_payload"), counted & ~F.col("discontinuity") & F.col("_b").isNotNull()
+    twin = paid & F.col("_p") & (F.col("cc") == F.col("_b"))
+    gap = F.when(paid, F.col("cc") != (F.col("_b") + 1) % 16).otherwise(F.col("cc") != F.col("_b"))
+    out = rows.groupBy("stream_id").agg(count(F.col("tei")).alias("transport"), count(~F.col("tei") & (F.col("afc") == 0)).alias("invalid"), count(known & (twin | gap)).alias("continuity"))
+    return out.withColumn("errors", F.col("continuity") + F.col("transport") + F.col("invalid"))
+
+
+def _stage_rows(rows: DataFrame) -> DataFrame:
+    """``epoch, cc_error, exact_duplicate`` of each packet; those in error stand aside."""
+    fine = ~F.col("tei")
+    own = W.partitionBy("stream_id", "pid", "epoch").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    resets = F.sum((fine & (F.col("discontinuity") | (F.col("afc") == 0))).cast("long")).over(key().rowsBetween(W.unboundedPreceding, 0))
+    last = F.last(F.when(fine & F.col("has_payload"), F.struct("cc", "payload_hash")), ignorenulls=True).over(own)
+    rows = rows.withColumn("epoch", resets).withColumn("last", last)
+    known, fresh = fine & F.col("last").isNotNull() & (F.col("afc") != 0), F.col("discontinuity")
+    same = F.col("cc") == F.col("last.cc")
+    twin = known & ~fresh & F.col("has_payload") & same & (F.col("payload_hash") == F.col("last.payload_hash"))
+    follows = F.when(F.col("has_payload"), F.col("cc") == (F.col("last.cc") + 1) % 16).otherwise(same)
+    return rows.withColumn("exact_duplicate", F.coalesce(twin, F.lit(False))).withColumn("cc_error", F.coalesce(known & ~fresh & ~twin & ~follows, F.lit(False))).drop("last")
 
 
 def stage_events(packets: DataFrame) -> DataFrame:
@@ -78,25 +101,24 @@ def stage_events(packets: DataFrame) -> DataFrame:
     Only payload advances the count. A discontinuity, or a packet without either
     field, opens an epoch; the last payload packet of the epoch is what follows are
     compared with. The same count and the same bytes are an exact duplicate."""
-    own = W.partitionBy("stream_id", "pid", "epoch").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    resets = F.sum((F.col("discontinuity") | (F.col("afc") == 0)).cast("long")).over(key().rowsBetween(W.unboundedPreceding, 0))
-    last = F.last(F.when(F.col("has_payload"), F.struct("cc", "payload_hash")), ignorenulls=True).over(own)
-    rows = usable(packets).withColumn("epoch", resets).withColumn("last", last)
-    known, fresh = F.col("last").isNotNull() & (F.col("afc") != 0), F.col("discontinuity")
-    same = F.col("cc") == F.col("last.cc")
-    twin = known & ~fresh & F.col("has_payload") & same & (F.col("payload_hash") == F.col("last.payload_hash"))
-    follows = F.when(F.col("has_payload"), F.col("cc") == (F.col("last.cc") + 1) % 16).otherwise(same)
-    return rows.withColumn("exact_duplicate", F.coalesce(twin, F.lit(False))).withColumn("cc_error", F.coalesce(known & ~fresh & ~twin & ~follows, F.lit(False))).drop("last")
+    return _stage_rows(usable(packets))
 
 
 def stage_counters(packets: DataFrame) -> DataFrame:
-    """A2: counters of a stage by stream and pid."""
-    counted = stage_events(packets).groupBy("stream_id", "pid").agg(
-        F.count("*").alias("packets"), count(F.col("cc_error")).alias("cc_errors"), count(F.col("exact_duplicate")).alias("exact_duplicates"),
-        count(F.col("afc") == 2).alias("adaptation_only"), count(F.col("discontinuity")).alias("discontinuities"), count(F.col("afc") == 0).alias("bad_afc"),
-    )
-    tei = packets.where("tei").groupBy("stream_id", "pid").agg(F.count("*").alias("tei"))
-    return counted.join(tei, ["stream_id", "pid"], "left").withColumn("tei", F.coalesce("tei", F.lit(0)))
+    """A2: counters of a stage by stream and pid, in one pass."""
+    fine = ~F.col("tei")
+    return _stage_rows(packets.where(F.col("pid") != NULL_PID)).groupBy("stream_id", "pid").agg(
+        count(fine).alias("packets"), count(F.col("cc_error")).alias("cc_errors"), count(F.col("exact_duplicate")).alias("exact_duplicates"),
+        count(fine & (F.col("afc") == 2)).alias("adaptation_only"), count(fine & F.col("discontinuity")).alias("discontinuities"), count(fine & (F.col("afc") == 0)).alias("bad_afc"),
+        count(F.col("cc_error") & (F.col("afc") == 2)).alias("adaptation_only_cc_errors"), count(F.col("tei")).alias("tei"),
+    ).where("packets > 0")
+
+
+def alignment(packets: DataFrame, size: int = 188) -> DataFrame:
+    """A2: how often a stream's packets do not follow each other in its bytes, and the
+    bytes between them. ``packets(stream_id, seq, at)`` as the reader gives them."""
+    gap = F.col("at") - F.coalesce(F.lag("at").over(W.partitionBy("stream_id").orderBy("seq")) + size, F.lit(0))
+    return packets.select("stream_id", gap.alias("gap")).groupBy("stream_id").agg(count(F.col("gap") > 0).alias("alignment_misses"), F.sum("gap").alias("resync_bytes"))
 
 
 def top_pids(counters: DataFrame, by: str = "cc_errors", n: int = 8) -> DataFrame:
@@ -143,22 +165,90 @@ def pts_gaps(packets: DataFrame) -> DataFrame:
     return rows.withColumn("backward", F.col("forward") > PTS_WRAP // 2).withColumn("gap_ms", F.when(~F.col("backward"), F.expr("forward * 1000 div 90000")))
 
 
-def track_counters(packets: DataFrame) -> DataFrame:
-    """Counters of each track: scrambling, timestamps and arrival."""
-    gaps = pts_gaps(packets).groupBy("stream_id", "pid").agg(
-        F.count("*").alias("timestamps"), count(F.col("backward")).alias("pts_backward"), count(F.col("gap_ms") > GAP_MS).alias("pts_gaps"), F.max("gap_ms").alias("pts_gap_max_ms")
-    )
-    wall = F.col("arrival_ms") - F.lag("arrival_ms").over(key())
-    rows = usable(packets).where("afc <> 0").withColumn("wall_ms", wall)
-    seen = rows.groupBy("stream_id", "pid").agg(
-        F.count("*").alias("packets"), count(F.col("scrambling") == 0).alias("clear"), count(F.col("scrambling") == 2).alias("even"), count(F.col("scrambling") == 3).alias("odd"),
-        count(F.col("pusi") & F.col("has_payload") & (F.col("scrambling") == 0)).alias("pes_starts"),
-        count(F.col("wall_ms") > GAP_MS).alias("wall_gaps"), F.max("wall_ms").alias("wall_gap_max_ms"),
+#: Why a track's PES start is bad, in the order in which they are looked for.
+BAD_PES = ("adaptation", "truncated", "prefix", "stream_id")
+
+
+def pes_fault(kind: Column, column: str = "pkt") -> Column:
+    """A4: why the PES start of a clear packet is bad; null if it is sound. ``kind`` is
+    ``video`` or ``audio`` and says which stream ids are expected."""
+    byte = lambda at: F.conv(F.hex(F.substring(F.col(column), at + 1, F.lit(1))), 16, 10).cast("int")
+    adaptation = F.when(F.col("afc") == 3, byte(F.lit(4))).otherwise(-1)
+    start = F.when(F.col("afc") == 3, 5 + adaptation).otherwise(4)
+    stream = byte(start + 3)
+    expected = F.when(kind == "video", stream.between(0xE0, 0xEF)).otherwise(stream.between(0xC0, 0xDF) | (stream == 0xBD))
+    return (
+        F.when(adaptation > 182, BAD_PES[0]).when(start + 9 > 188, BAD_PES[1])
+        .when(F.hex(F.substring(F.col(column), start + 1, F.lit(3))) != "000001", BAD_PES[2]).when(~expected, BAD_PES[3])
     )
-    return seen.join(gaps, ["stream_id", "pid"], "left").fillna(0, ["timestamps", "pts_backward", "pts_gaps"])
+
+
+def track_counters(packets: DataFrame) -> DataFrame:
+    """Counters of each track: scrambling, timestamps and arrival, in one pass;
+    with a column ``pes_fault`` (see ``pes_fault``) also sound and bad PES starts by
+    reason."""
+    rows = packets.where(F.col("pid") != NULL_PID)
+    fine, counted = ~F.col("tei"), ~F.col("tei") & (F.col("afc") != 0)
+    last = lambda c, ok: F.last(F.when(ok, F.col(c)), ignorenulls=True).over(key().rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumns({"_t": last("pts", fine), "_w": last("arrival_ms", counted)})
+    rows = rows.withColumn("_f", F.when(fine, F.pmod(F.col("pts") - F.col("_t"), F.lit(PTS_WRAP))))
+    rows = rows.withColumns({"_back": F.col("_f") > PTS_WRAP // 2, "_gap": F.when(F.col("_f") <= PTS_WRAP // 2, F.expr("_f * 1000 div 90000")), "_wall": F.when(counted, F.col("arrival_ms") - F.col("_w"))})
+    clear_start = counted & F.col("pusi") & F.col("has_payload") & (F.col("scrambling") == 0)
+    more = []
+    if "pes_fault" in packets.columns:
+        more = [count(clear_start & F.col("pes_fault").isNull()).alias("clear_pes"), count(clear_start & F.col("pes_fault").isNotNull()).alias("bad_pes")]
+        more += [count(clear_start & (F.col("pes_fault") == name)).alias(f"bad_pes_{name}") for name in BAD_PES]
+    return rows.groupBy("stream_id", "pid").agg(
+        count(counted).alias("packets"), *[count(counted & (F.col("scrambling") == k)).alias(name) for k, name in ((0, "clear"), (2, "even"), (3, "odd"))],
+        count(clear_start).alias("pes_starts"), count(F.col("_wall") > GAP_MS).alias("wall_gaps"), F.max("_wall").alias("wall_gap_max_ms"),
+        count(fine & F.col("pts").isNotNull()).alias("timestamps"), count(F.col("_back")).alias("pts_backward"), count(F.col("_gap") > GAP_MS).alias("pts_gaps"), F.max("_gap").alias("pts_gap_max_ms"), *more,
+    ).where("packets > 0")
 
 
 def fixed_reports(packets: DataFrame, seconds: int = 3600) -> DataFrame:
     """Packets and errors of each stream in fixed intervals since 1970."""
     slot = F.expr(f"arrival_ms div {seconds * 1000} * {seconds}")
     return status(packets).groupBy("stream_id", slot.alias("slot_s")).agg(F.count("*").alias("packets"), count(F.col("status") == "Gap").alias("gaps"))
+
+
+def after_counters(packets: DataFrame) -> DataFrame:
+    """A3: what leaves a descrambler, by stream and pid: packets, those still scrambled,
+    sound and bad PES starts of video, and its NAL units' headers.
+
+    ``packets(stream_id, pid, seq, pkt, codec)``; ``codec`` is null where it is no video.
+    A PES start or a scrambled packet begins a run; the clear payloads of a run are
+    joined, so a start code may go across packets."""
+    rows = payloads(packets.where(F.col("pid") != NULL_PID).select("stream_id", "pid", "seq", "pkt", "codec"))
+    clear, video = F.col("scrambling") == 0, F.col("codec").isNotNull()
+    begins = clear & video & F.col("start") & F.col("data").isNotNull()
+    byte = lambda k: F.conv(F.hex(F.substring("data", k + 1, 1)), 16, 10).cast("int")
+    sound = (F.octet_length("data") >= 9) & (F.hex(F.substring("data", 1, 3)) == "000001") & byte(3).between(0xE0, 0xEF) & byte(6).between(0x80, 0xBF)
+    rows = rows.withColumns({"begins": F.coalesce(begins, F.lit(False)), "sound": F.coalesce(sound, F.lit(False)), "clear": clear})
+    rows = rows.withColumn("run", F.sum((F.col("begins") | ~F.col("clear")).cast("long")).over(key().rowsBetween(W.unboundedPreceding, 0)))
+    body = F.when(~F.col("clear") | ~video | F.col("begins") & ~F.col("sound"), None).when(F.col("begins"), F.substring("data", byte(8) + 10, F.lit(188))).otherwise(F.col("data"))
+    runs = rows.withColumn("body", F.coalesce(body, F.lit(b""))).groupBy("stream_id", "pid", "run").agg(
+        F.count("*").alias("packets"), count(~F.col("clear")).alias("scrambled"), count(F.col("begins") & F.col("sound")).alias("ok"), count(F.col("begins") & ~F.col("sound")).alias("bad"),
+        F.max("codec").alias("codec"), F.decode(F.expr("listagg(body) within group (order by seq)"), "ISO-8859-1").alias("text"))
+    hevc, start = F.col("codec") == "hevc", r"\x00\x00\x01"
+    found = lambda tail: F.regexp_count("text", F.lit(start + tail))
+    headers = F.when(hevc, found(r"[\x00-\xff]{2}")).otherwise(found(r"[\x00-\xff]"))
+    wrong = F.when(hevc, found(r"[\x80-\xff]") + found(r"[\x00-\xff](?:" + "|".join(f"\\x{b:02x}" for b in range(0, 256, 8)) + ")"))
+    wrong = wrong.otherwise(found(r"(?:[\x80-\xff]|" + "|".join(f"\\x{b:02x}" for b in range(0, 128, 32)) + ")"))
+    return runs.groupBy("stream_id", "pid").agg(
+        F.sum("packets").alias("post_packets"), F.sum("scrambled").alias("post_still_scrambled"), F.sum("ok").alias("post_pes_ok"), F.sum("bad").alias("post_pes_bad"),
+        F.sum(headers).cast("long").alias("post_video_nal_headers"), F.sum(wrong).cast("long").alias("post_video_nal_bad"))
+
+
+def response_counters(results: DataFrame, slow_ms: int = 500) -> DataFrame:
+    """A3: answers of a key service by stream, as its log has them: ``results(stream_id,
+    found, latency_ms)``; nothing of the answers themselves."""
+    ok = F.col("found")
+    return results.groupBy("stream_id").agg(
+        count(ok).alias("cw_responses"), count(~ok).alias("ecm_not_found"), F.coalesce(F.max(F.when(ok, F.col("latency_ms"))), F.lit(0)).alias("ecm_latency_max_ms"), count(ok & (F.col("latency_ms") > slow_ms)).alias("ecm_latency_slow"))
+
+
+def accounting(pairs: DataFrame) -> DataFrame:
+    """Packets of each stream that went through a stage, that it changed, and that are
+    clear or scrambled behind it. ``pairs(stream_id, before, after)``."""
+    scrambled = F.conv(F.hex(F.substring("after", 4, 1)), 16, 10).cast("int") >= 64
+    return pairs.groupBy("stream_id").agg(F.count("*").alias("seen"), count(F.col("before") != F.col("after")).alias("changed"), count(~scrambled).alias("clear"), count(scrambled).alias("scrambled"))

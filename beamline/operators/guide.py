@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,15 +34,24 @@ def latest(events: DataFrame, n: int = PER_CHANNEL) -> DataFrame:
     return events.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
-def first_arrived(events: DataFrame, per_channel: int = PER_CHANNEL, per_source: int = PER_SOURCE) -> DataFrame:
-    """O3: a channel's first events to arrive, and a source's, up to their limits.
+def first_arrived(events: DataFrame, per_channel: int = PER_CHANNEL, per_source: int = PER_SOURCE, channels: int = CHANNELS) -> DataFrame:
+    """O3: a source's first channels to arrive, a channel's first events and a source's,
+    up to their limits.
 
-    The limit of a source needs an order over all its channels; counting by channel
-    first keeps it to one window over a source's rows."""
-    place = F.row_number().over(W.partitionBy("source_id", "channel_id").orderBy("arrival"))
-    kept = events.withColumn("_place", place).where(F.col("_place") <= per_channel).drop("_place")
-    total = F.row_number().over(W.partitionBy("source_id").orderBy("arrival"))
-    return kept.withColumn("_total", total).where(F.col("_total") <= per_source).drop("_total")
+    Each limit is a rank that is filtered at once, so a task passes on no more than the
+    limit's rows of a source, however many there are."""
+    rank = lambda rows, keys, order, n: rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where(F.col("_r") <= n).drop("_r")
+    first = events.groupBy("source_id", "channel_id").agg(F.min("arrival").alias("_first"))
+    known = rank(first, ["source_id"], "_first", channels).select("source_id", "channel_id")
+    kept = rank(events.join(known, ["source_id", "channel_id"], "left_semi"), ["source_id", "channel_id"], "arrival", per_channel)
+    return rank(kept, ["source_id"], "arrival", per_source)
+
+
+def left_out(events: DataFrame, kept: DataFrame) -> DataFrame:
+    """O3: events of each source beyond its limits."""
+    n = lambda rows, name: rows.groupBy("source_id").agg(F.count("*").alias(name))
+    both = n(events, "_all").join(n(kept, "_kept"), "source_id", "left")
+    return both.select("source_id", (F.col("_all") - F.coalesce("_kept", F.lit(0))).alias("overflow"))
 
 
 def now_next(events: DataFrame, now: int, keys: tuple[str, ...] = ("channel_id",)) -> DataFrame:
@@ -100,6 +109,11 @@ def version(contents: DataFrame) -> DataFrame:
     return contents.withColumn("_c", changed).withColumn("version", F.pmod(F.sum("_c").over(own.rowsBetween(W.unboundedPreceding, 0)), F.lit(32))).drop("_c")
 
 
+def snapshot(events: DataFrame, channel: Column | int, now: int, days: int = 7) -> DataFrame:
+    """One channel's events from six hours ago to ``days`` ahead, in order."""
+    return window(events.where(F.col("channel_id") == channel), now, days).orderBy("start", "event_id")
+
+
 def source_status(events: DataFrame) -> DataFrame:
     """Channels and events by source."""
     return events.groupBy("source_id").agg(F.countDistinct("channel_id").alias("channels"), F.count("*").alias("events"), (F.count("*") > PER_SOURCE).alias("truncated"))

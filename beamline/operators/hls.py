@@ -21,7 +21,7 @@ def parsed(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("line", F.trim("line")).withColumn("_uri", is_uri)
     rows = rows.withColumn("_n", F.coalesce(F.sum(F.col("_uri").cast("long")).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     part = W.partitionBy("playlist", "_n")
-    value = lambda name: F.when(tag(name), F.substring("line", len(name) + 1, F.lit(10_000)))
+    value = lambda name: F.when(tag(name), F.expr(f"substring(line, {len(name) + 1})"))
     rows = rows.withColumns({
         "duration": F.max(F.when(tag("#EXTINF:"), F.regexp_extract("line", r"^#EXTINF:([0-9.]+)", 1).try_cast("double"))).over(part),
         "discontinuity": F.max(F.when(F.col("line") == "#EXT-X-DISCONTINUITY", 1).otherwise(0)).over(part) == 1,
@@ -87,15 +87,20 @@ def iso_time(epoch: str) -> Column:
     return F.format_string("%sT%02d:%02d:%02dZ", F.date_format(day, "yyyy-MM-dd"), F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60)
 
 
+#: Names of range requests: how many numbers follow, whether the first one
+#: counts back from now, and whether the range is open.
+RANGES = {"archive": (2, False, False), "timeshift_abs": (1, False, True), "timeshift_rel": (1, True, True), "rewind": (1, True, True)}
+
+
 def archive_range(request: str, now: int) -> tuple[int, int, bool] | None:
     """First second, last second and openness of a request's name; None if it is none."""
-    if m := re.fullmatch(r"archive-([0-9]+)-([0-9]+)\.m3u8", request):
-        return int(m[1]), int(m[1]) + int(m[2]), False
-    if m := re.fullmatch(r"(?:timeshift_rel|rewind)-([0-9]+)\.m3u8", request):
-        return now - int(m[1]), now + 10, True
-    if m := re.fullmatch(r"timeshift_abs-([0-9]+)\.m3u8", request):
-        return int(m[1]), now + 10, True
-    return None
+    name, *values = request.removesuffix(".m3u8").split("-")
+    form = RANGES.get(name)
+    if form is None or not request.endswith(".m3u8") or len(values) != form[0] or not all(re.fullmatch("[0-9]+", v) for v in values):
+        return None
+    _, from_now, is_open = form
+    first = now - int(values[0]) if from_now else int(values[0])
+    return first, now + 10 if is_open else first + int(values[1]), is_open
 
 
 def archive(segments: DataFrame, request: str, now: int, hours: int, margin_s: int = 2) -> DataFrame:
@@ -111,6 +116,18 @@ def archive(segments: DataFrame, request: str, now: int, hours: int, margin_s: i
     return rows.withColumn("seconds", F.when(step.isNull(), 2.0).otherwise(F.least(F.lit(6.0), F.greatest(F.lit(1.0), step.cast("double")))))
 
 
+def archive_playlist(segments: DataFrame, request: str, now: int, hours: int) -> DataFrame:
+    """K9: the text of each stream's playlist of a range: an open one is of type EVENT, a
+    closed one of type VOD with an end."""
+    found = archive_range(request, now)
+    rows = archive(segments, request, now, hours)
+    entry = F.concat(F.lit("#EXT-X-PROGRAM-DATE-TIME:"), iso_time("wall_ts"), F.format_string("\n#EXTINF:%.3f,\n", "seconds"), F.col("file"), F.lit("\n"))
+    joined = F.expr("array_join(transform(array_sort(_e), x -> x._t), '')")
+    kind, end = ("EVENT", "") if found and found[2] else ("VOD", "#EXT-X-ENDLIST\n")
+    head = f"#EXTM3U\n#EXT-X-VERSION:3\n#EXT-X-TARGETDURATION:6\n#EXT-X-MEDIA-SEQUENCE:0\n#EXT-X-PLAYLIST-TYPE:{kind}\n"
+    return rows.groupBy("stream_id").agg(F.collect_list(F.struct("wall_ts", "file", entry.alias("_t"))).alias("_e")).select("stream_id", F.concat(F.lit(head), joined, F.lit(end)).alias("playlist"))
+
+
 def master_playlist(renditions: DataFrame) -> DataFrame:
     """The text of a master playlist by stream. ``renditions(stream_id, bandwidth,
     resolution, uri)``, highest first."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import continuity, guide, health, hls, logs, quality, sessions, timing
 from ..sources import transport
-from . import fold_queries, table_queries  # noqa: F401
+from . import fold_queries, more_queries, table_queries  # noqa: F401
 from . import relations as R
 from .catalog import ORACLES, QUERIES, query
 
@@ -49,7 +49,7 @@ l as (select *, last_value(case when has_payload then {'cc': cc, 'h': payload_ha
 d as (select *, coalesce(last is not null and afc <> 0 and not discontinuity and has_payload and cc = last.cc and payload_hash = last.h, false) as twin from l),
 g as (select *, coalesce(last is not null and afc <> 0 and not discontinuity and not twin and not (case when has_payload then cc = (last.cc + 1) % 16 else cc = last.cc end), false) as bad from d),
 k as (select stream_id, pid, count(*) as packets, count(*) filter (where bad) as cc_errors, count(*) filter (where twin) as exact_duplicates, count(*) filter (where afc = 2) as adaptation_only,
-  count(*) filter (where discontinuity) as discontinuities, count(*) filter (where afc = 0) as bad_afc from g group by 1, 2),
+  count(*) filter (where discontinuity) as discontinuities, count(*) filter (where afc = 0) as bad_afc, count(*) filter (where bad and afc = 2) as adaptation_only_cc_errors from g group by 1, 2),
 t as (select stream_id, pid, count(*) as tei from packets where tei group by 1, 2),
 counters as (select k.*, coalesce(t.tei, 0) as tei from k left join t using (stream_id, pid))
 """
@@ -125,13 +125,13 @@ def t14_progress(spark, sf_dir: str) -> DataFrame:
     return timing.progress(R.packets(spark, sf_dir))
 
 
-def packet_bytes(packets: DataFrame) -> DataFrame:
+def packet_bytes(packets: DataFrame, *more: str) -> DataFrame:
     """The 188 bytes that the header columns describe."""
     flags = "lpad(hex(case when discontinuity then 128 else 0 end + case when pcr27 is not null then 16 else 0 end), 2, '0')"
     clock = "lpad(hex(shiftleft(coalesce(pcr27, 0) div 300, 15) + 32256 + coalesce(pcr27, 0) % 300), 12, '0')"
     field = f"case afc when 2 then concat('B7', {flags}, {clock}, repeat('FF', 176)) when 3 then concat('07', {flags}, {clock}, repeat('AA', 176)) else repeat('AA', 184) end"
     head = "concat('47', lpad(hex(case when tei then 32768 else 0 end + case when pusi then 16384 else 0 end + pid), 4, '0'), lpad(hex(scrambling * 64 + afc * 16 + cc), 2, '0'))"
-    return packets.select("stream_id", "seq", F.expr(f"unhex(concat({head}, {field}))").alias("pkt"))
+    return packets.select("stream_id", "seq", *more, F.expr(f"unhex(concat({head}, {field}))").alias("pkt"))
 
 
 @query(R.oracle("""select stream_id, seq, afc <> 0 as valid, tei, pusi, pid, scrambling, afc, cc, has_payload, discontinuity and afc >= 2 as discontinuity,
@@ -145,8 +145,7 @@ def p1_packet_headers(spark, sf_dir: str) -> DataFrame:
 @query(R.oracle("""select stream_id, seq, pid + 1000 as pid, cc from packets where pid % 4 = 1""", "packets"))
 def p15_remapped(spark, sf_dir: str) -> DataFrame:
     """Packets under new pids, decoded again."""
-    p = R.packets(spark, sf_dir)
-    rows = packet_bytes(p).join(p.select("stream_id", "seq", "pid"), ["stream_id", "seq"])
+    rows = packet_bytes(R.packets(spark, sf_dir), "pid")
     pids = spark.range(256, 288).select(F.col("id").cast("int").alias("pid")).where("pid % 4 = 1").select(F.expr("cast(pid % 4 as bigint)").alias("stream_id"), "pid", (F.col("pid") + 1000).alias("new_pid"))
     return transport.parse_headers(transport.remap(rows, pids).drop("pid")).select("stream_id", "seq", "pid", "cc")
 
@@ -308,13 +307,14 @@ def j6_subscriber_sessions(spark, sf_dir: str) -> DataFrame:
     return sessions.subscriber_sessions(subscribers(spark, sf_dir), sessions.sessions(R.viewers(spark, sf_dir), TTL))
 
 
-@query("""select stream_id, name from (select s_nationkey % 5 as stream_id, s_name as name,
-  row_number() over (partition by s_nationkey % 5 order by s_suppkey % 9 = 0 desc, s_suppkey % 6, s_suppkey) as r from supplier where s_suppkey % 7 <> 3) where r = 1""")
+HASH = "list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(string_split({}, ''), lambda c: ascii(c)::uhugeint)), lambda h, b: xor(h, b) * 1099511628211 % 18446744073709551616)"
+
+
+@query(f"""select stream_id, name from (select *, row_number() over (partition by stream_id order by local desc, viewers, tie desc, ord) as r
+  from (select s_nationkey % 5 as stream_id, s_name as name, s_suppkey as ord, s_suppkey % 9 = 0 as local, s_suppkey % 3 as viewers, {HASH.format("'10.0.0.1|' || s_name || '|http://x'")} as tie from supplier where s_suppkey % 7 <> 3)) where r = 1""")
 def o5_local_origin(spark, sf_dir: str) -> DataFrame:
-    """O5 without ties: local first, then fewest viewers, then the given order."""
-    o = R.table(spark, sf_dir, "supplier").select(F.expr("s_nationkey % 5").alias("stream_id"), F.col("s_name").alias("name"), F.lit("http://x").alias("redirect"), F.expr("s_suppkey % 6").alias("viewers"), F.expr("s_suppkey % 9 = 0").alias("local"), F.expr("s_suppkey % 7 <> 3").alias("live"), F.col("s_suppkey").alias("ord"))
-    one = W.partitionBy("stream_id", "local", "viewers").orderBy("ord")
-    o = o.where("live").withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
+    """Local first, then fewest viewers, ties by the hash, then the given order."""
+    o = R.table(spark, sf_dir, "supplier").select(F.expr("s_nationkey % 5").alias("stream_id"), F.col("s_name").alias("name"), F.lit("http://x").alias("redirect"), F.expr("s_suppkey % 3").alias("viewers"), F.expr("s_suppkey % 9 = 0").alias("local"), F.expr("s_suppkey % 7 <> 3").alias("live"), F.col("s_suppkey").alias("ord"))
     return sessions.choose_origin(o, F.lit("10.0.0.1")).select("stream_id", "name")
 
 
@@ -355,10 +355,22 @@ def o1_latest_events(spark, sf_dir: str) -> DataFrame:
     return guide.latest(R.guide(spark, sf_dir), 64).select("channel_id", "event_id", "arrival")
 
 
-@query(R.oracle(", a as (select *, row_number() over (partition by source_id, channel_id order by arrival) as r from guide), b as (select *, row_number() over (partition by source_id order by arrival) as t from a where r <= 50) select source_id, channel_id, arrival from b where t <= 1000", "guide"))
+FIRST = """, ch as (select source_id, channel_id from (select source_id, channel_id, row_number() over (partition by source_id order by min(arrival)) as k from guide group by 1, 2) where k <= 20),
+a as (select g.*, row_number() over (partition by g.source_id, g.channel_id order by arrival) as r from guide g join ch using (source_id, channel_id)),
+b as (select *, row_number() over (partition by source_id order by arrival) as t from a where r <= 50), kept as (select * from b where t <= 900)"""
+
+
+@query(R.oracle(FIRST + " select source_id, channel_id, arrival from kept", "guide"))
 def o3_first_events(spark, sf_dir: str) -> DataFrame:
     """O3"""
-    return guide.first_arrived(R.guide(spark, sf_dir), 50, 1000).select("source_id", "channel_id", "arrival")
+    return guide.first_arrived(R.guide(spark, sf_dir), 50, 900, 20).select("source_id", "channel_id", "arrival")
+
+
+@query(R.oracle(FIRST + " select g.source_id, count(*) - coalesce(any_value(n), 0) as overflow from guide g left join (select source_id, count(*) as n from kept group by 1) k on k.source_id = g.source_id group by 1", "guide"))
+def o3_overflow(spark, sf_dir: str) -> DataFrame:
+    """O3: events beyond a source's limits"""
+    g = R.guide(spark, sf_dir)
+    return guide.left_out(g, guide.first_arrived(g, 50, 900, 20))
 
 
 NOWNEXT = """, nn as (select channel_id, min(case when start <= {n} and stop > {n} then start end) as now_start, arg_min(title, (start, arrival)) filter (where start <= {n} and stop > {n}) as now_title,
@@ -574,12 +586,15 @@ def k13_alerts(spark, sf_dir: str) -> DataFrame:
 # --- scalars --------------------------------------------------------------------------------
 
 
-@query("""select o_orderkey as id, cast(40587 + o_orderkey % 40000 as int) as mjd, (o_orderkey % 40000) * 86400 + (o_orderkey % 24) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 60 as epoch,
-  strftime(to_timestamp((o_orderkey % 40000) * 86400 + (o_orderkey % 24) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 60 ) at time zone 'UTC', '%Y%m%d%H%M%S') || ' +0000' as text from orders where o_orderkey % 40000 > 0""")
+TIMES = "(o_orderkey % 40000) * 86400 + case when o_orderkey % 40000 = 0 then 0 else (o_orderkey % 24) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 60 end"
+
+
+@query(f"""select o_orderkey as id, cast(40587 + o_orderkey % 40000 as int) as mjd, case when e > 0 then e end as epoch,
+  case when e > 0 then strftime(to_timestamp(e) at time zone 'UTC', '%Y%m%d%H%M%S') || ' +0000' else '' end as text from (select *, {TIMES} as e from orders)""")
 def x1_guide_times(spark, sf_dir: str) -> DataFrame:
-    """Times through their broadcast and their text form and back."""
-    e = F.expr("(o_orderkey % 40000) * 86400 + (o_orderkey % 24) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 60")
-    rows = R.table(spark, sf_dir, "orders").where("o_orderkey % 40000 > 0").select(F.col("o_orderkey").alias("id"), e.alias("e")).withColumn("p", X.dvb_time_parts("e"))
+    """Times through their broadcast and their text form and back; zero has
+    an empty text."""
+    rows = R.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(TIMES).alias("e")).withColumn("p", X.dvb_time_parts("e"))
     back = X.dvb_time(F.col("p.mjd"), F.col("p.hour"), F.col("p.minute"), F.col("p.second"))
     rows = rows.withColumn("back", back).withColumn("text", X.epg_xml_time("back"))
     return rows.select("id", F.col("p.mjd").alias("mjd"), X.xmltv_time("text").cast("long").alias("epoch"), "text")

@@ -202,7 +202,7 @@ def unit_packets(spark, sf_dir: str) -> DataFrame:
     """Packets with PES units of two or more packets: an H.264 slice, a key picture where
     ``seq % 3 = 0``, then bytes 'B'."""
     e = R.table(spark, sf_dir, "events").selectExpr("user_id % 4 as stream_id", "cast(100 + user_id % 4 as int) as pid", "event_id as seq", "event_id % 5 = 0 as starts", "(8589900000 + event_id * 1800) % 8589934592 as pts")
-    nal = "case when seq % 15 = 0 then x'0000016588' else x'0000014188' end"
+    nal = "case when seq % 15 = 0 then x'0000016588' when seq % 35 = 5 then x'000001C188' else x'0000014188' end"
     both = f"concat(x'000001E0', x'0000', x'80', case when seq % 2 = 0 then x'C0' else x'80' end, case when seq % 2 = 0 then x'0A' else x'05' end, {stamped('pts', 3)}, case when seq % 2 = 0 then {stamped('(pts + 8589932792) % 8589934592', 1)} else x'' end, {nal})"
     body = f"case when starts then rpad({both}, 184, x'42') else rpad(x'43', 184, x'43') end"
     head = hexed(("71", 2), ("case when starts then 16384 else 0 end + pid", 4), ("16 + seq % 16", 2))

@@ -61,10 +61,11 @@ def guide_cache(spark: SparkSession, path: str, most: int = 400_000, longest: in
     return rows.where("_r.kind = 'event'").join(good, "file", "left_semi").select("file", "_r.*").drop("kind", "records")
 
 
-def configuration(spark: SparkSession, path: str) -> DataFrame:
-    """Streams of configuration documents, with defaults and limits. Fields that
-    hold access data are not in the schema and so never leave the reader."""
-    docs = spark.read.schema(f"streams array<struct<{CONFIG.replace(' string', ': string').replace(' boolean', ': boolean').replace(' long', ': bigint').replace(' int', ': int')}>>").option("multiLine", True).json(path)
+def configuration(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Streams of configuration documents, with defaults and limits; a document is
+    a file or, without ``multiline``, a line. Fields that hold access data are not in
+    the schema and so never leave the reader."""
+    docs = spark.read.schema(f"streams array<struct<{CONFIG.replace(' string', ': string').replace(' boolean', ': boolean').replace(' long', ': bigint').replace(' int', ': int')}>>").option("multiLine", multiline).json(path)
     s = docs.select(F.explode("streams").alias("s")).select("s.*")
     clamp = lambda c, low, high, default: F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(c, F.lit(default)))).alias(c)
     return s.where("id is not null").select(
@@ -78,7 +79,15 @@ def write_lines(lines: DataFrame, path: str, column: str = "line", compression:
     lines.select(column).coalesce(1).write.mode("overwrite").option("compression", compression).text(path)
 
 
-def peer_channels(spark: SparkSession, path: str, most: int = 512) -> DataFrame:
-    """Channels of peer nodes' status documents, at most ``most`` a node."""
-    docs = spark.read.schema("node string, channels array<struct<id: string, name: string, tvg_id: string, live: boolean, viewers: bigint>>").option("multiLine", True).json(path)
+def write_guide(lines: DataFrame, path: str, compression: str = "none") -> None:
+    """K1, K3: the lines of ``guide.xmltv`` as one document with its root element."""
+    mark = lambda part, line: lines.sparkSession.createDataFrame([(part, line)], "part int, line string")
+    whole = mark(-1, '<?xml version="1.0" encoding="UTF-8"?>\n<tv>').unionByName(lines).unionByName(mark(2, "</tv>"))
+    write_lines(whole.orderBy("part", "line"), path, compression=compression)
+
+
+def peer_channels(spark: SparkSession, path: str, most: int = 512, multiline: bool = True) -> DataFrame:
+    """Channels of peer nodes' status documents (files, or lines without
+    ``multiline``), at most ``most`` a node."""
+    docs = spark.read.schema("node string, channels array<struct<id: string, name: string, tvg_id: string, live: boolean, viewers: bigint>>").option("multiLine", multiline).json(path)
     return docs.select("node", F.explode(F.slice("channels", 1, most)).alias("c")).select("node", "c.*")

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .sections import crc32_mpeg, octet, payloads
+from ..functions.packets import octet, payloads
+from .sections import crc32_mpeg
 
 #: First bytes of NAL units that begin a picture without references: type 5 in the low
 #: five bits (H.264), types 16 to 21 in the bits 1 to 6 (HEVC).

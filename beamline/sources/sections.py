@@ -13,12 +13,13 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions.packets import octet, payloads
 from ..functions.scalars import codec, kind
 
 _MIRRORED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
@@ -45,23 +46,6 @@ class Policy:
 DEMUX, GUIDE, NETWORK, MULTIPLEX = Policy(), Policy(check_count=True), Policy(16, 1024, True, True), Policy(7, 1024)
 
 
-def octet(column: str, at: int) -> Column:
-    """A byte of a binary column as a number."""
-    return F.conv(F.hex(F.substring(column, at + 1, 1)), 16, 10).cast("int")
-
-
-def payloads(packets: DataFrame) -> DataFrame:
-    """``packets(stream_id, pid, seq, pkt, ...)`` with ``tei, start, afc, cc, scrambling``
-    and the payload ``data``, null where there is none."""
-    rows = packets.withColumns({"_1": octet("pkt", 1), "_3": octet("pkt", 3), "_4": octet("pkt", 4)})
-    afc = F.shiftright("_3", 4).bitwiseAND(F.lit(3))
-    begin = F.when(afc == 1, 4).when(afc == 3, F.col("_4") + 5).otherwise(188)
-    return rows.withColumns({
-        "tei": F.col("_1") >= 128, "start": F.col("_1").bitwiseAND(F.lit(64)) > 0, "afc": afc, "cc": F.col("_3").bitwiseAND(F.lit(15)), "scrambling": F.shiftright("_3", 6),
-        "data": F.when(begin < 188, F.substring("pkt", begin + 1, F.lit(188))),
-    }).drop("_1", "_3", "_4")
-
-
 def split_unit(pieces: list[tuple[int, bytes]], policy: Policy) -> list[tuple[int, bytes]]:
     """Sections of a unit with the packet that completes each. What follows stuffing, or
     a length that is not allowed, or a section that ends with its packet, is lost until

@@ -9,11 +9,13 @@ packets at once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.folds import fold
@@ -190,6 +192,47 @@ def _octet(column: Column, at: int) -> Column:
     return F.conv(F.hex(F.substring(column, at + 1, 1)), 16, 10).cast("int")
 
 
+def write_captures(packets: DataFrame, path: str, part_packets: int = 200_000) -> DataFrame:
+    """K6, K7: ``packets(stream_id, seq, pkt)`` as files of packets in order, and what was
+    written: ``(stream_id, part, packets, file)``.
+
+    A stream is a folder of parts, each of at most ``part_packets`` packets by their place
+    in the stream; their names in order give the stream. A part is written under
+    another name and then moved, so a repeated task leaves one file."""
+    place = W.partitionBy("stream_id").orderBy("seq")
+    rows = packets.withColumn("part", F.floor((F.row_number().over(place) - 1) / part_packets).cast("int"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        open_part, n, out = None, 0, None
+
+        def close() -> pd.DataFrame:
+            out.close()
+            stream, part = open_part
+            name = f"{base}/stream_id={stream}/part-{part:08d}.ts"
+            where.move(temporary, name)
+            return pd.DataFrame({"stream_id": [stream], "part": [part], "packets": [n], "file": [name]})
+
+        for pdf in batches:
+            for key, own in pdf.groupby(["stream_id", "part"], sort=False, dropna=False):
+                if key != open_part:
+                    if out is not None:
+                        yield close()
+                    open_part, n = key, 0
+                    where.create_dir(f"{base}/stream_id={key[0]}", recursive=True)
+                    temporary = f"{base}/stream_id={key[0]}/_{uuid.uuid4().hex}"
+                    out = where.open_output_stream(temporary)
+                out.write(b"".join(own["pkt"]))
+                n += len(own)
+        if out is not None:
+            yield close()
+
+    dealt = rows.select(F.col("stream_id").cast("string").alias("stream_id"), "part", "seq", "pkt").repartition("stream_id", "part").sortWithinPartitions("stream_id", "part", "seq")
+    return dealt.mapInPandas(run, "stream_id string, part int, packets long, file string")
+
+
 def rtp(datagrams: DataFrame) -> DataFrame:
     """Version, sequence, time and payload of RTP datagrams ``(datagram)``; rows
     that are not RTP version 2, or too short, are marked invalid."""
