@@ -361,7 +361,7 @@ def _parcels(block: int, buckets: int, keys: np.ndarray, short: bool = False, **
 
 
 def send_keys(table: DataFrame, buckets: int) -> DataFrame:
-    """Each distinct key of a block once, with its number of documents (255: or more)."""
+    """Each distinct key of a block once, with its number of documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -375,7 +375,7 @@ def send_keys(table: DataFrame, buckets: int) -> DataFrame:
                 other = new.copy()
                 other[1:] |= ids[1:] != ids[:-1]
                 first = np.nonzero(new)[0]
-                counts = np.minimum(np.add.reduceat(other, first, dtype=np.int64), 255).astype(np.uint8) if len(first) else np.empty(0, np.uint8)
+                counts = np.add.reduceat(other, first, dtype=np.uint32) if len(first) else np.empty(0, np.uint32)
                 yield _parcels(row.block, buckets, keys[first], short=True, counts=counts)
 
     return table.select("block", "texts", "ends", "ids", "anchors").mapInPandas(run, PARCEL)
@@ -386,7 +386,7 @@ def shared_keys(parcels: DataFrame, heavy: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = [_unpack_sorted(k) for k in pdf["keys"]]
-        keys, counts = np.concatenate(own), np.concatenate([_unpack(c, np.uint8) for c in pdf["counts"]]).astype(np.int64)
+        keys, counts = np.concatenate(own), np.concatenate([_unpack(c, np.uint32) for c in pdf["counts"]]).astype(np.int64)
         found, place = np.unique(keys, return_inverse=True)
         total = np.bincount(place, counts, len(found))
         rows, at = [], 0
@@ -549,7 +549,9 @@ def take_out(table: DataFrame, answers: DataFrame) -> DataFrame:
 def repeated_bytes(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, heavy: int = HEAVY, slice_rows: int = SLICE) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
-    Texts are UTF-8 bytes; null counts as empty. Texts below 50 bytes lose nothing.
+    Texts are UTF-8 bytes; null counts as empty. Texts below 50 bytes lose nothing; a
+    very long text is a block of its own. Contexts of a key that are equal byte for byte
+    (by two 64-bit hashes) count as one before the sort.
     Of rows with equal texts, those with the smallest doc_id stay whole; repeated
     doc_ids never remove from each other; a null doc_id ranks above all others and
     keeps its row. An empty table gives no rows; further columns are ignored."""
