@@ -1,16 +1,15 @@
 """URL filtering with a sorted digest array.
 
-The list (rules and blocked hosts) is kept as one file: the XXH64 values of its
-strings in ascending order, the offsets of the strings and the strings. Each
-worker maps the file into memory, probes it with one vectorised binary search for
-a whole batch of candidates and confirms a hit by comparing the stored string, so
-a collision of digests never decides.
+The list (rules and blocked hosts, tables of any size) is cut into blocks, and a block
+is one file: the XXH64 values of its strings in ascending order, the offsets of the
+strings, what each says, and the strings. Each worker maps the file into memory, probes
+it with one vectorised binary search for a whole batch of candidates and confirms a hit
+by comparing the stored string, so a collision of digests never decides. The pages pass
+the blocks one after the other and keep the longest rule so far.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -37,14 +36,17 @@ BLOCKED_HOSTS = (
     "free-bets.example.com", "free-bets.example.net", "free-bets.example.org",
     "spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org",
 )
-#: Most entries that are sent to the executors as one file (about 1 GB of 60-byte strings).
-MAX_ENTRIES = 1 << 24
+#: Entries of one block, which is sent to the executors as a file (about 20 MB).
+BLOCK_ENTRIES = 1 << 18
+#: What an entry of the array says.
+LISTED, ALLOW, BLOCK = 0, 1, 2
+ENTRIES = "text string, says int"
 
 
 class DigestArray:
     """A sorted array of 64-bit digests in a file, read through a memory map."""
 
-    MAGIC = b"BLDIGST1"
+    MAGIC = b"BLDIGST2"
 
     def __init__(self, path: str):
         head = np.fromfile(path, "<u8", 2)
@@ -55,29 +57,40 @@ class DigestArray:
         if n:
             self.keys = np.memmap(path, "<u8", "r", 16, (n,))
             self.ends = np.memmap(path, "<u8", "r", 16 + 8 * n, (n + 1,))
+            self.says = np.memmap(path, np.uint8, "r", 16 + 8 * (2 * n + 1), (n,))
             size = int(self.ends[n])
-            self.text = np.memmap(path, np.uint8, "r", 16 + 8 * (2 * n + 1), (size,)) if size else np.empty(0, np.uint8)
+            self.text = np.memmap(path, np.uint8, "r", 16 + 8 * (2 * n + 1) + n, (size,)) if size else np.empty(0, np.uint8)
 
     @classmethod
-    def write(cls, path: str, strings: list[str]) -> None:
-        raw = sorted({s.encode() for s in strings}, key=lambda b: (xxhash.xxh64_intdigest(b), b))
+    def bytes_of(cls, entries: dict[str, int]) -> bytes:
+        """The file of strings and what they say."""
+        raw = sorted((xxhash.xxh64_intdigest(b), b, v) for b, v in ((s.encode(), v) for s, v in entries.items()))
         ends = np.zeros(len(raw) + 1, "<u8")
-        np.cumsum([len(b) for b in raw], out=ends[1:])
+        np.cumsum([len(b) for _, b, _ in raw], out=ends[1:])
+        parts = [np.uint64(len(raw)).tobytes(), np.array([k for k, _, _ in raw], "<u8").tobytes(), ends.tobytes(), bytes(v for _, _, v in raw)]
+        return cls.MAGIC + b"".join(parts) + b"".join(b for _, b, _ in raw)
+
+    @classmethod
+    def write(cls, path: str, strings: list[str]) -> None:
         with open(path, "wb") as f:
-            f.write(cls.MAGIC + np.uint64(len(raw)).tobytes())
-            f.write(np.array([xxhash.xxh64_intdigest(b) for b in raw], "<u8").tobytes())
-            f.write(ends.tobytes() + b"".join(raw))
+            f.write(cls.bytes_of(dict.fromkeys(strings, LISTED)))
 
-    def find(self, strings: list[bytes]) -> np.ndarray:
-        """Whether each string is stored."""
-        hit = np.zeros(len(strings), bool)
+    def place(self, strings: list[bytes]) -> np.ndarray:
+        """Where each string is stored; -1 if it is not."""
+        out = np.full(len(strings), -1)
         if not self.n or not strings:
-            return hit
+            return out
         digest = np.fromiter(map(xxhash.xxh64_intdigest, strings), np.uint64, len(strings))
         lo, hi = np.searchsorted(self.keys, digest, "left"), np.searchsorted(self.keys, digest, "right")
         for i in np.nonzero(lo < hi)[0]:
-            hit[i] = any(self.text[int(self.ends[k]) : int(self.ends[k + 1])].tobytes() == strings[i] for k in range(lo[i], hi[i]))
-        return hit
+            for k in range(lo[i], hi[i]):
+                if self.text[int(self.ends[k]) : int(self.ends[k + 1])].tobytes() == strings[i]:
+                    out[i] = k
+        return out
+
+    def find(self, strings: list[bytes]) -> np.ndarray:
+        """Whether each string is stored."""
+        return self.place(strings) >= 0
 
 
 def suffixes(host: str) -> list[str]:
@@ -94,59 +107,85 @@ def split_url(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
 
 
-def ship(spark: SparkSession, strings: list[str]) -> str:
-    """Send a digest array to every executor; returns the name of the file."""
+def ship(spark: SparkSession, entries: dict[str, int]) -> str:
+    """Send a digest array to every executor; returns the name of the file. It lies in the
+    shared folder, from where each executor fetches it."""
+    folder = common.scratch_dir(spark)
     name = f"digests-{uuid.uuid4().hex}.bin"
-    folder = tempfile.mkdtemp(prefix="beamline-")
-    DigestArray.write(os.path.join(folder, name), strings)
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    stream = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop)
+    stream.write(bytearray(DigestArray.bytes_of(entries)))
+    stream.close()
+    spark.sparkContext.addFile(f"{folder}/{name}")
     return name
 
 
-def url_filter(pages: DataFrame, rules: tuple = RULES, blocked_hosts: tuple = BLOCKED_HOSTS, max_entries: int = MAX_ENTRIES) -> DataFrame:
+def entries_of(spark: SparkSession, rules, blocked_hosts) -> DataFrame:
+    """``(text, says)`` of both lists, each a sequence or a table; where equal rules
+    differ, the one that blocks holds."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    if not isinstance(blocked_hosts, DataFrame):
+        blocked_hosts = spark.createDataFrame([(h,) for h in blocked_hosts], "host string")
+    ruled = rules.select(F.concat(F.lit("rule:"), "host", "path").alias("text"), F.when(F.col("verdict") == "allow", ALLOW).otherwise(BLOCK).alias("says"))
+    listed = blocked_hosts.select(F.concat(F.lit("host:"), "host").alias("text"), F.lit(LISTED).alias("says"))
+    return common.cut(ruled.unionByName(listed).where("text is not null").groupBy("text").agg(F.max("says").cast("int").alias("says")))
+
+
+def url_filter(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict``.
 
     A rule fits its host and all subdomains if the path starts with the rule's
     path; of those that fit, the one with the longest host and path wins. Where
     none fits, the url is blocked if its host or a parent domain is in
     ``blocked_hosts``, else allowed; a null url, or one without ``://``, has no
-    host and is allowed. The lists are parameters of the job; a list above
-    ``max_entries`` is refused (split it over several calls). Repeated rows stay;
-    input columns named like a result are replaced; an empty table gives no rows."""
-    if len(rules) + len(blocked_hosts) > max_entries:
-        raise ValueError(f"more than {max_entries} entries; apply the list in blocks")
-    pages = split_url(pages.drop("host", "path", "rule", "verdict"))
-    verdicts = {h + p: v for v, h, p in rules}
-    lengths = sorted({len(p) for _, _, p in rules}, reverse=True)
-    name = ship(pages.sparkSession, [f"rule:{h}{p}" for _, h, p in rules] + [f"host:{h}" for h in blocked_hosts])
-
-    def start():
-        array = DigestArray(SparkFiles.get(name))
-
-        def judge(hosts: list[str], paths: list[str]) -> list:
-            probes, owner, rule_of = [], [], []
-            for i, (host, path) in enumerate(zip(hosts, paths)):
-                for s in suffixes(host):
-                    probes.append(f"host:{s}")
-                    owner.append(i)
-                    rule_of.append(None)
-                    for n in lengths:
-                        if n <= len(path):
-                            probes.append(f"rule:{s}{path[:n]}")
-                            owner.append(i)
-                            rule_of.append(s + path[:n])
-            rule, verdict = [None] * len(hosts), ["allow"] * len(hosts)
-            for k in np.nonzero(array.find([p.encode() for p in probes]))[0]:
-                i, found = owner[k], rule_of[k]
-                if found is None:
-                    verdict[i] = "block" if rule[i] is None else verdict[i]
-                elif rule[i] is None or len(found) > len(rule[i]):
-                    rule[i], verdict[i] = found, verdicts[found]
-            return [rule, verdict]
-
-        return judge
-
-    return common.add_columns(pages, ("host", "path"), "rule string, verdict string", start)
+    host and is allowed. The lists are sequences or tables (``rules(verdict, host,
+    path)``, ``blocked_hosts(host)``) of any length: they are applied in blocks of about
+    ``block_entries``, in one pass over the pages. The pages may be any number; a very
+    long url is judged whole; repeated rows stay; input columns named like a result are
+    replaced; an empty table gives no rows."""
+    spark = pages.sparkSession
+    entries = entries_of(spark, rules, blocked_hosts)
+    lengths = entries.where("says > 0").select(F.length(F.regexp_extract("text", "^rule:[^/]*(.*)$", 1)).alias("n")).distinct()
+    lengths = sorted((r[0] for r in lengths.collect()), reverse=True)
+    n = max(1, -(-entries.count() // block_entries))
+    state = {"rule": "string", "_says": "long", "_listed": "long"}
+    pages = split_url(pages.drop("host", "path", "rule", "verdict", *state, *(f"{c}2" for c in state)))
+    pages = pages.withColumns({c: F.lit(None).cast(t) for c, t in state.items()})
+    for block in range(n):
+        mine = entries if n == 1 else entries.where(F.pmod(F.xxhash64("text"), F.lit(n)) == block)
+        name = ship(spark, {r["text"]: r["says"] for r in mine.collect()})
+
+        def start(name=name):
+            array = DigestArray(SparkFiles.get(name))
+
+            def judge(hosts: list[str], paths: list[str], rule: list, says: list, listed: list) -> list:
+                probes, owner, rule_of = [], [], []
+                for i, (host, path) in enumerate(zip(hosts, paths)):
+                    for s in suffixes(host):
+                        probes.append(f"host:{s}")
+                        owner.append(i)
+                        rule_of.append(None)
+                        for n in lengths:
+                            if n <= len(path):
+                                probes.append(f"rule:{s}{path[:n]}")
+                                owner.append(i)
+                                rule_of.append(s + path[:n])
+                at = array.place([p.encode() for p in probes])
+                for k in np.flatnonzero(at >= 0):
+                    i, found = owner[k], rule_of[k]
+                    if found is None:
+                        listed[i] = 1
+                    elif rule[i] is None or len(found) > len(rule[i]):
+                        rule[i], says[i] = found, int(array.says[at[k]])
+                return [rule, says, listed]
+
+            return judge
+
+        passed = common.add_columns(pages, ("host", "path", *state), "rule2 string, _says2 long, _listed2 long", start)
+        pages = passed.drop(*state).withColumnsRenamed({f"{c}2": c for c in state})
+    blocked = F.when(F.col("rule").isNotNull(), F.col("_says") == BLOCK).otherwise(F.coalesce(F.col("_listed") == 1, F.lit(False)))
+    return pages.withColumn("verdict", F.when(blocked, "block").otherwise("allow")).drop("_says", "_listed")
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
