@@ -8,7 +8,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from beamline.llm import contamination, language, mixing, pii, quality, simhash, tokens
+from beamline.llm import contamination, embeddings, language, mixing, pii, quality, simhash, suffixes, tokens, urls
 
 
 # --- language: forward-backward and training by enumeration of all paths -------------------
@@ -270,3 +270,54 @@ def test_the_filter_passes_every_flagged_term_and_few_others(spark):
     assert len(pii.may_be_flagged(others, digest, found)) < 100
     none = pii.term_filter(spark.createDataFrame([], "t long"))
     assert not none.any() and pii.may_be_flagged([], digest, none) == set()
+
+
+# --- embeddings, URLs, suffixes ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("dim", [3, 16, 64, 100, 200])
+def test_bit_planes_rule_out_no_link_and_most_other_pairs(dim):
+    rng = np.random.default_rng(dim)
+    centre = rng.normal(size=(20, dim))
+    x = centre[rng.integers(0, 20, 300)] + rng.normal(size=(300, dim)) * rng.choice([0.05, 0.3], (300, 1))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine, args = unit @ unit.T, (*embeddings.encode(x), *embeddings.stepped(x))
+    for threshold in (0.93, 0.5):
+        i, j, exact = embeddings.linked_pairs(x, x, *args, threshold, None)
+        assert set(zip(i.tolist(), j.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(cosine >= threshold)))) or np.abs(cosine - threshold).min() < 1e-12
+    # a finite epsilon recomputes fewer pairs and loses next to none
+    i, j, exact = embeddings.linked_pairs(x, x, *args, 0.93, None)
+    k, l, fewer = embeddings.linked_pairs(x, x, *args, 0.93, 3.0)
+    links = set(zip(i.tolist(), j.tolist()))
+    found = set(zip(k.tolist(), l.tolist()))
+    assert found <= links and fewer <= exact and len(found) >= 0.99 * len(links)
+    if dim >= 64:
+        assert fewer < 0.5 * 300 * 300
+
+
+def test_lists_from_tables_in_blocks(spark):
+    rules = [("block" if k % 3 else "allow", f"h{k % 50}.example.net" if k % 2 else "example.net", "/" + "ab"[k % 2] * (k % 7)) for k in range(300)]
+    hosts = [f"bad{k}.org" for k in range(100)]
+    urls_ = [f"http://{s}h{k % 60}.EXAMPLE.net/{'ab'[k % 2] * (k % 9)}?q" for k in range(400) for s in ("", "x.")][:500] + [f"http://w.bad{k}.org/x" for k in range(120)] + [None, "", "nothing"]
+    pages = spark.createDataFrame([(k, u, "kept") for k, u in enumerate(urls_)], "page_id long, url string, says string")
+    tables = spark.createDataFrame(rules, "verdict string, host string, path string"), spark.createDataFrame([(h,) for h in hosts], "host string")
+    one, many = urls.url_filter(pages, *tables), urls.url_filter(pages, *tables, block_entries=20)
+    assert one.columns == many.columns == ["page_id", "url", "says", "host", "path", "rule", "verdict"]
+    got = sorted(map(tuple, many.collect()), key=str)
+    assert got == sorted(map(tuple, one.collect()), key=str)
+    said = {}
+    for verdict, host, path in rules:
+        said[host, path] = max(said.get((host, path), "allow"), verdict)
+    for _, url, says, host, path, rule, verdict in got:
+        fits = sorted(((len(h + p), h + p, v) for (h, p), v in said.items() if (host == h or host.endswith("." + h)) and path.startswith(p)), reverse=True)
+        assert says == "kept" and rule == (fits[0][1] if fits else None)
+        assert verdict == (fits[0][2] if fits else "block" if any(host == h or host.endswith("." + h) for h in hosts) else "allow")
+
+
+def test_documents_of_a_key_are_counted_beyond_a_byte(spark):
+    line = "the same line of boilerplate that very many short documents share, word for word, all over"
+    df = spark.createDataFrame([(k, f"{k} {line}") for k in range(700)], "doc_id long, text string")
+    parcels = suffixes.send_keys(suffixes.blocks(df.coalesce(1)), 1).collect()
+    assert max(int(suffixes._unpack(p.counts, np.uint32).max()) for p in parcels) == 700
+    assert {r.kind for r in suffixes.shared_keys(suffixes.send_keys(suffixes.blocks(df.coalesce(1)), 1), 600).collect()} >= {1}
+    assert [r.n_removed > 60 for r in suffixes.repeated_bytes(df, heavy=600).orderBy("doc_id").collect()] == [False] + [True] * 699
