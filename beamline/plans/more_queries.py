@@ -10,6 +10,7 @@ from ..functions import scalars as X
 from ..operators import continuity, guide, health, hls, logs, quality, sessions
 from ..sources import files, transport
 from ..sources.scratch import folder
+from . import api
 from . import relations as R
 from .catalog import query
 from .table_queries import hexed, unit_packets
@@ -415,3 +416,33 @@ def t33_viewer_gate(spark, sf_dir: str):
 def c5_guide_snapshot(spark, sf_dir: str):
     """C5"""
     return guide.snapshot(R.guide(spark, sf_dir), 7, 840_000_000).select("channel_id", "event_id", "start", "stop", "title")
+
+
+# --- the query surface ---------------------------------------------------------------------------
+
+
+@query(R.oracle(f" select ts, sample_id, status from quality where stream_id = 3 and ts between {NOW} - 2592000 and {NOW} + 300", "quality"))
+def k12_quality_history(spark, sf_dir: str):
+    """A period beyond the greatest is held to it"""
+    return api.quality_history(R.quality(spark, sf_dir), 3, 90 * 86_400, NOW).select("ts", "sample_id", "status")
+
+
+@query(R.oracle(" select channel_id, count(*) as events from guide where source_id = 1 group by 1", "guide"))
+def k12_guide_channels(spark, sf_dir: str):
+    """K12"""
+    return api.guide_channels(R.guide(spark, sf_dir), 1)
+
+
+@query(R.oracle(f" select channel_id, min(case when start <= {GUIDE_NOW} and stop > {GUIDE_NOW} then start end) as now_start, min(case when start > {GUIDE_NOW} then start end) as next_start from guide where channel_id = 11 group by 1", "guide"))
+def k12_now_next(spark, sf_dir: str):
+    """K12, J13"""
+    return api.epg_now_next(R.guide(spark, sf_dir), 11, GUIDE_NOW).select("channel_id", "now_start", "next_start")
+
+
+@query(R.oracle(f""", n as (select *, case when coalesce(ts - lag(ts) over w > 7200, true) then 1 else 0 end as f from viewers window w as (partition by ip, stream_id, protocol order by ts, request_id)),
+m as (select *, sum(f) over (partition by ip, stream_id, protocol order by ts, request_id rows unbounded preceding) as session from n),
+found as (select ip, stream_id, protocol, min(ts) as start, max(ts) as last, count(*) as requests from m group by ip, stream_id, protocol, session)
+select ip, stream_id, protocol, sum(requests)::bigint as connections, max({NOW} - start) as max_age_s from found where start <= {NOW} and last >= {NOW} - 7200 group by 1, 2, 3""", "viewers"))
+def k12_sessions(spark, sf_dir: str):
+    """K12, A8"""
+    return api.active_sessions(R.viewers(spark, sf_dir), NOW, 7200)

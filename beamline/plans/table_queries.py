@@ -54,13 +54,13 @@ def p7_programs(spark, sf_dir: str):
 TYPES = (2, 27, 36, 3, 15, 6, 129, 5)
 
 
-def elementary(spark, sf_dir: str) -> DataFrame:
+def elementary(spark, sf_dir: str, *, of: str = "true", version: str = "0") -> DataFrame:
     s = R.table(spark, sf_dir, "supplier").join(R.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     s = s.withColumn("stream_id", F.col("n_regionkey")).withColumn("type", F.element_at(F.array(*map(F.lit, TYPES)), (F.col("s_suppkey") % len(TYPES) + 1).cast("int")))
     more = "case s_suppkey % 3 when 0 then x'' when 1 then unhex('0A04656E6700') else unhex('6A0100') end"
     part = f"concat({hexed(('type', 2), ('57344 + 512 + s_suppkey % 7000', 4), (f'61440 + octet_length({more})', 4))}, {more})"
-    body = joined(s, ["stream_id", "n_nationkey"], part, "s_suppkey").withColumn("body", F.concat(F.expr(hexed(("57344 + 4096 + n_nationkey", 4), ("61440", 4))), F.col("body")))
-    return sent(body, "256 + n_nationkey", 2, "int(n_nationkey)")
+    body = joined(s.where(of), ["stream_id", "n_nationkey"], part, "s_suppkey").withColumn("body", F.concat(F.expr(hexed(("57344 + 4096 + n_nationkey", 4), ("61440", 4))), F.col("body")))
+    return sent(body, "256 + n_nationkey", 2, "int(n_nationkey)", version)
 
 
 ES = f"""es as (select n_regionkey as stream_id, 256 + n_nationkey as pid, n_nationkey as sid, 4096 + n_nationkey as pcr_pid, row_number() over (partition by n_nationkey order by s_suppkey) - 1 as ord,
@@ -244,3 +244,46 @@ def p20_datagrams(spark, sf_dir: str):
     raw = f"concat({hexed((version, 2), ('33', 2), ('event_id % 65536', 4), ('event_id * 90 % 4294967296', 8), ('77', 8))}, unhex(repeat('00000009', cast(event_id % 3 as int))), {extension}, encode(concat('data ', event_id), 'utf-8'))"
     rows = transport.rtp(R.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(raw).alias("datagram")))
     return rows.where("valid").select("id", "sequence", "timestamp", F.decode("payload", "utf-8").alias("payload"))
+
+
+@query(f"""with {ES}, m as (select *, 0 as seq, 7 as version from pmt where es_pid % 4 <> 1),
+later as (select stream_id, pid, sid, row_number() over (partition by sid order by ord) - 1 as ord, stream_type, es_pid, codec from pmt where es_pid % 2 = 0),
+kept as (select *, count(*) over (partition by sid) as n from m), had as (select sid, count(*) filter (where es_pid % 4 <> 1) as a, count(*) filter (where es_pid % 2 = 0) as b, count(*) as c from pmt group by 1),
+now as (select sid, case when a = b and b = (select count(*) from pmt p where p.sid = h.sid and es_pid % 2 = 0 and es_pid % 4 <> 1) then 7 else 8 end as version, b > 0 as there from had h)
+select stream_id, sid, 0 as k, 7 as version, row_number() over (partition by sid order by ord) - 1 as ord, es_pid + 1000 as es_pid, codec from m
+union all select l.stream_id, l.sid, 1, version, row_number() over (partition by l.sid order by l.ord) - 1, es_pid + 1000, codec from later l join now using (sid) where es_pid % 4 <> 1""")
+def p15_program_maps(spark, sf_dir: str):
+    """Maps with other pids, and with the next version where their content changes"""
+    first = elementary(spark, sf_dir, version="7").withColumn("seq", F.lit(0).cast("long"))
+    later = elementary(spark, sf_dir, of="(512 + s_suppkey % 7000) % 2 = 0", version="7").withColumn("seq", F.lit(1).cast("long"))
+    pids = R.table(spark, sf_dir, "supplier").join(R.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    pids = pids.select(F.col("n_regionkey").alias("stream_id"), F.expr("512 + s_suppkey % 7000").alias("pid")).where("pid % 4 <> 1").withColumn("new_pid", F.col("pid") + 1000)
+    maps = S.remapped_maps(first.unionByName(later), pids)
+    rows = S.pmt(maps.selectExpr("stream_id", "pid", "seq", "2 as table_id", "section as bytes", "true as crc_ok"))
+    return rows.join(maps.select("stream_id", "pid", "seq", "version"), ["stream_id", "pid", "seq"]).select("stream_id", "sid", F.col("seq").alias("k"), "version", "ord", "es_pid", "codec")
+
+
+INNER = "select user_id % 3 as stream_id, event_id as seq, 1 + event_id % 3 as packets, event_id % 5 as plp from events"
+
+
+def carried(spark, sf_dir: str) -> DataFrame:
+    """T2-MI packets of pid 4096, one a frame of one to three inner packets."""
+    e = R.table(spark, sf_dir, "events").selectExpr("user_id % 3 as stream_id", "event_id as seq", "cast(1 + event_id % 3 as int) as n", "event_id % 5 as plp")
+    inner = lambda k: f"case when n > {k} then rpad({hexed(('71', 2), (f'300 + {k}', 4), ('16', 2), ('seq', 8))}, 188, x'AA') else x'' end"
+    frame = f"concat({hexed(('0', 2), ('plp', 2), ('1', 2), ('192', 2), ('0', 2), ('1504', 4), ('n * 1504', 4), ('71', 2), ('0', 4), ('0', 2))}, {inner(0)}, {inner(1)}, {inner(2)})"
+    unit = F.expr(f"concat({hexed(('0', 2), ('seq % 256', 2), ('0', 4), ('(13 + n * 188) * 8', 4))}, {frame})")
+    rows = e.select("stream_id", F.lit(4096).alias("pid"), F.col("seq").alias("ord"), S.with_crc(unit).alias("section"))
+    return nested.t2mi_packets(S.packetised(rows), 4096)
+
+
+@query(f"with f as ({INNER}), p as (select stream_id, plp, min(seq) as first, sum(packets)::bigint as packets from f group by 1, 2) select p.stream_id, cast(p.plp as int) as plp, p.packets from p join (select stream_id, arg_min(plp, seq) as plp from f group by 1) q on p.stream_id = q.stream_id and p.plp = q.plp")
+def s8_carried_packets(spark, sf_dir: str):
+    """Packets of the first pipe of each T2-MI pid"""
+    return nested.pipe_census(carried(spark, sf_dir))
+
+
+@query(f"with f as ({INNER}), q as (select stream_id, arg_min(plp, seq) as plp from f group by 1) select f.stream_id, f.seq as number, cast(300 + k as int) as pid from f join q using (stream_id, plp), range(3) r(k) where k < f.packets")
+def s8_carried_pids(spark, sf_dir: str):
+    """What the carried packets are"""
+    rows = carried(spark, sf_dir)
+    return rows.select("stream_id", F.conv(F.hex(F.substring("pkt", 5, 4)), 16, 10).cast("long").alias("number"), (F.conv(F.hex(F.substring("pkt", 2, 2)), 16, 10).cast("int") % 8192).alias("pid"))

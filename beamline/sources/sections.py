@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -323,16 +323,59 @@ def eit_section(sid: int, table_id: int, section: int, last: int, segment_last:
     return out + crc32_mpeg(out).to_bytes(4, "big")
 
 
+def with_crc(column) -> Column:
+    """Bytes with their CRC behind them."""
+
+    @F.pandas_udf("binary")
+    def seal(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: bytes(b) + crc32_mpeg(bytes(b)).to_bytes(4, "big"))
+
+    return seal(column)
+
+
 def sealed(rows: DataFrame) -> DataFrame:
     """K4: ``rows(stream_id, pid, ord, table_id, extension, version, number, last_number,
     body)`` as ``(stream_id, pid, ord, section)``, with length and CRC."""
+    head = F.format_string("%02X%04X%04X%02X%02X%02X", "table_id", F.octet_length("body") + 9 + 0xB000, "extension", F.col("version") * 2 + 0xC1, "number", "last_number")
+    return rows.select("stream_id", "pid", "ord", with_crc(F.concat(F.unhex(head), F.col("body"))).alias("section"))
+
+
+def remapped_maps(sections: DataFrame, pids: DataFrame) -> DataFrame:
+    """Program maps with other pids: ``(stream_id, pid, seq, version, section)``.
+
+    ``pids(stream_id, pid, new_pid)`` is a service's map, a handful of rows; an elementary
+    stream that is not in it is left out, a clock pid that is not stays. The first map of
+    a pid keeps its version; each one whose content differs from the one before, version
+    and CRC apart, has the next."""
+    found = sections.where("table_id = 2 and crc_ok").select("stream_id", "pid", "seq", "bytes")
+    maps = pids.groupBy("stream_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pid").cast("int"), F.col("new_pid").cast("int")))).alias("pids"))
 
     @F.pandas_udf("binary")
-    def seal(head: pd.Series) -> pd.Series:
-        return head.map(lambda b: bytes(b) + crc32_mpeg(bytes(b)).to_bytes(4, "big"))
+    def rewrite(data: pd.Series, own: pd.Series) -> pd.Series:
+        def one(s: bytes, to: dict) -> bytes:
+            to = dict(to or {})
+            at, kept = 12 + (u16(s, 10) & 0xFFF), b""
+            clock = u16(s, 8)
+            head = (clock & 0xE000 | to.get(clock & 0x1FFF, clock & 0x1FFF)).to_bytes(2, "big") + s[10:at]
+            while at + 5 <= len(s) - 4:
+                size, pid = u16(s, at + 3) & 0xFFF, u16(s, at + 1)
+                if pid & 0x1FFF in to:
+                    kept += s[at : at + 1] + (pid & 0xE000 | to[pid & 0x1FFF]).to_bytes(2, "big") + s[at + 3 : at + 5 + size]
+                at += 5 + size
+            body = s[3:5] + bytes([s[5] & 0xC1]) + s[6:8] + head + kept
+            return s[:1] + (u16(s, 1) & 0xF000 | len(body) + 4).to_bytes(2, "big") + body
+
+        return pd.Series([one(bytes(s), to) for s, to in zip(data, own)])
 
-    head = F.format_string("%02X%04X%04X%02X%02X%02X", "table_id", F.octet_length("body") + 9 + 0xB000, "extension", F.col("version") * 2 + 0xC1, "number", "last_number")
-    return rows.select("stream_id", "pid", "ord", seal(F.concat(F.unhex(head), F.col("body"))).alias("section"))
+    own = W.partitionBy("stream_id", "pid").orderBy("seq")
+    rows = found.join(maps, "stream_id", "left").withColumn("body", rewrite("bytes", "pids"))
+    changed = F.coalesce(F.col("body") != F.lag("body").over(own), F.lit(False)).cast("int")
+    source = F.shiftright(octet("bytes", 5), 1).bitwiseAND(F.lit(31))
+    rows = rows.withColumns({"changed": changed, "source": source})
+    upto = own.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("version", ((F.first("source").over(upto) + F.sum("changed").over(upto)) % 32).cast("int"))
+    stamped = F.concat(F.substring("body", 1, 5), F.unhex(F.format_string("%02X", octet("body", 5) + F.col("version") * 2)), F.substring("body", F.lit(7), F.lit(4096)))
+    return rows.select("stream_id", "pid", "seq", "version", with_crc(stamped).alias("section"))
 
 
 def packetised(sections: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.folds import failover_step
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -28,33 +30,26 @@ def error_windows(events: DataFrame, width: str = "1 hour") -> DataFrame:
     return events.groupBy(F.window("at", width).alias("w"), (F.col("user_id") % 8).alias("stream_id")).agg(F.count("*").alias("events"), F.sum((F.col("event_type") == "error").cast("long")).alias("errors")).select(F.col("w.start").alias("start"), "stream_id", "events", "errors")
 
 
-def failover_live(probes: DataFrame, healthy_needed: int = 2) -> DataFrame:
-    """Switches between primary and backup; the state of a stream is its source and
-    the healthy probes in a row, and it goes after an hour of event time without a probe.
-    ``probes(stream_id, at, stalled, primary_healthy)`` with a watermark on ``at``."""
-    out, state_ddl = "stream_id long, at timestamp, source string", "source string, healthy int"
+def failover_live(probes: DataFrame) -> DataFrame:
+    """Switches between primary and backup, by the step of the fold over stored
+    probes. The state of a stream is what the step keeps; it goes after an hour of event
+    time without a probe. ``probes(stream_id, at, active, stalled, primary_healthy,
+    starts)`` with a watermark on ``at``."""
+    out, state_ddl = "stream_id long, at timestamp, source string, cause string, done boolean", "first long, backup boolean, healthy int, next long"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        source, healthy = state.get if state.exists else ("primary", 0)
+        own = dict(zip(("first", "backup", "healthy", "next"), state.get)) if state.exists else {}
         rows, probed = [], pd.concat(list(batches)).sort_values("at")
-        newest = probed["at"].iloc[-1]
+        probed["ts"] = probed["at"].map(lambda t: int(t.timestamp()))
         for row in probed.itertuples():
-            if source == "primary":
-                if row.stalled:
-                    source, healthy = "backup", 0
-                    rows.append((key[0], row.at, source))
-                continue
-            healthy = healthy + 1 if row.primary_healthy else 0
-            if healthy >= healthy_needed:
-                source = "primary"
-                rows.append((key[0], row.at, source))
-        state.update((source, healthy))
-        last = int(pd.Timestamp(newest).timestamp() * 1000)
+            rows += [(key[0], row.at, source, cause, done) for _, source, cause, done in failover_step(own, row)]
+        state.update((own["first"], own["backup"], own["healthy"], own["next"]))
+        last = int(probed["ts"].iloc[-1]) * 1000
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 3_600_000)
-        yield pd.DataFrame(rows, columns=["stream_id", "at", "source"])
+        yield pd.DataFrame(rows, columns=["stream_id", "at", "source", "cause", "done"])
 
     return probes.groupBy("stream_id").applyInPandasWithState(run, out, state_ddl, "append", "EventTimeTimeout")
 

@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from beamline.sources import files
+from beamline.operators import folds
 from beamline.streaming import live
 
 XMLTV = """<?xml version="1.0"?><tv><channel id="c1"><display-name>One</display-name></channel>
@@ -66,9 +67,13 @@ def test_streams_agree_with_batches(spark, tmp_path):
 
 
 def test_failover_under_streaming(spark, tmp_path):
-    rows = [(1, 10 * k, k in (1, 7), k != 4) for k in range(9)]
-    df = spark.createDataFrame(rows, "stream_id long, s long, stalled boolean, primary_healthy boolean").select("stream_id", F.timestamp_seconds("s").alias("at"), "stalled", "primary_healthy")
+    up, silent, well = (True, False, False, True), (True, True, False, True), (True, False, True, True)
+    rows = [(1, 0, *up), (1, 10, *silent), (1, 15, *well), (1, 17, *well), (1, 20, *well), (1, 40, *silent), (2, 0, *up), (2, 3, False, False, False, True), (2, 5, False, False, False, True)]
+    df = spark.createDataFrame(rows, "stream_id long, ts long, active boolean, stalled boolean, primary_healthy boolean, starts boolean")
+    stored = {(r.stream_id, r.ts, r.source, r.cause) for r in folds.failover(df).collect()}
+    df = df.withColumn("at", F.timestamp_seconds(F.col("ts") + 1000)).drop("ts")  # the first watermark is 1970
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withWatermark("at", "1 minute")
     got = live.run_available(live.failover_live(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert [r.source for r in got.orderBy("at").collect()] == ["backup", "primary", "backup"]
+    live_rows = {(r.stream_id, r.ts, r.source, r.cause) for r in got.withColumn("ts", F.unix_seconds("at") - 1000).collect()}
+    assert live_rows == stored and len(stored) == 4
