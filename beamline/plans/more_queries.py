@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import continuity, guide, health, hls, logs, quality, sessions
-from ..sources import files, transport
+from ..sources import files, nested, transport
 from ..sources.scratch import folder
 from . import api
 from . import relations as R
 from .catalog import query
+from .fold_queries import machine
 from .table_queries import hexed, unit_packets
 
 NOW, GUIDE_NOW = 1_706_000_000, 852_076_800
@@ -446,3 +447,29 @@ select ip, stream_id, protocol, sum(requests)::bigint as connections, max({NOW}
 def k12_sessions(spark, sf_dir: str):
     """K12, A8"""
     return api.active_sessions(R.viewers(spark, sf_dir), NOW, 7200)
+
+
+@query("""with s as (select s_name as name, case s_suppkey % 4 when 0 then 'dvb://0?freq=1#2' when 1 then 'srt://u:p@h:1?streamid=x' when 2 then 'udp://h:2' else 'http://h/a?k=1' end as input_uri, case when s_suppkey % 3 = 0 then 'rtsp://me@b/c' end as backup_input_uri, s_suppkey % 4 as k, s_suppkey % 3 = 0 as b from supplier)
+select '' as id, false as auto_start, name, case k when 0 then 'dvb://0?freq=1#2' when 1 then 'srt://h:1' when 2 then 'udp://h:2' else 'http://h/a' end as input_uri, case when b then 'rtsp://b/c' end as backup_input_uri,
+  array_to_string(list_filter([case when k = 0 then 'input_uri: check tuner, adapter and frontend on target' end, case when k = 1 then 'input_uri: URL username/password omitted' end, case when k in (1, 3) then 'input_uri: URL query/fragment omitted; review before starting' end, case when b then 'backup_input_uri: URL username/password omitted' end], lambda x: x is not null), '|') as warnings from s""")
+def p22_shared_streams(spark, sf_dir: str):
+    """P22"""
+    uri = "case s_suppkey % 4 when 0 then 'dvb://0?freq=1#2' when 1 then 'srt://u:p@h:1?streamid=x' when 2 then 'udp://h:2' else 'http://h/a?k=1' end"
+    s = R.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.expr(uri).alias("input_uri"), F.expr("case when s_suppkey % 3 = 0 then 'rtsp://me@b/c' end").alias("backup_input_uri"), F.lit("secret").alias("srt_passphrase"))
+    return files.shareable(s).withColumn("warnings", F.concat_ws("|", "warnings"))
+
+
+@query(machine("select m.r_regionkey as mux_id, n.n_nationkey % 4 as service, c_custkey % 90 + 40 as pid, n.n_nationkey as stream_id from customer join nation n on c_nationkey = n.n_nationkey join region m on m.r_regionkey = n.n_regionkey where n.n_nationkey % 5 < 4 group by all",
+    "service, stream_id, pid", """
+    stream_id: r.stream_id ; r.stream_id
+    pid: r.pid ; r.pid
+    wish: 256 + 32 * r.service ; 256 + 32 * r.service
+    new_pid: 256 + 32 * r.service ; list_min(list_filter(range($wish, $wish + len(s.used) + 1), lambda x: not list_contains(s.used, x)))
+    used: [256 + 32 * r.service] ; list_append(s.used, $new_pid)
+""", "select mux_id, stream_id, cast(pid as int) as pid, cast(new_pid as int) as new_pid from f", key="mux_id"))
+def u1_pid_plan(spark, sf_dir: str):
+    """Disjoint pids of the services of a multiplex; some have more than their range"""
+    n = R.table(spark, sf_dir, "nation").where("n_nationkey % 5 < 4")
+    services = n.select(F.col("n_regionkey").alias("mux_id"), F.expr("(n_nationkey % 4) * 1000000L + n_nationkey").alias("ord"), F.col("n_nationkey").alias("stream_id"))
+    pids = R.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("stream_id"), F.expr("cast(c_custkey % 90 + 40 as int)").alias("pid"))
+    return nested.pid_plan(services.withColumn("ord", F.expr("ord div 1000000")), pids)

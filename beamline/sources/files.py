@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.scalars import compact, xmltv_time
+from ..functions.scalars import compact, without_credentials, xmltv_time
 
 #: Places of a history row's fields in its JSON array.
 HISTORY = ("ts", "active", "in_kbps", "out_kbps", "target_kbps", "in_cc", "out_cc", "in_cc_total", "out_cc_total", "status", "level", "message")
@@ -91,3 +91,25 @@ def peer_channels(spark: SparkSession, path: str, most: int = 512, multiline: bo
     ``multiline``), at most ``most`` a node."""
     docs = spark.read.schema("node string, channels array<struct<id: string, name: string, tvg_id: string, live: boolean, viewers: bigint>>").option("multiLine", multiline).json(path)
     return docs.select("node", F.explode(F.slice("channels", 1, most)).alias("c")).select("node", "c.*")
+
+
+#: What a shared configuration says was left out.
+TUNER_NOTE, LOGIN_NOTE, QUERY_NOTE = ": check tuner, adapter and frontend on target", ": URL username/password omitted", ": URL query/fragment omitted; review before starting"
+
+
+def shareable(streams: DataFrame, addresses: tuple[str, ...] = ("input_uri", "backup_input_uri"), kept: tuple[str, ...] = ("name", "outputs")) -> DataFrame:
+    """Streams without what must not be shared, and ``warnings`` about it.
+
+    Only ``kept`` and the addresses go on; an id is given anew where they are imported,
+    and none of them starts by itself. Addresses lose user, password, query and fragment,
+    but for those of tuners, whose options they need."""
+    names = [c for c in kept if c in streams.columns]
+    safe, notes = [], []
+    for c in addresses:
+        tuner = F.lower(c).startswith("dvb")
+        safe.append(F.when(tuner, F.col(c)).otherwise(without_credentials(c)).alias(c))
+        plain = F.regexp_replace(c, "[?#].*$", "")
+        login = F.coalesce(~tuner & (without_credentials(c) != plain), F.lit(False))
+        more = F.coalesce(~tuner & F.col(c).contains("://") & (plain != F.col(c)), F.lit(False))
+        notes += [F.when(tuner, F.lit(c + TUNER_NOTE)), F.when(login, F.lit(c + LOGIN_NOTE)), F.when(more, F.lit(c + QUERY_NOTE))]
+    return streams.select(F.lit("").alias("id"), F.lit(False).alias("auto_start"), *names, *safe, F.array_compact(F.array(*notes)).alias("warnings"))

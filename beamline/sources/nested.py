@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.packets import octet, payloads
+from ..operators.folds import service_ids
 from .sections import crc32_mpeg
 
 #: First bytes of NAL units that begin a picture without references: type 5 in the low
@@ -272,3 +273,19 @@ def multiplexed(packets: DataFrame, now_ms: int, silence_ms: int = SILENCE_MS) -
     """Packets of the services that are not silent for ``silence_ms`` or more."""
     alive = packets.groupBy("stream_id").agg(F.max("arrival_ms").alias("_last")).where(F.lit(now_ms) - F.col("_last") < silence_ms)
     return packets.join(alive.select("stream_id"), "stream_id", "left_semi")
+
+
+#: First pid of a multiplex, and the pids between the ranges of two services.
+FIRST_PID, RANGE = 0x100, 0x20
+
+
+def pid_plan(services: DataFrame, pids: DataFrame) -> DataFrame:
+    """Pids of a multiplex, no two alike: ``(mux_id, stream_id, pid, new_pid)``.
+
+    ``services(mux_id, ord, stream_id)``, ``pids(stream_id, pid)``. A service's pids take
+    the first ones from its range on that are free, in order of the services."""
+    rows = services.join(pids.select("stream_id", "pid").distinct(), "stream_id")
+    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("mux_id").orderBy("ord", "stream_id", "pid")).cast("long"))
+    wanted = rows.select("mux_id", F.col("place").alias("ord"), (FIRST_PID + RANGE * F.col("ord")).cast("int").alias("wanted"))
+    found = service_ids(wanted).withColumnsRenamed({"ord": "place", "service_id": "new_pid"})
+    return rows.join(found, ["mux_id", "place"]).select("mux_id", "stream_id", "pid", F.col("new_pid").cast("int").alias("new_pid"))
