@@ -6,19 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fields that name a record's service, and those of its delays.
+SERVICE, DELAYS = ("stream", "sid"), ("prequeue_ms", "queue_ms", "upstream_ms")
+
+
 def records(lines: DataFrame, marker: str = "monitor") -> DataFrame:
-    """``(line_no, at_s, stream, sid, values map<string, long>)`` of the lines
-    that bear the marker, a time, a stream and a sid. Values other than whole numbers
-    are left out."""
-    body = F.regexp_extract("line", rf"^\S+.*?{marker}:?\s+(.*)$", 1)
-    rows = lines.where(F.col("line").rlike(rf"^\S+.*?{marker}:?\s")).withColumn("_keys", F.regexp_extract_all(body, F.lit(r"([a-z][a-z0-9_]*)=([^\s]+)"), F.lit(1))).withColumn("_values", F.regexp_extract_all(body, F.lit(r"([a-z][a-z0-9_]*)=([^\s]+)"), F.lit(2)))
-    pairs = F.arrays_zip("_keys", "_values")
-    one = lambda name: F.expr(f"element_at(filter(arrays_zip(_keys, _values), p -> p._keys = '{name}'), -1)._values")
-    numbers = F.filter(pairs, lambda p: ~p["_keys"].isin("stream", "sid") & p["_values"].rlike(r"^[+-]?[0-9]{1,18}$"))
-    rows = rows.withColumns({"_at": F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', try_cast(regexp_extract(line, '^(\\\\S+)', 1) as timestamp_ntz))"), "stream": one("stream"), "sid": one("sid"), "_n": numbers})
-    return rows.where("_at is not null and stream is not null and sid is not null").select(
-        "line_no", F.col("_at").alias("at_s"), "stream", "sid", F.transform("_n", lambda p: F.struct(p["_keys"].alias("key"), p["_values"].cast("long").alias("value"))).alias("values")
-    )
+    """``(line_no, at_s, stream, sid, values array<struct<key, value>>)`` of the
+    lines that begin with a time, bear the marker and name a stream and a sid.
+
+    A line is split into words once; behind the marker, words of a plain name, an equals
+    sign and something are its fields. Values other than whole numbers are left out; of
+    equal names that of a service is the last one."""
+    rows = lines.withColumn("_w", F.split(F.trim("line"), r"\s+"))
+    rows = rows.withColumn("_m", F.array_position(F.transform("_w", lambda w: F.rtrim(w, F.lit(":"))), marker)).where("_m > 1")
+    named = F.filter(F.expr("slice(_w, int(_m) + 1, size(_w))"), lambda w: w.rlike("^[a-z][a-z0-9_]*=."))
+    pair = lambda w: F.struct(F.substring_index(w, "=", 1).alias("key"), F.substring(w, F.length(F.substring_index(w, "=", 1)) + 2, F.length(w)).alias("text"))
+    rows = rows.withColumn("_p", F.transform(named, pair))
+    last = lambda name: F.try_element_at(F.filter("_p", lambda p: p["key"] == name), F.lit(-1))["text"]
+    rows = rows.withColumns({"_at": F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', try_cast(_w[0] as timestamp_ntz))"), **{name: last(name) for name in SERVICE}})
+    numbers = F.filter("_p", lambda p: ~p["key"].isin(*SERVICE) & p["text"].rlike(r"^[+-]?[0-9]{1,18}$"))
+    found = rows.where("_at is not null and stream is not null and sid is not null")
+    return found.select("line_no", F.col("_at").alias("at_s"), *SERVICE, F.transform(numbers, lambda p: F.struct(p["key"].alias("key"), p["text"].cast("long").alias("value"))).alias("values"))
 
 
 def service_report(found: DataFrame, peaks: tuple[str, ...] = ("peak",)) -> DataFrame:
@@ -47,7 +55,7 @@ def latency_report(lines: DataFrame, marker: str = "LATENCY") -> DataFrame:
     body = F.regexp_extract("line", rf"{marker} (.*)$", 1)
     value = lambda name: F.regexp_extract(body, rf"(?:^|\s){name}=([^\s]+)", 1)
     number = lambda name: F.when(value(name).rlike("^[0-9]{1,18}$"), value(name).cast("long"))
-    rows = lines.where(F.col("line").contains(f"{marker} ")).select(F.upper(value("sid")).alias("sid"), value("stage").alias("stage"), value("send").alias("send"), (value("late") == "1").alias("late"), number("prequeue_ms").alias("pre"), number("queue_ms").alias("q"), number("upstream_ms").alias("up"))
+    rows = lines.where(F.col("line").contains(f"{marker} ")).select(F.upper(value("sid")).alias("sid"), value("stage").alias("stage"), value("send").alias("send"), (value("late") == "1").alias("late"), *[number(name).alias(short) for name, short in zip(DELAYS, ("pre", "q", "up"))])
     rows = rows.where(F.col("sid").rlike("^[0-9A-F]{4}$"))
     sent, reply = F.col("stage") == "upstream_sent", F.col("stage") == "upstream_reply"
     ok = sent & (F.col("send") == "ok")
