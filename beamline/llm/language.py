@@ -423,8 +423,10 @@ def identify(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Dat
     The model is fitted on a bounded sample of the labelled documents whose
     crc32(doc_id) mod 3 is not 1, and labels every whole text. ``und`` with score 0
     stands for null texts, texts without a letter, and for every text if no labelled
-    document exists. A null doc_id is not held out and not learned from; repeated
-    rows are labelled alike; input columns named like a result are replaced."""
+    document exists; of languages with equal means the first by name is taken. A null
+    doc_id is not held out and not learned from; repeated rows are labelled alike; a
+    very long text is labelled whole, with memory in proportion to its words; input
+    columns named like a result are replaced."""
     docs = docs.drop("held_out", "lang_pred", "score")
     model = train(sample(docs, docs_per_language))
     return predict(docs, model).withColumn("held_out", F.coalesce(crc_fold("doc_id") == 1, F.lit(False)))
