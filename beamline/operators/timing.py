@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .folds import PTS_WRAP, fold
+
 
 def over(*order: str) -> W:
     return W.partitionBy("stream_id").orderBy(*order)
@@ -82,6 +84,14 @@ def loop_clock(samples: DataFrame, lead: int = 3600) -> DataFrame:
     return samples.join(spans, ["stream_id", "loop"]).withColumn("out_pts", F.col("pts") - F.col("_first") + F.col("_offset")).drop("_first", "_span", "_offset")
 
 
+def replayed(samples: DataFrame, loops: int, lead: int = 3600) -> DataFrame:
+    """A file that plays ``loops`` times with clocks that go on.
+    ``samples(stream_id, idx, pts)``; gives ``loop`` and ``out_pts``, which starts at 0."""
+    span = samples.groupBy("stream_id").agg(F.min("pts").alias("_first"), (F.max("pts") - F.min("pts") + lead).alias("_span"))
+    rows = samples.join(span, "stream_id").withColumn("loop", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(loops - 1).cast("long"))))
+    return rows.withColumn("out_pts", F.col("pts") - F.col("_first") + F.col("loop") * F.col("_span")).drop("_first", "_span")
+
+
 def progress(packets: DataFrame) -> DataFrame:
     """Media packets, PES starts and changes of the timestamp by stream."""
     own = W.partitionBy("stream_id").orderBy("seq")
@@ -91,15 +101,44 @@ def progress(packets: DataFrame) -> DataFrame:
     return seen.join(changes, "stream_id", "left").fillna(0, ["pts_changes"])
 
 
-def picture_rate(pictures: DataFrame, window: int = 33) -> DataFrame:
-    """Pictures a second from the median gap of the last ``window`` timestamps.
-
-    ``pictures(stream_id, idx, pts)`` in 90 kHz ticks, unwrapped here; timestamps are
-    put in order within the window, as pictures are not sent in order of display."""
-    own = W.partitionBy("stream_id").orderBy("idx")
-    rows = pictures.withColumn("_b", F.lag("pts").over(own)).withColumn("_w", F.when(F.col("_b") - F.col("pts") > (1 << 32), 1).when(F.col("pts") - F.col("_b") > (1 << 32), -1).otherwise(0))
-    rows = rows.withColumn("_t", F.col("pts") + F.sum("_w").over(own.rowsBetween(W.unboundedPreceding, 0)) * (1 << 33))
-    rows = rows.withColumn("_s", F.array_sort(F.collect_list("_t").over(own.rowsBetween(1 - window, 0))))
-    rows = rows.withColumn("_g", F.expr("array_sort(filter(transform(sequence(1, greatest(size(_s) - 1, 1)), i -> get(_s, i) - _s[i - 1]), g -> g > 0))"))
-    middle = F.expr("case when size(_g) = 0 then null when size(_g) % 2 = 1 then cast(_g[size(_g) div 2] as double) else (_g[size(_g) div 2 - 1] + _g[size(_g) div 2]) / 2D end")
-    return rows.withColumn("median_gap", middle).withColumn("fps", 90000 / F.col("median_gap")).withColumn("is_25", F.col("fps").between(23.5, 26.5)).select(*pictures.columns, "median_gap", "fps", "is_25")
+#: Pictures of the long and of the quick test, ticks of the longest window,
+#: pictures a second that count as 25, and ticks of a gap that does.
+LONG, QUICK, LONGEST, AROUND_25, GAP_25 = 33, 5, 900_000, (23.5, 26.5), (3450, 3750)
+
+
+def _in_order(stamps: list[int]) -> list[int]:
+    """Timestamps around the first one, ascending."""
+    return sorted((t - stamps[0] + PTS_WRAP // 2) % PTS_WRAP - PTS_WRAP // 2 for t in stamps)
+
+
+def picture_rate(pictures: DataFrame) -> DataFrame:
+    """Pictures a second from the median gap of the last ``LONG`` timestamps.
+
+    ``pictures(stream_id, idx, pts)`` in 90 kHz ticks; timestamps are put in order within
+    the window, as pictures are not sent in order of display. Before the window is full
+    the last ``QUICK`` tell 25 a second if three of their gaps and the median do. A
+    picture without a timestamp, or a window that has no length or more than ``LONGEST``
+    ticks, starts afresh. Gives ``idx, fps, is_25``."""
+
+    def step(state, row):
+        held = state.setdefault("held", [])
+        if row.pts is None:
+            held.clear()
+            return [(row.idx, 0.0, False)]
+        held.append(row.pts % PTS_WRAP)
+        del held[:-LONG]
+        own = _in_order(held if len(held) == LONG else held[-QUICK:])
+        if len(own) < QUICK:
+            return [(row.idx, 0.0, False)]
+        if len(own) == LONG and not 0 < own[-1] - own[0] <= LONGEST:
+            held.clear()
+            return [(row.idx, 0.0, False)]
+        gaps = sorted(b - a for a, b in zip(own, own[1:]))
+        middle = (gaps[len(gaps) // 2 - 1] + gaps[len(gaps) // 2]) / 2
+        fps = 90_000 / middle if middle > 0 else 0.0
+        if len(own) == LONG:
+            return [(row.idx, fps, AROUND_25[0] <= fps <= AROUND_25[1])]
+        fits = sum(GAP_25[0] <= g <= GAP_25[1] for g in gaps)
+        return [(row.idx, fps, fits >= 3 and GAP_25[0] <= middle <= GAP_25[1])]
+
+    return fold(pictures.select("stream_id", "idx", "pts"), "stream_id", ["idx"], step, "idx long, fps double, is_25 boolean")

@@ -321,16 +321,32 @@ def t29_switched_clock(spark, sf_dir: str):
     return folds.switch_clock(p.withColumn("pcr", moved("pcr27 div 300")).withColumn("pts", moved("pts")))
 
 
-GAPS = "list_sort(list_filter(list_transform(range(1, greatest(len(s), 2)), lambda i: s[i + 1] - s[i]), lambda g: g > 0))"
+def ordered(stamps: str) -> str:
+    return f"list_sort(list_transform({stamps}, lambda x: (x - ({stamps})[1] + {WRAP + HALF}) % {WRAP} - {HALF}))"
 
 
-@query(R.oracle(f""", p as (select stream_id, seq as idx, pts, lag(pts) over (partition by stream_id order by seq) as b from packets where pts is not null),
-u as (select *, pts + sum(case when b - pts > {HALF} then 1 when pts - b > {HALF} then -1 else 0 end) over (partition by stream_id order by idx rows unbounded preceding)::bigint * {WRAP} as t from p),
-w as (select *, list_sort(list(t) over (partition by stream_id order by idx rows between 32 preceding and current row)) as s from u),
-g as (select *, {GAPS} as g from w)
-select stream_id, idx, pts, median_gap, 90000 / median_gap as fps, 90000 / median_gap between 23.5 and 26.5 as is_25
-from (select *, case when len(g) % 2 = 1 then g[len(g) // 2 + 1]::double else (g[len(g) // 2] + g[len(g) // 2 + 1]) / 2.0 end as median_gap from g)""", "packets"))
+RATE_ROWS = f"select stream_id * 100000 + sequence // 200 as stream_id, sequence as idx, case when sequence % 97 = 50 then null else (8589900000 + sequence * case when sequence % 400 < 250 then 3600 else 3003 end + case sequence % 3 when 0 then 7200 else -3600 end + case when sequence % 400 = 399 then 2000000 else 0 end) % {WRAP} end as pts from segments"
+
+
+@query(machine(RATE_ROWS, "idx", f"""
+    idx: r.idx ; r.idx
+    held: case when r.pts is null then []::bigint[] else [r.pts] end ; case when r.pts is null then []::bigint[] when s.wiped then [r.pts] else list_append(list_slice(s.held, greatest(1, len(s.held) - 31), len(s.held)), r.pts) end
+    own: []::bigint[] ; case when len($held) = 33 then {ordered('$held')} when len($held) >= 5 then {ordered('list_slice($held, len($held) - 4, len($held))')} else [] end
+    wiped: r.pts is null ; r.pts is null or len($held) = 33 and not ($own[33] - $own[1] > 0 and $own[33] - $own[1] <= 900000)
+    gaps: []::bigint[] ; case when $wiped then [] else list_sort(list_transform(range(1, greatest(1, len($own))), lambda i: $own[i + 1] - $own[i])) end
+    middle: 0::double ; case when len($gaps) = 0 then 0 else ($gaps[len($gaps) // 2] + $gaps[len($gaps) // 2 + 1]) / 2.0 end
+    fps: 0::double ; case when $middle > 0 then 90000 / $middle else 0 end
+    is_25: false ; case when len($gaps) = 32 then $fps between 23.5 and 26.5 else len($gaps) = 4 and len(list_filter($gaps, lambda g: g between 3450 and 3750)) >= 3 and $middle between 3450 and 3750 end
+""", "select stream_id, idx, fps::double as fps, is_25 from f", "segments"))
 def a17_picture_rate(spark, sf_dir: str):
     """A17"""
-    p = R.packets(spark, sf_dir).where("pts is not null").select("stream_id", F.col("seq").alias("idx"), "pts")
-    return timing.picture_rate(p)
+    pts = f"case when sequence % 97 = 50 then null else (8589900000 + sequence * case when sequence % 400 < 250 then 3600 else 3003 end + case sequence % 3 when 0 then 7200 else -3600 end + case when sequence % 400 = 399 then 2000000 else 0 end) % {WRAP} end"
+    return timing.picture_rate(R.segments(spark, sf_dir).select(F.expr("stream_id * 100000 + sequence div 200").alias("stream_id"), F.col("sequence").alias("idx"), F.expr(pts).alias("pts")))
+
+
+@query(R.oracle(""", s as (select stream_id, sequence as idx, wall_ts * 90 as pts from segments), f as (select stream_id, min(pts) as a, max(pts) - min(pts) + 3600 as span from s group by 1)
+select stream_id, loop, idx, pts - a + loop * span as out_pts from s join f using (stream_id), range(3) l(loop)""", "segments"))
+def s3_replayed_file(spark, sf_dir: str):
+    """S3, T28"""
+    s = R.segments(spark, sf_dir).select("stream_id", F.col("sequence").alias("idx"), (F.col("wall_ts") * 90).alias("pts"))
+    return timing.replayed(s, 3).select("stream_id", "loop", "idx", "out_pts")

@@ -318,10 +318,10 @@ def j15_imported(spark, sf_dir: str):
     return sessions.imported(new, known).select("ord", "id", "name", "uri")
 
 
-@query("select user_id % 7 as stream_id, avg(value) as cpu_mean, max(value) as cpu_max, max(event_id % 1000) as rss_max from events group by 1")
+@query("select user_id % 7 as stream_id, round(avg(value), 6) as cpu_mean, max(value) as cpu_max, max(event_id % 1000) as rss_max from events group by 1")
 def a14_load_summary(spark, sf_dir: str):
     """A14"""
-    return quality.load_summary(R.table(spark, sf_dir, "events").selectExpr("user_id % 7 as stream_id", "value as cpu", "event_id % 1000 as rss"))
+    return quality.load_summary(R.table(spark, sf_dir, "events").selectExpr("user_id % 7 as stream_id", "value as cpu", "event_id % 1000 as rss")).withColumn("cpu_mean", F.round("cpu_mean", 6))
 
 
 @query("select p_partkey as id, case when p_size % 3 = 0 then 8000 when p_size % 3 = 1 then p_size * 10 else p_size * 9 end as rate from part")

@@ -186,9 +186,13 @@ def test_picture_rate(spark):
     sent = [p % (1 << 33) for a in range(0, 60, 4) for p in rng.sample(pts[a : a + 4], 4)]
     df = spark.createDataFrame([("s", k, p) for k, p in enumerate(sent)], "stream_id string, idx long, pts long")
     last = timing.picture_rate(df).orderBy(F.desc("idx")).first()
-    assert last.median_gap == 3600 and last.is_25
+    assert last.fps == 25 and last.is_25
     window = sorted(p + (1 << 33) * (p < 1 << 32) for p in sent[-33:])
-    assert last.median_gap == median(b - a for a, b in zip(window, window[1:]))
+    assert last.fps == 90_000 / median(b - a for a, b in zip(window, window[1:]))
+    early = {r.idx: r.is_25 for r in timing.picture_rate(df).collect()}
+    assert not early[3] and early[4]  # five pictures are enough for 25 a second
+    broken = df.withColumn("pts", F.when(F.col("idx") != 40, F.col("pts")))
+    assert [r.fps == 0 for r in timing.picture_rate(broken).where("idx between 39 and 45").orderBy("idx").collect()] == [False] + [True] * 5 + [False]
 
 
 def test_origin_choice(spark):
