@@ -17,8 +17,9 @@ def liveness(samples: DataFrame) -> DataFrame:
     source_bytes, network)``.
 
     A network input stalls after 10 s without media when its source is silent as long,
-    or after 18 s while the source goes on; other inputs after 5 s."""
-    own = W.partitionBy("stream_id").orderBy("now_ms")
+    or after 18 s while the source goes on; other inputs after 5 s. Samples of one time
+    are taken in order of their counters."""
+    own = W.partitionBy("stream_id").orderBy("now_ms", "media_bytes", "source_bytes")
     upto = own.rowsBetween(W.unboundedPreceding, 0)
     rows = samples.withColumns({"_m": _silence("media_bytes", own), "_s": _silence("source_bytes", own)})
     rows = rows.withColumns({"media_silence_ms": F.col("now_ms") - F.last("_m", ignorenulls=True).over(upto), "source_silence_ms": F.col("now_ms") - F.last("_s", ignorenulls=True).over(upto)})

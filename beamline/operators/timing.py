@@ -56,8 +56,8 @@ def interpolate(packets: DataFrame, key: str = "stream_id") -> DataFrame:
     """The clock at every packet, on the line between the anchors around it.
 
     ``packets(key, idx, pcr27)``, ``pcr27`` null where there is no anchor. Beyond the
-    outermost anchors the nearest interval's line goes on. Two windows over one sort
-    take the place of a range join."""
+    outermost anchors the nearest interval's line goes on. Windows in either direction,
+    over one exchange and two sorts, take the place of a range join."""
     up, down = (W.partitionBy(key).orderBy(o) for o in (F.asc("idx"), F.desc("idx")))
     upto = lambda w: w.rowsBetween(W.unboundedPreceding, 0)
     anchor = F.when(F.col("pcr27").isNotNull(), F.struct("idx", "pcr27"))

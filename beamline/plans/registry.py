@@ -545,13 +545,13 @@ def a12_latency_report(spark, sf_dir: str) -> DataFrame:
 # --- health ---------------------------------------------------------------------------------
 
 LIVE = """, lv as (select stream_id, ts * 1000 + sample_id % 1000 as now_ms, cc_total as media_bytes, out_kbps as source_bytes, stream_id % 2 = 0 as network from quality),
-g as (select *, case when coalesce(media_bytes > lag(media_bytes) over w, true) then now_ms end as m, case when coalesce(source_bytes > lag(source_bytes) over w, true) then now_ms end as s from lv window w as (partition by stream_id order by now_ms)),
-h as (select *, now_ms - last_value(m ignore nulls) over w as media, now_ms - last_value(s ignore nulls) over w as source from g window w as (partition by stream_id order by now_ms rows unbounded preceding)),
+g as (select *, case when coalesce(media_bytes > lag(media_bytes) over w, true) then now_ms end as m, case when coalesce(source_bytes > lag(source_bytes) over w, true) then now_ms end as s from lv window w as (partition by stream_id order by now_ms, media_bytes, source_bytes)),
+h as (select *, now_ms - last_value(m ignore nulls) over w as media, now_ms - last_value(s ignore nulls) over w as source from g window w as (partition by stream_id order by now_ms, media_bytes, source_bytes rows unbounded preceding)),
 k as (select *, case when network then media >= 10000 and (source >= 10000 or media >= 18000) else media >= 5000 end as stalled from h)"""
 
 
 @query(R.oracle(LIVE + """, r as (select stream_id, case when stalled and not network then 'selected_media_silent' when stalled and source >= 10000 then 'network_and_media_silent' when stalled then 'network_alive_media_stalled' when network and media >= 5000 then 'network_jitter_grace' else 'healthy' end as cause,
-coalesce(lag(stalled) over (partition by stream_id order by now_ms), false) and media = 0 as recovered from k) select stream_id, cause, recovered, count(*) as n from r group by 1, 2, 3""", "quality"))
+coalesce(lag(stalled) over (partition by stream_id order by now_ms, media_bytes, source_bytes), false) and media = 0 as recovered from k) select stream_id, cause, recovered, count(*) as n from r group by 1, 2, 3""", "quality"))
 def t12_liveness(spark, sf_dir: str) -> DataFrame:
     """T12, W9"""
     s = R.quality(spark, sf_dir).select("stream_id", F.expr("ts * 1000 + sample_id % 1000").alias("now_ms"), F.col("cc_total").alias("media_bytes"), F.col("out_kbps").alias("source_bytes"), F.expr("stream_id % 2 = 0").alias("network"))
