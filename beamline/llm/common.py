@@ -3,7 +3,6 @@ connected components by star contraction."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.scratch import folder
+
 #: Words of the contracts: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
@@ -21,17 +22,8 @@ LOWER_FROM, LOWER_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder in the shared place that ``spark.checkpoint.dir`` names.
-
-    Where the setting is absent and Spark runs in one process, a temporary folder is
-    used and set for the session; on a cluster the setting is needed."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="beamline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/beamline-{uuid.uuid4().hex}"
+    """A new folder in the shared place that ``spark.checkpoint.dir`` names."""
+    return folder(spark)
 
 
 def cut(df: DataFrame, path: str | None = None) -> DataFrame:
