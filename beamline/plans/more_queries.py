@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import continuity, guide, health, hls, logs, quality, sessions
-from ..sources import files, nested, transport
+from ..sources import files, foreign, nested, transport
 from ..sources.scratch import folder
 from . import api
 from . import relations as R
@@ -473,3 +473,48 @@ def u1_pid_plan(spark, sf_dir: str):
     services = n.select(F.col("n_regionkey").alias("mux_id"), F.expr("(n_nationkey % 4) * 1000000L + n_nationkey").alias("ord"), F.col("n_nationkey").alias("stream_id"))
     pids = R.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("stream_id"), F.expr("cast(c_custkey % 90 + 40 as int)").alias("pid"))
     return nested.pid_plan(services.withColumn("ord", F.expr("ord div 1000000")), pids)
+
+
+# --- stream lists of other servers -------------------------------------------------------------------
+
+
+URIS = ("udp://239.0.0.1:5000", "http://h/a.ts", "https://h/b.m3u8", "srt://h:9?x=1", "dvb://tuner", "HTTP://h/c")
+
+
+def exported(spark, sf_dir: str) -> DataFrame:
+    uri = lambda e: F.element_at(F.array(*map(F.lit, URIS)), F.expr(f"cast({e} as int)"))
+    out = F.expr("array(named_struct('type', case when s_suppkey % 2 = 0 then 'rtp' else 'udp-vbr' end, 'host', concat('239.1.1.', s_suppkey % 200), 'port', cast(s_suppkey % 3 * 1000 as int)))")
+    return R.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("ord"), F.format_string("%05d", "s_suppkey").alias("id"), F.expr("concat('Name ', s_suppkey % 40)").alias("name"), F.lit(True).alias("auto_start"), uri("s_suppkey % 6 + 1").alias("input_uri"),
+        F.when(F.expr("s_suppkey % 4 = 1"), uri("s_suppkey % 5 + 1")).alias("backup_input_uri"), F.when(F.expr("s_suppkey % 6 = 5"), "hls").otherwise("auto").alias("input_mode"), out.alias("outputs"))
+
+
+FOREIGN = f"""with s as (select s_suppkey, 'Name ' || (s_suppkey % 40) as name, {list(URIS)}[s_suppkey % 6 + 1] as u, case when s_suppkey % 4 = 1 then {list(URIS)}[s_suppkey % 5 + 1] end as b,
+  s_suppkey % 3 * 1000 as port, case when s_suppkey % 2 = 0 then 'rtp' else 'udp-vbr' end as type, '239.1.1.' || (s_suppkey % 200) as host from supplier)"""
+FOUND = """case when u like 'dvb%' then {b} else {u} end as input_uri, case when u not like 'dvb%' and b not like 'dvb%' then {b} end as backup_input_uri,
+  case when port > 0 then type || ' ' || host || ' ' || port else '' end as outputs, case when u like 'dvb%' or coalesce(b like 'dvb%', false) then 'Unsupported input skipped' else '' end || case when u like 'dvb%' and (b is null or b like 'dvb%') then '|Stream without supported input skipped' else '' end as warnings"""
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    outputs = F.array_join(F.transform("outputs", lambda o: F.concat_ws(" ", o["type"], o["host"], o["port"].cast("string"))), ",")
+    return rows.select("name", "input_uri", "backup_input_uri", outputs.alias("outputs"), F.array_join("warnings", "|").alias("warnings"))
+
+
+@query(FOREIGN + " select name, " + FOUND.format(u="u", b="case when b not like 'dvb%' then b end") + " from s")
+def s16_json_streams(spark, sf_dir: str):
+    """A JSON list written and read again"""
+    path = folder(spark)
+    foreign.json_streams(exported(spark, sf_dir)).write.text(path)
+    return flat(foreign.read_json_streams(spark, path, multiline=False))
+
+
+PLAIN = "case when {0} like 'HTTP://%' then 'http://' || {0}[8:] else {0} end"
+
+
+@query(FOREIGN + ", n as (select *, row_number() over (partition by name order by s_suppkey) as k from s) select replace(name, ' ', '_') || case when k = 1 then '' else '_' || k end as name, " + FOUND.format(u=PLAIN.format("u"), b="case when b not like 'dvb%' then " + PLAIN.format("b") + " end") + " from n")
+def s16_text_streams(spark, sf_dir: str):
+    """Blocks of text written and read again"""
+    path = folder(spark)
+    blocks = foreign.text_streams(exported(spark, sf_dir))
+    blocks.select(F.concat(F.lit("# list\nother { input udp://x:1; }\n"), "block").alias("value")).write.text(path)
+    return flat(foreign.read_text_streams(spark, path))

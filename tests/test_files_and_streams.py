@@ -5,8 +5,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from beamline.sources import files
 from beamline.operators import folds
+from beamline.sources import files, foreign
 from beamline.streaming import live
 
 XMLTV = """<?xml version="1.0"?><tv><channel id="c1"><display-name>One</display-name></channel>
@@ -77,3 +77,35 @@ def test_failover_under_streaming(spark, tmp_path):
     got = live.run_available(live.failover_live(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     live_rows = {(r.stream_id, r.ts, r.source, r.cause) for r in got.withColumn("ts", F.unix_seconds("at") - 1000).collect()}
     assert live_rows == stored and len(stored) == 4
+
+
+def test_blocks_of_text(spark, tmp_path):
+    (tmp_path / "a.conf").write_text("""
+# stream hidden { input udp://0:1; }
+http 80;
+auth { stream none { input udp://0:1; } }
+stream one {
+  input "hls://h/a;b.m3u8" ; dvr { input udp://0:2; push udp://1:1; }
+  input tshttp://h/two x=1;
+  // input udp://0:3;
+  push udp://10.0.0.1@239.0.0.1:1234; push udp://999.0.0.1@239.0.0.1:1234; push http://x;
+}
+stream two { input mystery://x; }
+stream three { input udp://h:1; input srt://h:2; input rtp://h:3; push rtp://[::1]:70000; push rtp://h:65535/x; }
+stream open { input udp://h:4;
+""")
+    got = {r.name: r for r in foreign.read_text_streams(spark, str(tmp_path)).collect()}
+    one = got["one"]
+    assert (one.input_uri, one.backup_input_uri, one.input_mode) == ("http://h/a;b.m3u8", "http://h/two", "hls")
+    assert [tuple(o) for o in one.outputs] == [("udp-vbr", "239.0.0.1", 1234, "10.0.0.1")] and one.warnings == [foreign.BAD_OUTPUT]
+    assert got["two"].input_uri is None and set(got["two"].warnings) == {foreign.BAD_INPUT, foreign.NO_INPUT}
+    assert got["three"].backup_input_uri == "srt://h:2" and got["three"].warnings == [foreign.MORE_INPUTS, foreign.BAD_OUTPUT]
+    assert [tuple(o) for o in got["three"].outputs] == [("rtp", "h", 65_535, "")] and set(got) == {"one", "two", "three", "open"}
+
+
+def test_json_lists(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"make_stream": [{"name": "x", "input": ["udp://h:1", {"url": "hlss://h/i"}], "output": [{"url": "rtp://239.1.1.1:5"}, "file:///x"]}, {"name": "m", "type": "MPTS", "input": ["udp://h:2"]}, {"type": "spts", "input": []}, {"name": "none"}]}')
+    got = {r.name: r for r in foreign.read_json_streams(spark, str(tmp_path)).collect()}
+    assert set(got) == {"x", "none"} and got["x"].backup_input_uri == "https://h/i"
+    assert [tuple(o) for o in got["x"].outputs] == [("rtp", "239.1.1.1", 5, "")] and got["x"].warnings == [foreign.BAD_OUTPUT]
+    assert got["none"].warnings == [foreign.NO_INPUT]
