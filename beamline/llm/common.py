@@ -3,6 +3,7 @@ connected components by star contraction."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -82,10 +83,19 @@ def held(name, make: Callable):
     another name is asked for; so a worker holds one operator's caches at most."""
     if name not in _HELD:
         _HELD.clear()
+        release()
         _HELD[name] = make()
     return _HELD[name]
 
 
+def release() -> None:
+    """Give memory that is free in this worker back to the system, where the C library
+    can: large arrays that come and go else stay with the worker."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, ROWS):

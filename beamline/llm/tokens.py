@@ -49,7 +49,7 @@ SHORT_RULE = 64
 CACHE = 1_000_000
 #: Pieces given to the library at once, and characters split at once.
 ENCODE = 4096
-CHARS = 1 << 21
+CHARS = 1 << 20
 LONG_PIECE = 1000
 
 
@@ -451,6 +451,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
 
         def close() -> pa.RecordBatch:
             row = {"part": part, "shard": shard, "first": first, "n_ids": held, "doc_ids": ids, "blob": write_shard(docs, base)}
+            common.release()
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         for batch in common.slices(batches):
