@@ -271,3 +271,14 @@ def test_null_packets_do_not_count(spark):
     df = spark.createDataFrame([("s", 8191, 1, False), ("s", 1, 2, True), ("s", 1, 3, False)], "stream_id string, pid int, seq long, tei boolean")
     assert [r.seq for r in continuity.usable(df).collect()] == [3]
     assert continuity.admitted(df, df.where(F.col("pid") == 1)).count() == 2
+
+
+def test_dvb_text_falls_back_where_a_set_is_not_mapped():
+    word = bytes([0x41, 0xE9, 0xFF])
+    for selector in (2, 3, 4, 6, 7, 9, 10, 11):
+        assert S.dvb_text(bytes([selector]) + word) == word.decode("latin-1")
+    for k in (1, 2, 3, 4, 15):
+        assert S.dvb_text(b"\x10\x00" + bytes([k]) + word) == word.decode("latin-1")
+    assert S.dvb_text(b"\x05" + "ışık".encode("iso8859_9")) == "ışık" == S.dvb_text(b"\x10\x00\x09" + "ışık".encode("iso8859_9"))
+    assert S.dvb_text(b"\x11" + "Ω m".encode("utf-16-be")) == "Ω m" and S.dvb_text(b"\x15" + "Ω".encode()) == "Ω"
+    assert S.dvb_text(b"a\x00b\x86c\nd\x9f") == "abc\nd" and S.dvb_text(b"") == ""
