@@ -34,17 +34,28 @@ def latest(events: DataFrame, n: int = PER_CHANNEL) -> DataFrame:
     return events.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
+def first_rows(rows: DataFrame, key: str, order: str, n: int, parts: int = 4096) -> DataFrame:
+    """A key's first ``n`` rows in a numeric order, without all of its rows in one place:
+    they are counted by parts of the order's range, and only within a part are they
+    ranked."""
+    ends = rows.groupBy(key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    part = F.expr(f"cast((cast({order} as decimal(20,0)) - _lo) * {parts} / (cast(_hi as decimal(20,0)) - _lo + 1) as int)")
+    dealt = rows.join(ends, key).withColumn("_part", part)
+    counts = dealt.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).where(F.col("_before") < n).drop("_n")
+    ranked = dealt.join(counts, [key, "_part"]).withColumn("_r", F.row_number().over(W.partitionBy(key, "_part").orderBy(order)))
+    return ranked.where(F.col("_before") + F.col("_r") <= n).select(*rows.columns)
+
+
 def first_arrived(events: DataFrame, per_channel: int = PER_CHANNEL, per_source: int = PER_SOURCE, channels: int = CHANNELS) -> DataFrame:
     """O3: a source's first channels to arrive, a channel's first events and a source's,
-    up to their limits.
-
-    Each limit is a rank that is filtered at once, so a task passes on no more than the
-    limit's rows of a source, however many there are."""
+    up to their limits."""
     rank = lambda rows, keys, order, n: rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where(F.col("_r") <= n).drop("_r")
     first = events.groupBy("source_id", "channel_id").agg(F.min("arrival").alias("_first"))
     known = rank(first, ["source_id"], "_first", channels).select("source_id", "channel_id")
     kept = rank(events.join(known, ["source_id", "channel_id"], "left_semi"), ["source_id", "channel_id"], "arrival", per_channel)
-    return rank(kept, ["source_id"], "arrival", per_source)
+    return first_rows(kept, "source_id", "arrival", per_source)
 
 
 def left_out(events: DataFrame, kept: DataFrame) -> DataFrame:
