@@ -16,14 +16,15 @@ def records(lines: DataFrame, marker: str = "monitor") -> DataFrame:
 
     A line is split into words once; behind the marker, words of a plain name, an equals
     sign and something are its fields. Values other than whole numbers are left out; of
-    equal names that of a service is the last one."""
-    rows = lines.withColumn("_w", F.split(F.trim("line"), r"\s+"))
-    rows = rows.withColumn("_m", F.array_position(F.transform("_w", lambda w: F.rtrim(w, F.lit(":"))), marker)).where("_m > 1")
-    named = F.filter(F.expr("slice(_w, int(_m) + 1, size(_w))"), lambda w: w.rlike("^[a-z][a-z0-9_]*=."))
+    equal names that of a service is the last one. What is split is generated as a row, so
+    that the conditions on it do not split the line again."""
+    rows = lines.select("line_no", F.explode(F.array(F.split(F.trim("line"), r"\s+"))).alias("_w"))
+    at = F.greatest(F.array_position("_w", marker), F.array_position("_w", f"{marker}:"))
+    named = F.filter(F.slice("_w", at.cast("int") + 1, F.size("_w")), lambda w: w.rlike("^[a-z][a-z0-9_]*=."))
     pair = lambda w: F.struct(F.substring_index(w, "=", 1).alias("key"), F.substring(w, F.length(F.substring_index(w, "=", 1)) + 2, F.length(w)).alias("text"))
-    rows = rows.withColumn("_p", F.transform(named, pair))
+    rows = rows.where(at > 1).select("line_no", F.col("_w")[0].alias("_t"), F.explode(F.array(F.transform(named, pair))).alias("_p"))
     last = lambda name: F.try_element_at(F.filter("_p", lambda p: p["key"] == name), F.lit(-1))["text"]
-    rows = rows.withColumns({"_at": F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', try_cast(_w[0] as timestamp_ntz))"), **{name: last(name) for name in SERVICE}})
+    rows = rows.withColumns({"_at": F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', try_cast(_t as timestamp_ntz))"), **{name: last(name) for name in SERVICE}})
     numbers = F.filter("_p", lambda p: ~p["key"].isin(*SERVICE) & p["text"].rlike(r"^[+-]?[0-9]{1,18}$"))
     found = rows.where("_at is not null and stream is not null and sid is not null")
     return found.select("line_no", F.col("_at").alias("at_s"), *SERVICE, F.transform(numbers, lambda p: F.struct(p["key"].alias("key"), p["text"].cast("long").alias("value"))).alias("values"))
