@@ -11,6 +11,7 @@ the blocks one after the other and keep the longest rule so far.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -132,6 +133,26 @@ def entries_of(spark: SparkSession, rules, blocked_hosts) -> DataFrame:
     return common.cut(ruled.unionByName(listed).where("text is not null").groupBy("text").agg(F.max("says").cast("int").alias("says")))
 
 
+def list_blocks(spark: SparkSession, rules, blocked_hosts, block_entries: int) -> Iterator:
+    """The lengths of the rules' paths, and then the lists block by block. Short sequences
+    are one block and need no job."""
+    if not isinstance(rules, DataFrame) and not isinstance(blocked_hosts, DataFrame) and len(rules) + len(blocked_hosts) <= block_entries:
+        block = {f"host:{h}": LISTED for h in blocked_hosts}
+        for verdict, host, path in rules:
+            key = f"rule:{host}{path}"
+            block[key] = max(block.get(key, LISTED), ALLOW if verdict == "allow" else BLOCK)
+        yield {len(path) for _, _, path in rules}
+        yield block
+        return
+    entries = entries_of(spark, rules, blocked_hosts)
+    lengths = entries.where("says > 0").select(F.length(F.regexp_extract("text", "^rule:[^/]*(.*)$", 1)).alias("n")).distinct()
+    yield {r[0] for r in lengths.collect()}
+    n = max(1, -(-entries.count() // block_entries))
+    for k in range(n):
+        mine = entries if n == 1 else entries.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+        yield {r["text"]: r["says"] for r in mine.collect()}
+
+
 def url_filter(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict``.
 
@@ -145,16 +166,13 @@ def url_filter(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, block
     long url is judged whole; repeated rows stay; input columns named like a result are
     replaced; an empty table gives no rows."""
     spark = pages.sparkSession
-    entries = entries_of(spark, rules, blocked_hosts)
-    lengths = entries.where("says > 0").select(F.length(F.regexp_extract("text", "^rule:[^/]*(.*)$", 1)).alias("n")).distinct()
-    lengths = sorted((r[0] for r in lengths.collect()), reverse=True)
-    n = max(1, -(-entries.count() // block_entries))
+    lists = list_blocks(spark, rules, blocked_hosts, block_entries)
+    lengths = sorted(next(lists), reverse=True)
     state = {"rule": "string", "_says": "long", "_listed": "long"}
     pages = split_url(pages.drop("host", "path", "rule", "verdict", *state, *(f"{c}2" for c in state)))
     pages = pages.withColumns({c: F.lit(None).cast(t) for c, t in state.items()})
-    for block in range(n):
-        mine = entries if n == 1 else entries.where(F.pmod(F.xxhash64("text"), F.lit(n)) == block)
-        name = ship(spark, {r["text"]: r["says"] for r in mine.collect()})
+    for block in lists:
+        name = ship(spark, block)
 
         def start(name=name):
             array = DigestArray(SparkFiles.get(name))
