@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import contamination, embeddings, language, mixing, pii, quality, simhash, suffixes, tokens, urls
+from . import alignment, chat, contamination, embeddings, importance, language, mixing, pii, quality, simhash, suffixes, tokens, urls
 
 
 def queries() -> dict:
@@ -19,9 +19,12 @@ def queries() -> dict:
         "op8_tokens": tokens.op8_tokens,
         "op9_pii": pii.op9_pii,
         "op10_quality": quality.op10_quality,
+        "op11_alignment": alignment.op11_alignment,
+        "op12_resampling": importance.op12_resampling,
+        "op13_chat": chat.op13_chat,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_embeddings": embeddings.OP2_SQL, "op5_url_filter": urls.OP5_SQL, "op6_decontamination": contamination.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
+    return {"op2_embeddings": embeddings.OP2_SQL, "op5_url_filter": urls.OP5_SQL, "op6_decontamination": contamination.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op12_resampling": importance.OP12_SQL, "op13_chat": chat.OP13_SQL}
