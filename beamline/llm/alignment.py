@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Characters of a block of documents; the document that passes it is the block's last.
-BLOCK_CHARS = 1 << 23
+BLOCK_CHARS = 1 << 25
+#: Pairs of ids with their counts (24 bytes each) that are sent to all tasks at most; more
+#: are joined by a shuffle.
+SENT_PAIRS = 1_000_000
 #: White space that a cut may stand before, if the vocabularies allow it.
 CANDIDATES = " \n\t"
 #: Characters of alignments that go back to Spark at once.
@@ -221,11 +224,13 @@ def link_scores(segments: DataFrame) -> DataFrame:
     links = segments.where("ok").select("number", "times", F.explode("links").alias("link"))
     counts = common.cut(links.groupBy("link").agg(F.sum("times").alias("count")).withColumn("b", F.expr("link & 4294967295")))
     top = counts.groupBy("b").agg(F.max("count").alias("top"))
+    pairs = counts.count()
     counts = counts.join(top, "b").select("link", "count", (F.col("count") == F.col("top")).cast("long").alias("best"))
-    return links.join(counts, "link").groupBy("number").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    return links.join(common.small(counts, pairs, SENT_PAIRS), "link").groupBy("number").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
 
 
-COUNTED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+FOUND = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
+COUNTED = (*FOUND[:3], "n_links", *FOUND[3:])
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
@@ -247,27 +252,28 @@ def composed(rows: DataFrame, found: DataFrame) -> DataFrame:
                 if block[i] != current:
                     current, columns, texts, table = block[i], [], [], None
                 if not is_doc[i]:
-                    ok = own.column("ok").to_numpy(zero_copy_only=False).astype(np.int64)
-                    columns.append(np.stack([ok, *(own.column(c).to_numpy() for c in COUNTED)]))
+                    ok = own.column("groups").is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+                    columns.append(np.stack([ok, *(own.column(c).to_numpy() for c in FOUND)]))
                     texts += own.column("groups").to_pylist()
                     continue
                 if table is None:
-                    table = np.concatenate(columns, axis=1) if columns else np.empty((1 + len(COUNTED), 0), np.int64)
+                    table = np.concatenate(columns, axis=1) if columns else np.empty((1 + len(FOUND), 0), np.int64)
                 yield from documents(own, table, texts)
 
     def documents(own: pa.RecordBatch, table: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
         ids, sums, groups, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            columns = np.stack(sums, axis=1) if sums else np.empty((len(COUNTED), 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, columns), pa.array(groups, pa.string())], ["doc_id", *COUNTED, "groups"])
+            columns = zip(*sums) if sums else [()] * len(COUNTED)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in columns), pa.array(groups, pa.string())], ["doc_id", *COUNTED, "groups"])
 
         for doc_id, sequence in zip(own.column("doc_id").to_pylist(), own.column("sequence").to_pylist()):
             places = np.frombuffer(sequence, "<u4")
-            values = table[:, places].sum(axis=1)
-            good = 0 < len(places) == values[0]
+            ok, n_a, n_b, n_groups, *scores = table[:, places].sum(axis=1).tolist()
+            good = 0 < len(places) == ok
             ids.append(doc_id)
-            sums.append(values[1:] if good else np.zeros(len(COUNTED), np.int64))
+            # two ways to cut the same bytes overlap once between any two cuts of either
+            sums.append([n_a, n_b, n_groups, n_a + n_b - n_groups, *scores] if good else [0] * len(COUNTED))
             groups.append(";".join(map(texts.__getitem__, places.tolist())) if good else None)
             held += len(groups[-1] or "")
             if held >= OUT_CHARS:
@@ -300,7 +306,7 @@ def alignments(docs: DataFrame, paths: tuple[str, str] | None = None, block_char
     if segments.where(~F.col("ok")).limit(1).count():
         segments = common.cut(without_unmatched(segments, words, rows))
     found = segments.join(link_scores(segments), "number", "left")
-    found = found.select("segment", "ok", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")), "groups")
+    found = found.select("segment", "n_a", "n_b", "n_groups", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")), F.when(F.col("ok"), F.col("groups")).alias("groups"))
     return composed(rows, words.drop("times").join(found, "segment").drop("segment"))
 
 
