@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,6 +140,17 @@ def aligner(paths: tuple[str, str]) -> Aligner:
     return common.held(("aligner", paths), lambda: Aligner(*paths))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of segments, all first bytes, then all second ones and so on, compressed."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1) if len(numbers) else b""
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, np.uint32)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 class Numbers(dict):
     """Key -> its number in the order of first use."""
 
@@ -153,7 +165,7 @@ BLOCKS = "block long, doc_id long, sequence binary, local int, segment string, t
 
 def blocks(docs: DataFrame, paths: tuple[str, str], block_chars: int) -> DataFrame:
     """The corpus in blocks, two kinds of rows: a document's ``doc_id, sequence`` (numbers
-    of its segments, 32 bits each), and a segment's ``local, segment, times``."""
+    of its segments, packed), and a segment's ``local, segment, times``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, block = aligner(paths).segments, TaskContext.get().partitionId() << 32
@@ -162,7 +174,7 @@ def blocks(docs: DataFrame, paths: tuple[str, str], block_chars: int) -> DataFra
         def close() -> Iterator[pa.RecordBatch]:
             words = list(numbers)
             times = np.bincount(np.concatenate(sequences), minlength=len(words)) if words else np.empty(0, np.int64)
-            rows = {"block": [block] * len(ids), "doc_id": ids, "sequence": [s.tobytes() for s in sequences]}
+            rows = {"block": [block] * len(ids), "doc_id": ids, "sequence": [packed(s) for s in sequences]}
             yield _batch(rows, len(ids))
             for at in range(0, len(words), 10_000):
                 own = words[at : at + 10_000]
@@ -208,7 +220,7 @@ def without_unmatched(segments: DataFrame, words: DataFrame, rows: DataFrame) ->
     inside = rows.where(F.col("sequence").isNotNull()).select("block", "sequence")
 
     def lost(sequences: pd.DataFrame, odd: pd.DataFrame) -> pd.DataFrame:
-        found = [s for s in (np.frombuffer(x, "<u4") for x in sequences["sequence"]) if np.isin(s, odd["odd"]).any()]
+        found = [s for s in map(unpacked, sequences["sequence"]) if np.isin(s, odd["odd"]).any()]
         local, n = np.unique(np.concatenate(found), return_counts=True) if found and len(odd) else (np.empty(0, np.int32), np.empty(0, np.int64))
         return pd.DataFrame({"block": [sequences["block"].iloc[0] if len(sequences) else 0] * len(local), "local": local.astype(np.int32), "lost": n})
 
@@ -218,15 +230,40 @@ def without_unmatched(segments: DataFrame, words: DataFrame, rows: DataFrame) ->
     return segments.join(lost, "segment", "left").withColumn("times", F.col("times") - F.coalesce("lost", F.lit(0))).drop("lost")
 
 
-def link_scores(segments: DataFrame) -> DataFrame:
-    """``(number, n_best, count_sum)`` of each segment: its links' counts over the corpus,
-    and how many of them are the highest of their second id."""
-    links = segments.where("ok").select("number", "times", F.explode("links").alias("link"))
+def pair_counts(segments: DataFrame) -> DataFrame:
+    """``(link, count, best)``: how many links of the corpus are between two ids, and
+    whether no other first id has more with the second."""
+    links = segments.where("ok").select("times", F.explode("links").alias("link"))
     counts = common.cut(links.groupBy("link").agg(F.sum("times").alias("count")).withColumn("b", F.expr("link & 4294967295")))
     top = counts.groupBy("b").agg(F.max("count").alias("top"))
-    pairs = counts.count()
-    counts = counts.join(top, "b").select("link", "count", (F.col("count") == F.col("top")).cast("long").alias("best"))
-    return links.join(common.small(counts, pairs, SENT_PAIRS), "link").groupBy("number").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    return counts.join(top, "b").select("link", "count", (F.col("count") == F.col("top")).cast("long").alias("best"))
+
+
+SCORED = ("segment", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups")
+
+
+def scored(segments: DataFrame, sent_pairs: int) -> DataFrame:
+    """``segments`` with ``n_best`` and ``count_sum`` of their links. The counts are sent to
+    all tasks if they are at most ``sent_pairs``; more are joined link by link."""
+    counts = common.cut(pair_counts(segments))
+    plain = segments.select("number", "segment", "n_a", "n_b", "n_groups", F.when(F.col("ok"), F.col("groups")).alias("groups"), "links")
+    if counts.count() > sent_pairs:
+        sums = plain.select("number", F.explode("links").alias("link")).join(counts, "link").groupBy("number").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        return plain.join(sums, "number", "left").select("segment", "n_a", "n_b", "n_groups", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")), "groups")
+    found = counts.orderBy("link").toArrow()
+    spread = segments.sparkSession.sparkContext.broadcast([found.column(c).to_numpy() for c in ("link", "count", "best")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        link, count, best = spread.value
+        for b in common.slices(batches):
+            own = b.column("links")
+            at = np.searchsorted(link, own.flatten().to_numpy())
+            to = np.append(0, np.cumsum(own.value_lengths().to_numpy()))
+            sums = (np.diff(np.append(0, np.cumsum(x[at]))[to]) for x in (best, count))
+            columns = [*map(b.column, SCORED[:4]), *map(pa.array, sums), b.column("groups")]
+            yield pa.RecordBatch.from_arrays(columns, list(SCORED))
+
+    return plain.drop("number").mapInArrow(run, "segment string, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups string")
 
 
 FOUND = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
@@ -268,7 +305,7 @@ def composed(rows: DataFrame, found: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in columns), pa.array(groups, pa.string())], ["doc_id", *COUNTED, "groups"])
 
         for doc_id, sequence in zip(own.column("doc_id").to_pylist(), own.column("sequence").to_pylist()):
-            places = np.frombuffer(sequence, "<u4")
+            places = unpacked(sequence)
             ok, n_a, n_b, n_groups, *scores = table[:, places].sum(axis=1).tolist()
             good = 0 < len(places) == ok
             ids.append(doc_id)
@@ -284,7 +321,7 @@ def composed(rows: DataFrame, found: DataFrame) -> DataFrame:
     return together.mapInArrow(run, OUT)
 
 
-def alignments(docs: DataFrame, paths: tuple[str, str] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def alignments(docs: DataFrame, paths: tuple[str, str] | None = None, block_chars: int = BLOCK_CHARS, sent_pairs: int = SENT_PAIRS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_a, n_b, n_groups, n_links, n_best,
     count_sum, groups``.
 
@@ -305,8 +342,7 @@ def alignments(docs: DataFrame, paths: tuple[str, str] | None = None, block_char
     segments = common.cut(aligned_segments(segments, paths).withColumn("number", F.monotonically_increasing_id()))
     if segments.where(~F.col("ok")).limit(1).count():
         segments = common.cut(without_unmatched(segments, words, rows))
-    found = segments.join(link_scores(segments), "number", "left")
-    found = found.select("segment", "n_a", "n_b", "n_groups", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")), F.when(F.col("ok"), F.col("groups")).alias("groups"))
+    found = scored(segments, sent_pairs)
     return composed(rows, words.drop("times").join(found, "segment").drop("segment"))
 
 

@@ -75,8 +75,8 @@ TEXTS = [
 def test_alignments_are_those_of_whole_texts(spark, both):
     rows = [(i, t, "n") for i, t in enumerate(TEXTS)]
     expected = {i: e for (i, _, _), e in zip(rows, brute_alignments(both, TEXTS))}
-    for chars in (1, 200, alignment.BLOCK_CHARS):  # a block a document, some, one a task
-        found = alignment.alignments(spark.createDataFrame(rows, DOCS).repartition(3), block_chars=chars).collect()
+    for chars, sent in ((1, 0), (200, 10**6), (alignment.BLOCK_CHARS, 0)):  # a block a document, some, one a task
+        found = alignment.alignments(spark.createDataFrame(rows, DOCS).repartition(3), block_chars=chars, sent_pairs=sent).collect()
         assert {r[0]: tuple(r[1:]) for r in found} == expected
 
 
