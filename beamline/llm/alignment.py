@@ -8,9 +8,9 @@ are composed of their segments in order.
 
 The blocks are the dictionary encoding of the corpus: a block is a lot of documents,
 each the sequence of its segments' numbers in the block, and one row for each distinct
-segment of the block. So what is shuffled by segment is one row a block and segment,
-not one row an occurrence, and a frequent segment has no more rows than there are
-blocks.
+segment of the block. So what is shuffled, by segment and back by block, is one row a
+block and segment, not one row an occurrence, and a frequent segment has no more rows
+than there are blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -104,14 +105,13 @@ class Aligner:
 
     def align(self, segments: list[str]) -> dict[str, list]:
         """Alignment of each segment: ``ok`` (both sides' bytes are the segment's),
-        ``n_a, n_b, n_groups``, ``groups`` as text and ``links``, one number
-        ``a << 32 | b`` for each pair of tokens that overlap."""
+        ``n_a``, ``groups`` as text and ``links``, one number ``a << 32 | b`` for each
+        pair of tokens that overlap."""
         a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
         b = self.b_ids(segments)
         data = [s.encode() for s in segments]
         ok = [b"".join(map(self.a_bytes.__getitem__, x)) == d == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, d in zip(a, b, data)]
         a, b = ([ids if good else [] for ids, good in zip(own, ok)] for own in (a, b))
-        n_a, n_b = (np.fromiter(map(len, own), np.int64, len(own)) for own in (a, b))
         ia, ib = (np.array([k for ids in own for k in ids], np.int64) for own in (a, b))
         ea, eb = np.cumsum(self.a_width[ia]), np.cumsum(self.b_width[ib])
         ends = np.cumsum([len(d) if good else 0 for d, good in zip(data, ok)])
@@ -123,13 +123,10 @@ class Aligner:
         for k, m in zip(a_to, b_to):
             text.append(f"{','.join(sa[i:k])}|{','.join(sb[j:m])}")
             i, j = k, m
-        of = np.append(0, np.searchsorted(ties, ends, "right"))
-        cuts = of.tolist()
+        cuts = np.append(0, np.searchsorted(ties, ends, "right")).tolist()
         return {
             "ok": ok,
-            "n_a": n_a.tolist(),
-            "n_b": n_b.tolist(),
-            "n_groups": np.diff(of).tolist(),
+            "n_a": list(map(len, a)),
             "groups": [";".join(text[i:k]) for i, k in zip(cuts, cuts[1:])],
             "links": [links[i:k] for i, k in zip(at, at[1:])],
         }
@@ -199,75 +196,95 @@ def _batch(columns: dict, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _BLOCKS], schema=_BLOCKS)
 
 
-def aligned_segments(segments: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """``segments(segment, times)``, all distinct, with their alignment."""
+SEGMENTS = "times long, ok boolean, n_a long, groups string, links array<long>, blocks array<long>, locals array<int>"
 
+
+def aligned_segments(words: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    """Each distinct segment of ``words(block, local, segment, times)`` with its alignment
+    and the blocks that it is in. The rows of a segment come together in order and are
+    read batch by batch; a segment whose rows go over a batch has a row for each, and each
+    row has the occurrences of its own blocks."""
     types = {"ok": pa.bool_(), "groups": pa.string(), "links": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(paths)
-        for b in common.slices(batches):
-            found = own.align(b.column("segment").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, types.get(k, pa.int64())) for k, v in found.items())], [*b.schema.names, *found])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            told = pc.run_end_encode(b.column("segment"))
+            ends = told.run_ends.to_numpy()
+            offsets = pa.array(np.append(0, ends), pa.int32())
+            found = own.align(told.values.to_pylist())
+            times = np.diff(np.append(0, np.cumsum(b.column("times").to_numpy())[ends - 1]))
+            columns = [pa.array(times), *(pa.array(found[k], types.get(k, pa.int64())) for k in ("ok", "n_a", "groups", "links"))]
+            columns += [pa.ListArray.from_arrays(offsets, b.column(c)) for c in ("block", "local")]
+            yield pa.RecordBatch.from_arrays(columns, ["times", "ok", "n_a", "groups", "links", "blocks", "locals"])
+
+    return words.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, SEGMENTS)
+
 
-    return segments.mapInArrow(run, "segment string, times long, ok boolean, n_a long, n_b long, n_groups long, groups string, links array<long>")
+def members(segments: DataFrame, *columns) -> DataFrame:
+    """A row for each block of each segment: ``block, local`` and ``columns``."""
+    return segments.select(*columns, F.inline(F.arrays_zip("blocks", "locals"))).withColumnsRenamed({"blocks": "block", "locals": "local"})
 
 
-def without_unmatched(segments: DataFrame, words: DataFrame, rows: DataFrame) -> DataFrame:
-    """``segments`` with ``times`` that leave out the documents that hold a segment which
-    the two sides do not match; only the blocks that have such a segment are read again."""
-    odd = common.cut(words.join(segments.where(~F.col("ok")).select("segment"), "segment").select("block", F.col("local").alias("odd")))
-    inside = rows.where(F.col("sequence").isNotNull()).select("block", "sequence")
+def unmatched(segments: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(block, local, lost)``: occurrences of segments in documents that hold a segment
+    which the two sides do not match; only blocks that have such a segment are read."""
+    odd = common.cut(members(segments.where(~F.col("ok"))).withColumnRenamed("local", "odd"))
+    inside = rows.where(F.col("sequence").isNotNull()).select("block", "sequence").join(odd.select("block").distinct(), "block", "left_semi")
 
-    def lost(sequences: pd.DataFrame, odd: pd.DataFrame) -> pd.DataFrame:
+    def count(sequences: pd.DataFrame, odd: pd.DataFrame) -> pd.DataFrame:
         found = [s for s in map(unpacked, sequences["sequence"]) if np.isin(s, odd["odd"]).any()]
-        local, n = np.unique(np.concatenate(found), return_counts=True) if found and len(odd) else (np.empty(0, np.int32), np.empty(0, np.int64))
+        local, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int32), np.empty(0, np.int64))
         return pd.DataFrame({"block": [sequences["block"].iloc[0] if len(sequences) else 0] * len(local), "local": local.astype(np.int32), "lost": n})
 
-    inside = inside.join(odd.select("block").distinct(), "block", "left_semi")
-    lost = inside.groupBy("block").cogroup(odd.groupBy("block")).applyInPandas(lost, "block long, local int, lost long")
-    lost = words.join(lost, ["block", "local"]).groupBy("segment").agg(F.sum("lost").alias("lost"))
-    return segments.join(lost, "segment", "left").withColumn("times", F.col("times") - F.coalesce("lost", F.lit(0))).drop("lost")
+    return inside.groupBy("block").cogroup(odd.groupBy("block")).applyInPandas(count, "block long, local int, lost long")
 
 
-def pair_counts(segments: DataFrame) -> DataFrame:
+def pair_counts(segments: DataFrame, rows: DataFrame) -> DataFrame:
     """``(link, count, best)``: how many links of the corpus are between two ids, and
     whether no other first id has more with the second."""
-    links = segments.where("ok").select("times", F.explode("links").alias("link"))
-    counts = common.cut(links.groupBy("link").agg(F.sum("times").alias("count")).withColumn("b", F.expr("link & 4294967295")))
+    fine = segments.where("ok")
+    links = fine.select("times", F.explode("links").alias("link"))
+    if segments.where(~F.col("ok")).limit(1).count():
+        lost = members(fine, "links").join(unmatched(segments, rows), ["block", "local"])
+        links = links.union(lost.select(-F.col("lost"), F.explode("links")))
+    counts = links.groupBy("link").agg(F.sum("times").alias("count")).withColumn("b", F.expr("link & 4294967295"))
+    counts = common.cut(counts)
     top = counts.groupBy("b").agg(F.max("count").alias("top"))
     return counts.join(top, "b").select("link", "count", (F.col("count") == F.col("top")).cast("long").alias("best"))
 
 
-SCORED = ("segment", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups")
-
-
-def scored(segments: DataFrame, sent_pairs: int) -> DataFrame:
-    """``segments`` with ``n_best`` and ``count_sum`` of their links. The counts are sent to
-    all tasks if they are at most ``sent_pairs``; more are joined link by link."""
-    counts = common.cut(pair_counts(segments))
-    plain = segments.select("number", "segment", "n_a", "n_b", "n_groups", F.when(F.col("ok"), F.col("groups")).alias("groups"), "links")
+def scored(segments: DataFrame, counts: DataFrame, sent_pairs: int) -> DataFrame:
+    """A row for each block of each segment, with ``n_best`` and ``count_sum`` of its
+    links. The counts are sent to all tasks if they are at most ``sent_pairs``; more are
+    joined link by link."""
+    counts = common.cut(counts)
     if counts.count() > sent_pairs:
-        sums = plain.select("number", F.explode("links").alias("link")).join(counts, "link").groupBy("number").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-        return plain.join(sums, "number", "left").select("segment", "n_a", "n_b", "n_groups", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")), "groups")
-    found = counts.orderBy("link").toArrow()
-    spread = segments.sparkSession.sparkContext.broadcast([found.column(c).to_numpy() for c in ("link", "count", "best")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        link, count, best = spread.value
-        for b in common.slices(batches):
-            own = b.column("links")
-            at = np.searchsorted(link, own.flatten().to_numpy())
-            to = np.append(0, np.cumsum(own.value_lengths().to_numpy()))
-            sums = (np.diff(np.append(0, np.cumsum(x[at]))[to]) for x in (best, count))
-            columns = [*map(b.column, SCORED[:4]), *map(pa.array, sums), b.column("groups")]
-            yield pa.RecordBatch.from_arrays(columns, list(SCORED))
-
-    return plain.drop("number").mapInArrow(run, "segment string, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups string")
-
-
-FOUND = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
-COUNTED = (*FOUND[:3], "n_links", *FOUND[3:])
+        numbered = common.cut(segments.withColumn("number", F.monotonically_increasing_id()))
+        sums = numbered.select("number", F.explode("links").alias("link")).join(counts, "link").groupBy("number").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        found = numbered.join(sums, "number", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_best", "count_sum")})
+    else:
+        table = counts.orderBy("link").toArrow()
+        spread = segments.sparkSession.sparkContext.broadcast([table.column(c).to_numpy() for c in ("link", "count", "best")])
+        names = ["ok", "n_a", "groups", "blocks", "locals"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            link, count, best = spread.value
+            for b in common.slices(batches):
+                own = b.column("links")
+                at = np.searchsorted(link, own.flatten().to_numpy())
+                to = np.append(0, np.cumsum(own.value_lengths().to_numpy()))
+                sums = [np.diff(np.append(0, np.cumsum(x[at]))[to]) for x in (best, count)]
+                yield pa.RecordBatch.from_arrays([*map(b.column, names), *map(pa.array, sums)], [*names, "n_best", "count_sum"])
+
+        found = segments.select(*names, "links").mapInArrow(run, "ok boolean, n_a long, groups string, blocks array<long>, locals array<int>, n_best long, count_sum long")
+    return members(found, "n_a", "n_best", "count_sum", F.when(F.col("ok"), F.col("groups")).alias("groups"))
+
+
+FOUND = ("n_a", "n_best", "count_sum")
+COUNTED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
@@ -289,12 +306,14 @@ def composed(rows: DataFrame, found: DataFrame) -> DataFrame:
                 if block[i] != current:
                     current, columns, texts, table = block[i], [], [], None
                 if not is_doc[i]:
-                    ok = own.column("groups").is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
-                    columns.append(np.stack([ok, *(own.column(c).to_numpy() for c in FOUND)]))
-                    texts += own.column("groups").to_pylist()
+                    found = own.column("groups")
+                    texts += found.to_pylist()
+                    found = found.fill_null("")
+                    groups, commas = (pc.count_substring(found, x).to_numpy() for x in "|,")
+                    columns.append(np.stack([groups, commas, *(own.column(c).to_numpy() for c in FOUND)]).astype(np.int64))
                     continue
                 if table is None:
-                    table = np.concatenate(columns, axis=1) if columns else np.empty((1 + len(FOUND), 0), np.int64)
+                    table = np.concatenate(columns, axis=1) if columns else np.empty((2 + len(FOUND), 0), np.int64)
                 yield from documents(own, table, texts)
 
     def documents(own: pa.RecordBatch, table: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
@@ -306,11 +325,11 @@ def composed(rows: DataFrame, found: DataFrame) -> DataFrame:
 
         for doc_id, sequence in zip(own.column("doc_id").to_pylist(), own.column("sequence").to_pylist()):
             places = unpacked(sequence)
-            ok, n_a, n_b, n_groups, *scores = table[:, places].sum(axis=1).tolist()
-            good = 0 < len(places) == ok
+            n_groups, commas, n_a, *scores = table[:, places].sum(axis=1).tolist()
+            good = len(places) > 0 and bool(table[0, places].all())  # matched segments have a group
             ids.append(doc_id)
             # two ways to cut the same bytes overlap once between any two cuts of either
-            sums.append([n_a, n_b, n_groups, n_a + n_b - n_groups, *scores] if good else [0] * len(COUNTED))
+            sums.append([n_a, commas + 2 * n_groups - n_a, n_groups, commas + n_groups, *scores] if good else [0] * len(COUNTED))
             groups.append(";".join(map(texts.__getitem__, places.tolist())) if good else None)
             held += len(groups[-1] or "")
             if held >= OUT_CHARS:
@@ -338,12 +357,8 @@ def alignments(docs: DataFrame, paths: tuple[str, str] | None = None, block_char
     paths = tuple(paths or vocabularies())
     rows = common.cut(blocks(docs, paths, block_chars))
     words = rows.where(F.col("local").isNotNull()).select("block", "local", "segment", "times")
-    segments = words.groupBy("segment").agg(F.sum("times").alias("times"))
-    segments = common.cut(aligned_segments(segments, paths).withColumn("number", F.monotonically_increasing_id()))
-    if segments.where(~F.col("ok")).limit(1).count():
-        segments = common.cut(without_unmatched(segments, words, rows))
-    found = scored(segments, sent_pairs)
-    return composed(rows, words.drop("times").join(found, "segment").drop("segment"))
+    segments = common.cut(aligned_segments(words, paths))
+    return composed(rows, scored(segments, pair_counts(segments, rows), sent_pairs))
 
 
 def op11_alignment(spark, sf_dir: str) -> DataFrame:
