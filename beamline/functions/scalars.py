@@ -168,12 +168,35 @@ def transcode_settings(width, height, fps, bps) -> Column:
     return F.struct(F.round(_c(fps) * 2).cast("int").alias("gop"), F.when(density < 0.065, "slow").when(density < 0.13, "medium").otherwise("fast").alias("preset"), (density < 0.13).alias("adaptive"))
 
 
-def abr_ladder(rates, floor: int = 250_000, most: int = 3) -> Column:
-    """Up to ``most`` rates in falling order, each at most four fifths of the one
-    before and none below ``floor``."""
-    empty = F.array().cast("array<long>")
-    ok = lambda acc, r: (r >= floor) & (F.size(acc) < most) & F.coalesce(r * 5 <= F.try_element_at(acc, F.lit(-1)) * 4, F.lit(True))
-    return F.aggregate(F.sort_array(_c(rates), asc=False), empty, lambda acc, r: F.when(ok(acc, r), F.concat(acc, F.array(r.cast("long")))).otherwise(acc))
+#: Renditions with their size and highest rate; how many a ladder has, the
+#: least rate, the least step, and the least rate of a picture that gets one.
+RENDITIONS = (("1080p", 1920, 1080, 6_500_000), ("720p", 1280, 720, 3_500_000), ("480p", 854, 480, 1_800_000), ("360p", 640, 360, 950_000))
+MOST_RENDITIONS, LEAST_RATE, LEAST_STEP, LEAST_SOURCE = 3, 250_000, 50_000, 350_000
+
+
+def abr_ladder(width, height, bps) -> Column:
+    """The renditions below a picture of ``width`` by ``height`` at ``bps``: an array
+    of ``name, width, height, rate``.
+
+    Sides are rounded to multiples of eight; both have to be smaller than the picture's.
+    A rate is the picture's by the share of pixels and a third more (1.35), at most the
+    rendition's own and four fifths of the one above, at least ``LEAST_RATE``; one that
+    is not ``LEAST_STEP`` below the one above is left out."""
+    w, h, rate = (_c(x).cast("long") for x in (width, height, bps))
+    eight = lambda x: max(8, (x + 4) // 8 * 8)
+    given = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(eight(x)).alias("width"), F.lit(eight(y)).alias("height"), F.lit(most).cast("long").alias("most")) for n, x, y, most in RENDITIONS))
+    start = F.struct(F.array().cast("array<struct<name:string,width:int,height:int,rate:bigint>>").alias("ladder"), rate.alias("above"))
+
+    def step(acc: Column, r: Column) -> Column:
+        pixels = r["width"].cast("long") * r["height"]
+        scaled = F.floor((rate * pixels * 135).cast("decimal(38,0)") / (w * h * 100).cast("decimal(38,0)")).cast("long")
+        scaled = F.greatest(F.lit(LEAST_RATE).cast("long"), F.least(scaled, r["most"], F.floor(acc["above"] * 80 / 100).cast("long")))
+        fits = (F.size(acc["ladder"]) < MOST_RENDITIONS) & (acc["above"] > LEAST_RATE + LEAST_STEP) & (r["width"] < w) & (r["height"] < h) & (scaled + LEAST_STEP < acc["above"])
+        more = F.struct(r["name"].alias("name"), r["width"].alias("width"), r["height"].alias("height"), scaled.alias("rate"))
+        return F.struct(F.when(fits, F.concat(acc["ladder"], F.array(more))).otherwise(acc["ladder"]).alias("ladder"), F.when(fits, scaled).otherwise(acc["above"]).alias("above"))
+
+    found = F.aggregate(given, start, step, lambda acc: acc["ladder"])
+    return F.when((w > 0) & (h > 0) & (rate >= LEAST_SOURCE), found).otherwise(start["ladder"])
 
 
 def spacing_ns(n_bytes, peak_bps) -> Column:

@@ -1,9 +1,10 @@
 """Packet continuity: per-pid status, stage counters, integrity counters, A/V tracks.
 
 All work on packet headers ``(stream_id, pid, seq, arrival_ms, cc, afc, has_payload,
-discontinuity, tei, scrambling, pusi, payload_hash, pts, pcr27)``. One window per
-key orders the packets of a pid; a pid's packets are the unit that must be seen in
-order, so they are the partition, and the counters aggregate map-side after it.
+discontinuity, tei, scrambling, pusi, payload_hash, pts, pcr27)``, and ``valid`` where
+it is known. What came before a packet of its pid is told by a scan over ranges of the
+stream (see ``scans``), so a stream of any length is many tasks, and the counters
+aggregate map-side after it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.packets import payloads
+from .scans import PACKETS, Last, Scan, lag
 
 NULL_PID = 8191
 #: Ticks of the 33-bit 90 kHz clock and of the 27 MHz clock built on it.
@@ -45,73 +47,77 @@ def admitted(packets: DataFrame, pids: DataFrame) -> DataFrame:
     return packets.join(pids.select("stream_id", "pid").distinct(), ["stream_id", "pid"], "left_semi")
 
 
-def status(packets: DataFrame) -> DataFrame:
-    """``status`` of each packet that is neither null nor in error.
+def by_pid(packets: DataFrame, span: int) -> Scan:
+    return Scan(packets, ["stream_id", "pid"], ["seq"], span)
+
+
+def sound(packets: DataFrame) -> Column:
+    """Packets with a header that can be read: ``valid`` where it is known."""
+    return F.col("valid") if "valid" in packets.columns else F.col("afc") != 0
+
+
+def status(packets: DataFrame, span: int = PACKETS) -> DataFrame:
+    """``status`` of each packet that is valid and neither null nor in error.
 
     A discontinuity flag starts afresh. A payload packet continues the count by one,
     or repeats it once (Duplicate); an adaptation-only packet keeps it."""
-    before, paid = F.lag("cc").over(key()), F.lag("has_payload").over(key())
-    return usable(packets).where("afc <> 0").withColumn(
+    rows = by_pid(usable(packets).where(sound(packets)), span).add(_b=lag("cc", "has_payload")).done()
+    before, paid = F.col("_b.cc"), F.col("_b.has_payload")
+    return rows.withColumn(
         "status",
         F.when(F.col("discontinuity"), "Discontinuity")
-        .when(before.isNull(), "InOrder")
+        .when(F.col("_b").isNull(), "InOrder")
         .when(F.col("has_payload") & paid & (F.col("cc") == before), "Duplicate")
         .when(F.col("has_payload") & (F.col("cc") != (before + 1) % 16), "Gap")
         .when(~F.col("has_payload") & (F.col("cc") != before), "Gap")
         .otherwise("InOrder"),
-    )
+    ).drop("_b")
 
 
-def status_counts(packets: DataFrame) -> DataFrame:
+def status_counts(packets: DataFrame, span: int = PACKETS) -> DataFrame:
     """A1: packets by pid and status."""
-    return status(packets).groupBy("stream_id", "pid", "status").agg(F.count("*").alias("n"))
+    return status(packets, span).groupBy("stream_id", "pid", "status").agg(F.count("*").alias("n"))
 
 
-def stream_errors(packets: DataFrame) -> DataFrame:
+def stream_errors(packets: DataFrame, span: int = PACKETS) -> DataFrame:
     """A1: a stream's errors are its gaps and duplicates, and its transport and header
-    errors. One window over all packets; those in error are no one's predecessor."""
-    rows = packets.where(F.col("pid") != NULL_PID)
-    counted = ~F.col("tei") & (F.col("afc") != 0)
-    last = lambda c: F.last(F.when(counted, F.col(c)), ignorenulls=True).over(key().rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumns({"_b": last("cc"), "_p": last("has_payload")})
-    paid, known = F.col("has_payload"), counted & ~F.col("discontinuity") & F.col("_b").isNotNull()
-    twin = paid & F.col("_p") & (F.col("cc") == F.col("_b"))
-    gap = F.when(paid, F.col("cc") != (F.col("_b") + 1) % 16).otherwise(F.col("cc") != F.col("_b"))
-    out = rows.groupBy("stream_id").agg(count(F.col("tei")).alias("transport"), count(~F.col("tei") & (F.col("afc") == 0)).alias("invalid"), count(known & (twin | gap)).alias("continuity"))
+    errors. A header is looked at first, then the error flag, whatever the pid, and then
+    the pid; a packet that ends there is no one's predecessor."""
+    good = sound(packets)
+    counted = good & ~F.col("tei") & (F.col("pid") != NULL_PID)
+    rows = by_pid(packets.withColumn("_counted", counted), span).add(_b=Last(F.when(F.col("_counted"), F.struct("cc", "has_payload")))).done()
+    paid, known = F.col("has_payload"), F.col("_counted") & ~F.col("discontinuity") & F.col("_b").isNotNull()
+    twin = paid & F.col("_b.has_payload") & (F.col("cc") == F.col("_b.cc"))
+    gap = F.when(paid, F.col("cc") != (F.col("_b.cc") + 1) % 16).otherwise(F.col("cc") != F.col("_b.cc"))
+    out = rows.groupBy("stream_id").agg(count(good & F.col("tei")).alias("transport"), count(~good).alias("invalid"), count(known & (twin | gap)).alias("continuity"))
     return out.withColumn("errors", F.col("continuity") + F.col("transport") + F.col("invalid"))
 
 
-def _stage_rows(rows: DataFrame) -> DataFrame:
-    """``epoch, cc_error, exact_duplicate`` of each packet; those in error stand aside."""
-    fine = ~F.col("tei")
-    own = W.partitionBy("stream_id", "pid", "epoch").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    resets = F.sum((fine & (F.col("discontinuity") | (F.col("afc") == 0))).cast("long")).over(key().rowsBetween(W.unboundedPreceding, 0))
-    last = F.last(F.when(fine & F.col("has_payload"), F.struct("cc", "payload_hash")), ignorenulls=True).over(own)
-    rows = rows.withColumn("epoch", resets).withColumn("last", last)
-    known, fresh = fine & F.col("last").isNotNull() & (F.col("afc") != 0), F.col("discontinuity")
-    same = F.col("cc") == F.col("last.cc")
-    twin = known & ~fresh & F.col("has_payload") & same & (F.col("payload_hash") == F.col("last.payload_hash"))
-    follows = F.when(F.col("has_payload"), F.col("cc") == (F.col("last.cc") + 1) % 16).otherwise(same)
-    return rows.withColumn("exact_duplicate", F.coalesce(twin, F.lit(False))).withColumn("cc_error", F.coalesce(known & ~fresh & ~twin & ~follows, F.lit(False))).drop("last")
-
-
-def stage_events(packets: DataFrame) -> DataFrame:
-    """``cc_error`` and ``exact_duplicate`` of each packet that is not in error.
+def stage_events(packets: DataFrame, span: int = PACKETS) -> DataFrame:
+    """``cc_error`` and ``exact_duplicate`` of each packet but null packets; a packet
+    with the error flag takes part like any other.
 
     Only payload advances the count. A discontinuity, or a packet without either
-    field, opens an epoch; the last payload packet of the epoch is what follows are
-    compared with. The same count and the same bytes are an exact duplicate."""
-    return _stage_rows(usable(packets))
-
-
-def stage_counters(packets: DataFrame) -> DataFrame:
+    field, forgets it; the last payload packet since is what follow are compared with.
+    The same count and the same bytes are an exact duplicate."""
+    forgets = F.col("discontinuity") | (F.col("afc") == 0)
+    nothing = F.struct(F.lit(None).cast("int").alias("cc"), F.lit(None).cast(packets.schema["payload_hash"].dataType).alias("payload_hash"))
+    left = F.when(F.col("has_payload"), F.struct(F.col("cc").cast("int").alias("cc"), "payload_hash")).when(forgets, nothing)
+    rows = by_pid(packets.where(F.col("pid") != NULL_PID), span).add(_b=Last(left)).done()
+    known = ~forgets & F.col("_b.cc").isNotNull()
+    same = F.col("cc") == F.col("_b.cc")
+    twin = known & F.col("has_payload") & same & (F.col("payload_hash") == F.col("_b.payload_hash"))
+    follows = F.when(F.col("has_payload"), F.col("cc") == (F.col("_b.cc") + 1) % 16).otherwise(same)
+    return rows.withColumn("exact_duplicate", F.coalesce(twin, F.lit(False))).withColumn("cc_error", F.coalesce(known & ~F.col("exact_duplicate") & ~follows, F.lit(False))).drop("_b")
+
+
+def stage_counters(packets: DataFrame, span: int = PACKETS) -> DataFrame:
     """A2: counters of a stage by stream and pid, in one pass."""
-    fine = ~F.col("tei")
-    return _stage_rows(packets.where(F.col("pid") != NULL_PID)).groupBy("stream_id", "pid").agg(
-        count(fine).alias("packets"), count(F.col("cc_error")).alias("cc_errors"), count(F.col("exact_duplicate")).alias("exact_duplicates"),
-        count(fine & (F.col("afc") == 2)).alias("adaptation_only"), count(fine & F.col("discontinuity")).alias("discontinuities"), count(fine & (F.col("afc") == 0)).alias("bad_afc"),
+    return stage_events(packets, span).groupBy("stream_id", "pid").agg(
+        F.count("*").alias("packets"), count(F.col("cc_error")).alias("cc_errors"), count(F.col("exact_duplicate")).alias("exact_duplicates"),
+        count(F.col("afc") == 2).alias("adaptation_only"), count(F.col("discontinuity") & (F.col("afc") != 0)).alias("discontinuities"), count(F.col("afc") == 0).alias("bad_afc"),
         count(F.col("cc_error") & (F.col("afc") == 2)).alias("adaptation_only_cc_errors"), count(F.col("tei")).alias("tei"),
-    ).where("packets > 0")
+    )
 
 
 def alignment(packets: DataFrame, size: int = 188) -> DataFrame:
@@ -127,41 +133,35 @@ def top_pids(counters: DataFrame, by: str = "cc_errors", n: int = 8) -> DataFram
     return counters.where(F.col(by) > 0).withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def integrity_counters(packets: DataFrame) -> DataFrame:
+def integrity_counters(packets: DataFrame, span: int = PACKETS) -> DataFrame:
     """Continuity, clock and scrambling counters by stream and pid.
 
     A transport error, a packet without either field and a discontinuity forget the
     count (the first and the last then start from the packet's own); a discontinuity
     forgets the clock, too. Parity is compared with the last scrambled packet."""
-    upto, earlier = (W.unboundedPreceding, 0), (W.unboundedPreceding, -1)
-    rows = packets.where(F.col("pid") != NULL_PID).withColumn("good", F.col("afc") != 0).withColumn("reset", F.col("discontinuity") & F.col("good"))
-    rows = rows.withColumns({
-        "cc_epoch": F.sum((F.col("tei") | ~F.col("good") | F.col("reset")).cast("long")).over(key().rowsBetween(*upto)),
-        "pcr_epoch": F.sum(F.col("reset").cast("long")).over(key().rowsBetween(*upto)),
-        "last_parity": F.last(F.when(F.col("good") & (F.col("scrambling") >= 2), F.col("scrambling")), ignorenulls=True).over(key().rowsBetween(*earlier)),
-    })
-    within = lambda epoch: W.partitionBy("stream_id", "pid", epoch).orderBy("seq").rowsBetween(*earlier)
-    rows = rows.withColumns({
-        "last_cc": F.last(F.when(F.col("has_payload"), F.col("cc")), ignorenulls=True).over(within("cc_epoch")),
-        "last_pcr": F.last(F.when(F.col("good"), F.col("pcr27")), ignorenulls=True).over(within("pcr_epoch")),
-    })
-    step = modular_delta(F.col("pcr27"), F.col("last_pcr"), PCR_WRAP)
-    paid, good = F.col("has_payload"), F.col("good")
-    repeat = F.col("cc") == F.col("last_cc")
+    good, none = F.col("afc") != 0, F.lit(None)
+    reset = F.col("discontinuity") & good
+    forgets = F.col("tei") | ~good | reset
+    count_left = F.when(F.col("has_payload"), F.struct(F.col("cc").cast("int").alias("v"))).when(forgets, F.struct(none.cast("int").alias("v")))
+    clock_left = F.when(good & F.col("pcr27").isNotNull(), F.struct(F.col("pcr27").alias("v"))).when(reset, F.struct(none.cast("long").alias("v")))
+    rows = by_pid(packets.where(F.col("pid") != NULL_PID), span).add(
+        _cc=Last(count_left), _pcr=Last(clock_left), _parity=Last(F.when(good & (F.col("scrambling") >= 2), F.col("scrambling")))).done()
+    last_cc, last_pcr = F.when(~forgets, F.col("_cc.v")), F.when(~reset, F.col("_pcr.v"))
+    step = modular_delta(F.col("pcr27"), last_pcr, PCR_WRAP)
+    paid, repeat = F.col("has_payload"), F.col("cc") == last_cc
     return rows.groupBy("stream_id", "pid").agg(
-        F.count("*").alias("packets"), count(F.col("tei")).alias("tei"), count(~good).alias("bad_afc"), count(F.col("reset")).alias("discontinuities"),
-        count(paid & repeat).alias("cc_repeats"), count(paid & ~repeat & (F.col("cc") != (F.col("last_cc") + 1) % 16)).alias("cc_gaps"),
+        F.count("*").alias("packets"), count(F.col("tei")).alias("tei"), count(~good).alias("bad_afc"), count(reset).alias("discontinuities"),
+        count(paid & repeat).alias("cc_repeats"), count(paid & ~repeat & (F.col("cc") != (last_cc + 1) % 16)).alias("cc_gaps"),
         count(good & (step < 0)).alias("pcr_backwards"), count(good & (step > PCR_JUMP)).alias("pcr_jumps"),
         count(good & (F.col("scrambling") >= 2)).alias("scrambled"),
-        count(good & (F.col("scrambling") >= 2) & (F.col("scrambling") != F.col("last_parity"))).alias("parity_changes"),
+        count(good & (F.col("scrambling") >= 2) & (F.col("scrambling") != F.col("_parity"))).alias("parity_changes"),
     )
 
 
-def pts_gaps(packets: DataFrame) -> DataFrame:
+def pts_gaps(packets: DataFrame, span: int = PACKETS) -> DataFrame:
     """``gap_ms`` to the timestamp before, ``backward`` where it ran back."""
-    rows = usable(packets).where("pts is not null")
-    forward = F.pmod(F.col("pts") - F.lag("pts").over(key()), F.lit(PTS_WRAP))
-    rows = rows.withColumn("forward", forward)
+    rows = by_pid(usable(packets).where("pts is not null"), span).add(_b=Last(F.col("pts"))).done()
+    rows = rows.withColumn("forward", F.pmod(F.col("pts") - F.col("_b"), F.lit(PTS_WRAP))).drop("_b")
     return rows.withColumn("backward", F.col("forward") > PTS_WRAP // 2).withColumn("gap_ms", F.when(~F.col("backward"), F.expr("forward * 1000 div 90000")))
 
 
@@ -183,14 +183,13 @@ def pes_fault(kind: Column, column: str = "pkt") -> Column:
     )
 
 
-def track_counters(packets: DataFrame) -> DataFrame:
+def track_counters(packets: DataFrame, span: int = PACKETS) -> DataFrame:
     """Counters of each track: scrambling, timestamps and arrival, in one pass;
     with a column ``pes_fault`` (see ``pes_fault``) also sound and bad PES starts by
     reason."""
     rows = packets.where(F.col("pid") != NULL_PID)
     fine, counted = ~F.col("tei"), ~F.col("tei") & (F.col("afc") != 0)
-    last = lambda c, ok: F.last(F.when(ok, F.col(c)), ignorenulls=True).over(key().rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumns({"_t": last("pts", fine), "_w": last("arrival_ms", counted)})
+    rows = by_pid(rows, span).add(_t=Last(F.when(fine, F.col("pts"))), _w=Last(F.when(counted, F.col("arrival_ms")))).done()
     rows = rows.withColumn("_f", F.when(fine, F.pmod(F.col("pts") - F.col("_t"), F.lit(PTS_WRAP))))
     rows = rows.withColumns({"_back": F.col("_f") > PTS_WRAP // 2, "_gap": F.when(F.col("_f") <= PTS_WRAP // 2, F.expr("_f * 1000 div 90000")), "_wall": F.when(counted, F.col("arrival_ms") - F.col("_w"))})
     clear_start = counted & F.col("pusi") & F.col("has_payload") & (F.col("scrambling") == 0)
@@ -205,10 +204,10 @@ def track_counters(packets: DataFrame) -> DataFrame:
     ).where("packets > 0")
 
 
-def fixed_reports(packets: DataFrame, seconds: int = 3600) -> DataFrame:
+def fixed_reports(packets: DataFrame, seconds: int = 3600, span: int = PACKETS) -> DataFrame:
     """Packets and errors of each stream in fixed intervals since 1970."""
     slot = F.expr(f"arrival_ms div {seconds * 1000} * {seconds}")
-    return status(packets).groupBy("stream_id", slot.alias("slot_s")).agg(F.count("*").alias("packets"), count(F.col("status") == "Gap").alias("gaps"))
+    return status(packets, span).groupBy("stream_id", slot.alias("slot_s")).agg(F.count("*").alias("packets"), count(F.col("status") == "Gap").alias("gaps"))
 
 
 def after_counters(packets: DataFrame) -> DataFrame:

@@ -136,10 +136,20 @@ def reset_cause(row, back: int, ticks: int) -> str | None:
     return BACKWARD if back > 0 else FORWARD
 
 
+def reference(readings: DataFrame) -> DataFrame:
+    """Readings of each stream's first clock pid, where pids are known: a stream of several
+    programs has several clocks, and the first that is seen is the one."""
+    if "pid" not in readings.columns:
+        return readings
+    first = readings.groupBy("stream_id").agg(F.min_by("pid", F.struct("idx", "pid")).alias("_pid"))
+    return readings.join(first, "stream_id").where("pid = _pid").drop("_pid")
+
+
 def clock_timeline(readings: DataFrame) -> DataFrame:
     """Anchors of the source clock, and its resets with their cause.
 
-    ``readings(stream_id, idx, pcr27, discontinuity, observed_ms)``; steps under a
+    ``readings(stream_id, idx, pcr27, discontinuity, observed_ms)``, with ``pid`` those of
+    the ``reference``; steps under a
     millisecond, forward or back, are no anchor; a flag, or more than two seconds,
     starts the timeline afresh."""
 
@@ -166,7 +176,7 @@ def clock_timeline(readings: DataFrame) -> DataFrame:
         return []
 
     out = "kind string, idx long, ns long, epoch long, cause string, jump_ms long, wall_gap_ms long, packet_gap long"
-    return fold(readings.select("stream_id", "idx", "pcr27", "discontinuity", "observed_ms"), "stream_id", ["idx"], step, out)
+    return fold(reference(readings).select("stream_id", "idx", "pcr27", "discontinuity", "observed_ms"), "stream_id", ["idx"], step, out)
 
 
 def packet_schedule(readings: DataFrame) -> DataFrame:
@@ -191,12 +201,13 @@ def packet_schedule(readings: DataFrame) -> DataFrame:
         state |= {"idx": row.idx, "pcr": row.pcr27, "ticks": state["ticks"] + (packets * ticks // per if bridged else delta)}
         return [(row.idx, state["ticks"], bridged)]
 
-    return fold(readings.select("stream_id", "idx", "pcr27", "discontinuity"), "stream_id", ["idx"], step, "idx long, ticks long, bridged boolean")
+    return fold(reference(readings).select("stream_id", "idx", "pcr27", "discontinuity"), "stream_id", ["idx"], step, "idx long, ticks long, bridged boolean")
 
 
-def source_rate(readings: DataFrame, window_ticks: int = HZ, weight: int = 7, maximum: int = 1_000_000_000) -> DataFrame:
-    """Bit rate by source clock: intervals of 1 ms to 10 s fill a window; each
-    window's rate enters an average with ``weight`` parts of the old value."""
+def source_rate(readings: DataFrame, window_ticks: int = HZ // 2, weight: int = 7, maximum: int = 200_000_000) -> DataFrame:
+    """Bit rate by source clock: intervals of 1 ms to 10 s fill a window of half a
+    second; each window's rate, if it is not above ``maximum``, enters an average with
+    ``weight`` parts of the old value (3 where the source's timeline is the master)."""
 
     def step(state, row):
         fresh = "pcr" not in state or row.discontinuity
@@ -212,15 +223,16 @@ def source_rate(readings: DataFrame, window_ticks: int = HZ, weight: int = 7, ma
         state |= {"pcr": row.pcr27, "idx": row.idx}
         if state["ticks"] < window_ticks:
             return []
-        measured = max(1, state["packets"] * PACKET_BITS * HZ // state["ticks"])
+        bits, ticks = state["packets"] * PACKET_BITS * HZ, state["ticks"]
         state |= {"ticks": 0, "packets": 0}
-        if measured > maximum:
+        if bits > maximum * ticks:
             return []
+        measured = max(1, bits // ticks)
         old = state.get("rate")
         state["rate"] = measured if old is None else (old * weight + measured) // (weight + 1)
         return [(row.idx, measured, state["rate"])]
 
-    return fold(readings.select("stream_id", "idx", "pcr27", "discontinuity"), "stream_id", ["idx"], step, "idx long, measured_bps long, rate_bps long")
+    return fold(reference(readings).select("stream_id", "idx", "pcr27", "discontinuity"), "stream_id", ["idx"], step, "idx long, measured_bps long, rate_bps long")
 
 
 def arrival_rate(arrivals: DataFrame, window_ms: int = 1000) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import PACKETS, Scan, Total, lag
+
 from ..functions.scalars import epg_xml_time, m3u_attribute, m3u_line, xml_escape
 
 PAST_S, PER_CHANNEL, PER_SOURCE, CHANNELS = 6 * 3600, 512, 300_000, 15_000
@@ -113,11 +115,11 @@ def section_numbers(events: DataFrame, table_base: int = 0x50) -> DataFrame:
     return rows.withColumn("segment_last", F.least(F.col("last_section"), F.col("section").bitwiseOR(F.lit(7)))).drop("_i", "_n")
 
 
-def version(contents: DataFrame) -> DataFrame:
+def version(contents: DataFrame, span: int = PACKETS) -> DataFrame:
     """A version from 0 to 31 that goes up when the content changes."""
-    own = W.partitionBy("stream_id").orderBy("seq")
-    changed = F.coalesce(F.col("digest") != F.lag("digest").over(own), F.lit(False)).cast("long")
-    return contents.withColumn("_c", changed).withColumn("version", F.pmod(F.sum("_c").over(own.rowsBetween(W.unboundedPreceding, 0)), F.lit(32))).drop("_c")
+    rows = Scan(contents, ["stream_id"], ["seq"], span).add(_b=lag("digest"))
+    changed = F.coalesce(F.col("digest") != F.col("_b.digest"), F.lit(False)).cast("long")
+    return rows.add(_n=Total(changed)).done().withColumn("version", F.pmod("_n", F.lit(32))).drop("_b", "_n")
 
 
 def snapshot(events: DataFrame, channel: Column | int, now: int, days: int = 7) -> DataFrame:

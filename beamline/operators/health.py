@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import SECONDS, Last, Scan
+
 
 def _silence(column: str, own: W) -> Column:
     grew = F.coalesce(F.col(column) > F.lag(column).over(own), F.lit(True))
@@ -48,15 +50,22 @@ def delivery_fault(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("fault", fault)
 
 
-def held_state(samples: DataFrame, hold_s: int = 6) -> DataFrame:
-    """``shown`` stays ``clear`` for ``hold_s`` over waiting, invalid and scrambled
-    readings; inactive samples end an episode."""
-    own = W.partitionBy("stream_id").orderBy("ts", "sample_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = samples.withColumn("_episode", F.sum((~F.col("active")).cast("long")).over(own))
-    within = W.partitionBy("stream_id", "_episode").orderBy("ts", "sample_id").rowsBetween(W.unboundedPreceding, 0)
-    cleared = F.last(F.when(F.col("active") & (F.col("state") == "clear"), F.col("ts")), ignorenulls=True).over(within)
-    held = F.col("active") & F.col("state").isin("waiting", "invalid", "scrambled") & (F.col("ts") - cleared <= hold_s)
-    return rows.withColumn("shown", F.when(held, "clear").otherwise(F.col("state"))).drop("_episode")
+#: The readings that a clear state is held over.
+HELD_OVER = ("waiting", "invalid", "scrambled")
+
+
+def held_state(samples: DataFrame, hold_s: int = 6, span: int = SECONDS) -> DataFrame:
+    """``shown`` stays ``clear`` for less than ``hold_s`` after a clear reading, over
+    readings of ``HELD_OVER``. Any other reading is shown and ends that, and so does one
+    whose ``may_hold`` is false, where there is such a column; an inactive stream is
+    ``offline`` and remembers nothing. ``samples(stream_id, ts, sample_id, active, state)``."""
+    may = F.coalesce(F.col("may_hold"), F.lit(True)) if "may_hold" in samples.columns else F.lit(True)
+    over = F.col("active") & may & F.coalesce(F.col("state").isin(*HELD_OVER), F.lit(False))
+    cleared = F.col("active") & may & F.coalesce(F.col("state") == "clear", F.lit(False))
+    mark = F.when(cleared, F.struct(F.col("ts").alias("at"))).when(~over, F.struct(F.lit(None).cast(samples.schema["ts"].dataType).alias("at")))
+    rows = Scan(samples, ["stream_id"], ["ts", "sample_id"], span).add(_m=Last(mark)).done()
+    held = over & (F.col("ts") - F.col("_m.at") < hold_s)
+    return rows.withColumn("shown", F.when(~F.col("active"), "offline").when(held, "clear").otherwise(F.col("state"))).drop("_m")
 
 
 def playable_start(packets: DataFrame) -> DataFrame:
@@ -72,13 +81,31 @@ def idle(streams: DataFrame, now: Column) -> DataFrame:
     return streams.where(F.col("on_demand") & (F.col("viewers") == 0) & limit & (quiet >= 30))
 
 
+#: States whose PES packets count, seconds for which PES and output count as
+#: recent, and the state that a viewer confirms.
+PES_STATES, PES_GRACE_S, OUTPUT_GRACE_S, CONFIRMED = ("unverified", "partial", "viewer_pes_ok"), 15, 6, "viewer_pes_ok"
+
+
 def viewer_gate(snapshots: DataFrame) -> DataFrame:
-    """``confirmed`` once a viewer and PES evidence are within 15 s of each other
-    and of a healthy output at most 6 s old; it lasts while both are recent."""
-    both = (F.col("client_age_s") <= 15) & (F.col("pes_age_s") <= 15)
+    """``shown``: whether a viewer has confirmed a stream's decoding.
+
+    ``snapshots(stream_id, ts, generation, state, active, output_healthy, clear_pes,
+    client)``. A viewer confirms while PES evidence (clear PES packets behind a healthy
+    output) is at most 15 s old and a healthy output at most 6 s; from then on that
+    lasts, viewer or not, until either is older. An inactive stream, generation 0 and
+    another generation start afresh. A stream's snapshots are one a second at most, and
+    one task's."""
     own = W.partitionBy("stream_id").orderBy("ts")
-    upto = own.rowsBetween(W.unboundedPreceding, 0)
-    rows = snapshots.withColumn("_both", both).withColumn("_run", F.sum((~both).cast("long")).over(upto))
-    within = W.partitionBy("stream_id", "_run").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-    healthy = F.max((F.col("_both") & (F.col("output_age_s") <= 6)).cast("int")).over(within) == 1
-    return rows.withColumn("confirmed", F.col("_both") & healthy).drop("_both", "_run")
+    live = F.col("active") & (F.col("generation") != 0)
+    rows = snapshots.withColumn("_live", live)
+    fresh = ~F.col("_live") | ~F.coalesce(F.lag("_live").over(own), F.lit(False)) | (F.col("generation") != F.lag("generation").over(own))
+    rows = rows.withColumn("_epoch", F.sum(fresh.cast("long")).over(own.rowsBetween(W.unboundedPreceding, 0)))
+    upto = W.partitionBy("stream_id", "_epoch").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    healthy = F.col("_live") & F.col("output_healthy")
+    evidence = healthy & (F.col("clear_pes") > 0) & F.col("state").isin(*PES_STATES)
+    age = lambda c: F.col("ts") - F.last(F.when(c, F.col("ts")), ignorenulls=True).over(upto)
+    rows = rows.withColumn("_recent", F.coalesce((age(evidence) <= PES_GRACE_S) & (age(healthy) <= OUTPUT_GRACE_S), F.lit(False)))
+    mark = F.when(~F.col("_recent"), F.lit(False)).when(F.col("client"), F.lit(True))
+    confirmed = F.coalesce(F.last(mark, ignorenulls=True).over(upto), F.lit(False))
+    shown = F.when(~F.col("active"), "offline").when(confirmed, CONFIRMED).otherwise(F.col("state"))
+    return rows.withColumn("shown", shown).drop("_live", "_epoch", "_recent")

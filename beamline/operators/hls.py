@@ -9,28 +9,74 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """The segments of media playlists. ``lines(playlist, line_no, line)``.
+#: Seconds of a segment where a list names none, and the least that it may name.
+TARGET_S, LEAST_TARGET_S = 2.0, 0.25
+
+
+def attribute(line: Column, name: str) -> Column:
+    """Value of a tag's attribute, without its quotes; empty if it is not there."""
+    form = f'{name}=(?:"([^"]*)|([^",][^,]*)?)'
+    return F.concat(F.regexp_extract(line, form, 1), F.trim(F.regexp_extract(line, form, 2)))
+
+
+def resolved(base: Column, reference: Column) -> Column:
+    """An address as seen from that of its list."""
+    origin, folder = F.regexp_extract(base, "(?s)^(.*?://[^/]*)", 1), F.regexp_extract(base, "(?s)^(.*?://[^?#]*/)", 1)
+    return (
+        F.when(reference == "", base).when(F.lower(reference).rlike("^https?://") | ~base.contains("://"), reference)
+        .when(reference.startswith("/"), F.concat(origin, reference)).when(folder == "", F.concat(origin, F.lit("/"), reference)).otherwise(F.concat(folder, reference))
+    )
 
-    EXTINF and discontinuity tags belong to the next address; KEY and MAP last until
-    they are replaced; the sequence counts from the playlist's first."""
+
+def _leading_number(text: Column) -> Column:
+    return F.regexp_extract(text, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double")
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """The segments of media playlists. ``lines(playlist, line_no, line)``, with
+    ``base``, the list's own address, where addresses are relative.
+
+    An address is a segment if an EXTINF stands between it and the address before, and
+    its duration is not negative: one that does not parse counts as the target duration
+    so far, and so does zero. A discontinuity holds until the next segment; KEY and MAP
+    hold until they are replaced, and METHOD=NONE or none clears the key; the sequence
+    counts segments from the last MEDIA-SEQUENCE on. Gives ``playlist, sequence, uri,
+    duration, discontinuity, key_method, key_uri, key_iv, map_uri, end_list``; the
+    addresses of a master list are no segments."""
+    base = F.col("base") if "base" in lines.columns else F.lit("")
     own = W.partitionBy("playlist").orderBy("line_no")
-    upto = own.rowsBetween(W.unboundedPreceding, 0)
-    tag = lambda name: F.col("line").startswith(name)
-    is_uri = (F.col("line") != "") & ~F.col("line").startswith("#")
-    rows = lines.withColumn("line", F.trim("line")).withColumn("_uri", is_uri)
-    rows = rows.withColumn("_n", F.coalesce(F.sum(F.col("_uri").cast("long")).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    part = W.partitionBy("playlist", "_n")
+    upto, before = own.rowsBetween(W.unboundedPreceding, 0), own.rowsBetween(W.unboundedPreceding, -1)
+    rows = lines.withColumn("line", F.trim("line")).where("line <> ''")
+    line, tag = F.col("line"), lambda name: F.col("line").startswith(name)
     value = lambda name: F.when(tag(name), F.expr(f"substring(line, {len(name) + 1})"))
+    last = lambda c, frame: F.last(c, ignorenulls=True).over(frame)
+    named = _leading_number(value("#EXT-X-TARGETDURATION:"))
+    target = F.when(named.isNotNull(), F.greatest(F.lit(LEAST_TARGET_S), named))
+    rows = rows.withColumns({
+        "_address": ~tag("#"), "_target": F.coalesce(last(target, upto), F.lit(TARGET_S)),
+        "_master": F.max(tag("#EXT-X-STREAM-INF:").cast("int")).over(upto) == 1,
+        "_method": F.when(tag("#EXT-X-KEY:"), F.lower(attribute(line, "METHOD"))),
+    })
+    rows = rows.withColumn("_run", F.coalesce(F.sum(F.col("_address").cast("long")).over(before), F.lit(0)))
+    length = F.when(tag("#EXTINF:"), F.coalesce(_leading_number(F.split(value("#EXTINF:"), ",")[0]), F.col("_target")))
+    rows = rows.withColumn("_pending", last(length, W.partitionBy("playlist", "_run").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_segment", F.col("_address") & ~F.col("_master") & F.coalesce(F.col("_pending") >= 0, F.lit(False)))
+    rows = rows.withColumn("_n", F.coalesce(F.sum(F.col("_segment").cast("long")).over(before), F.lit(0)))
+    first = F.coalesce(F.regexp_extract(value("#EXT-X-MEDIA-SEQUENCE:"), r"^\s*\+?([0-9]+)", 1).try_cast("long"), F.lit(0))
+    kind = F.col("_method")
+    key = F.when(kind.isin("", "none"), F.struct(*(F.lit(None).cast("string").alias(c) for c in ("method", "uri", "iv"))))
+    key = key.when(kind.isin("aes-128", "sample-aes"), F.struct(kind.alias("method"), resolved(base, attribute(line, "URI")).alias("uri"), attribute(line, "IV").alias("iv")))
+    key = key.when(kind.isNotNull(), F.struct(kind.alias("method"), F.concat(F.lit("unsupported:"), kind).alias("uri"), F.lit("").alias("iv")))
     rows = rows.withColumns({
-        "duration": F.max(F.when(tag("#EXTINF:"), F.regexp_extract("line", r"^#EXTINF:([0-9.]+)", 1).try_cast("double"))).over(part),
-        "discontinuity": F.max(F.when(F.col("line") == "#EXT-X-DISCONTINUITY", 1).otherwise(0)).over(part) == 1,
-        "key": F.last(value("#EXT-X-KEY:"), ignorenulls=True).over(upto),
-        "map": F.last(value("#EXT-X-MAP:"), ignorenulls=True).over(upto),
-        "_first": F.max(value("#EXT-X-MEDIA-SEQUENCE:").try_cast("long")).over(W.partitionBy("playlist")),
-        "end_list": F.max((F.col("line") == "#EXT-X-ENDLIST").cast("int")).over(W.partitionBy("playlist")) == 1,
+        "_broken": F.max((line == "#EXT-X-DISCONTINUITY").cast("int")).over(W.partitionBy("playlist", "_n").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)) == 1,
+        "_from": last(F.when(tag("#EXT-X-MEDIA-SEQUENCE:"), F.struct(first.alias("at"), F.col("_n").alias("n"))), upto),
+        "_key": last(key, upto), "_map": last(F.when(tag("#EXT-X-MAP:"), resolved(base, attribute(line, "URI"))), upto),
+        "end_list": F.max((line == "#EXT-X-ENDLIST").cast("int")).over(W.partitionBy("playlist")) == 1,
     })
-    return rows.where("_uri").select("playlist", (F.coalesce("_first", F.lit(0)) + F.col("_n")).alias("sequence"), F.col("line").alias("uri"), "duration", "discontinuity", "key", "map", "end_list")
+    return rows.where("_segment").select(
+        "playlist", (F.coalesce("_from.at", F.lit(0)) + F.col("_n") - F.coalesce("_from.n", F.lit(0))).alias("sequence"), resolved(base, line).alias("uri"),
+        F.when(F.col("_pending") > 0, F.col("_pending")).otherwise(F.col("_target")).alias("duration"), F.col("_broken").alias("discontinuity"),
+        F.col("_key.method").alias("key_method"), F.col("_key.uri").alias("key_uri"), F.col("_key.iv").alias("key_iv"), F.col("_map").alias("map_uri"), "end_list")
 
 
 def variants(lines: DataFrame) -> DataFrame:

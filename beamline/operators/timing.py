@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .folds import PTS_WRAP, fold
+from .scans import PACKETS, SECONDS, Last, Next, Scan, Trailing, lag
 
 
 def over(*order: str) -> W:
@@ -20,22 +21,27 @@ def counter_delta(counter: str, window: W, first=None) -> Column:
     return F.when(before.isNull(), now if first is None else first).when(now >= before, now - before).otherwise(now)
 
 
-def with_deltas(samples: DataFrame, counter: str = "cc_total") -> DataFrame:
-    return samples.withColumn("delta", counter_delta(counter, over("ts", "sample_id")))
+def by_stream(samples: DataFrame, span: int) -> Scan:
+    return Scan(samples, ["stream_id"], ["ts", "sample_id"], span)
 
 
-def moving_rate(deltas: DataFrame, value: str = "bytes") -> DataFrame:
+def with_deltas(samples: DataFrame, counter: str = "cc_total", span: int = SECONDS) -> DataFrame:
+    """``delta`` of a counter of ``samples(stream_id, ts, sample_id, ...)``."""
+    rows, now, before = by_stream(samples, span).add(_b=lag(counter)).done(), F.col(counter), F.col(f"_b.{counter}")
+    return rows.withColumn("delta", F.when(before.isNull(), now).when(now >= before, now - before).otherwise(now)).drop("_b")
+
+
+def moving_rate(deltas: DataFrame, value: str = "bytes", span: int = SECONDS) -> DataFrame:
     """Eight times the mean of the last five deltas, in whole numbers."""
-    last = over("ts", "sample_id").rowsBetween(-4, 0)
-    return deltas.withColumn("total", F.sum(value).over(last)).withColumn("n", F.count("*").over(last)).withColumn("rate", F.expr("total * 8 div n")).drop("total", "n")
+    rows = by_stream(deltas, span).add(_t=Trailing(F.col(value), 5)).done()
+    return rows.withColumn("rate", F.expr("_t.total * 8 div _t.n")).drop("_t")
 
 
-def interface_rate(totals: DataFrame) -> DataFrame:
+def interface_rate(totals: DataFrame, span: int = SECONDS) -> DataFrame:
     """Megabits a second from byte totals; nothing below zero."""
-    own = over("ts", "sample_id")
-    grown = F.greatest(F.lit(0), F.col("bytes_total") - F.lag("bytes_total").over(own))
-    elapsed = F.col("ts") - F.lag("ts").over(own)
-    return totals.withColumn("mbps", F.when(elapsed > 0, grown * 8 / elapsed / 1e6))
+    rows = by_stream(totals, span).add(_b=lag("bytes_total", "ts")).done()
+    grown, elapsed = F.greatest(F.lit(0), F.col("bytes_total") - F.col("_b.bytes_total")), F.col("ts") - F.col("_b.ts")
+    return rows.withColumn("mbps", F.when(elapsed > 0, grown * 8 / elapsed / 1e6)).drop("_b")
 
 
 def busy_percent(busy: Column, total: Column, window: W) -> Column:
@@ -44,34 +50,31 @@ def busy_percent(busy: Column, total: Column, window: W) -> Column:
     return F.when(t > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), b * 100.0 / t)))
 
 
-def silence(samples: DataFrame, counter: str) -> DataFrame:
+def silence(samples: DataFrame, counter: str, span: int = SECONDS) -> DataFrame:
     """Seconds since the counter last grew (since the first row, at first)."""
-    own = over("ts", "sample_id")
-    grew = F.coalesce(F.col(counter) > F.lag(counter).over(own), F.lit(True))
-    rows = samples.withColumn("_grew", grew)
-    return rows.withColumn("silence_s", F.col("ts") - F.last(F.when(F.col("_grew"), F.col("ts")), ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, 0))).drop("_grew")
+    rows = by_stream(samples, span).add(_b=lag(counter))
+    grew = F.coalesce(F.col(counter) > F.col(f"_b.{counter}"), F.lit(True))
+    rows = rows.add(_at=Last(F.when(grew, F.col("ts")), here=True)).done()
+    return rows.withColumn("silence_s", F.col("ts") - F.col("_at")).drop("_b", "_at")
 
 
-def interpolate(packets: DataFrame, key: str = "stream_id") -> DataFrame:
+def interpolate(packets: DataFrame, key: str = "stream_id", span: int = PACKETS) -> DataFrame:
     """The clock at every packet, on the line between the anchors around it.
 
     ``packets(key, idx, pcr27)``, ``pcr27`` null where there is no anchor. Beyond the
-    outermost anchors the nearest interval's line goes on. Windows in either direction,
-    over one exchange and two sorts, take the place of a range join."""
-    up, down = (W.partitionBy(key).orderBy(o) for o in (F.asc("idx"), F.desc("idx")))
-    upto = lambda w: w.rowsBetween(W.unboundedPreceding, 0)
-    anchor = F.when(F.col("pcr27").isNotNull(), F.struct("idx", "pcr27"))
-    rows = packets.withColumn("_a", anchor)
-    rows = rows.withColumn("_l", F.last("_a", ignorenulls=True).over(upto(up))).withColumn("_r", F.last("_a", ignorenulls=True).over(upto(down)))
-    # the second anchor on either side, for the rows beyond the ends
-    rows = rows.withColumn("_before", F.when(F.col("_a").isNotNull(), F.lag("_l").over(up))).withColumn("_after", F.when(F.col("_a").isNotNull(), F.lag("_r").over(down)))
-    rows = rows.withColumn("_l2", F.last("_before", ignorenulls=True).over(upto(up))).withColumn("_r2", F.last("_after", ignorenulls=True).over(upto(down)))
-    a = F.when(F.col("_l").isNull(), F.col("_r")).when(F.col("_r").isNull(), F.col("_l2")).otherwise(F.col("_l"))
-    b = F.when(F.col("_l").isNull(), F.col("_r2")).when(F.col("_r").isNull(), F.col("_l")).otherwise(F.col("_r"))
-    rows = rows.withColumn("_p", a).withColumn("_q", b)
+    outermost anchors the nearest interval's line goes on. Scans in either direction take
+    the place of a range join: first each anchor's neighbours, then each packet's anchors
+    with their neighbours."""
+    is_anchor, anchor = F.col("pcr27").isNotNull(), F.struct("idx", "pcr27")
+    rows = Scan(packets, [key], ["idx"], span).add(_before=Last(F.when(is_anchor, anchor)), _after=Next(F.when(is_anchor, anchor)))
+    left, right = (F.when(is_anchor, F.struct(anchor.alias("a"), F.col(c).alias("b"))) for c in ("_before", "_after"))
+    rows = rows.add(_l=Last(left, here=True), _r=Next(right, here=True)).done()
+    p = F.when(F.col("_l").isNull(), F.col("_r.a")).when(F.col("_r").isNull(), F.col("_l.b")).otherwise(F.col("_l.a"))
+    q = F.when(F.col("_l").isNull(), F.col("_r.b")).when(F.col("_r").isNull(), F.col("_l.a")).otherwise(F.col("_r.a"))
+    rows = rows.withColumn("_p", p).withColumn("_q", q)
     product = F.col("_q.pcr27").cast("decimal(20,0)") - F.col("_p.pcr27")
     rows = rows.withColumn("_d", product * (F.col("idx") - F.col("_p.idx")).cast("decimal(18,0)")).withColumn("_n", F.col("_q.idx") - F.col("_p.idx"))
-    clock = F.when(F.col("_a").isNotNull(), F.col("pcr27")).otherwise(F.col("_p.pcr27") + F.expr("cast(_d div cast(_n as decimal(18,0)) as bigint)"))
+    clock = F.when(is_anchor, F.col("pcr27")).otherwise(F.col("_p.pcr27") + F.expr("cast(_d div cast(_n as decimal(18,0)) as bigint)"))
     return rows.withColumn("clock27", clock).select(*packets.columns, "clock27")
 
 
@@ -92,13 +95,20 @@ def replayed(samples: DataFrame, loops: int, lead: int = 3600) -> DataFrame:
     return rows.withColumn("out_pts", F.col("pts") - F.col("_first") + F.col("loop") * F.col("_span")).drop("_first", "_span")
 
 
-def progress(packets: DataFrame) -> DataFrame:
-    """Media packets, PES starts and changes of the timestamp by stream."""
-    own = W.partitionBy("stream_id").orderBy("seq")
-    stamped = packets.where("pts is not null").withColumn("_c", F.coalesce(F.col("pts") != F.lag("pts").over(own), F.lit(True)))
-    changes = stamped.groupBy("stream_id").agg(F.sum(F.col("_c").cast("long")).alias("pts_changes"))
-    seen = packets.groupBy("stream_id").agg(F.sum(F.col("has_payload").cast("long")).alias("media_packets"), F.sum((F.col("pusi") & F.col("has_payload")).cast("long")).alias("pes_starts"))
-    return seen.join(changes, "stream_id", "left").fillna(0, ["pts_changes"])
+def progress(packets: DataFrame, tracks: DataFrame, span: int = PACKETS) -> DataFrame:
+    """What an output sends of its media: payload packets of the video and the audio
+    pid, starts of video PES packets with a timestamp, and how often such a timestamp is
+    another than the one before.
+
+    ``tracks(stream_id, video_pid, audio_pid)``, one row a stream, null for none. Packets
+    in error count for nothing; a stream without any media has zeros."""
+    rows = packets.join(tracks, "stream_id")
+    rows = rows.where(~F.col("tei") & F.col("has_payload") & ((F.col("pid") == F.col("video_pid")) | (F.col("pid") == F.col("audio_pid"))))
+    start = F.coalesce((F.col("pid") == F.col("video_pid")) & F.col("pusi") & F.col("pts").isNotNull(), F.lit(False))
+    rows = Scan(rows.select("stream_id", "seq", "pts", start.alias("_start")), ["stream_id"], ["seq"], span).add(_b=Last(F.when(F.col("_start"), F.col("pts")))).done()
+    number = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    found = rows.groupBy("stream_id").agg(F.count("*").alias("media_packets"), number(F.col("_start")).alias("pes_starts"), number(F.col("_start") & (F.col("pts") != F.col("_b"))).alias("pts_changes"))
+    return tracks.select("stream_id").join(found, "stream_id", "left").fillna(0, ["media_packets", "pes_starts", "pts_changes"])
 
 
 #: Pictures of the long and of the quick test, ticks of the longest window,

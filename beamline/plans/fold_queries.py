@@ -41,10 +41,10 @@ def t4_downsampled(spark, sf_dir: str):
 
 
 def readings(spark, sf_dir: str):
-    return R.packets(spark, sf_dir).where("pcr27 is not null").select("stream_id", F.col("seq").alias("idx"), "pcr27", "discontinuity", F.col("arrival_ms").alias("observed_ms"))
+    return R.packets(spark, sf_dir).where("pcr27 is not null").select("stream_id", "pid", F.col("seq").alias("idx"), "pcr27", "discontinuity", F.col("arrival_ms").alias("observed_ms"))
 
 
-READINGS = "select stream_id, seq as idx, pcr27, discontinuity, arrival_ms as observed_ms from packets where pcr27 is not null"
+READINGS = "select p.stream_id, seq as idx, pcr27, discontinuity, arrival_ms as observed_ms from packets p join (select stream_id, arg_min(pid, seq) as pid from packets where pcr27 is not null group by 1) using (stream_id, pid) where pcr27 is not null"
 TICKS = f"((r.pcr27 - s.pcr) % {folds.PCR_WRAP} + {folds.PCR_WRAP}) % {folds.PCR_WRAP}"
 
 
@@ -103,9 +103,9 @@ def t19_packet_schedule(spark, sf_dir: str):
     good: false ; not r.discontinuity and r.idx > s.idx and $delta between 27000 and 270000000
     ticks: 0::bigint ; case when not $good then 0 when s.done then $delta else s.ticks + $delta end
     packets: 0::bigint ; case when not $good then 0 when s.done then r.idx - s.idx else s.packets + r.idx - s.idx end
-    done: false ; $ticks >= 27000000
+    done: false ; $ticks >= 13500000
     measured: null::bigint ; case when $done then greatest(1, $packets * 1504 * 27000000 // $ticks) end
-    told: false ; coalesce($measured <= 1000000000, false)
+    told: false ; coalesce($done and $packets * 1504 * 27000000 <= 200000000 * $ticks, false)
     rate: null::bigint ; case when not $told then s.rate when s.rate is null then $measured else (s.rate * 7 + $measured) // 8 end
     idx: r.idx ; r.idx
     pcr: r.pcr27 ; r.pcr27

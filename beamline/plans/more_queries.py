@@ -63,15 +63,23 @@ def x17_transcode_settings(spark, sf_dir: str):
     return parts(spark, sf_dir).select("id", X.transcode_settings(F.lit(1920.0), F.lit(1080.0), F.expr("p_size % 60 + 1"), F.expr("id * 5000.0D")).alias("s")).select("id", "s.*")
 
 
-NEXT = "list_max(list_filter(rates, lambda r: r >= 250000 and r * 5 <= {} * 4))"
-
-
-@query(f"""select p_partkey as id, list_filter([r1, r2, r3], lambda r: r is not null) as ladder from (select *, {NEXT.format('r2')} as r3 from (select *, {NEXT.format('r1')} as r2 from (select *, list_max(list_filter(rates, lambda r: r >= 250000)) as r1
-  from (select *, [p_size * 100000, p_partkey % 37 * 90000, 1200000, p_partkey % 11 * 70000]::bigint[] as rates from part))))""")
+def ladder_sql() -> str:
+    """One step a rendition: what stands above, how many there are, and their text."""
+    out = "with l0 as (select p_partkey as id, p_size * 60 as w, p_size * 34 as h, p_partkey % 97 * 90000 as bps, p_partkey % 97 * 90000 as above, 0 as n, '' as ladder from part)"
+    for k, (name, width, height, most) in enumerate(X.RENDITIONS):
+        w, h = (width + 4) // 8 * 8, (height + 4) // 8 * 8
+        rate = f"greatest(250000, least(bps * {w * h * 135} // (w * h * 100), {most}, above * 80 // 100))"
+        out += f""", s{k} as (select *, bps >= 350000 and n < 3 and above > 300000 and {w} < w and {h} < h and {rate} + 50000 < above as fits, {rate} as rate from l{k}),
+l{k + 1} as (select id, w, h, bps, case when fits then rate else above end as above, case when fits then n + 1 else n end as n, ladder || case when fits then '{name} {w}x{h} ' || rate || ';' else '' end as ladder from s{k})"""
+    return out + f" select id, ladder from l{len(X.RENDITIONS)}"
+
+
+@query(ladder_sql())
 def x18_ladders(spark, sf_dir: str):
     """X18"""
-    rates = F.expr("array(p_size * 100000L, id % 37 * 90000L, 1200000L, id % 11 * 70000L)")
-    return parts(spark, sf_dir).select("id", X.abr_ladder(rates).alias("ladder"))
+    ladder = X.abr_ladder(F.expr("p_size * 60"), F.expr("p_size * 34"), F.expr("id % 97 * 90000"))
+    text = F.array_join(F.transform(ladder, lambda r: F.format_string("%s %dx%d %d;", r["name"], r["width"], r["height"], r["rate"])), "")
+    return parts(spark, sf_dir).select("id", text.alias("ladder"))
 
 
 @query("""select p_partkey as id, ((p_size * 188)::hugeint * 8000000000 + p_partkey * 1000 + 6) // (p_partkey * 1000 + 7)::hugeint as spacing_ns,
@@ -404,13 +412,26 @@ def t26_refresh_due(spark, sf_dir: str):
     return guide.refresh_due(R.table(spark, sf_dir, "supplier").select(*[F.expr(v).alias(k) for k, v in columns.items()]), NOW).select("source_id")
 
 
-@query("""with s as (select user_id % 6 as stream_id, event_id as ts, event_id * 7 % 23 as c, event_id * 11 % 19 as p, event_id % 13 as o from events),
-b as (select *, c <= 15 and p <= 15 as fresh from s), r as (select *, sum(case when fresh then 0 else 1 end) over (partition by stream_id order by ts rows unbounded preceding) as run from b)
-select stream_id, ts, fresh and bool_or(fresh and o <= 6) over (partition by stream_id, run order by ts rows unbounded preceding) as confirmed from r""")
+GATE = {"stream_id": "user_id % 6", "ts": "event_id", "generation": "case when event_id % 331 < 6 then 0 else 1 + {thousands} end", "state": "case when event_id % 9 = 4 then 'scrambled' when event_id % 9 = 5 then 'unverified' else 'partial' end",
+        "active": "event_id % 241 > 5", "output_healthy": "event_id % 5 < 2 and event_id % 150 > 30", "clear_pes": "event_id % 4", "client": "event_id % 50 < 6"}
+
+
+@query(machine("select " + ", ".join(f"{v.format(thousands='event_id // 1000')} as {k}" for k, v in GATE.items()) + " from events", "ts", """
+    live: r.active and r.generation <> 0 ; r.active and r.generation <> 0
+    fresh: true ; not s.live or r.generation <> s.generation
+    pes: r.output_healthy and r.clear_pes > 0 and r.state <> 'scrambled' ; r.output_healthy and r.clear_pes > 0 and r.state <> 'scrambled'
+    generation: r.generation ; r.generation
+    output_at: case when r.active and r.generation <> 0 and r.output_healthy then r.ts end ; case when not $live then null when r.output_healthy then r.ts when $fresh then null else s.output_at end
+    pes_at: case when r.active and r.generation <> 0 and r.output_healthy and r.clear_pes > 0 and r.state <> 'scrambled' then r.ts end ; case when not $live then null when $pes then r.ts when $fresh then null else s.pes_at end
+    recent: coalesce(r.active and r.generation <> 0 and r.output_healthy and r.clear_pes > 0 and r.state <> 'scrambled', false) ; coalesce(r.ts - $pes_at <= 15 and r.ts - $output_at <= 6, false)
+    promoted: coalesce(r.client and r.active and r.generation <> 0 and r.output_healthy and r.clear_pes > 0 and r.state <> 'scrambled', false) ; $recent and (r.client or s.promoted and not $fresh)
+    ts: r.ts ; r.ts
+    raw: case when r.active then r.state else 'offline' end ; case when r.active then r.state else 'offline' end
+""", "select stream_id, ts, case when promoted then 'viewer_pes_ok' else raw end as shown from f"))
 def t33_viewer_gate(spark, sf_dir: str):
     """T33"""
-    s = R.table(spark, sf_dir, "events").selectExpr("user_id % 6 as stream_id", "event_id as ts", "event_id * 7 % 23 as client_age_s", "event_id * 11 % 19 as pes_age_s", "event_id % 13 as output_age_s")
-    return health.viewer_gate(s).select("stream_id", "ts", "confirmed")
+    s = R.table(spark, sf_dir, "events").select(*[F.expr(v.format(thousands="event_id div 1000")).alias(k) for k, v in GATE.items()])
+    return health.viewer_gate(s).select("stream_id", "ts", "shown")
 
 
 @query(R.oracle(f" select channel_id, event_id, start, stop, title from guide where channel_id = 7 and stop >= 840000000 - 21600 and start <= 840000000 + 7 * 86400", "guide"))

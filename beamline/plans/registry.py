@@ -36,7 +36,7 @@ def w1_continuity_status(spark, sf_dir: str) -> DataFrame:
 
 
 @query(R.oracle(STATUS + """, c as (select stream_id, count(*) filter (where status in ('Gap', 'Duplicate')) as continuity from st group by 1),
-b as (select stream_id, count(*) filter (where tei) as transport, count(*) filter (where not tei and afc = 0) as invalid from packets group by 1)
+b as (select stream_id, count(*) filter (where tei and afc <> 0) as transport, count(*) filter (where afc = 0) as invalid from packets group by 1)
 select stream_id, transport, invalid, continuity, continuity + transport + invalid as errors from b join c using (stream_id)""", "packets"))
 def a1_stream_errors(spark, sf_dir: str) -> DataFrame:
     """A1"""
@@ -44,14 +44,13 @@ def a1_stream_errors(spark, sf_dir: str) -> DataFrame:
 
 
 STAGE = """,
-e as (select *, sum(case when discontinuity or afc = 0 then 1 else 0 end) over (partition by stream_id, pid order by seq rows unbounded preceding) as epoch from packets where not tei),
-l as (select *, last_value(case when has_payload then {'cc': cc, 'h': payload_hash} end ignore nulls) over (partition by stream_id, pid, epoch order by seq rows between unbounded preceding and 1 preceding) as last from e),
-d as (select *, coalesce(last is not null and afc <> 0 and not discontinuity and has_payload and cc = last.cc and payload_hash = last.h, false) as twin from l),
-g as (select *, coalesce(last is not null and afc <> 0 and not discontinuity and not twin and not (case when has_payload then cc = (last.cc + 1) % 16 else cc = last.cc end), false) as bad from d),
-k as (select stream_id, pid, count(*) as packets, count(*) filter (where bad) as cc_errors, count(*) filter (where twin) as exact_duplicates, count(*) filter (where afc = 2) as adaptation_only,
-  count(*) filter (where discontinuity) as discontinuities, count(*) filter (where afc = 0) as bad_afc, count(*) filter (where bad and afc = 2) as adaptation_only_cc_errors from g group by 1, 2),
-t as (select stream_id, pid, count(*) as tei from packets where tei group by 1, 2),
-counters as (select k.*, coalesce(t.tei, 0) as tei from k left join t using (stream_id, pid))
+m as (select *, case when afc = 0 or discontinuity and not has_payload then {'cc': null::int, 'h': null::bigint} when has_payload then {'cc': cc, 'h': payload_hash} end as mark, discontinuity or afc = 0 as fresh from packets),
+l as (select *, last_value(mark ignore nulls) over (partition by stream_id, pid order by seq rows between unbounded preceding and 1 preceding) as last from m),
+d as (select *, coalesce(not fresh and has_payload and cc = last.cc and payload_hash = last.h, false) as twin from l),
+g as (select *, coalesce(not fresh and not twin and last.cc is not null and not (case when has_payload then cc = (last.cc + 1) % 16 else cc = last.cc end), false) as bad from d),
+counters as (select stream_id, pid, count(*) as packets, count(*) filter (where bad) as cc_errors, count(*) filter (where twin) as exact_duplicates, count(*) filter (where afc = 2) as adaptation_only,
+  count(*) filter (where discontinuity and afc <> 0) as discontinuities, count(*) filter (where afc = 0) as bad_afc, count(*) filter (where bad and afc = 2) as adaptation_only_cc_errors,
+  count(*) filter (where tei) as tei from g group by 1, 2)
 """
 
 
@@ -117,12 +116,15 @@ def f5_playable_starts(spark, sf_dir: str) -> DataFrame:
     return health.playable_start(R.packets(spark, sf_dir)).groupBy("stream_id", "pid").agg(F.count("*").alias("n"))
 
 
-@query(R.oracle(""", c as (select stream_id, coalesce(pts <> lag(pts) over (partition by stream_id order by seq), true) as c from packets where pts is not null),
-d as (select stream_id, count(*) filter (where c) as pts_changes from c group by 1)
-select stream_id, count(*) filter (where has_payload) as media_packets, count(*) filter (where pusi and has_payload) as pes_starts, any_value(pts_changes) as pts_changes from packets left join d using (stream_id) group by 1""", "packets"))
+@query(R.oracle(""", t as (select user_id % 4 as stream_id, min(256 + user_id % 32) as video_pid, max(256 + user_id % 32) as audio_pid from events group by 1),
+m as (select * from packets join t using (stream_id) where not tei and has_payload and pid in (video_pid, audio_pid)),
+v as (select stream_id, pts, lag(pts) over (partition by stream_id order by seq) as before from m where pid = video_pid and pusi and pts is not null),
+c as (select stream_id, count(*) as pes_starts, count(*) filter (where pts <> before) as pts_changes from v group by 1), n as (select stream_id, count(*) as media_packets from m group by 1)
+select stream_id, coalesce(media_packets, 0) as media_packets, coalesce(pes_starts, 0) as pes_starts, coalesce(pts_changes, 0) as pts_changes from t left join n using (stream_id) left join c using (stream_id)""", "packets"))
 def t14_progress(spark, sf_dir: str) -> DataFrame:
     """T14"""
-    return timing.progress(R.packets(spark, sf_dir))
+    tracks = R.packets(spark, sf_dir).groupBy("stream_id").agg(F.min("pid").alias("video_pid"), F.max("pid").alias("audio_pid"))
+    return timing.progress(R.packets(spark, sf_dir), tracks)
 
 
 def packet_bytes(packets: DataFrame, *more: str) -> DataFrame:
@@ -485,26 +487,43 @@ def o4_chosen_rendition(spark, sf_dir: str) -> DataFrame:
     return hls.chosen(v, 5_000_000)
 
 
-LINES = ", x as (select stream_id as playlist, sequence * 3 + k as line_no, case k when 0 then '#EXTINF:' || (duration_ms // 1000) || '.500,' when 1 then case when discontinuity then '#EXT-X-DISCONTINUITY' else '#EXT-X-KEY:METHOD=NONE,N=' || (sequence // 10) end else file end as line from segments, range(3) r(k))"
+#: Lists with all that the rules are about: addresses without EXTINF, one that does not
+#: parse, keys that come and go, relative and absolute addresses, numbers from 100 on.
+LINE_SQL = """case k when 0 then case when sequence = 0 then '#EXT-X-MEDIA-SEQUENCE: 100' when sequence = 40 then '#EXT-X-TARGETDURATION:6' when sequence % 17 = 9 then '#EXT-X-DISCONTINUITY' else '' end
+  when 1 then case when sequence % 11 = 3 then '#a comment' when sequence % 13 = 5 then '#EXTINF:abc,' when sequence % 19 = 7 then '#EXTINF:-1,' else '#EXTINF:' || {seconds} || '.500, title' end
+  when 2 then case when sequence % 10 = 0 then '#EXT-X-KEY:METHOD=AES-128,URI="k' || sequence || '",IV=0x1' when sequence % 10 = 6 then '#EXT-X-KEY:METHOD=NONE' when discontinuity then '#EXT-X-DISCONTINUITY' else '#' end
+  else case when sequence % 7 = 1 then '/' || file when sequence % 7 = 2 then 'https://b.example/' || file else file end end"""
+LINES = "select stream_id as playlist, sequence * 4 + k as line_no, " + LINE_SQL.format(seconds="(duration_ms // 1000)") + " as line from segments, range(4) r(k)"
 
 
 def playlist_lines(spark, sf_dir: str) -> DataFrame:
-    s = R.segments(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    line = F.expr("case k when 0 then concat('#EXTINF:', duration_ms div 1000, '.500,') when 1 then case when discontinuity then '#EXT-X-DISCONTINUITY' else concat('#EXT-X-KEY:METHOD=NONE,N=', sequence div 10) end else file end")
-    return s.select(F.col("stream_id").alias("playlist"), (F.col("sequence") * 3 + F.col("k")).alias("line_no"), line.alias("line"))
-
-
-PARSED = """, p as (select stream_id as playlist, sequence, file as uri, (duration_ms // 1000) + 0.5::double as duration, discontinuity,
-  last_value(case when not discontinuity then 'METHOD=NONE,N=' || (sequence // 10) end ignore nulls) over (partition by stream_id order by sequence rows unbounded preceding) as key from segments)"""
-
-
-@query(R.oracle(PARSED + "select playlist, sequence, uri, duration::double as duration, discontinuity, key from p", "segments"))
+    s = R.segments(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return s.select(F.col("stream_id").alias("playlist"), (F.col("sequence") * 4 + F.col("k")).alias("line_no"), F.expr(LINE_SQL.format(seconds="(duration_ms div 1000)")).alias("line"), F.lit("http://a.example/live/list.m3u8?t=1").alias("base"))
+
+
+#: The rules line by line, as a state that each line moves on.
+PARSED = fold_queries.machine(f"select * from ({LINES}) where line <> ''", "line_no", """
+    address: not starts_with(r.line, '#') ; not starts_with(r.line, '#')
+    target: case when starts_with(r.line, '#EXT-X-TARGETDURATION:') then greatest(0.25::double, substr(r.line, 23)::double) else 2.0::double end ; case when starts_with(r.line, '#EXT-X-TARGETDURATION:') then greatest(0.25::double, substr(r.line, 23)::double) else s.target end
+    segment: false ; $address and s.pending >= 0
+    duration: null::double ; case when s.pending > 0 then s.pending else s.target end
+    pending: case when starts_with(r.line, '#EXTINF:') then coalesce(try_cast(split_part(substr(r.line, 9), ',', 1) as double), 2.0) else -1.0::double end ; case when starts_with(r.line, '#EXTINF:') then coalesce(try_cast(split_part(substr(r.line, 9), ',', 1) as double), s.target) when $segment then -1.0::double else s.pending end
+    next: case when starts_with(r.line, '#EXT-X-MEDIA-SEQUENCE:') then trim(substr(r.line, 23))::bigint else 0 end ; case when starts_with(r.line, '#EXT-X-MEDIA-SEQUENCE:') then trim(substr(r.line, 23))::bigint when s.segment then s.next + 1 else s.next end
+    broken: r.line = '#EXT-X-DISCONTINUITY' ; r.line = '#EXT-X-DISCONTINUITY' or s.broken and not s.segment
+    key: null::varchar ; case when not starts_with(r.line, '#EXT-X-KEY:') then s.key when contains(r.line, 'NONE') then null else 'http://a.example/live/' || regexp_extract(r.line, 'URI="([^"]*)', 1) end
+    line: r.line ; r.line
+""", """, p as (select playlist, next as sequence, duration, broken as discontinuity, key as key_uri, case when key is not null then 'aes-128' end as key_method,
+  case when starts_with(line, '/') then 'http://a.example' || line when starts_with(line, 'https:') then line else 'http://a.example/live/' || line end as uri from f where segment)
+""", "segments", key="playlist")
+
+
+@query(PARSED + "select playlist, sequence, uri, duration, discontinuity, key_method, key_uri from p")
 def s6_parsed_playlists(spark, sf_dir: str) -> DataFrame:
     """S6, W14"""
-    return hls.parsed(playlist_lines(spark, sf_dir)).select("playlist", "sequence", "uri", "duration", "discontinuity", "key")
+    return hls.parsed(playlist_lines(spark, sf_dir)).select("playlist", "sequence", "uri", "duration", "discontinuity", "key_method", "key_uri")
 
 
-@query(R.oracle(PARSED + ", s as (select *, sum(duration) over w as t, row_number() over w as n from p window w as (partition by playlist order by sequence desc rows unbounded preceding)) select playlist, coalesce(max(case when t >= 6 or n >= 3 then sequence end), min(sequence)) as start from s group by 1", "segments"))
+@query(PARSED + ", s as (select *, sum(duration) over w as t, row_number() over w as n from p window w as (partition by playlist order by sequence desc rows unbounded preceding)) select playlist, coalesce(max(case when t >= 6 or n >= 3 then sequence end), min(sequence)) as start from s group by 1")
 def o8_start_sequence(spark, sf_dir: str) -> DataFrame:
     """O8"""
     return hls.start_sequence(hls.parsed(playlist_lines(spark, sf_dir)))
@@ -567,13 +586,19 @@ def t13_delivery_faults(spark, sf_dir: str) -> DataFrame:
     return health.delivery_fault(e).groupBy("fault").agg(F.count("*").alias("n"))
 
 
-@query(R.oracle(""", b as (select *, case when sample_id % 5 < 2 then 'clear' when sample_id % 5 = 2 then 'waiting' when sample_id % 5 = 3 then 'scrambled' else 'stopped' end as state from quality),
-e as (select *, sum(case when active then 0 else 1 end) over (partition by stream_id order by ts, sample_id rows unbounded preceding) as ep from b),
-c as (select *, last_value(case when active and state = 'clear' then ts end ignore nulls) over (partition by stream_id, ep order by ts, sample_id rows unbounded preceding) as cleared from e)
-select stream_id, sample_id, case when active and state in ('waiting', 'invalid', 'scrambled') and ts - cleared <= 3600 then 'clear' else state end as shown from c""", "quality"))
+T32_STATE = "case when sample_id % 5 < 2 then 'clear' when sample_id % 5 = 2 then 'waiting' when sample_id % 5 = 3 then 'scrambled' when sample_id % 15 = 4 then 'stopped' else 'invalid' end"
+
+
+@query(fold_queries.machine(f"select *, {T32_STATE} as raw from quality", "ts, sample_id", """
+    held: false ; r.active and r.raw in ('waiting', 'invalid', 'scrambled') and coalesce(s.memory = 'clear' and r.ts < s.until, false)
+    memory: case when r.active then r.raw end ; case when not r.active then null when $held then 'clear' else r.raw end
+    until: r.ts + 3600 ; case when $held then s.until else r.ts + 3600 end
+    sample_id: r.sample_id ; r.sample_id
+    shown: case when r.active then r.raw else 'offline' end ; case when not r.active then 'offline' when $held then 'clear' else r.raw end
+""", "select stream_id, sample_id, shown from f", "quality"))
 def t32_held_state(spark, sf_dir: str) -> DataFrame:
     """T32"""
-    s = R.quality(spark, sf_dir).withColumn("state", F.expr("case when sample_id % 5 < 2 then 'clear' when sample_id % 5 = 2 then 'waiting' when sample_id % 5 = 3 then 'scrambled' else 'stopped' end"))
+    s = R.quality(spark, sf_dir).withColumn("state", F.expr(T32_STATE))
     return health.held_state(s, 3600).select("stream_id", "sample_id", "shown")
 
 
