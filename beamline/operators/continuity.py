@@ -47,6 +47,11 @@ def admitted(packets: DataFrame, pids: DataFrame) -> DataFrame:
     return packets.join(pids.select("stream_id", "pid").distinct(), ["stream_id", "pid"], "left_semi")
 
 
+def _few(packets: DataFrame, *columns: str) -> DataFrame:
+    """The columns that counters need, and ``valid`` where it is known."""
+    return packets.select("stream_id", "pid", "seq", *columns, *(c for c in ("valid",) if c in packets.columns))
+
+
 def by_pid(packets: DataFrame, span: int) -> Scan:
     return Scan(packets, ["stream_id", "pid"], ["seq"], span)
 
@@ -76,13 +81,14 @@ def status(packets: DataFrame, span: int = PACKETS) -> DataFrame:
 
 def status_counts(packets: DataFrame, span: int = PACKETS) -> DataFrame:
     """A1: packets by pid and status."""
-    return status(packets, span).groupBy("stream_id", "pid", "status").agg(F.count("*").alias("n"))
+    return status(_few(packets, "cc", "afc", "has_payload", "discontinuity", "tei"), span).groupBy("stream_id", "pid", "status").agg(F.count("*").alias("n"))
 
 
 def stream_errors(packets: DataFrame, span: int = PACKETS) -> DataFrame:
     """A1: a stream's errors are its gaps and duplicates, and its transport and header
     errors. A header is looked at first, then the error flag, whatever the pid, and then
     the pid; a packet that ends there is no one's predecessor."""
+    packets = _few(packets, "cc", "afc", "has_payload", "discontinuity", "tei")
     good = sound(packets)
     counted = good & ~F.col("tei") & (F.col("pid") != NULL_PID)
     rows = by_pid(packets.withColumn("_counted", counted), span).add(_b=Last(F.when(F.col("_counted"), F.struct("cc", "has_payload")))).done()
@@ -113,7 +119,7 @@ def stage_events(packets: DataFrame, span: int = PACKETS) -> DataFrame:
 
 def stage_counters(packets: DataFrame, span: int = PACKETS) -> DataFrame:
     """A2: counters of a stage by stream and pid, in one pass."""
-    return stage_events(packets, span).groupBy("stream_id", "pid").agg(
+    return stage_events(_few(packets, "cc", "afc", "has_payload", "discontinuity", "tei", "payload_hash"), span).groupBy("stream_id", "pid").agg(
         F.count("*").alias("packets"), count(F.col("cc_error")).alias("cc_errors"), count(F.col("exact_duplicate")).alias("exact_duplicates"),
         count(F.col("afc") == 2).alias("adaptation_only"), count(F.col("discontinuity") & (F.col("afc") != 0)).alias("discontinuities"), count(F.col("afc") == 0).alias("bad_afc"),
         count(F.col("cc_error") & (F.col("afc") == 2)).alias("adaptation_only_cc_errors"), count(F.col("tei")).alias("tei"),
@@ -144,6 +150,7 @@ def integrity_counters(packets: DataFrame, span: int = PACKETS) -> DataFrame:
     forgets = F.col("tei") | ~good | reset
     count_left = F.when(F.col("has_payload"), F.struct(F.col("cc").cast("int").alias("v"))).when(forgets, F.struct(none.cast("int").alias("v")))
     clock_left = F.when(good & F.col("pcr27").isNotNull(), F.struct(F.col("pcr27").alias("v"))).when(reset, F.struct(none.cast("long").alias("v")))
+    packets = _few(packets, "cc", "afc", "has_payload", "discontinuity", "tei", "scrambling", "pcr27")
     rows = by_pid(packets.where(F.col("pid") != NULL_PID), span).add(
         _cc=Last(count_left), _pcr=Last(clock_left), _parity=Last(F.when(good & (F.col("scrambling") >= 2), F.col("scrambling")))).done()
     last_cc, last_pcr = F.when(~forgets, F.col("_cc.v")), F.when(~reset, F.col("_pcr.v"))
@@ -187,7 +194,8 @@ def track_counters(packets: DataFrame, span: int = PACKETS) -> DataFrame:
     """Counters of each track: scrambling, timestamps and arrival, in one pass;
     with a column ``pes_fault`` (see ``pes_fault``) also sound and bad PES starts by
     reason."""
-    rows = packets.where(F.col("pid") != NULL_PID)
+    more = [c for c in ("pes_fault",) if c in packets.columns]
+    rows = _few(packets, "afc", "has_payload", "tei", "scrambling", "pusi", "pts", "arrival_ms", *more).where(F.col("pid") != NULL_PID)
     fine, counted = ~F.col("tei"), ~F.col("tei") & (F.col("afc") != 0)
     rows = by_pid(rows, span).add(_t=Last(F.when(fine, F.col("pts"))), _w=Last(F.when(counted, F.col("arrival_ms")))).done()
     rows = rows.withColumn("_f", F.when(fine, F.pmod(F.col("pts") - F.col("_t"), F.lit(PTS_WRAP))))
@@ -207,7 +215,7 @@ def track_counters(packets: DataFrame, span: int = PACKETS) -> DataFrame:
 def fixed_reports(packets: DataFrame, seconds: int = 3600, span: int = PACKETS) -> DataFrame:
     """Packets and errors of each stream in fixed intervals since 1970."""
     slot = F.expr(f"arrival_ms div {seconds * 1000} * {seconds}")
-    return status(packets, span).groupBy("stream_id", slot.alias("slot_s")).agg(F.count("*").alias("packets"), count(F.col("status") == "Gap").alias("gaps"))
+    return status(_few(packets, "cc", "afc", "has_payload", "discontinuity", "tei", "arrival_ms"), span).groupBy("stream_id", slot.alias("slot_s")).agg(F.count("*").alias("packets"), count(F.col("status") == "Gap").alias("gaps"))
 
 
 def after_counters(packets: DataFrame) -> DataFrame:

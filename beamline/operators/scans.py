@@ -4,8 +4,8 @@ A window over one stream is one task. Here a stream's rows are cut into ranges o
 order, and a range is what a task sees: it works out its rows' values as far as its own
 rows tell, and a summary of the range; the summaries, one row a range, are folded in
 order; and what a range's predecessors (or successors) tell is joined to its rows. The
-rows are shuffled once: windows and the join keep a range together, and a range is
-summed up within the tasks that read it before its summary moves.
+rows are read and shuffled once: windows, summaries and the join all keep a range
+together, and what moves beside the rows is one row a range.
 
 The values are such that summaries can be combined: the last or next value that is not
 null, running sums, and sums of the last few rows.
@@ -67,26 +67,27 @@ class Scan:
     def __init__(self, rows: DataFrame, key: list[str], order: list[str], span: int):
         place = F.floor(F.col(order[0]) / F.lit(span)).alias("_range")
         self.key, self.order, self.columns = key, order, rows.columns
-        self.source = rows.withColumn("_key", F.struct(*key, place))  # summed up where it is, before the shuffle
-        self.rows = self.source.repartition("_key")
+        self.rows = rows.withColumn("_key", F.struct(*key, place)).repartition("_key")
 
     def add(self, **values) -> Scan:
         """The scan with a column for each of the values."""
         names = [f.name for f in self.rows.schema["_key"].dataType.fields]
-        own = W.partitionBy("_key").orderBy(*self.order)
+        own, down = (W.partitionBy("_key").orderBy(*(o(c) for c in self.order)) for o in (F.asc, F.desc))
+        # both branches below use every column, so they read one and the same shuffle
+        everything = F.xxhash64(*self.columns)
         over = W.partitionBy(*(f"_key.{c}" for c in names[:-1])).orderBy("_key._range")
-        before, behind = over.rowsBetween(W.unboundedPreceding, -1), over.rowsBetween(1, W.unboundedFollowing)
+        back = W.partitionBy(*(f"_key.{c}" for c in names[:-1])).orderBy(F.desc("_key._range"))
+        before, behind = (w.rowsBetween(W.unboundedPreceding, -1) for w in (over, back))
         at = F.struct(*self.order)
         inside, summary, carried, result, tails = {}, [], {}, {}, []
         for name, v in values.items():
             i, s, c = f"_i_{name}", f"_s_{name}", f"_c_{name}"
             if isinstance(v, (Last, Next)):
-                later = isinstance(v, Next)
-                edge = (0 if v.here else 1) if later else (0 if v.here else -1)
-                frame = own.rowsBetween(edge, W.unboundedFollowing) if later else own.rowsBetween(W.unboundedPreceding, edge)
-                inside[i] = (F.first if later else F.last)(v.value, ignorenulls=True).over(frame)
+                later = isinstance(v, Next)  # a window from the other end, whose frame grows row by row
+                frame = (down if later else own).rowsBetween(W.unboundedPreceding, 0 if v.here else -1)
+                inside[i] = F.last(v.value, ignorenulls=True).over(frame)
                 summary.append((F.min_by if later else F.max_by)(v.value, F.when(v.value.isNotNull(), at)).alias(s))
-                carried[c] = (F.first if later else F.last)(s, ignorenulls=True).over(behind if later else before)
+                carried[c] = F.last(s, ignorenulls=True).over(behind if later else before)
                 result[name] = F.coalesce(i, c)
             elif isinstance(v, Total):
                 inside[i] = F.sum(v.value).over(own.rowsBetween(W.unboundedPreceding, 0))
@@ -96,8 +97,7 @@ class Scan:
             else:
                 tails.append((name, v))
                 recent = own.rowsBetween(1 - v.rows, 0)
-                inside |= {i: F.struct(F.sum(v.value).alias("total"), F.count("*").alias("n")), f"_n_{name}": F.row_number().over(own)}
-                inside[i] = F.struct(F.sum(v.value).over(recent).alias("total"), F.count("*").over(recent).alias("n"))
+                inside |= {i: F.struct(F.sum(v.value).over(recent).alias("total"), F.count("*").over(recent).alias("n")), f"_n_{name}": F.row_number().over(own)}
                 # a range has a row at least, so that many ranges have the rows that are missing
                 carried[c] = F.flatten(F.collect_list(s).over(over.rowsBetween(1 - v.rows, -1)))
                 missing = F.greatest(F.lit(0), F.lit(v.rows) - F.col(f"_n_{name}"))
@@ -106,17 +106,16 @@ class Scan:
                 more = F.aggregate(rest, F.lit(None).cast("long"), lambda a, x: F.when(x.isNull(), a).otherwise(F.coalesce(a, F.lit(0)) + x))
                 total = F.when(F.col(f"{i}.total").isNotNull() | more.isNotNull(), F.coalesce(F.col(f"{i}.total"), F.lit(0)) + F.coalesce(more, F.lit(0)))
                 result[name] = F.struct(total.alias("total"), (F.col(f"{i}.n") + F.least(missing, size)).alias("n"))
-        sums = self.source.groupBy("_key").agg(F.count("*").alias("_rows"), *summary)
+        sums = self.rows.groupBy("_key").agg(F.bit_xor(everything).alias("_seen"), *summary)
         for name, v in tails:
-            down = W.partitionBy("_key").orderBy(*(F.desc(c) for c in self.order))
-            few = self.source.select("_key", at.alias("_at"), v.value.alias("_v"), F.row_number().over(down).alias("_r")).where(F.col("_r") < v.rows)
+            few = self.rows.select("_key", at.alias("_at"), v.value.alias("_v"), F.row_number().over(down).alias("_r")).where(F.col("_r") < v.rows)
             few = few.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias(f"_s_{name}"))
             sums = sums.join(few, "_key", "left")
-        sums = sums.select("_key", *(c.alias(n) for n, c in carried.items()))
-        out = self.rows.withColumns(inside).join(sums, "_key")
+        sums = sums.select("_key", "_seen", *(c.alias(n) for n, c in carried.items()))
+        out = self.rows.withColumns(inside).join(sums, "_key").where(F.col("_seen").isNotNull() | (everything == 0))
         new = object.__new__(Scan)
         new.key, new.order, new.columns = self.key, self.order, [c for c in self.columns if c not in values] + list(values)
-        new.rows = new.source = out.select("_key", *(c for c in self.columns if c not in values), *(e.alias(n) for n, e in result.items()))
+        new.rows = out.select("_key", *(c for c in self.columns if c not in values), *(e.alias(n) for n, e in result.items()))
         return new
 
     def done(self) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -18,3 +18,10 @@ def folder(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="beamline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/beamline-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written there and read back: what follows does not make it again."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -87,8 +87,10 @@ def test_ranges_of_a_stream_go_to_different_tasks(spark):
 
 
 def test_a_scan_shuffles_its_rows_once(spark):
-    plan = Scan(capture(spark), ["stream_id"], ["seq"], 10).add(b=lag("cc")).done()._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("REPARTITION_BY_COL") == 1 and plan.count("functions=[partial_max_by") == 1
+    found = Scan(capture(spark), ["stream_id"], ["seq"], 10).add(b=lag("cc")).done().groupBy("b").count()
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("REPARTITION_BY_COL") - plan.count("ReusedExchange") <= 1 and "ReusedExchange" in plan
 
 
 # --- rules ---------------------------------------------------------------------------
