@@ -61,9 +61,14 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
-def _slot(part: int, seed: str) -> Column:
-    """The ``part``-th group of hexadecimal digits of a row's seeded digest."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def text_key() -> Column:
+    """A digest of the whole text, which tells rows without or with equal doc_ids apart."""
+    return F.coalesce(F.md5("text"), F.lit(""))
+
+
+def _slot(part: int, seed: str, key: Column) -> Column:
+    """The ``part``-th group of hexadecimal digits of the seeded digest of doc_id and text."""
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), key))
     return F.substring(digest, 1 + part * SLOTS_HEX, SLOTS_HEX)
 
 
@@ -73,13 +78,13 @@ def _before(*keys: str) -> Column:
 
 
 def mix_plan(sized: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> tuple[DataFrame, int]:
-    """What the mix takes of each source of ``sized(doc_id, source, size)``, and the
+    """What the mix takes of each source of ``sized(doc_id, source, size, key)``, and the
     number of sources.
 
     One row a source: ``mix_source, source_size, target, whole, full_slot, cut_slot,
     cut_part``. Its rows are taken ``whole`` times; those in slots up to ``full_slot``,
     and in ``cut_slot`` up to ``cut_part``, once more."""
-    placed = sized.select("source", "size", _slot(0, seed).alias("slot"), _slot(1, seed).alias("part"))
+    placed = sized.select("source", "size", _slot(0, seed, F.col("key")).alias("slot"), _slot(1, seed, F.col("key")).alias("part"))
     slots = common.cut(placed.groupBy("source", "slot").agg(F.sum("size").alias("words")))
     sizes = slots.groupBy("source").agg(F.sum("words").alias("source_size"))
     plan = water_fill(common.cut(ranked_sources(sizes, weights)), max_epochs).select(
@@ -107,12 +112,12 @@ def mix_plan(sized: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX
     return common.cut(plan.drop("rest")), n
 
 
-def _taken(docs: DataFrame, plan: tuple[DataFrame, int], seed: str, some: Column, prefix: str) -> DataFrame:
+def _taken(docs: DataFrame, plan: tuple[DataFrame, int], seed: str, some: Column, key: Column, prefix: str) -> DataFrame:
     """``docs`` with ``times``, ``source_size`` and ``target``, under names with ``prefix``.
     ``some`` says that a row has words; one without is taken whole times only."""
     named = plan[0].toDF(*[prefix + c for c in plan[0].columns])
-    at, slot = (lambda c: F.col(prefix + c)), _slot(0, seed)
-    again = F.coalesce(slot <= at("full_slot"), F.lit(False)) | F.coalesce((slot == at("cut_slot")) & (_slot(1, seed) <= at("cut_part")), F.lit(False))
+    at, slot = (lambda c: F.col(prefix + c)), _slot(0, seed, key)
+    again = F.coalesce(slot <= at("full_slot"), F.lit(False)) | F.coalesce((slot == at("cut_slot")) & (_slot(1, seed, key) <= at("cut_part")), F.lit(False))
     joined = docs.join(common.small(named, plan[1], BROADCAST_SOURCES), F.col("source").eqNullSafe(at("mix_source")))
     joined = joined.withColumn(prefix + "times", at("whole") + F.when(again & some, 1).otherwise(0))
     return joined.drop(*[prefix + c for c in ("mix_source", "whole", "full_slot", "cut_slot", "cut_part")])
@@ -124,16 +129,16 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCH
     ``size`` is the number of words of the whole text (null: 0; texts are read once),
     ``times`` how often the mix takes the row, ``taken`` the words that makes. All rows
     of a source are taken the whole number of times that fits its target. For the
-    fractional repetition a seeded digest of doc_id places them in ``16 ** SLOTS_HEX``
+    fractional repetition a seeded digest of doc_id and text places them in ``16 ** SLOTS_HEX``
     slots; the slots below the cut are taken once more, and the slot of the cut is
     divided again in the same way, to the nearest slot. So the words of a source meet
     its target to half a slot of a slot. A source of size 0 has target 0 and is taken
-    0 times; a row of size 0 is never taken once more. Null doc_ids share one slot;
-    repeated rows are treated alike; an empty table gives no rows; further columns
-    are ignored."""
-    sized = common.cut(docs.select("doc_id", "source", word_count("text").alias("size")))
-    out = _taken(sized, mix_plan(sized, weights, max_epochs, seed), seed, F.col("size") > 0, "")
-    return out.withColumn("taken", F.col("size") * F.col("times"))
+    0 times; a row of size 0 is never taken once more. Rows with null or equal doc_ids
+    are told apart by their texts; rows equal in both are treated alike; an empty table
+    gives no rows; further columns are ignored."""
+    sized = common.cut(docs.select("doc_id", "source", word_count("text").alias("size"), text_key().alias("key")))
+    out = _taken(sized, mix_plan(sized, weights, max_epochs, seed), seed, F.col("size") > 0, F.col("key"), "")
+    return out.drop("key").withColumn("taken", F.col("size") * F.col("times"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
@@ -143,12 +148,12 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, max_epochs: float
     shuffled only if there are more than ``BROADCAST_SOURCES`` sources. Nulls, ties
     and empty tables are treated as in ``mix``; whatever columns ``docs`` has keep
     their values."""
-    sized = common.cut(docs.select("doc_id", "source", word_count("text").alias("size")))
+    sized = common.cut(docs.select("doc_id", "source", word_count("text").alias("size"), text_key().alias("key")))
     prefix = "mix_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"
     some = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False))
-    taken = _taken(docs, mix_plan(sized, weights, max_epochs, seed), seed, some, prefix).where(F.col(prefix + "times") > 0)
+    taken = _taken(docs, mix_plan(sized, weights, max_epochs, seed), seed, some, text_key(), prefix).where(F.col(prefix + "times") > 0)
     return taken.withColumn(prefix + "copy", F.explode(F.expr(f"sequence(1L, {prefix}times)"))).select(*docs.columns)
 
 
@@ -160,8 +165,8 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 with recursive d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    substr(md5('mix' || coalesce(doc_id::varchar, '')), 1, 3) as slot, substr(md5('mix' || coalesce(doc_id::varchar, '')), 4, 3) as part
-  from documents),
+    substr(digest, 1, 3) as slot, substr(digest, 4, 3) as part
+  from (select *, md5('mix' || coalesce(doc_id::varchar, '') || ':' || coalesce(md5(text), '')) as digest from documents)),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 k as (select *, [1.0, 2.0, 3.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight,
     source_size * 3.0 as cap from s),

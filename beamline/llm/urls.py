@@ -157,8 +157,9 @@ def url_filter(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, block
     """``pages`` with ``host, path, rule, verdict``.
 
     A rule fits its host and all subdomains if the path starts with the rule's
-    path; of those that fit, the one with the longest host and path wins. Where
-    none fits, the url is blocked if its host or a parent domain is in
+    path; of those that fit, the one with the longest host and path wins, of equally
+    long ones that with the longer host, and of equal ones that differ in their verdict
+    the one that blocks. Where none fits, the url is blocked if its host or a parent domain is in
     ``blocked_hosts``, else allowed; a null url, or one without ``://``, has no
     host and is allowed. The lists are sequences or tables (``rules(verdict, host,
     path)``, ``blocked_hosts(host)``) of any length: they are applied in blocks of about
@@ -168,7 +169,7 @@ def url_filter(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, block
     spark = pages.sparkSession
     lists = list_blocks(spark, rules, blocked_hosts, block_entries)
     lengths = sorted(next(lists), reverse=True)
-    state = {"rule": "string", "_says": "long", "_listed": "long"}
+    state = {"rule": "string", "_host": "long", "_says": "long", "_listed": "long"}
     pages = split_url(pages.drop("host", "path", "rule", "verdict", *state, *(f"{c}2" for c in state)))
     pages = pages.withColumns({c: F.lit(None).cast(t) for c, t in state.items()})
     for block in lists:
@@ -177,8 +178,8 @@ def url_filter(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, block
         def start(name=name):
             array = DigestArray(SparkFiles.get(name))
 
-            def judge(hosts: list[str], paths: list[str], rule: list, says: list, listed: list) -> list:
-                probes, owner, rule_of = [], [], []
+            def judge(hosts: list[str], paths: list[str], rule: list, wide: list, says: list, listed: list) -> list:
+                probes, owner, rule_of = [], [], []  # a rule and the length of its host
                 for i, (host, path) in enumerate(zip(hosts, paths)):
                     for s in suffixes(host):
                         probes.append(f"host:{s}")
@@ -188,22 +189,22 @@ def url_filter(pages: DataFrame, rules=RULES, blocked_hosts=BLOCKED_HOSTS, block
                             if n <= len(path):
                                 probes.append(f"rule:{s}{path[:n]}")
                                 owner.append(i)
-                                rule_of.append(s + path[:n])
+                                rule_of.append((s + path[:n], len(s)))
                 at = array.place([p.encode() for p in probes])
                 for k in np.flatnonzero(at >= 0):
                     i, found = owner[k], rule_of[k]
                     if found is None:
                         listed[i] = 1
-                    elif rule[i] is None or len(found) > len(rule[i]):
-                        rule[i], says[i] = found, int(array.says[at[k]])
-                return [rule, says, listed]
+                    elif rule[i] is None or (len(found[0]), found[1]) > (len(rule[i]), wide[i]):
+                        (rule[i], wide[i]), says[i] = found, int(array.says[at[k]])
+                return [rule, wide, says, listed]
 
             return judge
 
-        passed = common.add_columns(pages, ("host", "path", *state), "rule2 string, _says2 long, _listed2 long", start)
+        passed = common.add_columns(pages, ("host", "path", *state), "rule2 string, _host2 long, _says2 long, _listed2 long", start)
         pages = passed.drop(*state).withColumnsRenamed({f"{c}2": c for c in state})
     blocked = F.when(F.col("rule").isNotNull(), F.col("_says") == BLOCK).otherwise(F.coalesce(F.col("_listed") == 1, F.lit(False)))
-    return pages.withColumn("verdict", F.when(blocked, "block").otherwise("allow")).drop("_says", "_listed")
+    return pages.withColumn("verdict", F.when(blocked, "block").otherwise("allow")).drop("_host", "_says", "_listed")
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -82,3 +82,24 @@ def test_operators_on_odd_vectors_and_pages(spark):
     pages = spark.createDataFrame([(None, None, "x"), (1, "http://" + "a." * 40 + "net/es/" + "y" * 50_000, "x"), (1, "http://", None)], "page_id long, url string, host2 string")
     assert [r.verdict for r in urls.url_filter(pages).orderBy(urls.F.length("url")).collect()] == ["allow", "allow", "block"]
     assert urls.url_filter(pages, (), ()).where("verdict = 'allow'").count() == 3
+
+
+def test_ties_of_rules_do_not_depend_on_the_blocks(spark):
+    rules = [("allow", "a.com", "/x"), ("block", "com", "/xa/"), ("block", "b.org", "/"), ("allow", "b.org", "/"), ("allow", "org", "/q/r"), ("block", "b.org", "/q")]
+    tables = spark.createDataFrame(rules, "verdict string, host string, path string"), spark.createDataFrame([("none.example",)], "host string")
+    pages = spark.createDataFrame([(1, "http://a.com/xa/1"), (2, "http://b.org/"), (3, "http://c.b.org/q/r/s")], "page_id long, url string")
+    for size in (1, 2, 100):
+        found = [(r.rule, r.verdict) for r in urls.url_filter(pages, *tables, block_entries=size).orderBy("page_id").collect()]
+        assert found == [("a.com/x", "allow"), ("b.org/", "block"), ("b.org/q", "block")]
+    assert [(r.rule, r.verdict) for r in urls.url_filter(pages, rules, ()).orderBy("page_id").collect()] == found
+
+
+def test_targets_are_met_where_doc_ids_are_null_or_repeat(spark):
+    texts = [(s, f"{s} {k} " * 10) for s, n in (("a", 9), ("b", 9), ("c", 6)) for k in range(n)]
+    for ids in (lambda k: None, lambda k: k % 2):
+        docs = spark.createDataFrame([(ids(k), s, t) for k, (s, t) in enumerate(texts)], "doc_id long, source string, text string")
+        rows = mixing.mix(docs).collect()
+        for source in "abc":
+            own = [r for r in rows if r.source == source]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 20
+        assert mixing.mixed_documents(docs).count() == sum(r.times for r in rows)
