@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import continuity, guide, health, hls, logs, quality, sessions
-from ..sources import files, foreign, nested, transport
+from ..sources import captures, files, foreign, nested, transport
 from ..sources.scratch import folder
 from . import api
 from . import relations as R
@@ -183,6 +183,19 @@ def s1_captures(spark, sf_dir: str):
     return transport.parse_headers(captured(spark, sf_dir)).select("stream_id", "seq", "pid", "cc")
 
 
+@query("""with rows as (select cast(user_id % 4 as varchar) as stream_id, event_id, event_id % 29 = 0 as junk, cast(256 + event_id % 900 as int) as pid, cast(event_id % 16 as int) as cc from events),
+  placed as (select *, cast(sum(188 + case when junk then 1 + event_id % 40 else 0 end) over w - 188 as bigint) as "at", coalesce(lead(junk, 1) over w, false) or coalesce(lead(junk, 2) over w, false) as out_of_step from rows window w as (partition by stream_id order by event_id))
+  select stream_id, "at", pid, cc from placed where not out_of_step and pid in (256, 300, 512, 513, 777)""")
+def s1_resynced_pids(spark, sf_dir: str):
+    """Captures with junk between packets through the source, pids taken by the reader"""
+    junk = "case when event_id % 29 = 0 then repeat(x'00', cast(1 + event_id % 40 as int)) else x'' end"
+    e = R.table(spark, sf_dir, "events").select(F.expr("user_id % 4").cast("string").alias("stream_id"), F.col("event_id").alias("seq"), F.expr(f"concat({junk}, rpad({hexed(('71', 2), ('256 + event_id % 900', 4), ('16 + event_id % 16', 2))}, 188, x'AA'))").alias("pkt"))
+    path = folder(spark)
+    transport.write_captures(e, path).count()
+    rows = captures.captures(spark, path, range_bytes=70_000).where(F.col("pid").isin(256, 300, 512, 513, 777))
+    return rows.select(F.regexp_extract("stream_id", "stream_id=([^/]+)/", 1).alias("stream_id"), "at", "pid", "cc")
+
+
 @query("select cast(user_id % 4 as varchar) as stream_id, 0 as alignment_misses, 0 as resync_bytes from events group by 1")
 def a2_alignment(spark, sf_dir: str):
     """A2: alignment of a capture"""
