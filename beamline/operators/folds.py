@@ -384,37 +384,85 @@ def failover(probes: DataFrame) -> DataFrame:
 IDLE_S = 120
 
 
-def authorised(events: DataFrame, recheck_minutes: int = 10) -> DataFrame:
-    """Verdicts of the session registry.
+def recheck_seconds(minutes: int) -> int:
+    return min(60, max(1, minutes)) * 60
+
+
+def registry_until(state: dict, now: int, recheck: int) -> list[tuple]:
+    """What the session registry does by itself before ``now``: an unrevoked session that is
+    open or not idle is checked again when that is due, and one that is neither is
+    forgotten. ``state`` is a session's, empty if there is none."""
+    out = []
+    while state and not state["revoked"] and state["due"] < now and (state["open"] or state["due"] - state["seen"] <= IDLE_S):
+        out.append((state["due"], None, True, state["verdict"]))
+        if state["verdict"]:
+            state["due"] += recheck
+        else:
+            state["revoked"] = True
+    if state and not state["open"] and now - state["seen"] > IDLE_S:
+        state.clear()
+    return out
 
-    ``events(session_id, ts, request_id, kind, granted)``: a ``request`` with what the
-    back-end would say, or a ``revoke``. A first request is checked; a granted session is
-    cached until its recheck is due (1 to 60 minutes) and checked again by the first
-    request after it. A refusal closes the session; a revoked one refuses without a
-    check. A session that is idle for more than ``IDLE_S`` is forgotten, revoked or not.
-    Gives ``ts, request_id, checked, allowed`` of each request."""
-    recheck = min(60, max(1, recheck_minutes)) * 60
 
-    def step(state, row):
-        if "seen" in state and row.ts - state["seen"] > IDLE_S:
-            state.clear()
-        if row.kind == "revoke":
-            if state:
-                state["revoked"] = True
-            return []
-        if "revoked" in state:
-            return [(row.ts, row.request_id, False, False)]
-        checked = row.ts >= state.get("due", row.ts)
-        if checked and not row.granted:
+def registry_step(state: dict, row, recheck: int) -> list[tuple]:
+    """One row of a session, after what was due before it."""
+    out = registry_until(state, row.ts, recheck)
+    if state and row.granted is not None:
+        state["verdict"] = row.granted
+    if row.kind == "request":
+        if state and state["revoked"]:
+            return [*out, (row.ts, row.request_id, False, False)]
+        checked, granted = not state or row.ts >= state["due"], bool(row.granted)
+        if not checked:
+            state["seen"] = row.ts
+        elif granted:
+            state.update(seen=row.ts, due=row.ts + recheck, revoked=False, open=state.get("open", 0), verdict=True, hls=row.protocol == "hls")
+        elif state and state["open"]:
+            state["revoked"] = True
+        else:
             state.clear()
-            return [(row.ts, row.request_id, True, False)]
-        if checked:
-            state["due"] = row.ts + recheck
+        return [*out, (row.ts, row.request_id, checked, granted or not checked)]
+    if not state:
+        return out
+    if row.kind == "revoke":
+        state["revoked"] = True
+    elif row.kind in ("open", "touch") and not state["revoked"]:
         state["seen"] = row.ts
-        return [(row.ts, row.request_id, checked, True)]
+        state["open"] += row.kind == "open"
+    elif row.kind == "close":
+        state["open"] = max(0, state["open"] - 1)
+        if not state["open"] and not state["hls"]:
+            state.clear()
+    return out
+
+
+def authorised(events: DataFrame, recheck_minutes: int = 10, now: int | None = None) -> DataFrame:
+    """Verdicts of the session registry.
 
-    rows = events.select("session_id", "ts", "request_id", "kind", "granted")
-    return fold(rows, "session_id", ["ts", "request_id"], step, "ts long, request_id long, checked boolean, allowed boolean")
+    ``events(session_id, ts, request_id, kind, granted)`` and, if it is there, ``protocol``
+    (``hls`` otherwise); ``granted`` is what the back-end says of the session from then
+    on, a null leaves it as it was and refuses a request that has to be checked. Kinds:
+    ``request``; ``open`` and ``close`` of a connection; ``touch``, a sign of life;
+    ``verdict``, the back-end's word alone; ``revoke``.
+
+    A first request is checked. A granted session is cached until its recheck is due (1 to
+    60 minutes); the registry then checks it without a request, as long as a connection
+    is open or the session was seen within ``IDLE_S``, and revokes it if refused. A
+    request at the very second checks itself: a refusal closes the session, or revokes
+    it where connections are open. A revoked session refuses without a check. A session
+    without connections is forgotten after more than ``IDLE_S``, and one that is not
+    ``hls`` with its last connection.
+
+    Gives ``ts, request_id, checked, allowed`` of each request and, with a null
+    ``request_id``, of each recheck by the registry: those before a session's last row,
+    and with ``now`` those before ``now`` (rows lie before it)."""
+    recheck = recheck_seconds(recheck_minutes)
+    names = ["session_id", "ts", "request_id", "kind", "granted"]
+    rows = events.select(*names, *(["protocol"] if "protocol" in events.columns else [F.lit("hls").alias("protocol")]))
+    if now is not None:
+        ends = rows.groupBy("session_id").agg(F.lit(now).cast("long").alias("ts"), F.lit((1 << 63) - 1).alias("request_id"), F.lit("now").alias("kind"), F.lit(None).cast("boolean").alias("granted"), F.lit(None).cast("string").alias("protocol"))
+        rows = rows.unionByName(ends)
+    return fold(rows, "session_id", ["ts", "request_id"], lambda state, row: registry_step(state, row, recheck), "ts long, request_id long, checked boolean, allowed boolean")
 
 
 def segment_cuts(packets: DataFrame, target_ms: int = 4000, mode: str = "other") -> DataFrame:

@@ -259,24 +259,42 @@ def t24_recovered_times(spark, sf_dir: str):
 AUTH = "select user_id as session_id, cast(floor(epoch(ts)) as bigint) // 40 as ts, event_id as request_id, case when event_id % 11 = 0 then 'revoke' else 'request' end as kind, event_id % 5 <> 0 as granted from events"
 
 
-@query(machine(AUTH, "ts, request_id", """
+def registry(rows: str, recheck: int) -> str:
+    """The session registry without connections, for rechecks at least ``IDLE_S`` apart."""
+    return machine(rows, "ts, request_id", f"""
     ts: r.ts ; r.ts
     request_id: r.request_id ; r.request_id
     request: r.kind = 'request' ; r.kind = 'request'
+    worker: null::bigint ; case when s.seen is not null and not s.revoked and s.due < r.ts and s.due - s.seen <= 120 then s.due end
+    answer: null::boolean ; case when $worker is not null then s.verdict end
     there: false ; coalesce(s.seen is not null and r.ts - s.seen <= 120, false)
-    denied: false ; $there and s.revoked
-    checked: r.kind = 'request' ; $request and not $denied and (not $there or r.ts >= s.due)
+    denied: false ; $there and (s.revoked or coalesce(not $answer, false))
+    checked: r.kind = 'request' ; $request and not $denied and (not $there or r.ts >= s.due + case when $answer then {recheck} else 0 end)
     allowed: r.kind = 'request' and r.granted ; $request and not $denied and (not $checked or r.granted)
-    due: case when r.kind = 'request' and r.granted then r.ts + 600 end ; case when $checked and r.granted then r.ts + 600 when $there then s.due end
+    due: case when r.kind = 'request' and r.granted then r.ts + {recheck} end ; case when $checked and r.granted then r.ts + {recheck} when $there then s.due + case when $answer then {recheck} else 0 end end
     seen: case when r.kind = 'request' and r.granted then r.ts end ; case when $allowed then r.ts when $there and not ($checked and not r.granted) then s.seen end
-    revoked: false ; $there and (s.revoked or not $request)
-""", "select session_id, ts, request_id, checked, allowed from f where request", key="session_id"))
+    revoked: false ; $there and ($denied or not $request)
+    verdict: r.granted ; r.granted
+""", "select session_id, ts, request_id, checked, allowed from f where request union all select session_id, worker, null, true, answer from f where worker is not null", key="session_id")
+
+
+@query(registry(AUTH, 600))
 def t17_authorised_requests(spark, sf_dir: str):
     """T17"""
     e = R.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.floor(R.seconds("ts") / 40).alias("ts"), F.col("event_id").alias("request_id"), F.expr("case when event_id % 11 = 0 then 'revoke' else 'request' end").alias("kind"), F.expr("event_id % 5 <> 0").alias("granted"))
     return folds.authorised(e)
 
 
+BUSY = "select user_id % 5 as session_id, cast(floor(epoch(ts)) as bigint) // 400 as ts, event_id as request_id, case when event_id % 211 = 0 then 'revoke' else 'request' end as kind, event_id % 7 <> 0 as granted from events"
+
+
+@query(registry(BUSY, 120))
+def t17_rechecked_sessions(spark, sf_dir: str):
+    """Busy sessions, checked again every two minutes by the registry itself"""
+    e = R.table(spark, sf_dir, "events").select(F.expr("user_id % 5").alias("session_id"), F.floor(R.seconds("ts") / 400).alias("ts"), F.col("event_id").alias("request_id"), F.expr("case when event_id % 211 = 0 then 'revoke' else 'request' end").alias("kind"), F.expr("event_id % 7 <> 0").alias("granted"))
+    return folds.authorised(e, 2)
+
+
 MUX = "select c_nationkey as mux_id, c_custkey as ord, case when c_custkey % 3 = 0 then null else c_custkey % 7 + 1 end as wanted from customer"
 
 
