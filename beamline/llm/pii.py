@@ -10,7 +10,9 @@ holding the entity, n(t) the term and n(e, t) both,
 so PMI / IC is the part of the entity's information that the term gives away. For
 n(e, t) / n(t), the part of the term's documents that hold the entity, the lower end
 of its confidence interval stands, so a term in few documents needs more to be
-flagged. A term at or above the disclosure threshold is generalised to a placeholder
+flagged. What one or two documents have in common is no evidence at any size of the
+corpus, as nearly every rare word would give away a rare entity: n(e, t) is ``TOGETHER``
+at least. A term at or above the disclosure threshold is generalised to a placeholder
 (or removed) at every occurrence in every document, as the entity is.
 """
 
@@ -35,6 +37,10 @@ TERM = "term"
 DISCLOSURE = 0.8
 #: Standard errors of the lower bound of a term's estimate (95 % on one side).
 CONFIDENCE = 1.645
+#: Documents that hold a term and an entity, from which on the term is judged.
+TOGETHER = 3
+#: Pairs of a document that one key of the join forms; more are split by entities.
+PAIRS = 1 << 20
 #: Filter that the flagged terms are told by before they are joined: bits for each, bits
 #: that are set for each, and the most bits (16 MB; more terms then pass it in vain).
 BITS_A_TERM, PROBES, MAX_BITS = 24, 4, 1 << 27
@@ -164,25 +170,30 @@ def count_terms(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, COUNTED)
 
 
-def disclosing_terms(seen: DataFrame, n_docs: int, disclosure: float = DISCLOSURE, confidence: float = CONFIDENCE) -> DataFrame:
+def disclosing_terms(seen: DataFrame, n_docs: int, disclosure: float = DISCLOSURE, confidence: float = CONFIDENCE, together: int = TOGETHER) -> DataFrame:
     """Terms ``t`` of which some entity's PMI is ``disclosure`` of its information or more.
 
     ``seen`` is what ``count_terms`` gives. With p for the part of a term's documents
     that hold the entity, PMI >= disclosure * IC says p >= (n_e / N) ** (1 - disclosure).
     Since p is n_e / n_t at most, a term in more documents than n_e ** disclosure *
-    N ** (1 - disclosure) cannot be flagged, and its pairs are not formed. An entity
-    that every document holds has no information to give away."""
+    N ** (1 - disclosure) cannot be flagged, and its pairs are not formed, nor are those
+    of terms and entities in fewer than ``together`` documents. An entity that every
+    document holds has no information to give away. A document's pairs are split over
+    keys of ``PAIRS`` at most (or one entity's), so none is one task's; they are counted
+    before they move."""
     n = F.lit(float(n_docs))
-    held = common.cut(seen.where("term is null").select(F.monotonically_increasing_id().alias("row"), "entities", "terms"))
-    mentions = held.select("row", F.explode("entities").alias("e"))
-    n_e = mentions.groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n)
+    keys = F.least(F.size("entities"), F.ceil(F.size("entities").cast("long") * F.size("terms") / PAIRS)).cast("int")
+    held = common.cut(seen.where("term is null").select(F.monotonically_increasing_id().alias("row"), F.greatest(F.lit(1), keys).alias("keys"), "entities", "terms"))
+    mentions = held.select("row", "keys", F.posexplode("entities").alias("k", "e")).select("row", (F.col("k") % F.col("keys")).alias("key"), "e")
+    n_e = mentions.groupBy("e").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= together) & (F.col("n_e") < n))
     most = F.pow(F.col("n_e").cast("double"), F.lit(disclosure)) * F.pow(n, F.lit(1 - disclosure)) * F.lit(1 + 1e-9)
     n_e = common.cut(n_e.withColumn("most", most))
     bound = n_e.agg(F.max("most")).first()[0] or 0.0
-    n_t = seen.where("term is not null").groupBy(F.col("term").alias("t")).agg(F.sum("docs").alias("n_t")).where(F.col("n_t") <= F.lit(bound))
-    terms = held.select("row", F.explode("terms").alias("t")).join(n_t, "t")
-    mentions = mentions.join(n_e, "e")
-    pairs = terms.join(mentions, "row").where(F.col("n_t") <= F.col("most")).groupBy("e", "t", "n_e", "n_t").agg(F.count("*").alias("n_et"))
+    n_t = seen.where("term is not null").groupBy(F.col("term").alias("t")).agg(F.sum("docs").alias("n_t")).where(F.col("n_t").between(F.lit(together), F.lit(bound)))
+    terms = held.select("row", "keys", F.explode("terms").alias("t")).join(n_t, "t")
+    terms = terms.select("row", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"), "t", "n_t")
+    pairs = terms.join(mentions.join(n_e, "e"), ["row", "key"]).where(F.col("n_t") <= F.col("most"))
+    pairs = pairs.groupBy("e", "t", "n_e", "n_t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= together)
     p, z2 = F.col("n_et") / F.col("n_t"), F.lit(confidence**2)
     spread = F.lit(confidence) * F.sqrt(p * (1 - p) / F.col("n_t") + z2 / (4 * F.col("n_t") * F.col("n_t")))
     low = (p + z2 / (2 * F.col("n_t")) - spread) / (1 + z2 / F.col("n_t"))
@@ -250,9 +261,9 @@ def mark(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "row", "text").mapInPandas(run, MARKED)
 
 
-def _found(rows: DataFrame, disclosure: float, confidence: float) -> DataFrame:
+def _found(rows: DataFrame, disclosure: float, confidence: float, together: int) -> DataFrame:
     """``detect`` for ``rows(doc_id, row, text)``, with the ``row``."""
-    flagged = common.cut(disclosing_terms(common.cut(count_terms(rows)), rows.count(), disclosure, confidence))
+    flagged = common.cut(disclosing_terms(common.cut(count_terms(rows)), rows.count(), disclosure, confidence, together))
     per_doc = common.cut(mark(rows, flagged))
     near = per_doc.where("size(near) > 0").select("row", F.explode("near").alias("x")).select("row", "x.*")
     more = near.join(flagged, "t").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "z"))).alias("extra"))
@@ -265,7 +276,7 @@ def _found(rows: DataFrame, disclosure: float, confidence: float) -> DataFrame:
     )
 
 
-def detect(docs: DataFrame, disclosure: float = DISCLOSURE, confidence: float = CONFIDENCE) -> DataFrame:
+def detect(docs: DataFrame, disclosure: float = DISCLOSURE, confidence: float = CONFIDENCE, together: int = TOGETHER) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_email, n_ip, n_card, n_phone,
     base_sha256, spans``.
 
@@ -275,7 +286,7 @@ def detect(docs: DataFrame, disclosure: float = DISCLOSURE, confidence: float =
     empty string; repeated rows and null doc_ids each keep their row; an empty table
     gives no rows; further columns are ignored."""
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    return _found(rows, disclosure, confidence).drop("row")
+    return _found(rows, disclosure, confidence, together).drop("row")
 
 
 def sanitise_text(text: str | None, spans: str | None, remove_terms: bool = False) -> str | None:
@@ -293,7 +304,7 @@ def sanitise_text(text: str | None, spans: str | None, remove_terms: bool = Fals
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, confidence: float = CONFIDENCE, remove_terms: bool = False) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, confidence: float = CONFIDENCE, together: int = TOGETHER, remove_terms: bool = False) -> DataFrame:
     """``docs`` with every span that ``detect`` finds generalised in their texts.
 
     Spans belong to a row, not to a doc_id: the rows are numbered in a written copy, so
@@ -305,7 +316,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, confidence: float
         return pd.Series([sanitise_text(t, s, remove_terms) for t, s in zip(text, found)])
 
     rows = common.cut(docs.withColumn(number, F.monotonically_increasing_id()))
-    found = _found(rows.select("doc_id", F.col(number).alias("row"), "text"), disclosure, confidence).where("spans <> ''")
+    found = _found(rows.select("doc_id", F.col(number).alias("row"), "text"), disclosure, confidence, together).where("spans <> ''")
     found = found.select(F.col("row").alias(f"{number}_found"), F.col("spans").alias(f"{number}_spans"))
     joined = rows.join(found, F.col(number) == F.col(f"{number}_found"), "left")
     text = F.when(F.col(f"{number}_spans").isNull(), F.col("text")).otherwise(clean("text", f"{number}_spans"))

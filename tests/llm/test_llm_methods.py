@@ -255,12 +255,54 @@ def test_disclosing_terms_are_those_of_the_formula(spark):
             n_t, n_et = sum(t in x for x in terms), sum(t in terms[k] for k in own)
             p = n_et / n_t
             low = (p + z * z / (2 * n_t) - z * math.sqrt(p * (1 - p) / n_t + z * z / (4 * n_t * n_t))) / (1 + z * z / n_t)
-            if math.log2(low * n / len(own)) >= pii.DISCLOSURE * math.log2(n / len(own)):
+            if n_et >= pii.TOGETHER and math.log2(low * n / len(own)) >= pii.DISCLOSURE * math.log2(n / len(own)):
                 flagged.add(t)
     got = {texts[r.doc_id][int(s) : int(e)].lower() for r in pii.detect(df).collect() for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"}
     assert got == flagged and flagged
 
 
+def flagged_words(df, **options):
+    texts = {r.doc_id: r.text for r in df.collect()}
+    return {texts[r.doc_id][int(s) : int(e)].lower() for r in pii.detect(df, **options).collect() for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"}
+
+
+@pytest.mark.parametrize("n_docs", [800, 6000])
+def test_disclosing_terms_are_told_from_rare_ones(spark, n_docs):
+    """Planted: names beside one address in 4 to 9 documents, now and then elsewhere.
+    Harmless: words of Zipf's law, each document's own word, copies of a document."""
+    rng = random.Random(n_docs)
+    vocabulary = [f"w{k}" for k in range(20 * n_docs)]
+    weights = [1 / (k + 10) for k in range(len(vocabulary))]
+    texts = [rng.choices(vocabulary, weights, k=60) + [f"own{k}"] for k in range(n_docs)]
+    planted = set()
+    for k in range(n_docs // 40):
+        holders = rng.sample(range(n_docs), rng.randrange(4, 10))
+        planted.add(f"name{k}")
+        for d in holders:
+            texts[d] += [f"name{k}", f"person{k}@mail.org"]
+        if k % 4 == 0:
+            texts[rng.randrange(n_docs)].append(f"name{k}")
+    for k in range(n_docs // 10):
+        texts[rng.randrange(n_docs)].append(f"single{k}@mail.org")
+    rows = [" ".join(rng.sample(t, len(t))) for t in texts]
+    rows += [rows[k] for k in range(0, n_docs, 50)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = flagged_words(df)
+    right = found & planted
+    assert len(right) >= 0.9 * len(planted) and len(right) >= 0.9 * len(found), (len(right), len(planted), len(found))
+
+
+def test_pairs_of_a_document_in_several_keys(spark, monkeypatch):
+    rng = random.Random(2)
+    groups = [[f"m{g}x{k}@x.org" for k in range(5)] + [f"t{g}x{k}" for k in range(6)] for g in range(8)]
+    rows = [" ".join(w for g in rng.sample(groups, 2) for w in g) for _ in range(60)] + [f"other {k}" for k in range(400)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    whole = flagged_words(df)
+    for pairs in (1, 7, 50):
+        monkeypatch.setattr(pii, "PAIRS", pairs)
+        assert flagged_words(df) == whole and len(whole) == 48
+
+
 def test_the_filter_passes_every_flagged_term_and_few_others(spark):
     digest = pii.Terms()
     flagged, others = [f"term{k}" for k in range(5000)], [f"other{k}" for k in range(20_000)]
