@@ -62,6 +62,13 @@ def guide_channels(events: DataFrame, source_id) -> DataFrame:
     return events.where(F.col("source_id") == source_id).groupBy("channel_id").agg(F.count("*").alias("events")).orderBy("channel_id")
 
 
+def _newest_map(sections: DataFrame, stream_id, sid: int, rows: DataFrame) -> DataFrame:
+    """``rows`` of a program's newest map."""
+    program = F.conv(F.hex(F.substring("bytes", 4, 2)), 16, 10).cast("int")
+    newest = sections.where((F.col("stream_id") == stream_id) & (F.col("table_id") == 2) & F.col("crc_ok") & (program == sid)).agg(F.max("seq").alias("seq"))
+    return rows.where(F.col("sid") == sid).join(newest, "seq", "left_semi")
+
+
 def media_tracks(sections: DataFrame, stream_id, sid: int) -> DataFrame:
     """Video and audio of a program by its newest map."""
     rows = S.pmt(sections.where(F.col("stream_id") == stream_id)).where(F.col("sid") == sid)
@@ -69,6 +76,12 @@ def media_tracks(sections: DataFrame, stream_id, sid: int) -> DataFrame:
     return rows.join(newest, ["sid", "seq"], "left_semi").where("kind <> 'data'").select("ord", "es_pid", "kind", "codec", "language").orderBy("ord")
 
 
+def subtitle_tracks(sections: DataFrame, stream_id, sid: int) -> DataFrame:
+    """Subtitle pages of a program by its newest map; none if that lists none."""
+    rows = S.subtitles(sections.where(F.col("stream_id") == stream_id))
+    return _newest_map(sections, stream_id, sid, rows).select("ord", "track_id", "es_pid", "language", "subtitle_type", "composition_page", "ancillary_page").orderBy("ord")
+
+
 def stream_state(config: DataFrame, state: DataFrame) -> DataFrame:
     """Every configured stream with its state."""
     return quality.with_state(config, state)

@@ -76,6 +76,24 @@ def p8_streams(spark, sf_dir: str):
     return S.pmt(elementary(spark, sf_dir)).drop("seq")
 
 
+PAGES = """pages as (select stream_id, pid, sid, es_pid, s_suppkey, unnest([{'entry': 0, 'language': 'eng', 'type': 16, 'page': s_suppkey % 5, 'more': 1}, {'entry': 1, 'language': 'deu', 'type': 32, 'page': s_suppkey % 5, 'more': 2},
+  {'entry': 2, 'language': 'eng', 'type': 17, 'page': s_suppkey % 5 + case when s_suppkey % 3 = 0 then 0 else 1 end, 'more': 9}]) as x from es where stream_type = 6),
+listed as (select * from pages qualify row_number() over (partition by sid, es_pid, x.language, x.page order by x.entry) = 1)"""
+
+
+@query(f"""with {ES}, {PAGES} select stream_id, pid, sid, row_number() over (partition by sid order by s_suppkey, x.entry) - 1 as ord, es_pid || ':' || x.language || ':' || x.page as track_id, es_pid,
+  x.language as language, x.type as subtitle_type, x.page as composition_page, x.more as ancillary_page from listed""")
+def p17_subtitle_tracks(spark, sf_dir: str):
+    """Pages of subtitles, some of them listed twice"""
+    s = R.table(spark, sf_dir, "supplier").join(R.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = s.withColumn("stream_id", F.col("n_regionkey")).withColumn("type", F.element_at(F.array(*map(F.lit, TYPES)), (F.col("s_suppkey") % len(TYPES) + 1).cast("int")))
+    pages = f"concat(unhex('5918'), unhex('656E6710'), {hexed(('s_suppkey % 5', 4), ('1', 4))}, unhex('64657520'), {hexed(('s_suppkey % 5', 4), ('2', 4))}, unhex('656E6711'), {hexed(('s_suppkey % 5 + case when s_suppkey % 3 = 0 then 0 else 1 end', 4), ('9', 4))})"
+    more = f"case type when 6 then {pages} else x'' end"
+    part = f"concat({hexed(('type', 2), ('57344 + 512 + s_suppkey % 7000', 4), (f'61440 + octet_length({more})', 4))}, {more})"
+    body = joined(s, ["stream_id", "n_nationkey"], part, "s_suppkey").withColumn("body", F.concat(F.expr(hexed(("57344 + 4096 + n_nationkey", 4), ("61440", 4))), F.col("body")))
+    return S.subtitles(sent(body, "256 + n_nationkey", 2, "int(n_nationkey)")).drop("seq")
+
+
 @query("select n_regionkey as stream_id, 1 as pid, 1536 + n_nationkey as ca_system, 6144 + n_nationkey as ca_pid from nation")
 def p9_access_pids(spark, sf_dir: str):
     """P5, P9"""

@@ -195,6 +195,33 @@ def pmt(sections: DataFrame) -> DataFrame:
     return rows.withColumn("codec", codec("effective")).withColumn("kind", kind("codec")).drop("effective")
 
 
+#: Private streams may carry subtitles, on pids that media may have; a list
+#: of tracks ends after so many.
+SUBTITLED_TYPE, MEDIA_PIDS, MOST_TRACKS = 0x06, range(0x20, 0x1FFF), 64
+
+
+def subtitles(sections: DataFrame) -> DataFrame:
+    """Subtitle tracks of each program: a track for every page that a subtitling
+    descriptor lists, in order, each ``track_id`` (pid, language and composition page)
+    once. A map whose streams do not fill it exactly lists none."""
+
+    def parse(s: bytes):
+        at, end, tracks = 12 + (u16(s, 10) & 0xFFF), len(s) - 4, {}
+        while at + 5 <= end:
+            pid, size = u16(s, at + 1) & 0x1FFF, u16(s, at + 3) & 0xFFF
+            if at + 5 + size > end:
+                return []
+            pages = [d[k : k + 8] for t, d in descriptors(s[at + 5 : at + 5 + size]) if t == 0x59 and len(d) % 8 == 0 for k in range(0, len(d), 8)]
+            if s[at] == SUBTITLED_TYPE and pid in MEDIA_PIDS:
+                for page in pages:
+                    language = page[:3].decode("latin-1")
+                    tracks.setdefault(f"{pid}:{language}:{u16(page, 4)}", (pid, language, page[3], u16(page, 4), u16(page, 6)))
+            at += 5 + size
+        return [] if at != end else [(u16(s, 3), k, track, *own) for k, (track, own) in enumerate(list(tracks.items())[:MOST_TRACKS])]
+
+    return _rows(sections, (2,), parse, "sid int, ord int, track_id string, es_pid int, language string, subtitle_type int, composition_page int, ancillary_page int")
+
+
 def access_pids(sections: DataFrame) -> DataFrame:
     """Pids that conditional-access descriptors name (nothing else of them)."""
     parse = lambda s: [(u16(d, 0), u16(d, 2) & 0x1FFF) for t, d in descriptors(s[8:-4]) if t == 9 and len(d) >= 4]

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beamline.operators import continuity
+from beamline.plans import api
 from beamline.sources import sections as S
 from beamline.sources import transport as T
 
@@ -240,6 +241,25 @@ def test_tables_end_to_end(spark):
     assert {(r.pid, r.table_id): r.n for r in S.census(found).collect()}[(18, 0x4E)] == 2
 
 
+def test_subtitle_tracks(spark):
+    """Two pages on one pid are two tracks; a newer map without pages has none."""
+    pages = b"eng\x10" + bytes.fromhex("00010002") + b"rus\x20" + bytes.fromhex("00030004") + b"eng\x11" + bytes.fromhex("00010009")
+    stream = lambda kind, pid, more: bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + (0xF000 | len(more)).to_bytes(2, "big") + more
+    head = lambda sid: sid.to_bytes(2, "big") + bytes.fromhex("c10000e101f000")
+    listed = b"\x59" + bytes([len(pages)]) + pages
+    odd = stream(6, 300, b"\x59\x07eng\x10\0\0\1") + stream(27, 301, listed) + stream(6, 16, listed) + stream(6, 302, b"\x59\x00")
+    three = b"\x59" + bytes([len(pages)]) + pages.replace(bytes.fromhex("00010009"), bytes.fromhex("00070009"))
+    many = b"".join(stream(6, 400 + k, three) for k in range(22))
+    maps = [(256, section(2, head(7) + odd + stream(6, 258, b"\x0a\x04eng\0" + listed))), (257, section(2, head(8) + many)), (258, section(2, head(9) + stream(6, 258, listed) + b"\x06\xe1")), (256, section(2, head(7) + stream(27, 258, b"")))]
+    rows = [("s", pid, k, p) for k, (pid, p) in enumerate([(pid, p) for pid, sec in maps for p in S.packetise(sec, pid)])]
+    found = S.assemble(spark.createDataFrame(rows, "stream_id string, pid int, seq long, pkt binary"))
+    older = found.where(F.col("seq") < len(rows) - 1)
+    tracks = [tuple(r) for r in api.subtitle_tracks(older, "s", 7).collect()]
+    assert tracks == [(0, "258:eng:1", 258, "eng", 16, 1, 2), (1, "258:rus:3", 258, "rus", 32, 3, 4)]
+    assert api.subtitle_tracks(found, "s", 7).count() == 0 and api.subtitle_tracks(found, "s", 9).count() == 0
+    assert [r.es_pid for r in api.subtitle_tracks(found, "s", 8).collect()] == [400 + k // 3 for k in range(64)]
+
+
 def test_dvb_text():
     assert S.dvb_text("é".encode()) == "é" and S.dvb_text(b"\xe9") == "é"
     assert S.dvb_text(b"\x01" + "Новости".encode("iso8859_5")) == "Новости"
