@@ -377,11 +377,11 @@ def p19_summaries(spark, sf_dir: str):
     return logs.summaries(R.table(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), line.alias("line")))
 
 
-@query(R.oracle(""", r as (select stream_id, duration_ms * 1000 as bandwidth, '1280x' || (400 + sequence % 9) as resolution, file as uri, sequence from segments where sequence < 6)
+@query(R.oracle(""", r as (select stream_id, duration_ms * 1000 as bandwidth, '1280x' || (400 + sequence % 9) as resolution, file as uri, sequence from segments)
 select stream_id, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:3' || chr(10) || string_agg('#EXT-X-STREAM-INF:BANDWIDTH=' || bandwidth || ',RESOLUTION=' || resolution || chr(10) || uri || chr(10), '' order by bandwidth desc, uri desc) as playlist from (select distinct on (stream_id, bandwidth) * from r order by stream_id, bandwidth, sequence) group by 1""", "segments"))
 def k10_master_playlists(spark, sf_dir: str):
     """K10"""
-    s = R.segments(spark, sf_dir).where("sequence < 6").withColumn("bandwidth", F.col("duration_ms") * 1000)
+    s = R.segments(spark, sf_dir).withColumn("bandwidth", F.col("duration_ms") * 1000)
     one = s.groupBy("stream_id", "bandwidth").agg(F.min_by(F.struct(F.expr("concat('1280x', 400 + sequence % 9)").alias("resolution"), F.col("file").alias("uri")), "sequence").alias("r"))
     return hls.master_playlist(one.select("stream_id", "bandwidth", "r.*"))
 
