@@ -318,27 +318,6 @@ def switch_clock(packets: DataFrame, lead: int = 9000) -> DataFrame:
     return fold(rows, "stream_id", ["seq"], step, "seq long, out_cc int, out_pcr long, out_pts long, flagged boolean")
 
 
-def pts_recovery(units: DataFrame, drift: int = 45_000) -> DataFrame:
-    """A timestamp for each access unit. ``units(stream_id, idx, pts, step)``: an
-    absent one continues by ``step``. Once a source timestamp is more than ``drift`` off,
-    or is the first one, every source timestamp is taken as it is."""
-
-    def step(state, row):
-        guess = (state["clock"] + row.step) % PTS_WRAP if "clock" in state else None
-        known = row.pts is not None
-        off = (row.pts - guess + PTS_WRAP // 2) % PTS_WRAP - PTS_WRAP // 2 if known and guess is not None else 0
-        if known and (guess is None or abs(off) > drift):
-            state["locked"] = True
-        taken = known and state.get("locked", False)
-        if taken:
-            state["clock"] = row.pts % PTS_WRAP
-        elif guess is not None:
-            state["clock"] = guess
-        return [(row.idx, state.get("clock"), bool(taken and (guess is None or off != 0)))]
-
-    return fold(units.select("stream_id", "idx", "pts", "step"), "stream_id", ["idx"], step, "idx long, clock long, corrected boolean")
-
-
 # --- decisions --------------------------------------------------------------------------
 
 

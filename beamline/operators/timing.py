@@ -152,3 +152,30 @@ def picture_rate(pictures: DataFrame) -> DataFrame:
         return [(row.idx, fps, fits >= 3 and GAP_25[0] <= middle <= GAP_25[1])]
 
     return fold(pictures.select("stream_id", "idx", "pts"), "stream_id", ["idx"], step, "idx long, fps double, is_25 boolean")
+
+
+def recovered_times(units: DataFrame, key: list[str], order: str, drift: int = 45_000) -> DataFrame:
+    """Times of access units in place of ``pts`` and ``dts``, and ``corrected``.
+
+    ``units`` has a source's times ``pts`` and ``dts`` where one belongs to the unit, the
+    ticks ``step`` since the unit before, and ``start_pts``, ``start_dts``, the times with
+    which the first unit starts (may be null). Times go on by ``step`` until a source's
+    time is more than ``drift`` off, or there was none to go on from; from there on each
+    one is taken as it is. ``corrected`` says that it changed the time.
+
+    Before that lock and after it, a time is a base and the steps since: no state."""
+    own = W.partitionBy(*key).orderBy(order)
+    upto = own.rowsBetween(W.unboundedPreceding, 0)
+    rows = units.withColumn("_inner", F.row_number().over(own) > 1)
+    rows = rows.withColumn("_ticks", F.sum(F.when(F.col("_inner"), F.col("step")).otherwise(0)).over(upto))
+    rows = rows.withColumns({"_pts": F.first("start_pts").over(upto), "_dts": F.first("start_dts").over(upto)})
+    off = F.pmod(F.col("pts") - F.col("_pts") - F.col("_ticks") + PTS_WRAP // 2, F.lit(PTS_WRAP)) - PTS_WRAP // 2
+    breaks = F.col("pts").isNotNull() & F.coalesce(F.abs(off) > drift, F.lit(True))
+    rows = rows.withColumn("_locked", F.max(breaks).over(upto))
+    rows = rows.withColumn("_base", F.last(F.when(F.col("_locked") & F.col("pts").isNotNull(), F.struct((F.col("pts") - F.col("_ticks")).alias("p"), (F.col("dts") - F.col("_ticks")).alias("d"))), True).over(upto))
+    at = lambda source, free: F.pmod(F.when(F.col("_locked"), F.col(source)).otherwise(F.col(free)) + F.col("_ticks"), F.lit(PTS_WRAP))
+    rows = rows.withColumns({"_p": at("_base.p", "_pts"), "_d": at("_base.d", "_dts")})
+    guess = lambda now, free: F.when(F.col("_inner"), F.pmod(F.lag(now).over(own) + F.col("step"), F.lit(PTS_WRAP))).otherwise(F.col(free))
+    same = guess("_p", "_pts").eqNullSafe(F.col("_p")) & guess("_d", "_dts").eqNullSafe(F.col("_d"))
+    rows = rows.withColumn("corrected", F.col("_locked") & F.col("pts").isNotNull() & ~same)
+    return rows.withColumns({"pts": F.col("_p"), "dts": F.col("_d")}).drop("_inner", "_ticks", "_pts", "_dts", "_locked", "_base", "_p", "_d")

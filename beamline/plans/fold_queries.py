@@ -238,24 +238,6 @@ def t31_clock_lock(spark, sf_dir: str):
     return folds.clock_lock(pictures(spark, sf_dir))
 
 
-UNITS = f"select stream_id, sequence as idx, case when sequence % 4 <> 1 then (8589900000 + sequence * 3600 + case when sequence % 200 > 150 then 50000 else 0 end) % {WRAP} end as pts, 3600 as step from segments"
-
-
-@query(machine(UNITS, "idx", f"""
-    idx: r.idx ; r.idx
-    guess: null::bigint ; (s.clock + r.step) % {WRAP}
-    gap: 0::bigint ; coalesce((r.pts - $guess + {WRAP + HALF}) % {WRAP} - {HALF}, 0)
-    locked: r.pts is not null ; s.locked or r.pts is not null and ($guess is null or abs($gap) > 45000)
-    taken: r.pts is not null ; $locked and r.pts is not null
-    clock: r.pts ; case when $taken then r.pts else $guess end
-    corrected: r.pts is not null ; $taken and ($guess is null or $gap <> 0)
-""", "select stream_id, idx, clock, corrected from f", "segments"))
-def t24_recovered_times(spark, sf_dir: str):
-    """T24"""
-    pts = f"case when sequence % 4 <> 1 then (8589900000 + sequence * 3600 + case when sequence % 200 > 150 then 50000 else 0 end) % {WRAP} end"
-    return folds.pts_recovery(R.segments(spark, sf_dir).select("stream_id", F.col("sequence").alias("idx"), F.expr(pts).alias("pts"), F.lit(3600).cast("long").alias("step")))
-
-
 AUTH = "select user_id as session_id, cast(floor(epoch(ts)) as bigint) // 40 as ts, event_id as request_id, case when event_id % 11 = 0 then 'revoke' else 'request' end as kind, event_id % 5 <> 0 as granted from events"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import continuity, guide, health, hls, logs, quality, sessions, timing
 from ..sources import transport
-from . import fold_queries, more_queries, service_queries, table_queries  # noqa: F401
+from . import fold_queries, more_queries, picture_queries, service_queries, table_queries  # noqa: F401
 from . import relations as R
 from .catalog import ORACLES, QUERIES, query
 

@@ -248,12 +248,6 @@ def p3_timestamps(spark, sf_dir: str):
     return strict.select("stream_id", "seq", "pts").intersect(loose.select("stream_id", "seq", "pts"))
 
 
-@query(UNITS + " select stream_id, pid, seq, pts, dts, size - 3 as size, random_access as key from units")
-def p16_access_units(spark, sf_dir: str):
-    """P16"""
-    return nested.access_units(nested.pes_units(unit_packets(spark, sf_dir)))
-
-
 @query("select event_id as id, event_id % 65536 as sequence, event_id * 90 % 4294967296 as timestamp, 'data ' || event_id as payload from events where event_id % 7 <> 3")
 def p20_datagrams(spark, sf_dir: str):
     """S4, P20"""

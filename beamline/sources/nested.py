@@ -1,7 +1,7 @@
 """Streams within streams: PES units of a pid, and packets carried by T2-MI.
 
-PES units are windows and one aggregation; access units and T2-MI put a pid's rows in
-order and stream through a task with what is unfinished at hand.
+PES units are windows and one aggregation; T2-MI puts a pid's rows in order and streams
+through a task with what is unfinished at hand.
 """
 
 from __future__ import annotations
@@ -89,68 +89,6 @@ def pes_units(packets: DataFrame) -> DataFrame:
     return units.select("stream_id", F.col("pid").cast("int").alias("pid"), "seq", octet("head", 3).alias("pes_stream_id"), pts.alias("pts"), dts.alias("dts"), F.octet_length("data").cast("long").alias("size"), (F.col("hint") | F.coalesce(begins, F.lit(False))).alias("random_access"), "data")
 
 
-class Pictures:
-    """Access units of one H.264 pid from its PES units' data.
-
-    NAL units may go on in the next PES unit. A unit ends where a delimiter, parameter
-    set or message follows a slice, or a slice that begins at the first macroblock. Its
-    times are those of the PES unit in which it begins."""
-
-    def __init__(self):
-        self.rest, self.stamps = b"", []
-        self.sliced, self.key, self.size, self.begun = False, False, 0, None
-
-    def feed(self, row) -> list[tuple]:
-        self.stamps.append((len(self.rest), row.seq, row.pts, row.dts))
-        self.rest += row.data
-        return self.split(False)
-
-    def close(self) -> list[tuple]:
-        return self.split(True) + self.finish()
-
-    def finish(self) -> list[tuple]:
-        out = [(*self.begun, self.size, self.key)] if self.sliced else []
-        self.sliced, self.key, self.size, self.begun = False, False, 0, None
-        return out
-
-    def split(self, last: bool) -> list[tuple]:
-        data, out, at = self.rest, [], self.rest.find(b"\0\0\1")
-        while at >= 0:
-            after = data.find(b"\0\0\1", at + 3)
-            if after < 0 and not last:
-                break
-            end = len(data) if after < 0 else after
-            if end > at + 3:
-                out += self.nal(data[at + 3 : end].rstrip(b"\0"), at)
-            at = after
-        cut = len(data) if last else at if at >= 0 else max(0, len(data) - 2)
-        self.rest = data[cut:]
-        keep = [s for s in self.stamps if s[0] > cut]
-        held = [s for s in self.stamps if s[0] <= cut][-1:]
-        self.stamps = [(max(0, s[0] - cut), *s[1:]) for s in held + keep]
-        return out
-
-    def nal(self, nal: bytes, at: int) -> list[tuple]:
-        kind = nal[0] & 0x1F if nal else 0
-        picture = kind in (1, 5)
-        starts = kind in (6, 7, 8, 9) or picture and len(nal) > 1 and bool(nal[1] & 0x80)
-        out = self.finish() if self.sliced and starts else []
-        if self.begun is None:
-            stamp = [s for s in self.stamps if s[0] <= at][-1:] or self.stamps[:1]
-            self.begun = stamp[0][1:]
-        self.sliced |= picture
-        self.key |= kind == 5
-        self.size += len(nal)
-        return out
-
-
-def access_units(units: DataFrame) -> DataFrame:
-    """``(seq, pts, dts, size, key)`` of the access units in H.264 ``pes_units``;
-    two fields of a frame are two units here."""
-    rows = units.select("stream_id", "pid", "seq", "pts", "dts", "data")
-    return ordered(rows, Pictures, "seq long, pts long, dts long, size long, key boolean")
-
-
 class Carrier:
     """Inner packets of one T2-MI pid and one physical-layer pipe (the first, if none is
     named)."""

@@ -173,8 +173,6 @@ def test_other_folds(spark):
     assert [(r.first_seq, r.last_seq, r.duration_ms) for r in got] == [(1, 2, 4100), (3, 4, 12_100)]
     got = folds.clock_lock(mk([(k, 1000 + 3600 * k) for k in range(40)], "idx long, pts long")).orderBy("idx").collect()
     assert [r.locked for r in got] == [k >= 24 for k in range(40)]
-    got = folds.pts_recovery(mk([(0, 1000, 3600), (1, None, 3600), (2, 8200, 3600), (3, 99_000, 3600)], "idx long, pts long, step long")).orderBy("idx").collect()
-    assert [(r.clock, r.corrected) for r in got] == [(1000, True), (4600, False), (8200, False), (99_000, True)]
     ids = spark.createDataFrame([("m", 0, 2), ("m", 1, None), ("m", 2, 2)], "mux_id string, ord long, wanted int")
     assert [r.service_id for r in folds.service_ids(ids).orderBy("ord").collect()] == [2, 3, 4]
 

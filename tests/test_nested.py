@@ -76,27 +76,6 @@ def test_pes_units(spark):
     assert bytes(rows[0].data) == picture
 
 
-def test_access_units_across_pes_units():
-    class Unit:
-        def __init__(self, seq, pts, data):
-            self.seq, self.pts, self.dts, self.data = seq, pts, pts, data
-
-    start, delimiter, key, slice0, more = b"\0\0\0\1", b"\x09\xf0", b"\x65\x88" + b"k" * 50, b"\x41\x9a" + b"s" * 30, b"\x41\x1a" + b"t" * 20
-    stream = [start + delimiter + start + key, start + delimiter + start + slice0 + start + more, start + slice0, start + delimiter + start + key]
-    whole = b"".join(stream)
-    for sizes in ([len(x) for x in stream], [10, 57, 3, 1, 40, 200], [1] * 40 + [400]):
-        own, got, at = nested.Pictures(), [], 0
-        for k, n in enumerate(sizes):
-            got += own.feed(Unit(k, 100 * k, whole[at : at + n]))
-            at += n
-        got += own.close()
-        assert [(r[3], r[4]) for r in got] == [(54, True), (56, False), (32, False), (54, True)]
-    own, got = nested.Pictures(), []
-    for k, data in enumerate(stream):
-        got += own.feed(Unit(k, 100 * k, data))
-    assert [r[1] for r in got + own.close()] == [0, 100, 200, 300]
-
-
 def test_program_identity(spark):
     pat = spark.createDataFrame([("s", 0, 1, 0, 5, 500), ("s", 0, 1, 1, 6, 600), ("s", 0, 9, 0, 6, 600)], "stream_id string, pid int, seq long, ord int, sid int, pmt_pid int")
     pmt = spark.createDataFrame([("s", 600, 2, 6, 0, 1, "video"), ("s", 600, 10, 6, 0, 11, "audio"), ("s", 600, 10, 6, 1, 12, "video"), ("s", 600, 11, 6, 0, 13, "video")], "stream_id string, pid int, seq long, sid int, ord int, es_pid int, kind string")
