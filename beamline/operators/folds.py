@@ -444,42 +444,6 @@ def authorised(events: DataFrame, recheck_minutes: int = 10, now: int | None = N
     return fold(rows, "session_id", ["ts", "request_id"], lambda state, row: registry_step(state, row, recheck), "ts long, request_id long, checked boolean, allowed boolean")
 
 
-def segment_cuts(packets: DataFrame, target_ms: int = 4000, mode: str = "other") -> DataFrame:
-    """Segments of a stream.
-
-    ``packets(stream_id, seq, clock_ms, psi, pes_start, random_access, key_picture)``;
-    ``clock_ms`` is null where a packet has no PCR. The first segment starts once the
-    program tables were seen, at a PES start (``abr``: random access) with a PCR. Once
-    ``target_ms`` have passed it is cut by ``mode``: ``abr`` at random access with a PCR;
-    ``coded`` at a PES start whose picture is a key picture; ``other`` at a PES start, or
-    anywhere after three times the target."""
-
-    def step(state, row):
-        state["psi"] = state.get("psi", False) or bool(row.psi)
-        if row.clock_ms is not None:
-            state["now"] = row.clock_ms
-        clocked = row.clock_ms is not None
-        if "from" not in state:
-            if state["psi"] and clocked and (row.random_access if mode == "abr" else row.pes_start):
-                state |= {"from": row.clock_ms, "n": 0, "first": row.seq}
-            return []
-        span = state["now"] - state["from"]
-        if mode == "abr":
-            cut = clocked and row.random_access and span >= target_ms
-        elif mode == "coded":
-            cut = row.pes_start and row.key_picture and span >= target_ms
-        else:
-            cut = row.pes_start and span >= target_ms or span >= 3 * target_ms
-        if not cut:
-            return []
-        done = (state["n"], state["first"], row.seq - 1, min(max(span, 50), max(60_000, 3 * target_ms)))
-        state |= {"from": state["now"], "n": state["n"] + 1, "first": row.seq}
-        return [done]
-
-    rows = packets.select("stream_id", "seq", "clock_ms", "psi", "pes_start", "random_access", "key_picture")
-    return fold(rows, "stream_id", ["seq"], step, "segment long, first_seq long, last_seq long, duration_ms long")
-
-
 def service_ids(services: DataFrame, base: int = 1) -> DataFrame:
     """A free id for each service of a multiplex. ``services(mux_id, ord,
     wanted)``: its own, or the base and its place, raised until it is free."""

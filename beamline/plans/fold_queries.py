@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import folds, timing
+from ..operators import folds, segmenter, timing
 from . import relations as R
 from .catalog import query
 
@@ -155,46 +155,59 @@ def t15_failover(spark, sf_dir: str):
     return folds.failover(probes(spark, sf_dir))
 
 
-CUT_ROWS = """select stream_id, seq, case when pcr27 is not null then arrival_ms end as clock_ms, seq % 50 = 0 as psi, pusi and has_payload as pes_start, seq % 14 = 0 as random_access, seq % 9 = 0 as key_picture from packets"""
-
-
-def cuts(mode: str, test: str) -> str:
-    begins = "r.clock_ms is not null and " + ("r.random_access" if mode == "abr" else "r.pes_start")
-    return machine(CUT_ROWS, "seq", f"""
-    psi: r.psi ; s.psi or r.psi
-    now: r.clock_ms ; coalesce(r.clock_ms, s.now)
-    begins: r.psi and {begins} ; s.start is null and $psi and {begins}
-    span: null::bigint ; $now - s.start
-    cut: false ; coalesce(s.start is not null and ({test}), false)
-    start: case when r.psi and {begins} then r.clock_ms end ; case when $begins then r.clock_ms when $cut then $now else s.start end
-    n: 0::bigint ; case when s.cut then s.n + 1 else s.n end
-    segment_first: case when r.psi and {begins} then r.seq end ; case when $cut then s.first end
-    first: case when r.psi and {begins} then r.seq end ; case when $begins or $cut then r.seq else s.first end
+SEGMENT_MS = 3_600_000
+#: Packets as the segmenter sees them, by expressions that both engines read.
+CUT = {"clock": "case when pcr27 is not null then arrival_ms * 90 % 8589934592 end", "clear": "scrambling = 0", "random_access": "seq % 14 = 0", "pat": "seq % 50 = 0", "pmt": "seq % 70 = 0", "safe": "seq % 4 <> 1",
+       "coded": "pid % 2 = 0", "starts": "pusi and seq % 6 <> 3", "picture": "case when pid % 2 = 0 and seq % 5 = 0 then case when seq % 15 = 0 then 'key' else 'other' end end"}
+
+
+def cuts(begins: str, step: str, most: int) -> str:
+    """Packets that are let through, by windows; then the cuts, packet by packet. What a
+    held picture turns out to be is looked up ahead."""
+    rows = f"""with x as (select stream_id, seq, pid, pusi, has_payload, {", ".join(f"{v} as {k}" for k, v in CUT.items())} from packets),
+y as (select *, bool_or(pat) over w and bool_or(pmt) over w as psi from x window w as (partition by stream_id order by seq rows unbounded preceding)),
+b as (select stream_id, min(seq) as began, arg_min(clock, seq) as clock0 from y where clock is not null and {begins} group by 1),
+t as (select stream_id, pid, min(seq) as started from y join b using (stream_id) where seq >= began and has_payload and pusi and clear and safe group by 1, 2),
+k as (select y.*, clock0, sum(case when pusi and clear then 1 else 0 end) over (partition by stream_id, pid order by seq) as unit from y join b using (stream_id) left join t using (stream_id, pid) where seq >= began and (not has_payload or seq >= started)),
+u as (select stream_id, pid, unit, min(seq) as begin, min(seq) filter (where picture is not null) as seen, arg_min(picture, seq) filter (where picture is not null) as kind, lead(min(seq)) over (partition by stream_id, pid order by unit) - 1 as rest from k group by 1, 2, 3)
+select k.*, pusi and has_payload and clear and coded and starts as candidate, random_access or coalesce(kind = 'key', false) as key, case when random_access then seq else coalesce(seen, rest, 9223372036854775807) end as until from k join u using (stream_id, pid, unit)"""
+    due = f"90000::bigint * case when s.n = 0 then 1000 else {SEGMENT_MS} end"
+    return machine(rows, "seq", f"""
     seq: r.seq ; r.seq
-""", "select stream_id, n as segment, segment_first as first_seq, seq - 1 as last_seq, least(greatest(span, 50), 10800000) as duration_ms from f where cut", "packets")
+    last: coalesce(r.clock, r.clock0) ; coalesce(r.clock, s.last)
+    ticks: 0::bigint ; ($last - s.origin + 8589934592) % 8589934592
+    {step.replace("DUE", due)}
+    n: 0::bigint ; s.n + case when $cut then 1 else 0 end
+    origin: r.clock0 ; case when $cut then $last else s.origin end
+    closed: null::bigint ; case when $cut then least(greatest($ticks * 1000 // 90000, 50), {most}) end
+""", ", d as (select stream_id, n as segment, min(seq) as first_seq, max(seq) as last_seq, count(*) as packets, max(closed) as closed from f group by 1, 2) select * exclude (closed, duration_ms), duration_ms from (select *, lead(closed) over (partition by stream_id order by segment) as duration_ms from d) where duration_ms is not null", "packets")
 
 
-def cut_rows(spark, sf_dir: str):
-    extra = {"psi": "seq % 50 = 0", "pes_start": "pusi and has_payload", "random_access": "seq % 14 = 0", "key_picture": "seq % 9 = 0", "clock_ms": "case when pcr27 is not null then arrival_ms end"}
-    return R.packets(spark, sf_dir).select("stream_id", "seq", *[F.expr(v).alias(k) for k, v in extra.items()])
+def cut_rows(spark, sf_dir: str, has_coded: bool = False):
+    rows = R.packets(spark, sf_dir).select("stream_id", "seq", "pid", "pusi", "has_payload", *[F.expr(v).alias(k) for k, v in CUT.items()])
+    return rows.withColumns({"table": F.lit(False), "bytes": F.lit(100), "has_coded": F.lit(has_coded)})
 
 
-@query(cuts("other", "r.pes_start and $span >= 3600000 or $span >= 10800000"))
+@query(cuts("pusi and psi", "cut: false ; r.clock is not null and $ticks * 1000 >= DUE and (r.pusi or $ticks * 1000 >= 3 * DUE)", 3 * SEGMENT_MS))
 def t10_segment_cuts(spark, sf_dir: str):
     """T10"""
-    return folds.segment_cuts(cut_rows(spark, sf_dir), 3_600_000)
+    return segmenter.segments(segmenter.dealt(cut_rows(spark, sf_dir), SEGMENT_MS))
 
 
-@query(cuts("coded", "r.pes_start and r.key_picture and $span >= 3600000"))
+@query(cuts("pusi and psi", """live: true ; r.seq > s.busy
+    arm: false ; $live and (s.armed or $ticks * 1000 >= DUE)
+    cut: false ; $arm and r.candidate and r.key
+    armed: false ; case when $live then $arm and not $cut else s.armed end
+    busy: -1::bigint ; case when not $live then s.busy when $arm and r.candidate then r.until else -1 end""", 3 * SEGMENT_MS))
 def t10_picture_cuts(spark, sf_dir: str):
-    """T10 with picture types"""
-    return folds.segment_cuts(cut_rows(spark, sf_dir), 3_600_000, "coded")
+    """T10 before key pictures, whose type is known some packets later"""
+    return segmenter.segments(segmenter.dealt(cut_rows(spark, sf_dir, True), SEGMENT_MS))
 
 
-@query(cuts("abr", "r.clock_ms is not null and r.random_access and $span >= 3600000"))
+@query(cuts("random_access", "cut: false ; r.clock is not null and r.random_access and $ticks * 1000 >= DUE", 60_000))
 def t10_random_access_cuts(spark, sf_dir: str):
     """T10 at random access"""
-    return folds.segment_cuts(cut_rows(spark, sf_dir), 3_600_000, "abr")
+    return segmenter.segments(segmenter.dealt(cut_rows(spark, sf_dir), SEGMENT_MS, True))
 
 
 @query(machine("select stream_id, sequence, duration_ms * 500 as bytes, duration_ms from segments", "sequence", """

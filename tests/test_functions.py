@@ -168,9 +168,6 @@ def test_other_folds(spark):
     rows = [(0, "a", 5, 3, True, 100, None), (1, "a", 5, 4, True, None, 3700), (2, "b", 5, 9, True, None, None), (3, "b", 6, 1, True, 50, None), (4, "b", 5, 9, False, None, 3650), (5, "b", 5, 10, True, 3700, None)]
     got = folds.switch_clock(mk(rows, "seq long, source string, pid int, cc int, has_payload boolean, pcr long, pts long")).orderBy("seq").collect()
     assert [(r.out_cc, r.out_pcr, r.out_pts, r.flagged) for r in got] == [(3, 100, None, False), (4, None, 3700, False), (5, None, None, False), (1, 12_700, None, True), (6, None, 16_300, False), (6, 16_350, None, False)]
-    cuts = [(0, 0, False), (1, 100, True), (2, 3000, True), (3, 4200, True), (4, 9000, False), (5, 16_300, False)]
-    got = folds.segment_cuts(mk([(*r, True, True, False) for r in cuts], "seq long, clock_ms long, pes_start boolean, psi boolean, random_access boolean, key_picture boolean")).collect()
-    assert [(r.first_seq, r.last_seq, r.duration_ms) for r in got] == [(1, 2, 4100), (3, 4, 12_100)]
     got = folds.clock_lock(mk([(k, 1000 + 3600 * k) for k in range(40)], "idx long, pts long")).orderBy("idx").collect()
     assert [r.locked for r in got] == [k >= 24 for k in range(40)]
     ids = spark.createDataFrame([("m", 0, 2), ("m", 1, None), ("m", 2, 2)], "mux_id string, ord long, wanted int")
