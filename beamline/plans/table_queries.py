@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import guide
-from ..sources import nested
+from ..sources import nested, schedules
 from ..sources import sections as S
 from ..sources import transport
 from . import relations as R
@@ -299,3 +299,31 @@ def s8_carried_pids(spark, sf_dir: str):
     """What the carried packets are"""
     rows = carried(spark, sf_dir)
     return rows.select("stream_id", F.conv(F.hex(F.substring("pkt", 5, 4)), 16, 10).cast("long").alias("number"), (F.conv(F.hex(F.substring("pkt", 2, 2)), 16, 10).cast("int") % 8192).alias("pid"))
+
+
+#: Refreshes of a channel's guide: two a minute apart, every forty days.
+REFRESH, PERIOD = 757_382_400, 40 * 86_400
+
+
+@query(R.oracle(f""", e as (select channel_id as sid, moment, arrival, case when event_id % 65536 = 0 then xor(start // 60, start >> 16) & 65535 else event_id % 65536 end as number, start, stop, title || case when arrival % 5 = 0 then ' Зима' else '' end as title, case when late = 60 and channel_id % 3 = 0 and arrival % 2 = 0 then 'changed' else 'text ' || arrival end as description
+  from (select *, {REFRESH} + (start + 21600 - {REFRESH}) // {PERIOD} * {PERIOD} + late as moment from guide, (values (0), (60)) l(late)) where start >= moment - 21600 and start <= moment + 604800),
+t as (select distinct channel_id as sid, {REFRESH} + k * {PERIOD} + late as moment from guide, range(40) r(k), (values (0), (60)) l(late)),
+c as (select sid, moment, string_agg(start || '/' || stop || '/' || title || '/' || description, '|' order by arrival) as content from e group by 1, 2),
+v as (select sid, moment, sum(case when f then 1 else 0 end) over (partition by sid order by moment) % 32 as version from (select t.sid, t.moment, coalesce(coalesce(content, '') <> lag(coalesce(content, '')) over (partition by t.sid order by t.moment), true) as f from t left join c using (sid, moment))),
+i as (select *, row_number() over (partition by sid, moment order by start, arrival) - 1 as i from e),
+pf as (select * from (select *, 78 as table_id, 0 as section, 4 as running, row_number() over (partition by sid, moment order by i) as r from i where start <= moment and moment < stop union all
+  select *, 78, 1, 1, row_number() over (partition by sid, moment order by i) from i where start > moment) where r = 1)
+select moment, sid::integer as sid, version::integer as version, table_id::integer as table_id, section::integer as section, number as event_id, start as start_utc, (stop - start) as duration_s, running, title, description
+from (select sid, moment, number, start, stop, title, description, 80 as table_id, i as section, 1 as running from i union all select sid, moment, number, start, stop, title, description, table_id, section, running from pf) join v using (sid, moment)""", "guide"))
+def k4_guide_versions(spark, sf_dir: str):
+    """K4: guide rows to sections in packets, and back"""
+    rows, late = R.guide(spark, sf_dir), F.explode(F.array(F.lit(0), F.lit(60))).alias("late")
+    events = rows.select("*", late).withColumn("at", F.expr(f"{REFRESH} + floor((start + 21600 - {REFRESH}) / {PERIOD}) * {PERIOD} + late"))
+    events = events.selectExpr("at as stream_id", "cast(channel_id as int) as sid", "at", "arrival as ord", "event_id", "start", "stop", "concat(title, case when arrival % 5 = 0 then ' Зима' else '' end) as title",
+                               "case when late = 60 and channel_id % 3 = 0 and arrival % 2 = 0 then 'changed' else concat('text ', arrival) end as text")
+    every = rows.select(F.col("channel_id").cast("int").alias("sid")).distinct().select("sid", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k"), late)
+    every = every.select(F.lit(0).cast("long").alias("stream_id"), "sid", F.expr(f"{REFRESH} + cast(k as bigint) * {PERIOD} + late").alias("at"), F.lit(1).alias("ts_id"), F.lit(1).alias("network"))
+    made = schedules.guide_sections(every, events.withColumn("stream_id", F.lit(0).cast("long")))
+    found = S.assemble(S.packetised(made.select(F.col("at").alias("stream_id"), (F.lit(3000) + F.col("sid")).alias("pid"), "ord", "section")), S.GUIDE)
+    heads = found.where("crc_ok").select("stream_id", "pid", "seq", F.col("table_id").cast("int").alias("table_id"), F.expr("cast(conv(hex(substring(bytes, 6, 1)), 16, 10) as int) div 2 % 32").cast("int").alias("version"), F.conv(F.hex(F.substring("bytes", 7, 1)), 16, 10).cast("int").alias("section"))
+    return S.eit(found).join(heads, ["stream_id", "pid", "seq"]).select(F.col("stream_id").alias("moment"), "sid", "version", "table_id", "section", "event_id", "start_utc", "duration_s", "running", "title", "description")
