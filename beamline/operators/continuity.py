@@ -144,24 +144,31 @@ def integrity_counters(packets: DataFrame, span: int = PACKETS) -> DataFrame:
 
     A transport error, a packet without either field and a discontinuity forget the
     count (the first and the last then start from the packet's own); a discontinuity
-    forgets the clock, too. Parity is compared with the last scrambled packet."""
-    good, none = F.col("afc") != 0, F.lit(None)
+    forgets the clock, too. Parity is compared with the last scrambled packet.
+
+    With ``adaptation_length``, the first byte of the adaptation field, a field that goes
+    beyond the packet is as bad as none; with ``missing_key``, packets that no key could
+    open are counted, too."""
+    more = [c for c in ("adaptation_length", "missing_key") if c in packets.columns]
+    overrun = (F.col("afc") >= 2) & (F.col("adaptation_length") + 5 > 188) if "adaptation_length" in more else F.lit(False)
+    keys = [count(F.col("missing_key")).alias("missing_key_packets")] if "missing_key" in more else []
+    good, none = (F.col("afc") != 0) & ~F.coalesce(overrun, F.lit(False)), F.lit(None)
     reset = F.col("discontinuity") & good
     forgets = F.col("tei") | ~good | reset
-    count_left = F.when(F.col("has_payload"), F.struct(F.col("cc").cast("int").alias("v"))).when(forgets, F.struct(none.cast("int").alias("v")))
+    count_left = F.when(good & F.col("has_payload"), F.struct(F.col("cc").cast("int").alias("v"))).when(forgets, F.struct(none.cast("int").alias("v")))
     clock_left = F.when(good & F.col("pcr27").isNotNull(), F.struct(F.col("pcr27").alias("v"))).when(reset, F.struct(none.cast("long").alias("v")))
-    packets = _few(packets, "cc", "afc", "has_payload", "discontinuity", "tei", "scrambling", "pcr27")
+    packets = _few(packets, "cc", "afc", "has_payload", "discontinuity", "tei", "scrambling", "pcr27", *more)
     rows = by_pid(packets.where(F.col("pid") != NULL_PID), span).add(
         _cc=Last(count_left), _pcr=Last(clock_left), _parity=Last(F.when(good & (F.col("scrambling") >= 2), F.col("scrambling")))).done()
     last_cc, last_pcr = F.when(~forgets, F.col("_cc.v")), F.when(~reset, F.col("_pcr.v"))
     step = modular_delta(F.col("pcr27"), last_pcr, PCR_WRAP)
-    paid, repeat = F.col("has_payload"), F.col("cc") == last_cc
+    paid, repeat = good & F.col("has_payload"), F.col("cc") == last_cc
     return rows.groupBy("stream_id", "pid").agg(
         F.count("*").alias("packets"), count(F.col("tei")).alias("tei"), count(~good).alias("bad_afc"), count(reset).alias("discontinuities"),
         count(paid & repeat).alias("cc_repeats"), count(paid & ~repeat & (F.col("cc") != (last_cc + 1) % 16)).alias("cc_gaps"),
         count(good & (step < 0)).alias("pcr_backwards"), count(good & (step > PCR_JUMP)).alias("pcr_jumps"),
         count(good & (F.col("scrambling") >= 2)).alias("scrambled"),
-        count(good & (F.col("scrambling") >= 2) & (F.col("scrambling") != F.col("_parity"))).alias("parity_changes"),
+        count(good & (F.col("scrambling") >= 2) & (F.col("scrambling") != F.col("_parity"))).alias("parity_changes"), *keys,
     )
 
 

@@ -114,8 +114,9 @@ def live_window(segments: DataFrame, listed: int = 6) -> DataFrame:
     return rows.withColumn("discontinuity_sequence", F.sum((F.col("discontinuity") & (F.col("place") != "listed")).cast("long")).over(W.partitionBy("stream_id"))).drop("_n")
 
 
-def media_playlist(segments: DataFrame, listed: int = 6, target_s: int = 4) -> DataFrame:
-    """K8: the text of each stream's live playlist."""
+def media_playlist(segments: DataFrame, listed: int = 6, target_s: int = 4, independent: bool = False, ended: bool = False) -> DataFrame:
+    """K8: the text of each stream's live playlist; ``independent`` says that each segment
+    can be begun with, ``ended`` that none follows."""
     live = live_window(segments, listed).where("place = 'listed'")
     entry = F.concat(
         F.when(F.col("discontinuity"), "#EXT-X-DISCONTINUITY\n").otherwise(""), F.lit("#EXT-X-PROGRAM-DATE-TIME:"), iso_time("wall_ts"),
@@ -123,8 +124,9 @@ def media_playlist(segments: DataFrame, listed: int = 6, target_s: int = 4) -> D
     )
     entries = F.expr("array_join(transform(array_sort(_e), x -> x._t), '')")
     out = live.groupBy("stream_id").agg(F.collect_list(F.struct("sequence", entry.alias("_t"))).alias("_e"), F.min("sequence").alias("_q"), F.max("discontinuity_sequence").alias("_d"), F.greatest(F.lit(target_s), F.ceil(F.max("duration_ms") / 1000)).alias("_m"))
-    head = F.format_string("#EXTM3U\n#EXT-X-VERSION:3\n#EXT-X-TARGETDURATION:%d\n#EXT-X-MEDIA-SEQUENCE:%d\n#EXT-X-DISCONTINUITY-SEQUENCE:%d\n", "_m", "_q", "_d")
-    return out.select("stream_id", F.concat(head, entries).alias("playlist"))
+    alone, end = "#EXT-X-INDEPENDENT-SEGMENTS\n" if independent else "", "#EXT-X-ENDLIST\n" if ended else ""
+    head = F.format_string(f"#EXTM3U\n#EXT-X-VERSION:3\n{alone}#EXT-X-TARGETDURATION:%d\n#EXT-X-MEDIA-SEQUENCE:%d\n#EXT-X-DISCONTINUITY-SEQUENCE:%d\n", "_m", "_q", "_d")
+    return out.select("stream_id", F.concat(head, entries, F.lit(end)).alias("playlist"))
 
 
 def iso_time(epoch: str) -> Column:

@@ -45,14 +45,20 @@ def ring(samples: DataFrame, rows: int = RING_ROWS) -> DataFrame:
     return samples.withColumn("_place", place).where(F.col("_place") <= rows).drop("_place")
 
 
+#: Fixed value: the message of a point with errors.
+GROWTH = "CC-errors MPEG-TS за интервал: вход=%d, выход=%d"
+
+
 def persisted_point(samples: DataFrame, now: int, seconds: int = 300) -> DataFrame:
-    """A stream's newest sample with the counter growth of the last ``seconds``;
-    any growth makes it an error."""
+    """A stream's newest sample up to ``now`` with the growth of both counters in the
+    last ``seconds``; any growth makes it an error with a message of its own.
+
+    ``samples(stream_id, ts, sample_id, in_kbps, out_kbps, level, message, in_cc, out_cc)``"""
     latest = lambda c: F.max_by(c, F.struct("ts", "sample_id")).alias(c)
-    out = samples.where(F.col("ts") <= now).groupBy("stream_id").agg(
-        F.max("ts").alias("ts"), latest("in_kbps"), latest("out_kbps"), latest("level"), F.coalesce(F.sum(F.when(F.col("ts") >= now - seconds, F.col("cc"))), F.lit(0)).alias("cc")
-    )
-    return out.withColumn("level", F.when(F.col("cc") > 0, "error").otherwise(F.col("level")))
+    grown = lambda c: F.coalesce(F.sum(F.when(F.col("ts") >= now - seconds, F.col(c))), F.lit(0)).alias(c)
+    out = samples.where(F.col("ts") <= now).groupBy("stream_id").agg(F.max("ts").alias("ts"), *map(latest, ("in_kbps", "out_kbps", "level", "message")), grown("in_cc"), grown("out_cc"))
+    bad = (F.col("in_cc") > 0) | (F.col("out_cc") > 0)
+    return out.withColumns({"level": F.when(bad, "error").otherwise(F.col("level")), "message": F.when(bad, F.format_string(GROWTH, "in_cc", "out_cc")).otherwise(F.col("message"))})
 
 
 def merged(disk: DataFrame, memory: DataFrame) -> DataFrame:

@@ -67,21 +67,23 @@ def o2_top_pids(spark, sf_dir: str) -> DataFrame:
 
 
 @query(R.oracle(""",
-e as (select *, afc <> 0 as good, discontinuity and afc <> 0 as reset from packets),
+e as (select *, afc <> 0 and not (seq % 223 = 0 and afc >= 2) as good, discontinuity and good as reset from packets),
 f as (select *, sum(case when tei or not good or reset then 1 else 0 end) over w as ce, sum(case when reset then 1 else 0 end) over w as pe,
   last_value(case when good and scrambling >= 2 then scrambling end ignore nulls) over (partition by stream_id, pid order by seq rows between unbounded preceding and 1 preceding) as parity
   from e window w as (partition by stream_id, pid order by seq rows unbounded preceding)),
-g as (select *, last_value(case when has_payload then cc end ignore nulls) over (partition by stream_id, pid, ce order by seq rows between unbounded preceding and 1 preceding) as lc,
+g as (select *, last_value(case when has_payload and good then cc end ignore nulls) over (partition by stream_id, pid, ce order by seq rows between unbounded preceding and 1 preceding) as lc,
   last_value(case when good then pcr27 end ignore nulls) over (partition by stream_id, pid, pe order by seq rows between unbounded preceding and 1 preceding) as lp from f),
 h as (select *, ((pcr27 - lp) % 2576980377600 + 2576980377600) % 2576980377600 as fwd from g)
 select stream_id, pid, count(*) as packets, count(*) filter (where tei) as tei, count(*) filter (where not good) as bad_afc, count(*) filter (where reset) as discontinuities,
-  count(*) filter (where has_payload and cc = lc) as cc_repeats, count(*) filter (where has_payload and cc <> lc and cc <> (lc + 1) % 16) as cc_gaps,
+  count(*) filter (where good and has_payload and cc = lc) as cc_repeats, count(*) filter (where good and has_payload and cc <> lc and cc <> (lc + 1) % 16) as cc_gaps,
   count(*) filter (where good and fwd >= 1288490188800) as pcr_backwards, count(*) filter (where good and fwd < 1288490188800 and fwd > 27000000) as pcr_jumps,
-  count(*) filter (where good and scrambling >= 2) as scrambled, count(*) filter (where good and scrambling >= 2 and scrambling <> parity) as parity_changes
+  count(*) filter (where good and scrambling >= 2) as scrambled, count(*) filter (where good and scrambling >= 2 and scrambling <> parity) as parity_changes,
+  count(*) filter (where scrambling >= 2 and seq % 19 < 4) as missing_key_packets
 from h group by 1, 2""", "packets"))
 def w3_integrity_counters(spark, sf_dir: str) -> DataFrame:
     """W3, A3, P2, X13"""
-    return continuity.integrity_counters(R.packets(spark, sf_dir))
+    rows = R.packets(spark, sf_dir).withColumns({"adaptation_length": F.expr("case when seq % 223 = 0 then 184 else 7 end"), "missing_key": F.expr("scrambling >= 2 and seq % 19 < 4")})
+    return continuity.integrity_counters(rows)
 
 
 @query(R.oracle(""",
@@ -170,12 +172,13 @@ def a6_quality_summary(spark, sf_dir: str) -> DataFrame:
     return quality.summary(quality.classified(R.quality(spark, sf_dir)))
 
 
-@query(R.oracle(LEVEL + f""", p as (select stream_id, max(ts) as ts, arg_max(in_kbps, (ts, sample_id)) as in_kbps, arg_max(out_kbps, (ts, sample_id)) as out_kbps, arg_max(level, (ts, sample_id)) as level,
-  coalesce(sum(case when ts >= {NOW} - 300 then cc end), 0)::bigint as cc from levels where ts <= {NOW} group by 1)
-select stream_id, ts, in_kbps, out_kbps, case when cc > 0 then 'error' else level end as level, cc from p""", "quality"))
+@query(R.oracle(LEVEL + f""", p as (select stream_id, max(ts) as ts, arg_max(in_kbps, (ts, sample_id)) as in_kbps, arg_max(out_kbps, (ts, sample_id)) as out_kbps, arg_max(level, (ts, sample_id)) as level, arg_max(status, (ts, sample_id)) as status,
+  coalesce(sum(case when ts >= {NOW} - 36000 then cc end), 0)::bigint as in_cc, coalesce(sum(case when ts >= {NOW} - 36000 then cc // 2 end), 0)::bigint as out_cc from levels where ts <= {NOW} group by 1)
+select stream_id, ts, in_kbps, out_kbps, case when in_cc + out_cc > 0 then 'error' else level end as level, case when in_cc + out_cc > 0 then 'CC-errors MPEG-TS за интервал: вход=' || in_cc || ', выход=' || out_cc else status end as message, in_cc, out_cc from p""", "quality"))
 def a7_persisted_points(spark, sf_dir: str) -> DataFrame:
     """A7"""
-    return quality.persisted_point(quality.classified(R.quality(spark, sf_dir)), NOW)
+    samples = quality.classified(R.quality(spark, sf_dir)).withColumns({"message": F.col("status"), "in_cc": F.col("cc"), "out_cc": F.expr("cc div 2")})
+    return quality.persisted_point(samples, NOW, 36_000)
 
 
 @query(R.oracle("select stream_id, sample_id, ts from (select *, row_number() over (partition by stream_id order by ts desc, sample_id desc) as r from quality) where r <= 240", "quality"))
@@ -470,6 +473,15 @@ def k8_media_playlist(spark, sf_dir: str) -> DataFrame:
     return hls.media_playlist(R.segments(spark, sf_dir))
 
 
+@query(R.oracle(WINDOW + """, l as (select * from live join d using (stream_id) where place = 'listed')
+select stream_id, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:3' || chr(10) || '#EXT-X-INDEPENDENT-SEGMENTS' || chr(10) || '#EXT-X-TARGETDURATION:' || greatest(4, cast(ceil(max(duration_ms) / 1000) as int)) || chr(10) || '#EXT-X-MEDIA-SEQUENCE:' || min(sequence) || chr(10) || '#EXT-X-DISCONTINUITY-SEQUENCE:' || max(discontinuity_sequence) || chr(10)
+ || string_agg(case when discontinuity then '#EXT-X-DISCONTINUITY' || chr(10) else '' end || '#EXT-X-PROGRAM-DATE-TIME:' || strftime(to_timestamp(wall_ts) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') || chr(10) || '#EXTINF:' || (duration_ms // 1000) || '.' || lpad((duration_ms % 1000)::varchar, 3, '0') || ',' || chr(10) || file || chr(10), '' order by sequence) || '#EXT-X-ENDLIST' || chr(10) as playlist
+from l group by 1""", "segments"))
+def k8_ended_playlist(spark, sf_dir: str) -> DataFrame:
+    """K8: the list of a transcoded stream that has ended"""
+    return hls.media_playlist(R.segments(spark, sf_dir), independent=True, ended=True)
+
+
 @query(R.oracle(f""", r as (select * from segments where wall_ts >= {NOW} - 24 * 3600 and wall_ts between {NOW} - 50002 and {NOW} + 12),
 s as (select *, coalesce(lead(wall_ts) over w - wall_ts, wall_ts - lag(wall_ts) over w) as step from r window w as (partition by stream_id order by wall_ts, file))
 select stream_id, file, wall_ts, case when step is null then 2.0::double else least(6.0, greatest(1.0, step))::double end as seconds from s""", "segments"))

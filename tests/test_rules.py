@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beamline.functions import scalars as X
-from beamline.operators import continuity, folds, guide, health, hls, timing
+from beamline.operators import continuity, folds, guide, health, hls, timing, quality
 from beamline.operators.scans import Last, Next, Scan, Total, Trailing, lag
 
 # --- scans ---------------------------------------------------------------------------
@@ -190,3 +190,23 @@ def test_rates_by_the_first_clock(spark):
     assert {r.kind for r in folds.clock_timeline(df).collect()} == {"anchor"}
     fast = spark.createDataFrame([("s", k * 100_000, k * 13_500_000, False) for k in range(3)], "stream_id string, idx long, pcr27 long, discontinuity boolean")
     assert folds.source_rate(fast).count() == 0  # above 200 Mbit/s
+
+
+def test_an_adaptation_field_beyond_the_packet_is_bad(spark):
+    base = dict(stream_id="s", pid=256, tei=False, discontinuity=False, scrambling=0, pcr27=None, adaptation_length=7, missing_key=False)
+    plan = [dict(afc=1, cc=0), dict(afc=3, cc=1), dict(afc=3, cc=2, adaptation_length=184, scrambling=2, discontinuity=True, pcr27=5), dict(afc=1, cc=9), dict(afc=3, cc=10, adaptation_length=183, scrambling=2, missing_key=True), dict(afc=2, cc=10, adaptation_length=190), dict(afc=1, cc=3, adaptation_length=200, scrambling=3, missing_key=True)]
+    rows = [(*{**base, **r}.values(), k, r["afc"] in (1, 3)) for k, r in enumerate(plan)]
+    names = [*{**base, **plan[0]}, "seq", "has_payload"]
+    types = dict(stream_id="string", pid="int", tei="boolean", discontinuity="boolean", scrambling="int", pcr27="long", adaptation_length="int", missing_key="boolean", afc="int", cc="int", seq="long", has_payload="boolean")
+    packets = spark.createDataFrame(rows, ", ".join(f"{n} {types[n]}" for n in names))
+    got = continuity.integrity_counters(packets).first()
+    assert (got.packets, got.bad_afc, got.discontinuities, got.cc_gaps, got.cc_repeats, got.scrambled, got.parity_changes, got.missing_key_packets) == (7, 2, 0, 0, 0, 2, 1, 2)
+    got = continuity.integrity_counters(packets.drop("adaptation_length", "missing_key")).first()
+    assert got.bad_afc == 0 and "missing_key_packets" not in got.asDict()
+
+
+def test_a_persisted_point_has_both_counters(spark):
+    rows = [("a", 100, 1, 5, 6, "ok", "runs", 4, 4), ("a", 700, 2, 7, 8, "ok", "runs", 0, 2), ("a", 1000, 3, 9, 10, "warn", "late", 0, 1), ("b", 999, 4, 1, 1, "ok", "runs", 0, 0), ("b", 1001, 5, 2, 2, "ok", "after", 9, 9)]
+    samples = spark.createDataFrame(rows, "stream_id string, ts long, sample_id long, in_kbps long, out_kbps long, level string, message string, in_cc long, out_cc long")
+    got = [tuple(r) for r in quality.persisted_point(samples, 1000).select("stream_id", "ts", "in_kbps", "level", "message", "in_cc", "out_cc").orderBy("stream_id").collect()]
+    assert got == [("a", 1000, 9, "error", "CC-errors MPEG-TS за интервал: вход=0, выход=3", 0, 3), ("b", 999, 1, "ok", "runs", 0, 0)]
