@@ -30,11 +30,13 @@ def bcd(x) -> Column:
     return F.shiftright(x, 4) * 10 + x.bitwiseAND(F.lit(15))
 
 
-def dvb_time(mjd, hour, minute, second) -> Column:
-    """Epoch seconds of a modified Julian day and BCD time; null if out of range."""
+def dvb_time(mjd, hour, minute, second, undefined: int | None = 0xFFFF) -> Column:
+    """Epoch seconds of a modified Julian day and BCD time; null if out of range.
+    ``undefined`` is the day that says there is no time; days that are counted on beyond
+    16 bits have none."""
     h, m, s = bcd(hour), bcd(minute), bcd(second)
     digits = [F.when((v.bitwiseAND(F.lit(15)) <= 9) & (F.shiftright(v, 4) <= 9), True).otherwise(False) for v in map(_c, (hour, minute, second))]
-    ok = (_c(mjd) != 0xFFFF) & digits[0] & digits[1] & digits[2] & (h <= 23) & (m <= 59) & (s <= 59)
+    ok = (F.lit(True) if undefined is None else _c(mjd) != undefined) & digits[0] & digits[1] & digits[2] & (h <= 23) & (m <= 59) & (s <= 59)
     return F.when(ok, (_c(mjd).cast("long") - 40587) * 86400 + h * 3600 + m * 60 + s)
 
 
