@@ -449,11 +449,13 @@ def service_ids(services: DataFrame, base: int = 1) -> DataFrame:
     wanted)``: its own, or the base and its place, raised until it is free."""
 
     def step(state, row):
-        used = state.setdefault("used", set())
-        wanted = row.wanted or base + row.ord
-        while wanted in used:
-            wanted += 1
-        used.add(wanted)
+        later = state.setdefault("later", {})  # of an id in use: one to go on from, no free one lies before it
+        wanted, passed = row.wanted or base + row.ord, []
+        while wanted in later:
+            passed.append(wanted)
+            wanted = later[wanted]
+        for used in (*passed, wanted):
+            later[used] = wanted + 1
         return [(row.ord, wanted)]
 
     return fold(services.select("mux_id", "ord", "wanted"), "mux_id", ["ord"], step, "ord long, service_id long")

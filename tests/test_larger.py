@@ -39,3 +39,15 @@ def test_pairs_of_channels_are_those_of_the_rows(spark, tmp_path):
     customers = "select k::bigint as c_custkey, 'c' as c_name, 0 as c_nationkey, 1.0::double as c_acctbal, 'm' as c_mktsegment from (select unnest([3, 3, 6, 40, 46, 1]) as k)"
     suppliers = "select k::bigint as s_suppkey, 's' as s_name, 0 as s_nationkey, 1.0::double as s_acctbal from (select unnest([6, 6, 40, 46, 3]) as k)"
     assert len(same(spark, tmp_path, "j9_same_channels", customer=customers, supplier=suppliers)) > 6
+
+
+def test_ids_of_a_large_multiplex(spark):
+    n = 40_000
+    rows = spark.range(n).selectExpr("id % 1 as mux_id", "id as ord", "cast(1 as bigint) as wanted")
+    began = time.monotonic()
+    got = folds.service_ids(rows).agg({"service_id": "max", "ord": "count"}).collect()[0]
+    assert tuple(got) == (n, n) and time.monotonic() - began < 20  # 800 million steps one by one
+
+
+def test_a_day_that_is_a_mark_in_the_broadcast_form(spark, tmp_path):
+    assert ("20380422124848 +0000" in str(same(spark, tmp_path, "x1_guide_times", orders=orders("24940 + k") + " from range(20) t(k)")))
