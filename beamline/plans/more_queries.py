@@ -16,6 +16,8 @@ from .catalog import query
 from .fold_queries import machine
 from .table_queries import hexed, unit_packets
 
+#: Records that a file of a guide cache is written with.
+CACHE_FILE = 100_000
 NOW, GUIDE_NOW = 1_706_000_000, 852_076_800
 
 
@@ -226,13 +228,16 @@ def s11_quality_history(spark, sf_dir: str):
 
 @query("select 'g' || (event_id % 3) as file, cast(user_id as int) as service_id, cast(event_id as int) as event_id, event_id * 60 as start_utc, 60 as duration_s, 'T' || event_id as title, event_type as description from events where event_id % 3 <> 2")
 def s10_guide_cache(spark, sf_dir: str):
-    """A file whose header counts other records than it has is refused"""
-    e = R.table(spark, sf_dir, "events").withColumn("file", F.expr("concat('g', event_id % 3)"))
+    """A file whose header counts other records than it has is refused; a cache of more
+    records than a file may have is written as several"""
+    e = R.table(spark, sf_dir, "events").withColumn("file", F.expr("concat('g', event_id % 3)")).withColumn("deal", F.expr("pmod(xxhash64(event_id), 16)"))
+    own = W.partitionBy("file", "deal").orderBy("event_id")
+    e = e.withColumn("part", F.concat_ws("-", "deal", F.floor((F.row_number().over(own) - 1) / CACHE_FILE))).drop("deal")
     record = F.to_json(F.struct(F.lit("event").alias("kind"), F.col("user_id").alias("service_id"), "event_id", F.expr("event_id * 60").alias("start_utc"), F.lit(60).alias("duration_s"), F.expr("concat('T', event_id)").alias("title"), F.col("event_type").alias("description")))
-    heads = e.groupBy("file").agg(F.count("*").alias("n")).select("file", F.to_json(F.struct(F.lit("header").alias("kind"), F.expr("n + case when file = 'g2' then 1 else 0 end").alias("records"))).alias("value"))
+    heads = e.groupBy("file", "part").agg(F.count("*").alias("n")).select("file", "part", F.to_json(F.struct(F.lit("header").alias("kind"), F.expr("n + case when file = 'g2' then 1 else 0 end").alias("records"))).alias("value"))
     path = folder(spark)
-    lines = heads.unionByName(e.select("file", record.alias("value")))
-    lines.repartition("file").sortWithinPartitions("file", F.desc(F.col("value").contains('"header"'))).write.partitionBy("file").option("compression", "gzip").text(path)
+    lines = heads.unionByName(e.select("file", "part", record.alias("value")))
+    lines.repartition("file", "part").sortWithinPartitions("file", "part", F.desc(F.col("value").contains('"header"'))).write.partitionBy("file", "part").option("compression", "gzip").text(path)
     return files.guide_cache(spark, path).withColumn("file", F.regexp_extract("file", "file=(g[0-9])", 1))
 
 
