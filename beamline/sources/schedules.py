@@ -48,18 +48,18 @@ def event_bytes(running: Column) -> Column:
                     clock_digits(F.col("stop") - F.col("start")), numbers((running * 8192 + size, 4)), F.col("short"))
 
 
-def snapshots(refreshes: DataFrame, events: DataFrame) -> DataFrame:
+def snapshots(refreshes: DataFrame, events: DataFrame, most: int = MOST_EVENTS) -> DataFrame:
     """Events of each refresh, numbered by start (``i`` of ``n``), with the ``version``.
 
     ``refreshes(stream_id, sid, at, ts_id, network)``, ``events(stream_id, sid, at, ord,
     event_id, start, stop, title, text)`` as a refresh finds them, in order of ``ord``.
     Events that begin more than 6 hours before it or 7 days behind it, without a length or
-    a title, or beyond the first 768 are left out. An event without a number gets one from
+    a title, or beyond the first ``most`` are left out. An event without a number gets one from
     its start. The version is one up where starts, stops or texts are not those of the
     service's refresh before (the first one has 1). A refresh without events is one row
     without an event."""
     rows = events.where((F.col("start") >= F.col("at") - BEFORE_S) & (F.col("start") <= F.col("at") + BEHIND_S) & (F.col("stop") > F.col("start")) & (F.col("title") != ""))
-    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy(*KEY).orderBy("ord"))).where(F.col("_k") <= MOST_EVENTS)
+    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy(*KEY).orderBy("ord"))).where(F.col("_k") <= most)
     title, text = F.col("_title"), F.col("_text")
     rows = rows.withColumns({"_title": text_field("title", TITLE_BYTES), "_text": text_field("text", TEXT_BYTES)})
     size = lambda c: F.octet_length(c)
@@ -76,7 +76,7 @@ def snapshots(refreshes: DataFrame, events: DataFrame) -> DataFrame:
     return known.join(rows.drop("_times"), KEY, "left").withColumn("i", F.row_number().over(order) - 1).drop("_k")
 
 
-def guide_sections(refreshes: DataFrame, events: DataFrame, other: bool = False) -> DataFrame:
+def guide_sections(refreshes: DataFrame, events: DataFrame, other: bool = False, most: int = MOST_EVENTS) -> DataFrame:
     """``(stream_id, sid, at, ord, table_id, number, version, section)`` of each refresh,
     see ``snapshots``; ``other`` for services of another transport stream.
 
@@ -85,7 +85,7 @@ def guide_sections(refreshes: DataFrame, events: DataFrame, other: bool = False)
     schedule has an event a section, 256 sections a table and segments of eight sections;
     an event of 100 hours or more has none."""
     now, first = TABLES[other]
-    rows = snapshots(refreshes, events).withColumn("fits", F.coalesce((F.col("stop") - F.col("start") <= LONGEST_S) & F.col("start").between(0, LATEST), F.lit(False)))
+    rows = snapshots(refreshes, events, most).withColumn("fits", F.coalesce((F.col("stop") - F.col("start") <= LONGEST_S) & F.col("start").between(0, LATEST), F.lit(False)))
     last = F.least(F.lit(255), F.col("n") - F.floor(F.col("i") / 256) * 256 - 1)
     number = F.col("i") % 256
     schedule = rows.where("fits").select(
