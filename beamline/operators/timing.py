@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .folds import PTS_WRAP, fold
-from .scans import PACKETS, SECONDS, Last, Next, Scan, Trailing, lag
+from .folds import PCR_WRAP, PTS_WRAP, fold
+from .scans import PACKETS, SECONDS, Last, Next, Scan, Total, Trailing, lag
 
 
 def over(*order: str) -> W:
@@ -78,6 +78,15 @@ def interpolate(packets: DataFrame, key: str = "stream_id", span: int = PACKETS)
     return rows.withColumn("clock27", clock).select(*packets.columns, "clock27")
 
 
+def counted_on(packets: DataFrame, clock: str = "pcr27", wrap: int = PCR_WRAP, span: int = PACKETS) -> DataFrame:
+    """``packets(stream_id, seq, ...)`` with the rounds of a clock that goes round added to
+    it; a step of more than half a round is one the other way across its end."""
+    rows = Scan(packets, ["stream_id"], ["seq"], span).add(_b=Last(F.col(clock)))
+    step = F.col(clock) - F.col("_b")
+    rounds = rows.add(_n=Total(F.when(step < -wrap // 2, 1).when(step > wrap // 2, -1).otherwise(0).cast("long"))).done()
+    return rounds.withColumn(clock, F.col(clock) + F.col("_n") * wrap).drop("_b", "_n")
+
+
 def loop_clock(samples: DataFrame, lead: int = 3600) -> DataFrame:
     """Clocks of a file that plays again and again. ``samples(stream_id, loop, idx,
     pts)``: each loop is moved by the spans of those before it and ``lead`` each."""

@@ -69,3 +69,16 @@ def test_more_subtitle_tracks_than_a_list_of_the_operator(spark, tmp_path):
 def test_a_guide_cache_of_more_records_than_a_file_may_have(spark, tmp_path):
     events = "select k::bigint as event_id, timestamp '2024-01-01' as ts, k % 9 as user_id, 'view' as event_type, 1.0::double as value, '' as props from range(1210000) t(k)"
     assert len(same(spark, tmp_path, "s10_guide_cache", events=events)) > 800_000
+
+
+def test_clocks_that_went_round(spark, tmp_path):
+    # 2^33 ticks of 90 kHz are 2,386,093 events
+    events = "select (2380000 + k)::bigint as event_id, timestamp '2024-01-01' as ts, k % 9 as user_id, case when k % 2 = 0 then 'view' else 'click' end as event_type, 1.0::double as value, '' as props from range(12000) t(k)"
+    assert len(same(spark, tmp_path, "p1_packet_headers", events=events)) == 12_000
+
+
+def test_a_schedule_of_several_tables(spark, tmp_path):
+    # 900 events in a refresh: 4 tables, and more than the 768 that the operator sends by itself
+    date = "timestamp '1994-01-01' + to_seconds((k * 600)::int)"
+    found = same(spark, tmp_path, "k4_guide_versions", orders=orders("k", date=date) + " from range(3000) t(k)")
+    assert max(r[4] for r in found) > 768
