@@ -175,7 +175,7 @@ def captured(spark, sf_dir: str, ranges: int = 7000) -> DataFrame:
     e = R.table(spark, sf_dir, "events").select(F.expr("user_id % 4").cast("string").alias("stream_id"), F.col("event_id").alias("seq"), F.expr(f"rpad({hexed(('71', 2), ('256 + event_id % 900', 4), ('16 + event_id % 16', 2))}, 188, x'AA')").alias("pkt"))
     path = folder(spark)
     transport.write_captures(e, path).count()
-    rows = transport.read_captures(spark, f"{path}/*/*.ts", range_bytes=ranges)
+    rows = transport.read_captures(spark, f"{path}/*/*.ts", range_bytes=ranges, joined=True)
     return rows.withColumn("stream_id", F.regexp_extract("stream_id", "stream_id=([^/]+)/", 1))
 
 
@@ -194,7 +194,7 @@ def s1_resynced_pids(spark, sf_dir: str):
     e = R.table(spark, sf_dir, "events").select(F.expr("user_id % 4").cast("string").alias("stream_id"), F.col("event_id").alias("seq"), F.expr(f"concat({junk}, rpad({hexed(('71', 2), ('256 + event_id % 900', 4), ('16 + event_id % 16', 2))}, 188, x'AA'))").alias("pkt"))
     path = folder(spark)
     transport.write_captures(e, path).count()
-    rows = captures.captures(spark, path, range_bytes=70_000).where(F.col("pid").isin(256, 300, 512, 513, 777))
+    rows = captures.captures(spark, path, range_bytes=70_000, joined=True).where(F.col("pid").isin(256, 300, 512, 513, 777))
     return rows.select(F.regexp_extract("stream_id", "stream_id=([^/]+)/", 1).alias("stream_id"), "at", "pid", "cc")
 
 

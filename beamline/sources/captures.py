@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from .transport import HEADER, RANGE_BYTES, SIZE, first_start, headers, packet_starts, read_range, successors
+from .transport import HEADER, RANGE_BYTES, SIZE, first_start, headers, packet_starts, read_joined, read_range, successors
 
 #: Bytes behind a place that decide whether a packet begins there.
 AHEAD = 3 * SIZE
@@ -34,12 +34,17 @@ SCHEMA = f"stream_id string, at long, {HEADER}, pkt binary"
 
 @dataclass
 class Range(InputPartition):
-    """Places ``begin`` to ``stop`` of a file of which ``known`` bytes are there."""
+    """Places ``begin`` to ``stop`` of a file of which ``known`` bytes are there, or of
+    ``parts``, files with their places and lengths, that follow each other."""
 
     path: str
     begin: int
     stop: int
     known: int
+    parts: tuple[tuple[str, int, int], ...] = ()
+
+    def bytes_from(self, begin: int, size: int) -> bytes:
+        return read_joined(self.parts, begin, size) if self.parts else read_range(self.path, begin, size)
 
 
 def listed(path: str) -> dict[str, int]:
@@ -60,8 +65,17 @@ def listed(path: str) -> dict[str, int]:
     return {head + f.path: f.size for f in seen if not is_pattern or fnmatch(f.base_name, pattern)}
 
 
-def ranges(path: str, begin: int, stop: int, known: int, size: int) -> list[Range]:
-    return [Range(path, a, min(a + size, stop), known) for a in range(begin, stop, size)]
+def folders(sizes: dict[str, int]) -> dict[str, tuple[tuple[str, int, int], ...]]:
+    """Files by folder, in order of their names, each with its place and length."""
+    out: dict[str, tuple] = {}
+    for path, size in sorted(sizes.items()):
+        before = out.get(path[: path.rindex("/") + 1], ())
+        out[path[: path.rindex("/") + 1]] = (*before, (path, sum(before[-1][1:]) if before else 0, size))
+    return out
+
+
+def ranges(path: str, begin: int, stop: int, known: int, size: int, parts: tuple = ()) -> list[Range]:
+    return [Range(path, a, min(a + size, stop), known, parts) for a in range(begin, stop, size)]
 
 
 def entrance(part: Range, trusted: bool, look_back: int = LOOK_BACK) -> tuple[int, bool]:
@@ -70,7 +84,7 @@ def entrance(part: Range, trusted: bool, look_back: int = LOOK_BACK) -> tuple[in
     while part.begin > 0:
         start = max(0, part.begin - look_back)
         limit = part.begin - start
-        buffer = np.frombuffer(read_range(part.path, start, min(limit + AHEAD, part.known - start)), np.uint8)
+        buffer = np.frombuffer(part.bytes_from(start, min(limit + AHEAD, part.known - start)), np.uint8)
         at, valid = packet_starts(buffer, limit)
         after = successors(at, valid, trusted)
         ends = [0] * (len(at) + 1)
@@ -89,7 +103,7 @@ def packets(part: Range, trusted: bool, pids: np.ndarray | None, look_back: int
     """The packets of a range with their header columns, those of ``pids`` alone if given."""
     first, follows = entrance(part, trusted, look_back)
     limit = part.stop - part.begin
-    buffer = np.frombuffer(read_range(part.path, part.begin, min(limit + AHEAD, part.known - part.begin)), np.uint8)
+    buffer = np.frombuffer(part.bytes_from(part.begin, min(limit + AHEAD, part.known - part.begin)), np.uint8)
     at, valid = packet_starts(buffer, limit)
     after = successors(at, valid, trusted)
     k, found = first_start(at, valid, first, follows), []
@@ -113,7 +127,8 @@ def packets(part: Range, trusted: bool, pids: np.ndarray | None, look_back: int
 
 class Settings:
     """Options of the source: ``path``, ``trusted``, ``pids`` (a list with commas),
-    ``range_bytes``, ``look_back`` and, for streams, ``complete``."""
+    ``range_bytes``, ``look_back``, ``joined`` (the files of a folder are one capture, in
+    order of their names) and, for streams, ``complete``."""
 
     def __init__(self, options: dict[str, str]):
         if "path" not in options:
@@ -123,6 +138,7 @@ class Settings:
         self.pids = {int(p) for p in options["pids"].split(",")} if options.get("pids") else None
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
         self.look_back = max(SIZE, int(options.get("look_back", LOOK_BACK)))
+        self.joined = options.get("joined", "false").lower() == "true"
         self.complete = options.get("complete", "false").lower() == "true"
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
@@ -151,9 +167,11 @@ class CaptureReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         out = []
-        for path, size in sorted(listed(self.settings.path).items()):
+        sizes = listed(self.settings.path)
+        parts = folders(sizes) if self.settings.joined else {}
+        for path, size in sorted({k: sum(v[-1][1:]) for k, v in parts.items()}.items() if parts else sizes.items()):
             if self.streams is None or path in self.streams:
-                out += ranges(path, 0, size, size, self.settings.range_bytes)
+                out += ranges(path, 0, size, size, self.settings.range_bytes, parts.get(path, ()))
         return [p for p in out if p.stop > self.low and (self.high is None or p.begin <= self.high)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -209,7 +227,10 @@ class CaptureSource(DataSource):
         return CaptureReader(Settings(self.options))
 
     def streamReader(self, schema) -> CaptureStream:
-        return CaptureStream(Settings(self.options))
+        settings = Settings(self.options)
+        if settings.joined:
+            raise ValueError("files that grow are not joined")
+        return CaptureStream(settings)
 
 
 def register(spark: SparkSession) -> None:

@@ -6,8 +6,11 @@ import time
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from beamline.operators import folds
 from beamline.plans.registry import ORACLES, QUERIES
+from beamline.sources import captures, transport
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +85,19 @@ def test_a_schedule_of_several_tables(spark, tmp_path):
     date = "timestamp '1994-01-01' + to_seconds((k * 600)::int)"
     found = same(spark, tmp_path, "k4_guide_versions", orders=orders("k", date=date) + " from range(3000) t(k)")
     assert max(r[4] for r in found) > 768
+
+
+def test_parts_of_a_capture_are_one_stream(spark, tmp_path):
+    # parts of 40 packets; some end before junk that only the next one shows
+    pkt = F.expr("concat(case when id % 7 = 0 then repeat(x'00', cast(1 + id % 40 as int)) else x'' end, unhex('47010010'), rpad(unhex(lpad(hex(id), 8, '0')), 184, x'AA'))")
+    rows = spark.range(300).select(F.lit("a").alias("stream_id"), F.col("id").alias("seq"), pkt.alias("pkt"))
+    parts, whole = str(tmp_path / "parts"), str(tmp_path / "whole")
+    transport.write_captures(rows, parts, part_packets=40).count()
+    transport.write_captures(rows, whole).count()
+    old = lambda path: transport.read_captures(spark, f"{path}/*/*.ts", range_bytes=1000)
+    expected = sorted((r.seq, r.at, bytes(r.pkt)) for r in old(whole).collect())
+    got = transport.read_captures(spark, f"{parts}/*/*.ts", range_bytes=1000, joined=True).collect()
+    assert sorted((r.seq, r.at, bytes(r.pkt)) for r in got) == expected and {r.seq for r in got} == set(range(len(got)))
+    source = captures.captures(spark, parts, range_bytes=1000, joined=True).collect()
+    assert sorted((r.at, bytes(r.pkt)) for r in source) == sorted((at, p) for _, at, p in expected)
+    assert sorted((r.seq, r.at, bytes(r.pkt)) for r in old(parts).collect()) != expected
