@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import Last, Most, Scan, Total
 
+#: Lines of a list that are one range.
+LINES = 250_000
+#: Addresses, and the tags that a parsed list knows.
+SAYING = "^(?:[^#]|#EXTINF:|#EXT-X-(?:TARGETDURATION:|STREAM-INF:|MEDIA-SEQUENCE:|KEY:|MAP:|DISCONTINUITY$|ENDLIST$))"
 #: Seconds of a segment where a list names none, and the least that it may name.
 TARGET_S, LEAST_TARGET_S = 2.0, 0.25
 
@@ -32,7 +37,7 @@ def _leading_number(text: Column) -> Column:
     return F.regexp_extract(text, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double")
 
 
-def parsed(lines: DataFrame) -> DataFrame:
+def parsed(lines: DataFrame, span: int = LINES) -> DataFrame:
     """The segments of media playlists. ``lines(playlist, line_no, line)``, with
     ``base``, the list's own address, where addresses are relative.
 
@@ -42,41 +47,35 @@ def parsed(lines: DataFrame) -> DataFrame:
     hold until they are replaced, and METHOD=NONE or none clears the key; the sequence
     counts segments from the last MEDIA-SEQUENCE on. Gives ``playlist, sequence, uri,
     duration, discontinuity, key_method, key_uri, key_iv, map_uri, end_list``; the
-    addresses of a master list are no segments."""
+    addresses of a master list are no segments. A list is cut into ranges of ``span`` lines,
+    so one of any length is many tasks."""
     base = F.col("base") if "base" in lines.columns else F.lit("")
-    own = W.partitionBy("playlist").orderBy("line_no")
-    upto, before = own.rowsBetween(W.unboundedPreceding, 0), own.rowsBetween(W.unboundedPreceding, -1)
-    rows = lines.withColumn("line", F.trim("line")).where("line <> ''")
     line, tag = F.col("line"), lambda name: F.col("line").startswith(name)
     value = lambda name: F.when(tag(name), F.expr(f"substring(line, {len(name) + 1})"))
-    last = lambda c, frame: F.last(c, ignorenulls=True).over(frame)
-    named = _leading_number(value("#EXT-X-TARGETDURATION:"))
-    target = F.when(named.isNotNull(), F.greatest(F.lit(LEAST_TARGET_S), named))
-    rows = rows.withColumns({
-        "_address": ~tag("#"), "_target": F.coalesce(last(target, upto), F.lit(TARGET_S)),
-        "_master": F.max(tag("#EXT-X-STREAM-INF:").cast("int")).over(upto) == 1,
-        "_method": F.when(tag("#EXT-X-KEY:"), F.lower(attribute(line, "METHOD"))),
-    })
-    rows = rows.withColumn("_run", F.coalesce(F.sum(F.col("_address").cast("long")).over(before), F.lit(0)))
-    length = F.when(tag("#EXTINF:"), F.coalesce(_leading_number(F.split(value("#EXTINF:"), ",")[0]), F.col("_target")))
-    rows = rows.withColumn("_pending", last(length, W.partitionBy("playlist", "_run").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("_segment", F.col("_address") & ~F.col("_master") & F.coalesce(F.col("_pending") >= 0, F.lit(False)))
-    rows = rows.withColumn("_n", F.coalesce(F.sum(F.col("_segment").cast("long")).over(before), F.lit(0)))
-    first = F.coalesce(F.regexp_extract(value("#EXT-X-MEDIA-SEQUENCE:"), r"^\s*\+?([0-9]+)", 1).try_cast("long"), F.lit(0))
-    kind = F.col("_method")
+    named, kind = _leading_number(value("#EXT-X-TARGETDURATION:")), F.when(tag("#EXT-X-KEY:"), F.lower(attribute(line, "METHOD")))
     key = F.when(kind.isin("", "none"), F.struct(*(F.lit(None).cast("string").alias(c) for c in ("method", "uri", "iv"))))
     key = key.when(kind.isin("aes-128", "sample-aes"), F.struct(kind.alias("method"), resolved(base, attribute(line, "URI")).alias("uri"), attribute(line, "IV").alias("iv")))
     key = key.when(kind.isNotNull(), F.struct(kind.alias("method"), F.concat(F.lit("unsupported:"), kind).alias("uri"), F.lit("").alias("iv")))
-    rows = rows.withColumns({
-        "_broken": F.max((line == "#EXT-X-DISCONTINUITY").cast("int")).over(W.partitionBy("playlist", "_n").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)) == 1,
-        "_from": last(F.when(tag("#EXT-X-MEDIA-SEQUENCE:"), F.struct(first.alias("at"), F.col("_n").alias("n"))), upto),
-        "_key": last(key, upto), "_map": last(F.when(tag("#EXT-X-MAP:"), resolved(base, attribute(line, "URI"))), upto),
-        "end_list": F.max((line == "#EXT-X-ENDLIST").cast("int")).over(W.partitionBy("playlist")) == 1,
-    })
-    return rows.where("_segment").select(
-        "playlist", (F.coalesce("_from.at", F.lit(0)) + F.col("_n") - F.coalesce("_from.n", F.lit(0))).alias("sequence"), resolved(base, line).alias("uri"),
-        F.when(F.col("_pending") > 0, F.col("_pending")).otherwise(F.col("_target")).alias("duration"), F.col("_broken").alias("discontinuity"),
-        F.col("_key.method").alias("key_method"), F.col("_key.uri").alias("key_uri"), F.col("_key.iv").alias("key_iv"), F.col("_map").alias("map_uri"), "end_list")
+    first = F.coalesce(F.regexp_extract(value("#EXT-X-MEDIA-SEQUENCE:"), r"^\s*\+?([0-9]+)", 1).try_cast("long"), F.lit(0))
+    seconds = _leading_number(F.split(value("#EXTINF:"), ",")[0])
+    # what a line says; lines that say nothing are left out, and no text but the addresses is moved
+    said = {
+        "_uri": F.when(~tag("#"), resolved(base, line)), "_goal": F.when(named.isNotNull(), F.greatest(F.lit(LEAST_TARGET_S), named)), "_stream": F.when(tag("#EXT-X-STREAM-INF:"), True),
+        "_info": F.when(tag("#EXTINF:"), F.struct(F.lit(True).alias("there"), seconds.alias("s"))).when(~tag("#"), F.struct(F.lit(False).alias("there"), F.lit(None).cast("double").alias("s"))),
+        "_cut": F.when(line == "#EXT-X-DISCONTINUITY", True), "_first": F.when(tag("#EXT-X-MEDIA-SEQUENCE:"), first), "_key_tag": key,
+        "_map_tag": F.when(tag("#EXT-X-MAP:"), resolved(base, attribute(line, "URI"))), "_end": F.when(line == "#EXT-X-ENDLIST", True),
+    }
+    rows = lines.withColumn("line", F.trim("line")).where(F.col("line").rlike(SAYING)).select("playlist", "line_no", *(c.alias(n) for n, c in said.items()))
+    rows = Scan(rows, ["playlist"], ["line_no"], span).add(_target=Last(F.col("_goal"), here=True), _master=Last(F.col("_stream"), here=True), _before=Last(F.col("_info")))
+    goal, length = F.coalesce("_target", F.lit(TARGET_S)), F.col("_before.s")
+    # an EXTINF that does not parse has a target duration, which is above zero
+    segment = F.coalesce(F.col("_uri").isNotNull() & F.col("_master").isNull() & F.col("_before.there") & F.coalesce(length >= 0, F.lit(True)), F.lit(False))
+    rows = rows.add(_n=Total(segment.cast("long")), _broken=Last(F.when(segment, False).otherwise(F.col("_cut"))), _assumed=Last(F.when(F.col("_info.there"), goal)))
+    rows = rows.add(_from=Last(F.when(F.col("_first").isNotNull(), F.struct(F.col("_first").alias("at"), F.col("_n").alias("n")))), _key_now=Last(F.col("_key_tag")), _map=Last(F.col("_map_tag")), end_list=Most(F.col("_end"))).done()
+    return rows.where(segment).select(
+        "playlist", (F.coalesce("_from.at", F.lit(0)) + F.col("_n") - 1 - F.coalesce("_from.n", F.lit(0))).alias("sequence"), F.col("_uri").alias("uri"),
+        F.when(length > 0, length).when(length.isNull(), F.col("_assumed")).otherwise(goal).alias("duration"), F.coalesce("_broken", F.lit(False)).alias("discontinuity"),
+        F.col("_key_now.method").alias("key_method"), F.col("_key_now.uri").alias("key_uri"), F.col("_key_now.iv").alias("key_iv"), F.col("_map").alias("map_uri"), F.col("end_list").isNotNull().alias("end_list"))
 
 
 def variants(lines: DataFrame) -> DataFrame:

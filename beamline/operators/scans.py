@@ -8,7 +8,7 @@ rows are read and shuffled once: windows, summaries and the join all keep a rang
 together, and what moves beside the rows is one row a range.
 
 The values are such that summaries can be combined: the last or next value that is not
-null, running sums, and sums of the last few rows.
+null, the greatest of all, running sums, and sums of the last few rows.
 """
 
 from __future__ import annotations
@@ -39,6 +39,13 @@ class Next:
     here: bool = False
 
 
+@dataclass(frozen=True)
+class Most:
+    """The greatest value of all rows of the key."""
+
+    value: Column
+
+
 @dataclass(frozen=True)
 class Total:
     """The sum of the values up to the row."""
@@ -66,15 +73,15 @@ class Scan:
 
     def __init__(self, rows: DataFrame, key: list[str], order: list[str], span: int):
         place = F.floor(F.col(order[0]) / F.lit(span)).alias("_range")
-        self.key, self.order, self.columns = key, order, rows.columns
+        self.key, self.order, self.columns, self.dealt = key, order, rows.columns, rows.columns
         self.rows = rows.withColumn("_key", F.struct(*key, place)).repartition("_key")
 
     def add(self, **values) -> Scan:
         """The scan with a column for each of the values."""
         names = [f.name for f in self.rows.schema["_key"].dataType.fields]
         own, down = (W.partitionBy("_key").orderBy(*(o(c) for c in self.order)) for o in (F.asc, F.desc))
-        # both branches below use every column, so they read one and the same shuffle
-        everything = F.xxhash64(*self.columns)
+        # both branches below use every column that is shuffled, so they read one and the same shuffle
+        everything = F.xxhash64(*self.dealt)
         over = W.partitionBy(*(f"_key.{c}" for c in names[:-1])).orderBy("_key._range")
         back = W.partitionBy(*(f"_key.{c}" for c in names[:-1])).orderBy(F.desc("_key._range"))
         before, behind = (w.rowsBetween(W.unboundedPreceding, -1) for w in (over, back))
@@ -89,6 +96,10 @@ class Scan:
                 summary.append((F.min_by if later else F.max_by)(v.value, F.when(v.value.isNotNull(), at)).alias(s))
                 carried[c] = F.last(s, ignorenulls=True).over(behind if later else before)
                 result[name] = F.coalesce(i, c)
+            elif isinstance(v, Most):
+                summary.append(F.max(v.value).alias(s))
+                carried[c] = F.max(s).over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+                result[name] = F.col(c)
             elif isinstance(v, Total):
                 inside[i] = F.sum(v.value).over(own.rowsBetween(W.unboundedPreceding, 0))
                 summary.append(F.sum(v.value).alias(s))
@@ -114,7 +125,7 @@ class Scan:
         sums = sums.select("_key", "_seen", *(c.alias(n) for n, c in carried.items()))
         out = self.rows.withColumns(inside).join(sums, "_key").where(F.col("_seen").isNotNull() | (everything == 0))
         new = object.__new__(Scan)
-        new.key, new.order, new.columns = self.key, self.order, [c for c in self.columns if c not in values] + list(values)
+        new.key, new.order, new.dealt, new.columns = self.key, self.order, self.dealt, [c for c in self.columns if c not in values] + list(values)
         new.rows = out.select("_key", *(c for c in self.columns if c not in values), *(e.alias(n) for n, e in result.items()))
         return new
 

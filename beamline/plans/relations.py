@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.scans import Scan, Total
+
+#: Seconds of recorded segments that are one range.
+SEGMENT_SPAN = 86_400
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -89,9 +94,9 @@ def guide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded segments of 5 streams in order of time."""
-    own = W.partitionBy("stream_id").orderBy("wall_ts", "event_id")
     e = table(spark, sf_dir, "events").select(F.expr("user_id % 5").alias("stream_id"), F.col("event_id"), seconds("ts").alias("wall_ts"), F.expr("event_id % 37 = 0").alias("discontinuity"), F.expr("4000 + event_id % 2500").alias("duration_ms"))
-    return e.withColumn("sequence", (F.row_number().over(own) - 1).cast("long")).withColumn("file", F.format_string("seg_%d_%d.ts", "stream_id", "sequence")).drop("event_id")
+    e = Scan(e, ["stream_id"], ["wall_ts", "event_id"], SEGMENT_SPAN).add(sequence=Total(F.lit(1).cast("long"))).done()
+    return e.withColumn("sequence", F.col("sequence") - 1).withColumn("file", F.format_string("seg_%d_%d.ts", "stream_id", "sequence")).drop("event_id")
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,22 @@ def test_playlist_rules(spark):
     assert playlist(spark, "#EXTINF:1,\na", "http://h?q")[0][1] == "http://h?q/a"
 
 
+def long_list(spark, n=600):
+    rng = random.Random(7)
+    said = ["a.ts", "/b", "#EXTINF:3,", "#EXTINF:x,", "#EXTINF:0,", "#EXTINF:-1,", "#", "#EXT-X-DISCONTINUITY", "#EXT-X-KEY:METHOD=AES-128,URI=\"k\"", "#EXT-X-KEY:METHOD=NONE", "#EXT-X-MAP:URI=\"m\"", "#EXT-X-TARGETDURATION:%d", "#EXT-X-MEDIA-SEQUENCE:%d"]
+    rows = [(p, k, line % k if "%" in line else line, "http://h/l") for p in ("a", "b", None) for k in range(n) for line in rng.choices(said, [9, 9, 20, 3, 3, 3, 3, 2, 1, 1, 1, 1, 1])]
+    rows += [("b", n, "#EXT-X-ENDLIST", "http://h/l"), ("c", 1, "#EXTINF:1,", "h"), ("c", 2, "#EXT-X-STREAM-INF:BANDWIDTH=1", "h"), ("c", 3, "c", "h")]
+    return spark.createDataFrame(rows, "playlist string, line_no long, line string, base string")
+
+
+@pytest.mark.parametrize("span", [1, 7, 90])
+def test_a_list_in_ranges_has_the_same_segments(spark, span):
+    lines = long_list(spark)
+    whole, ranges = (sorted(map(str, hls.parsed(lines, s).collect())) for s in (10**9, span))
+    assert whole == ranges and len(whole) > 300
+    assert {r.playlist for r in hls.parsed(lines, span).where("end_list").collect()} == {"b"}
+
+
 def test_ladders(spark):
     def ladder(*args):
         found = spark.range(1).select(X.abr_ladder(*map(F.lit, args)).alias("x")).first().x
