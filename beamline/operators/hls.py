@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .scans import Last, Most, Scan, Total
 
-#: Lines of a list that are one range.
-LINES = 250_000
+#: Lines of a list, and segments of one, that are one range.
+LINES, LISTED = 250_000, 250_000
 #: Addresses, and the tags that a parsed list knows.
 SAYING = "^(?:[^#]|#EXTINF:|#EXT-X-(?:TARGETDURATION:|STREAM-INF:|MEDIA-SEQUENCE:|KEY:|MAP:|DISCONTINUITY$|ENDLIST$))"
 #: Seconds of a segment where a list names none, and the least that it may name.
@@ -95,13 +95,16 @@ def chosen(found: DataFrame, target_bps: int) -> DataFrame:
     return found.groupBy("playlist").agg(F.coalesce(below, above).alias("_r")).select("playlist", "_r.*")
 
 
-def start_sequence(segments: DataFrame, seconds: float = 6.0, most: int = 3) -> DataFrame:
+def start_sequence(segments: DataFrame, seconds: float = 6.0, most: int = 3, span: int = LISTED) -> DataFrame:
     """Where to start in a live list: from its end until ``seconds`` are gathered or
-    ``most`` segments; the first segment of a list that has ended."""
+    ``most`` segments; the first segment of a list that has ended. Of each range of ``span``
+    numbers the last ``most`` segments are looked at, and the first number."""
+    part = W.partitionBy("playlist", F.floor(F.col("sequence") / span))
+    rows = segments.withColumns({"_p": F.row_number().over(part.orderBy(F.desc("sequence"))), "_low": F.min("sequence").over(part), "_end": F.max("end_list").over(part)}).where(F.col("_p") <= most)
     own = W.partitionBy("playlist").orderBy(F.desc("sequence"))
-    rows = segments.withColumn("_sum", F.sum("duration").over(own.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(own))
-    enough = F.max(F.when((F.col("_sum") >= seconds) | (F.col("_n") >= most), F.col("sequence")))
-    return rows.groupBy("playlist").agg(F.when(F.max(F.col("end_list").cast("int")) == 1, F.min("sequence")).otherwise(F.coalesce(enough, F.min("sequence"))).alias("start"))
+    rows = rows.withColumn("_n", F.row_number().over(own)).withColumn("_sum", F.sum(F.when(F.col("_n") <= most, F.col("duration"))).over(own.rowsBetween(W.unboundedPreceding, 0)))
+    enough = F.max(F.when((F.col("_n") <= most) & ((F.col("_sum") >= seconds) | (F.col("_n") >= most)), F.col("sequence")))
+    return rows.groupBy("playlist").agg(F.when(F.max("_end"), F.min("_low")).otherwise(F.coalesce(enough, F.min("_low"))).alias("start"))
 
 
 def live_window(segments: DataFrame, listed: int = 6) -> DataFrame:

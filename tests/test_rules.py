@@ -188,6 +188,13 @@ def test_a_list_in_ranges_has_the_same_segments(spark, span):
     assert {r.playlist for r in hls.parsed(lines, span).where("end_list").collect()} == {"b"}
 
 
+@pytest.mark.parametrize("span", [1, 2, 10**9])
+def test_the_start_of_a_list_in_ranges(spark, span):
+    rows = [(p, n, d, p == "e") for p, ds in (("a", [9.0, 2.0, 2.0, 2.0]), ("b", [1.0, 1.0, 5.5]), ("c", [1.0]), ("e", [9.0, 9.0]), (None, [7.0, 7.0])) for n, d in enumerate(ds)]
+    df = spark.createDataFrame(rows, "playlist string, sequence long, duration double, end_list boolean")
+    assert dict(map(tuple, hls.start_sequence(df, span=span).collect())) == {"a": 1, "b": 1, "c": 0, "e": 0, None: 1}
+
+
 def test_ladders(spark):
     def ladder(*args):
         found = spark.range(1).select(X.abr_ladder(*map(F.lit, args)).alias("x")).first().x
