@@ -1,7 +1,7 @@
 """Streams within streams: PES units of a pid, and packets carried by T2-MI.
 
-PES units are windows and one aggregation; T2-MI puts a pid's rows in order and streams
-through a task with what is unfinished at hand.
+PES units are windows and one aggregation; T2-MI cuts a pid into runs that begin with a
+unit, and streams each through a task with what is unfinished at hand.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.packets import octet, payloads
-from ..operators.folds import service_ids
+from ..operators.folds import fold, service_ids
+from .scratch import written
 from .sections import crc32_mpeg
 
 #: First bytes of NAL units that begin a picture without references: type 5 in the low
@@ -22,12 +23,14 @@ from .sections import crc32_mpeg
 RANDOM_ACCESS = {"h264": [b for b in range(256) if b & 0x1F == 5], "hevc": [b for b in range(256) if 16 <= b >> 1 & 0x3F <= 21]}
 LARGEST_UNIT = 8202
 SILENCE_MS = 15_000
+#: Packets of a T2-MI pid that are one range.
+CARRIED = 200_000
 
 
-def ordered(packets: DataFrame, start: Callable[[], object], out: str) -> DataFrame:
-    """Rows of ``start()``'s ``feed(row)`` for each packet of a (stream_id, pid), and of
-    its ``close()`` after the last."""
-    names = ["stream_id", "pid", *(x.split()[0] for x in out.split(","))]
+def by_run(packets: DataFrame, start: Callable[[object], object], out: str) -> DataFrame:
+    """Rows of ``start(row)``'s ``feed(row)`` for each packet of a (stream_id, pid, run), and
+    of its ``close()`` after the last; ``row`` is the first packet."""
+    names = ["stream_id", "pid", "run", *(x.split()[0] for x in out.split(","))]
     stream = packets.schema["stream_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,17 +38,35 @@ def ordered(packets: DataFrame, start: Callable[[], object], out: str) -> DataFr
         for pdf in batches:
             rows = []
             for row in pdf.itertuples(index=False):
-                key = (row.stream_id, row.pid)
+                key = (row.stream_id, row.pid, row.run)
                 if key != last:
                     rows += [last + r for r in own.close()] if own else []
-                    last, own = key, start()
+                    last, own = key, start(row)
                 rows += [key + r for r in own.feed(row)]
             yield pd.DataFrame(rows, columns=names).astype(object)
         if own:
             yield pd.DataFrame([last + r for r in own.close()], columns=names).astype(object)
 
-    dealt = packets.repartition("stream_id", "pid").sortWithinPartitions("stream_id", "pid", "seq")
-    return dealt.mapInPandas(run, f"stream_id {stream}, pid int, {out}")
+    return packets.sortWithinPartitions("stream_id", "pid", "run", "seq").mapInPandas(run, f"stream_id {stream}, pid int, run long, {out}")
+
+
+def in_runs(packets: DataFrame, span: int) -> DataFrame:
+    """``packets(stream_id, pid, seq, pkt)`` with ``run``, the range of ``span`` packets in
+    whose order a pid's unit begins: a run goes from its first start of a unit to that of
+    the next one. That start is in both, in the one that it ends with ``ends``. What comes
+    before a pid's first start is left out. Of a range of packets one row is folded."""
+    rows = payloads(packets.select("stream_id", "pid", "seq", "pkt"))
+    starts = F.col("start") & ~F.col("tei") & (octet("data", 0) < F.octet_length("data"))
+    rows = rows.where(F.col("tei") | F.col("data").isNotNull()).withColumns({"_range": F.floor(F.col("seq") / F.lit(span)), "_start": F.coalesce(starts, F.lit(False))})
+    own = W.partitionBy("stream_id", "pid").orderBy("_range")
+    first = rows.groupBy("stream_id", "pid", "_range").agg(F.min(F.when(F.col("_start"), F.col("seq"))).alias("_first"))
+    first = first.withColumn("_before", F.last(F.when(F.col("_first").isNotNull(), F.col("_range")), True).over(own.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("_k", F.struct("stream_id", "pid", "_range")).join(F.broadcast(first.select(F.struct("stream_id", "pid", "_range").alias("_k"), "_first", "_before")), "_k")
+    mine = F.struct(F.col("_range").alias("run"), F.lit(False).alias("ends"))
+    other = F.struct(F.col("_before").alias("run"), (F.coalesce(F.col("seq") == F.col("_first"), F.lit(False))).alias("ends"))
+    late = F.coalesce(F.col("seq") >= F.col("_first"), F.lit(False))
+    runs = F.when(F.col("seq") == F.col("_first"), F.array(other, mine)).when(late, F.array(mine)).otherwise(F.array(other))
+    return rows.select("stream_id", "pid", "seq", "pkt", F.explode(runs).alias("_r")).select("stream_id", "pid", "seq", "pkt", "_r.*").where("run is not null")
 
 
 def payload(packet: bytes) -> tuple[bytes, bool, bool]:
@@ -126,6 +147,8 @@ class Carrier:
             if self.aligned:
                 found += self.frames(data[:pointer])
             data, self.held, self.aligned = data[pointer:], b"", True
+            if getattr(row, "ends", False):
+                data = b""
         if self.aligned:
             found += self.frames(data)
         return [(row.seq, plp, p) for plp, p in found]
@@ -165,7 +188,11 @@ class Carrier:
         field, size = field[: bits // 8], 187 if short else 188
         first = len(field) if sync == 0xFFFF else min(sync // 8, len(field))
         whole = []
-        if self.partial:
+        if self.partial is None:
+            self.heads.append((field[:first], size, sync == 0xFFFF))
+            if sync == 0xFFFF:
+                return []
+        elif self.partial:
             joined = self.partial + field[:first]
             if len(joined) == size:
                 whole, self.partial = [joined], b""
@@ -181,11 +208,90 @@ class Carrier:
         return [(plp, p) for p in packets if (p[1] & 0x1F) << 8 | p[2] != 0x1FFF]
 
 
-def t2mi_packets(packets: DataFrame, pid: int, pipe: int | None = None) -> DataFrame:
+class Census(Carrier):
+    """Which pipe a run goes on with: the first one before it loses the stream, whether it
+    does, and the one since."""
+
+    def __init__(self, pipe: int | None = None):
+        super().__init__(pipe)
+        self.lost, self.first = False, None
+
+    def lose(self) -> None:
+        if not self.lost:
+            self.lost, self.first = True, self.pipe
+        super().lose()
+
+    def baseband(self, frame: bytes) -> list:
+        self.pipe = frame[1] if self.pipe is None else self.pipe
+        return []
+
+    def close(self) -> list[tuple]:
+        return [(self.first, True, self.pipe) if self.lost else (self.pipe, False, None)]
+
+
+class Run(Carrier):
+    """A run's inner packets; ``seam`` 0. What its first frames add to a packet that began
+    before it has ``seam`` 1, and what it leaves unfinished 2."""
+
+    def __init__(self, wanted: int | None, pipe: int | None):
+        super().__init__(wanted)
+        self.pipe, self.partial, self.heads, self.place = pipe if wanted is None else wanted, None, [], 0
+
+    def feed(self, row) -> list[tuple]:
+        found = [(seq, plp, p, 0, None, None, None) for seq, plp, p in super().feed(row)]
+        for piece, size, alone in self.heads:
+            found.append((row.seq, self.pipe, piece, 1, size, alone, self.place))
+            self.place += 1
+        self.heads = []
+        return found
+
+    def close(self) -> list[tuple]:
+        return [] if self.partial is None else [(None, None, self.partial, 2, None, None, None)]
+
+
+def seamed(seams: DataFrame) -> DataFrame:
+    """Inner packets that began in one run and end in another; few rows a run."""
+    key = F.to_json(F.struct("stream_id", "pid"))
+
+    def step(state, row):
+        held = state.get("held", b"")
+        if row.seam == 2:
+            state["held"] = row.pkt
+            return []
+        joined = held + row.pkt if held else b""
+        state["held"] = joined if row.alone and len(joined) < row.size else b""
+        packet = b"\x47" + (joined if row.size == 187 else joined[1:])
+        return [(row.run, row.seq, row.plp, packet)] if len(joined) == row.size and (packet[1] & 0x1F) << 8 | packet[2] != 0x1FFF else []
+
+    rows = seams.select(key.alias("of"), "run", "seam", "seq", "plp", "pkt", "size", "alone", "place")
+    names = seams.select(key.alias("of"), "stream_id", "pid").distinct()
+    return fold(rows, "of", ["run", "seam", "place"], step, "run long, seq long, plp int, pkt binary").join(names, "of").drop("of")
+
+
+def t2mi_packets(packets: DataFrame, pid: int, pipe: int | None = None, span: int = CARRIED) -> DataFrame:
     """``(stream_id, pid, seq, plp, pkt)`` of the packets inside the T2-MI ``pid``;
-    ``seq`` is the outer packet that completes one."""
-    rows = packets.where(F.col("pid") == pid).select("stream_id", "pid", "seq", "pkt")
-    return ordered(rows, lambda: Carrier(pipe), "seq long, plp int, pkt binary")
+    ``seq`` is the outer packet that completes one.
+
+    A pid is many tasks: each goes through a run of it. Which pipe the stream is on is told
+    by the runs before, one row each, and a packet that lies in two runs is put together
+    from their ends."""
+    # read three times: for the runs, for the pipes and for the packets
+    outer = written(packets.where(F.col("pid") == pid).select("stream_id", F.col("pid").cast("int").alias("pid"), "seq", "pkt"))
+    dealt = in_runs(outer, span).repartition("stream_id", "pid", "run")
+    if pipe is None:
+        own = W.partitionBy("stream_id", "pid").orderBy("run")
+        census = by_run(dealt, lambda _: Census(), "first int, lost boolean, later int").withColumn("_lost", F.when(F.col("lost"), F.struct("later")))
+        before = own.rowsBetween(W.unboundedPreceding, -1)
+        census = census.withColumns({"_since": F.last("_lost", True).over(before), "_epoch": F.coalesce(F.sum(F.col("lost").cast("long")).over(before), F.lit(0))})
+        since = W.partitionBy("stream_id", "pid", "_epoch").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+        pipes = census.select(F.struct("stream_id", "pid", "run").alias("_k"), F.coalesce("_since.later", F.first("first", True).over(since)).alias("pipe"))
+        dealt = dealt.withColumn("_k", F.struct("stream_id", "pid", "run")).join(F.broadcast(pipes), "_k", "left").drop("_k")
+    else:
+        dealt = dealt.withColumn("pipe", F.lit(pipe))
+    start = lambda row: Run(pipe, None if pd.isna(row.pipe) else int(row.pipe))
+    found = written(by_run(dealt, start, "seq long, plp int, pkt binary, seam int, size int, alone boolean, place long"))
+    columns = ["stream_id", "pid", "seq", "plp", "pkt"]
+    return found.where("seam = 0").select(*columns).unionByName(seamed(found.where("seam > 0")).select(*columns))
 
 
 def pipe_census(inner: DataFrame) -> DataFrame:

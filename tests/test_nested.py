@@ -55,6 +55,37 @@ def test_t2mi(short):
     assert 0 < len(kept) < len(inner) and all(p in inner for p in kept)
 
 
+def pipes(rng, n):
+    """Outer packets of two pipes' frames, with gaps, errors, marks and broken units."""
+    units = []
+    for k in range(n):
+        size = rng.choice([0, 40, 150, 400, 700])
+        sync = rng.choice([0xFFFF, 0xFFFF, *(8 * x for x in (0, 30, 38, 148, 188))])
+        head = bytes([0xC0 if rng.random() < 0.95 else 0, 0]) + b"\x05\xe0" + (size * 8).to_bytes(2, "big") + b"\x47" + sync.to_bytes(2, "big") + b"\0"
+        body = bytes([0, rng.choice([7, 7, 9]), 0]) + head + bytes(rng.randrange(256) for _ in range(size))
+        unit = bytes([0, k % 256, 0, 0]) + (len(body) * 8).to_bytes(2, "big") + body
+        units.append(unit + (S.crc32_mpeg(unit) ^ (rng.random() < 0.05)).to_bytes(4, "big"))
+    out = carried(b"".join(units), 4096, [sum(map(len, units[:k])) for k in range(n) if k % 3])
+    for k, p in enumerate(out):
+        if rng.random() < 0.02:
+            out[k] = rng.choice([None, p[:1] + bytes([p[1] | 0x80]) + p[2:], p[:3] + bytes([p[3] | 0x20]) + b"\x07\x80" + b"\xff" * 6 + p[4:180], p[:4] + b"\xff" + p[5:]])
+    return [(k, p) for k, p in enumerate(out) if p]
+
+
+@pytest.mark.parametrize("pipe", [None, 9])
+def test_t2mi_in_runs_is_what_one_pass_gives(spark, pipe):
+    rows, expected = [], []
+    for stream in range(6):
+        own = nested.Carrier(pipe)
+        for seq, p in pipes(random.Random(stream), 250):
+            rows.append((stream, 4096, seq, p))
+            expected += [(stream, *r) for r in own.feed(Row(p, seq))]
+    df = spark.createDataFrame(rows, "stream_id long, pid int, seq long, pkt binary")
+    for span in (3, 40, 10**6):
+        got = nested.t2mi_packets(df, 4096, pipe, span).select("stream_id", "seq", "plp", "pkt").collect()
+        assert sorted((r[0], r[1], r[2], bytes(r[3])) for r in got) == sorted(expected) and len(got) > 200
+
+
 def test_pes_units(spark):
     field = lambda v, tag: bytes([tag << 4 | (v >> 30 & 7) << 1 | 1, v >> 22 & 255, (v >> 15 & 127) << 1 | 1, v >> 7 & 255, (v & 127) << 1 | 1])
     picture = b"\0\0\1\x65" + b"p" * 300
