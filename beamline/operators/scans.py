@@ -23,6 +23,13 @@ from pyspark.sql import functions as F
 PACKETS, SECONDS = 4_000_000, 7 * 86_400
 
 
+def dealt(rows: DataFrame, *key: str) -> DataFrame:
+    """``rows`` dealt out by a key of ranges. The number of tasks is the session's for
+    shuffles: adaptive joining of small ones goes by compressed bytes, and repeated bytes
+    would come together in a few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 @dataclass(frozen=True)
 class Last:
     """The last value that is not null, before the row or with ``here`` up to it."""

@@ -1,7 +1,7 @@
 """Streams within streams: PES units of a pid, and packets carried by T2-MI.
 
-PES units are windows and one aggregation; T2-MI cuts a pid into runs that begin with a
-unit, and streams each through a task with what is unfinished at hand.
+PES units are windows over runs of a pid and one aggregation; T2-MI cuts a pid into runs
+that begin with a unit, and streams each through a task with what is unfinished at hand.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.packets import octet, payloads
 from ..operators.folds import fold, service_ids
+from ..operators.scans import dealt
 from .scratch import written
 from .sections import crc32_mpeg
 
@@ -23,8 +24,8 @@ from .sections import crc32_mpeg
 RANDOM_ACCESS = {"h264": [b for b in range(256) if b & 0x1F == 5], "hevc": [b for b in range(256) if 16 <= b >> 1 & 0x3F <= 21]}
 LARGEST_UNIT = 8202
 SILENCE_MS = 15_000
-#: Packets of a T2-MI pid that are one range.
-CARRIED = 200_000
+#: Packets of a stream in whose order a T2-MI pid, or a pid of PES units, has one range.
+CARRIED, UNITS = 200_000, 200_000
 
 
 def by_run(packets: DataFrame, start: Callable[[object], object], out: str) -> DataFrame:
@@ -85,18 +86,32 @@ def clock33(at: Column) -> Column:
     return sum((F.shiftleft(v, n) for v, n in parts[1:]), F.shiftleft(*parts[0]))
 
 
-def pes_units(packets: DataFrame) -> DataFrame:
+def by_start(rows: DataFrame, span: int) -> DataFrame:
+    """``rows(stream_id, pid, seq, start, ...)`` with ``run``, the range of ``span`` packets
+    in whose order the unit of a row begins, dealt out by it. What comes before a pid's first
+    start is left out. Of a range of packets one row is folded."""
+    rows = rows.withColumn("_k", F.struct("stream_id", "pid", F.floor(F.col("seq") / F.lit(span)).alias("_range")))
+    own = W.partitionBy("_k.stream_id", "_k.pid").orderBy("_k._range").rowsBetween(W.unboundedPreceding, -1)
+    first = rows.groupBy("_k").agg(F.min(F.when(F.col("start"), F.col("seq"))).alias("_first"))
+    first = first.withColumn("_before", F.last(F.when(F.col("_first").isNotNull(), F.col("_k._range")), True).over(own))
+    rows = rows.join(F.broadcast(first), "_k").withColumn("run", F.when(F.col("seq") >= F.col("_first"), F.col("_k._range")).otherwise(F.col("_before")))
+    return dealt(rows.where("run is not null").drop("_k", "_first", "_before"), "stream_id", "pid", "run")
+
+
+def pes_units(packets: DataFrame, span: int = UNITS) -> DataFrame:
     """PES units of ``packets(stream_id, pid, seq, pkt, codec)``. A declared length
     trims what is stuffed behind it, a shorter unit is dropped, and the decoding time is
     the presentation time where it is absent.
 
-    A unit is what lies between two starts; its payloads are joined by one aggregation
-    over the window's partitions, and its fields are column expressions."""
-    own = W.partitionBy("stream_id", "pid").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    A unit is what lies between two starts; a pid is cut into runs of units, a unit's
+    payloads are joined by one aggregation over the window's partitions, and its fields are
+    column expressions."""
+    own = W.partitionBy("stream_id", "pid", "run").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     rows = payloads(packets.select("stream_id", "pid", "seq", "pkt", "codec"))
     hint = (F.col("afc") >= 2) & (octet("pkt", 4) > 0) & (octet("pkt", 5).bitwiseAND(F.lit(0x40)) > 0)
-    rows = rows.select("stream_id", "pid", "seq", "codec", "start", hint.alias("hint"), F.coalesce("data", F.lit(b"")).alias("data")).withColumn("unit", F.sum(F.col("start").cast("long")).over(own))
-    units = rows.where("unit > 0").groupBy("stream_id", "pid", "unit").agg(
+    rows = by_start(rows.select("stream_id", "pid", "seq", "codec", "start", hint.alias("hint"), F.coalesce("data", F.lit(b"")).alias("data")), span)
+    rows = rows.withColumn("unit", F.sum(F.col("start").cast("long")).over(own))
+    units = rows.groupBy("stream_id", "pid", "run", "unit").agg(
         F.min("seq").alias("seq"), F.min_by("hint", "seq").alias("hint"), F.min_by("codec", "seq").alias("codec"), F.expr("listagg(data) within group (order by seq)").alias("unit_data"))
     units = units.withColumns({"head": F.substring("unit_data", 1, 19), "whole": F.octet_length("unit_data")}).where((F.col("whole") >= 9) & (F.hex(F.substring("head", 1, 3)) == "000001"))
     length = F.conv(F.hex(F.substring("head", 5, 2)), 16, 10).cast("int")

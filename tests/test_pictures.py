@@ -159,3 +159,45 @@ def test_recovered_times_by_the_rules(spark):
     units = spark.createDataFrame(rows, "stream_id int, idx int, pts long, dts long, step long, start_pts long, start_dts long")
     got = timing.recovered_times(units.repartition(3), ["stream_id"], "idx").select("stream_id", "idx", "pts", "dts", "corrected").collect()
     assert sorted(tuple(r) for r in got) == want
+
+
+def test_ranges_of_a_pid_are_cut_as_one(spark):
+    """PES units of a few bytes, start codes and headers across ranges, empty ranges."""
+    rng, rows, want = random.Random(7), [], {}
+    for s in range(6):
+        nals = [AUD, sequence(), picture_set()]
+        for k in range(60):
+            nals += [AUD] * rng.choice([0, 1, 1, 2]) + [picture_set()] * rng.choice([0, 0, 1])
+            nals += [coded(k % 16, p, first_mb=m, body=b"\x5a" * rng.choice([0, 3, 700])) for p in rng.choice([[None], [0, 1], [1]]) for m in rng.choice([[0], [0, 9], [9, 0]])]
+        data = (b"zz" if s % 2 else b"") + stream(*nals) + rng.choice([b"", b"\0\0\1", b"\0\0\1\x09"])
+        at, seq, own = 0, 0, P.Splitter()
+        found = []
+        while at < len(data):
+            part = data[at : at + rng.choice([0, 1, 1, 2, 40] if s < 4 else [0, 5, 900])]
+            rows.append((s, 7, seq, None, None, part))
+            found += own.feed(part)
+            at, seq = at + len(part), seq + rng.choice([1, 1, 1, 9])
+        want[s] = sorted(u[1:4] for u in found + own.close())
+    units = spark.createDataFrame(rows, "stream_id long, pid int, seq long, pts long, dts long, data binary")
+    for span in (1, 3, 64):
+        got = {s: [] for s in want}
+        for r in P.access_units(units, span).collect():
+            got[r.stream_id].append((r["size"], r.key, r.pictures))
+        assert {s: sorted(v) for s, v in got.items()} == want
+
+
+def test_no_task_has_a_pid_whole(spark):
+    """Ranges of a pid's packets and of its bytes go to several tasks, whatever they compress to."""
+    from pyspark.sql import functions as F
+
+    from beamline.sources import nested
+
+    pes = "concat(x'000001E00000808005', x'2100010001', x'0000014188')"
+    rows = spark.range(4000).select(
+        F.expr("id div 10000").alias("stream_id"), F.expr("cast(id div 10000 + 100 as int)").alias("pid"), F.col("id").alias("seq"), F.lit("h264").alias("codec"),
+        F.expr(f"concat(case when id % 5 = 3 then x'474064' else x'470064' end, unhex(lpad(hex(16 + id % 16), 2, '0')), case when id % 5 = 3 then rpad({pes}, 184, x'42') else rpad(x'43', 184, x'43') end)").alias("pkt"))
+    units = nested.pes_units(rows, span=100)
+    sizes = [r.n for r in units.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 800 and max(sizes) < 800
+    assert sorted(r.seq for r in units.collect()) == list(range(3, 4000, 5)) and {r["size"] for r in units.collect()} == {5 * 184 - 14, 2 * 184 - 14}
+    assert units.exceptAll(nested.pes_units(rows)).count() == 0
