@@ -38,9 +38,14 @@ def capture(spark, sf_dir: str) -> DataFrame:
     return media.unionByName(sent.select("stream_id", (F.col("event_id") * 8 + F.when(F.col("pid") == 0, 0).otherwise(1)).alias("seq"), "arrival_ms", F.col("pid").cast("int").alias("pid"), "pkt"))
 
 
-def read_back(packets: DataFrame, key: str) -> DataFrame:
+def contents(sections: DataFrame) -> DataFrame:
+    """Sections that are equal byte for byte once, where the first one is: for readers of
+    what a multiplex says, not of when."""
+    return sections.groupBy("stream_id", "pid", "table_id", "bytes", "crc_ok").agg(F.min("seq").alias("seq"))
+
+
+def read_back(parsed: DataFrame, key: str) -> DataFrame:
     """Packets with payload and marked discontinuities by pid."""
-    parsed = transport.parse_headers(packets.select(key, "pkt"))
     return parsed.groupBy(key, "pid").agg(F.sum(F.col("has_payload").cast("long")).alias("packets"), F.sum(F.col("discontinuity").cast("long")).alias("marks"))
 
 
@@ -54,7 +59,7 @@ def p15_remapped_services(spark, sf_dir: str) -> DataFrame:
     """Services under other ids and pids, with new tables, one of two audio streams
     and marks where the map changes"""
     plans = spark.range(4).select(F.col("id").alias("stream_id"), (F.col("id") + 7).cast("int").alias("sid"), (F.col("id") + 70).cast("int").alias("new_sid"), *(F.lit(v).alias(k) for k, v in {"map_pid": 1000, "video_pid": 1001, "audio_pid": 1002, "wanted_audio": 514, "provider": "P", "name": "N"}.items()))
-    return read_back(services.remapped_service(services.written(capture(spark, sf_dir)), plans), "stream_id")
+    return read_back(transport.parse_headers(services.remapped_service(services.written(capture(spark, sf_dir)), plans).select("stream_id", "pkt")), "stream_id")
 
 
 @query(f"""with {ROWS}, back as (select min(rn) as rn, min(t) as t from m where stream_id = 3 and event_id >= {BACK}),
@@ -65,8 +70,8 @@ def u1_multiplex(spark, sf_dir: str) -> DataFrame:
     listed = spark.range(4).select(F.lit(0).cast("long").alias("mux_id"), F.col("id").alias("ord"), F.col("id").alias("stream_id"), (F.col("id") + 200).cast("int").alias("service_id"), F.lit("P").alias("provider"), F.concat(F.lit("S"), "id").alias("name"))
     sent = services.datagrams(services.multiplex(services.written(capture(spark, sf_dir)), listed))
     packets = sent.select(F.col("mux_id").alias("stream_id"), "datagram", F.posexplode(F.expr("transform(sequence(0, octet_length(data) div 188 - 1), i -> substring(data, i * 188 + 1, 188))")))
-    packets = services.written(packets.select("stream_id", (F.col("datagram") * 7 + F.col("pos")).alias("seq"), F.col("col").alias("pkt")))
-    known = transport.parse_headers(packets.withColumn("raw", F.col("pkt")), "raw").select("stream_id", "seq", "pid", "pkt")
-    maps = S.pmt(S.assemble(known.where("pid between 32 and 255"), S.GUIDE)).select("sid", F.col("es_pid").alias("pid")).distinct()
-    names = S.sdt(S.assemble(known.where("pid = 17"), S.GUIDE)).select("sid", "name").distinct()
-    return read_back(packets, "stream_id").drop("stream_id").join(maps, "pid").join(names, "sid").select("pid", "packets", "marks", "sid", "name")
+    packets = packets.select("stream_id", (F.col("datagram") * 7 + F.col("pos")).alias("seq"), F.col("col").alias("pkt"), F.col("col").alias("raw"))
+    known = services.written(transport.parse_headers(packets, "raw").select("stream_id", "seq", "pid", "pkt", "has_payload", "discontinuity"))
+    maps = S.pmt(contents(S.assemble(known.where("pid between 32 and 255"), S.GUIDE))).select("sid", F.col("es_pid").alias("pid")).distinct()
+    names = S.sdt(contents(S.assemble(known.where("pid = 17"), S.GUIDE))).select("sid", "name").distinct()
+    return read_back(known, "stream_id").drop("stream_id").join(maps, "pid").join(names, "sid").select("pid", "packets", "marks", "sid", "name")

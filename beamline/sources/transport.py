@@ -31,8 +31,8 @@ HEADER = (
 
 
 def headers(packets: np.ndarray) -> dict[str, np.ndarray]:
-    """Header columns of packets of shape (n, 188)."""
-    p = packets.astype(np.int64)
+    """Header columns of packets of shape (n, 188), from their first 12 bytes."""
+    p = packets[:, :12].astype(np.int64)
     afc = (p[:, 3] >> 4) & 3
     adaptation, payload = (afc & 2) > 0, (afc & 1) > 0
     length = np.where(adaptation, p[:, 4], 0)
